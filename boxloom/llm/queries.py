@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
-from boxloom.llm import exact_dedup, mixing, pii, secret_scan, url_rules, warc_revisit
+from boxloom.llm import (
+    decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, quality, secret_scan, url_rules, warc_revisit,
+)
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import table
 
 
+def op1_decontaminate(spark, sf_dir):
+    return decontaminate.find_contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_rules(spark, sf_dir):
     return url_rules.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -35,6 +41,20 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op6_quality(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.score(docs, quality.train(docs, quality.table_ratings(spark, sf_dir)))
+    return scored.withColumn("kept", F.col("tail_good") >= quality.LEAST_TAIL)
+
+
+def op8_jaccard_join(spark, sf_dir):
+    return jaccard_join.similarity_classes(table(spark, sf_dir, "documents"))
+
+
+def op10_lm_score(spark, sf_dir):
+    return lm_score.score(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
