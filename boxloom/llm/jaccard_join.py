@@ -4,8 +4,9 @@
    The order is part of an n-gram's 63-bit id, so sorting ids sorts by it.
 2. Documents with equal sets form a class; from here on classes stand for their documents.
 3. Sets that reach the similarity share an n-gram among their first n - ceil(t n) + 1 ids. Classes
-   that share one are connected (a star per n-gram, never all pairs), which splits the corpus into
-   groups beyond which no link goes.
+   that share one and are of like size are connected (a star per n-gram and size band, never all
+   pairs), which splits the corpus into groups beyond which no link goes. n-grams with a word that
+   the sketch proves to be in one document only cannot be shared and are left out.
 4. A group, or for a large one every pair of blocks of it, is joined by a trie: stored sets are paths
    of ids in order; all probes descend level by level, sets with a common path share the overlap
    counted so far, and a subtree is left as soon as its remaining lengths cannot reach the bound.
@@ -26,8 +27,10 @@ from pyspark.sql import functions as F
 from boxloom.llm.common import broadcast_if_small, connected_components, staged
 from boxloom.llm.hashing import WordHash, mix64, words_of
 
-#: The sketch has 2 ** ORDER_BITS counters. It decides about speed only; larger corpora want more.
-ORDER_BITS = 18
+#: The sketch has 2 ** ORDER_BITS counters (bytes when broadcast). It decides about speed only: with
+#: about as many counters as distinct words, n-grams that one document has come before all others,
+#: and passages that many documents share do not connect them.
+ORDER_BITS = 22
 #: Groups of more classes than this are dealt out in blocks of about half as many.
 UNIT = 256
 BITMAP_BITS = 32768
@@ -69,18 +72,40 @@ def word_levels(docs: DataFrame, bits: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pd.DataFrame({"slot": at, "n": total[at]})
 
-    rows = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()
-    levels = np.zeros(1 << bits, dtype=np.uint8)
-    levels[rows["slot"].to_numpy(dtype=np.int64)] = np.minimum(31, np.log2(np.maximum(1, rows["n"].to_numpy(dtype=np.float64))))
-    return levels
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        chunks: dict[int, np.ndarray] = {}
+        for batch in batches:
+            level = np.minimum(31, np.log2(np.maximum(1, batch["n"].to_numpy(dtype=np.float64)))).astype(np.uint8)
+            slot = batch["slot"].to_numpy(dtype=np.int64)
+            for chunk in np.unique(slot // size):
+                own = slot // size == chunk
+                chunks.setdefault(int(chunk), np.zeros(size, dtype=np.uint8))[slot[own] % size] = level[own]
+        if chunks:
+            yield pd.DataFrame({"chunk": list(chunks), "levels": [c.tobytes() for c in chunks.values()]})
+
+    size = 1 << max(0, bits - 6)
+    sums = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    packed = sums.repartition(16, F.floor(F.col("slot") / size)).mapInPandas(pack, "chunk int, levels binary").collect()
+    levels = np.zeros((-(-(1 << bits) // size), size), dtype=np.uint8)
+    for r in packed:
+        levels[r["chunk"]] = np.frombuffer(bytes(r["levels"]), dtype=np.uint8)
+    return levels.ravel()
+
+
+def shared_part(ids: np.ndarray) -> np.ndarray:
+    """Without level 0: such an n-gram has a word that one document alone has, so no other set has it."""
+    return ids[np.searchsorted(ids, 1 << 58) :]
 
 
 def set_key(ids: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(ids.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def trie_links(unit: np.ndarray, side: np.ndarray, sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """Index pairs of linked sets, one of each pair a probe (side 0 or 2), one stored (1 or 2), of equal unit."""
+def trie_links(unit: np.ndarray, side: np.ndarray, sets: list[np.ndarray], n: np.ndarray, percent: int) -> np.ndarray:
+    """Index pairs of linked sets, one of each pair a probe (side 0 or 2), one stored (1 or 2), of equal unit.
+
+    sets may lack ids that no other set has; n are their sizes with those.
+    """
     if not sets:
         return np.empty((0, 2), dtype=np.int64)
     length = np.array([len(s) for s in sets], dtype=np.int64)
@@ -102,8 +127,9 @@ def trie_links(unit: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
             break
         step, node = np.unique(node * size + flat[start[row] + depth], return_inverse=True)
         parent, name = step // size, step % size
-        shortest, longest = np.full(len(step), 1 << 60), np.zeros(len(step), dtype=np.int64)
-        np.minimum.at(shortest, node, length[row])
+        shortest, largest, longest = np.full(len(step), 1 << 60), np.zeros(len(step), dtype=np.int64), np.zeros(len(step), dtype=np.int64)
+        np.minimum.at(shortest, node, n[row])
+        np.maximum.at(largest, node, n[row])
         np.maximum.at(longest, node, length[row])
         lo, hi = np.searchsorted(parent, at, "left"), np.searchsorted(parent, at, "right")
         many = hi - lo
@@ -114,8 +140,8 @@ def trie_links(unit: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
         hit = key[np.minimum(where, len(key) - 1)] == want
         overlap = overlap + hit
         left = np.minimum(longest[at] - depth - 1, length[probe] - (where - start[probe]) - hit)
-        own = length[probe]
-        near = (100 * np.minimum(own, longest[at]) >= percent * own) & (100 * own >= percent * shortest[at])
+        own = n[probe]
+        near = (100 * np.minimum(own, largest[at]) >= percent * own) & (100 * own >= percent * shortest[at])
         live = near & ((100 + percent) * (overlap + left) >= percent * (own + shortest[at]))
         probe, at, overlap = probe[live], at[live], overlap[live]
         ends = np.flatnonzero(length[row] == depth + 1)
@@ -125,7 +151,7 @@ def trie_links(unit: np.ndarray, side: np.ndarray, sets: list[np.ndarray], perce
             many = hi - lo
             p, o = np.repeat(probe, many), np.repeat(overlap, many)
             r = row[ends[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)]]
-            linked = (100 * o >= percent * (length[p] + length[r] - o)) & ((side[p] != 2) | (p < r))
+            linked = (100 * o >= percent * (n[p] + n[r] - o)) & ((side[p] != 2) | (p < r))
             found.append(np.stack([p[linked], r[linked]], 1))
     return np.concatenate(found) if found else np.empty((0, 2), dtype=np.int64)
 
@@ -145,13 +171,17 @@ def spanning(pairs: np.ndarray, count: int) -> np.ndarray:
     return np.array(kept, dtype=np.int64).reshape(-1, 2)
 
 
+def band_width(percent: int) -> float:
+    return math.log(100 / percent) * 1.000001
+
+
 def deal(members: DataFrame, percent: int, unit: int) -> DataFrame:
     """members (sid, root, n) -> (sid, unit, side): whole groups, or pairs of blocks of large ones.
 
     Sizes of linked sets lie within one band of width 1 / t of each other, so a block meets the
     blocks of its own and the two neighbouring bands.
     """
-    width = math.log(100 / percent) * 1.000001
+    width = band_width(percent)
     sizes = members.groupBy("root").agg(F.count(F.lit(1)).alias("many"))
     sized = members.join(sizes, "root")
     small = sized.filter(F.col("many") <= unit).select("sid", F.xxhash64("root").alias("unit"), F.lit(2).alias("side"))
@@ -199,7 +229,7 @@ def similarity_classes(
             for text in batch["text"]:
                 ids = ngram_ids(word_hashes(text), ngram, shared.value)
                 n = len(ids)
-                out.append((n, set_key(ids) if n else None, ids[: n - -(-percent * n // 100) + 1] if n else ids))
+                out.append((n, set_key(ids) if n else None, shared_part(ids[: n - -(-percent * n // 100) + 1] if n else ids)))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].array, "n": [o[0] for o in out],
                 "sid": pd.array([o[1] for o in out], dtype="Int64"), "prefix": [o[2] for o in out],
@@ -211,9 +241,14 @@ def similarity_classes(
         described.filter("n > 0").groupBy("sid")
         .agg(F.min("doc_id").alias("first_id"), F.max("n").alias("n"), F.first("prefix").alias("prefix"))
     )
-    heads = classes.select("sid", F.explode("prefix").alias("gram"))
-    stars = heads.groupBy("gram").agg(F.min("sid").alias("lead"), F.count(F.lit(1)).alias("many")).filter("many > 1")
-    near = heads.join(stars, "gram").filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
+    # linked sets lie in one size band or two neighbouring ones, so a star joins no others
+    band = F.floor(F.log("n") / band_width(percent))
+    heads = classes.select("sid", band.alias("low"), F.explode("prefix").alias("gram"))
+    many = heads.groupBy("gram").agg(F.count(F.lit(1)).alias("many")).filter("many > 1").select("gram")
+    heads = heads.join(many, "gram")
+    heads = staged(heads.unionByName(heads.withColumn("low", F.col("low") - 1)))
+    stars = heads.groupBy("gram", "low").agg(F.min("sid").alias("lead"))
+    near = heads.join(stars, ["gram", "low"]).filter("sid <> lead").select(F.col("sid").alias("a"), F.col("lead").alias("b"))
     groups = connected_components(near).select(F.col("node").alias("sid"), "root")
     members = staged(groups.join(classes.select("sid", "first_id", "n"), "sid"))
     units = deal(members.select("sid", "root", "n"), percent, unit)
@@ -236,9 +271,11 @@ def similarity_classes(
             on = (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) | ids.isna().to_numpy()
             sets = [ngram_ids(word_hashes(t), ngram, shared.value) for t in batch["text"][on]]
             sets = [s for s in sets if len(s)]
-            yield pd.DataFrame({"sid": pd.array([set_key(s) for s in sets], dtype="Int64"), "ids": sets})
+            yield pd.DataFrame({
+                "sid": pd.array([set_key(s) for s in sets], dtype="Int64"), "n": [len(s) for s in sets], "ids": [shared_part(s) for s in sets],
+            })
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "sid long, ids array<long>")
+    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "sid long, n long, ids array<long>")
     units = staged(units)
     bins = max(1, units.count() // (2 * unit))
     placed = sets.join(units, "sid").withColumn("bin", F.pmod("unit", F.lit(bins)))
@@ -246,7 +283,7 @@ def similarity_classes(
     def join_bin(batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.drop_duplicates(["sid", "unit"])  # rows that repeat a document
         ids = [np.asarray(s) for s in batch["ids"]]
-        pairs = spanning(trie_links(batch["unit"].to_numpy(), batch["side"].to_numpy(), ids, percent), len(ids))
+        pairs = spanning(trie_links(batch["unit"].to_numpy(), batch["side"].to_numpy(), ids, batch["n"].to_numpy(), percent), len(ids))
         sid = batch["sid"].to_numpy()
         return pd.DataFrame({"a": sid[pairs[:, 0]], "b": sid[pairs[:, 1]]})
 

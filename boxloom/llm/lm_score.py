@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class). The first factor is a softmax over
 CLASSES classes with hashed features of the history: the word before, the word before that alone (a
-skip feature), both together, and the classes of both. The second is the maximum-entropy
+skip feature), and the classes of both together. The second is the maximum-entropy
 distribution with word features only, smoothed counts within the class. Words belong to classes by a
 hash of their ending, so unseen words have one too. Training is one epoch of distributed gradient
 updates: every task runs AdaGrad on its documents from the same start, and parameters are averaged,
@@ -90,7 +90,7 @@ def _features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.nda
     c2 = np.where(place >= 2, np.roll(cls, 2), CLASSES).astype(np.uint64)
     mask = np.uint64((1 << FEATURE_BITS) - 1)
     cut = lambda x, salt: (mix64(x + np.uint64(salt)) & mask).astype(np.int64) + 1
-    return cut(one, 1), cut(two, 2), cut(one * np.uint64(31) + mix64(two), 3), cut(c1 * np.uint64(32) + c2, 4)
+    return cut(one, 1), cut(two, 2), cut(c1 * np.uint64(32) + c2, 3)
 
 
 def _batches(texts: Iterator[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -131,7 +131,11 @@ def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls:
         g = np.exp(_logits(theta, part))
         g /= g.sum(1, keepdims=True)
         g[np.arange(len(g)), cls[a : a + 4096]] -= 1
-        for f in (np.zeros(len(g), dtype=np.int64), *part):
+        bias = g.sum(0) / np.sqrt(len(g))
+        past[0] += bias * bias
+        theta[0] -= rate * bias / np.sqrt(past[0] + 1e-3)
+        used[0] += len(g)
+        for f in part:
             order = np.argsort(f, kind="stable")
             at, begin = np.unique(f[order], return_index=True)
             many = np.diff(np.append(begin, len(f)))
