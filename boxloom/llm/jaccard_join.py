@@ -232,7 +232,7 @@ def similarity_classes(
                 out.append((n, set_key(ids) if n else None, shared_part(ids[: n - -(-percent * n // 100) + 1] if n else ids)))
             yield pd.DataFrame({
                 "doc_id": batch["doc_id"].array, "n": [o[0] for o in out],
-                "sid": pd.array([o[1] for o in out], dtype="Int64"), "prefix": [o[2] for o in out],
+                "sid": pd.array([o[1] for o in out], dtype="Int64"), "prefix": pd.Series([o[2] for o in out], dtype=object),
             })
 
     schema = "doc_id long, n long, sid long, prefix array<long>"
@@ -272,7 +272,7 @@ def similarity_classes(
             sets = [ngram_ids(word_hashes(t), ngram, shared.value) for t in batch["text"][on]]
             sets = [s for s in sets if len(s)]
             yield pd.DataFrame({
-                "sid": pd.array([set_key(s) for s in sets], dtype="Int64"), "n": [len(s) for s in sets], "ids": [shared_part(s) for s in sets],
+                "sid": pd.array([set_key(s) for s in sets], dtype="Int64"), "n": [len(s) for s in sets], "ids": pd.Series([shared_part(s) for s in sets], dtype=object),
             })
 
     sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "sid long, n long, ids array<long>")

@@ -125,12 +125,13 @@ def _logits(theta: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
 
 
 def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls: np.ndarray, rate: float) -> None:
-    """AdaGrad on pieces of 4096 tokens; every row moves by the mean gradient of the tokens that have it."""
-    for a in range(0, len(cls), 4096):
-        part = tuple(f[a : a + 4096] for f in feats)
+    """AdaGrad on small pieces at first and larger ones later; a row moves by the gradient of the tokens that have it."""
+    piece = 256 if used[0] < 50_000 else 4096
+    for a in range(0, len(cls), piece):
+        part = tuple(f[a : a + piece] for f in feats)
         g = np.exp(_logits(theta, part))
         g /= g.sum(1, keepdims=True)
-        g[np.arange(len(g)), cls[a : a + 4096]] -= 1
+        g[np.arange(len(g)), cls[a : a + piece]] -= 1
         bias = g.sum(0) / np.sqrt(len(g))
         past[0] += bias * bias
         theta[0] -= rate * bias / np.sqrt(past[0] + 1e-3)
@@ -145,7 +146,7 @@ def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls:
             used[at] += many
 
 
-def train(docs: DataFrame, rate: float = 0.1) -> np.ndarray:
+def train(docs: DataFrame, rate: float = 0.3) -> np.ndarray:
     """theta, (2 ** FEATURE_BITS + 1) x CLASSES: what reaches the driver is one such table."""
     rows = (1 << FEATURE_BITS) + 1
     span = -(-rows // CHUNKS)

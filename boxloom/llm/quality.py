@@ -61,7 +61,7 @@ def featurise(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([at, more]), np.concatenate([value, np.fromiter(shares.values(), float, len(shares)) * 2])
 
 
-def fit(texts: list[str | None], grades: np.ndarray, epochs: int = 20, batch: int = 64, rate: float = 0.3, l1: float = 0.0003, l2: float = 1e-6, seed: int = 3) -> np.ndarray:
+def fit(texts: list[str | None], grades: np.ndarray, steps: int = 1800, batch: int = 64, rate: float = 0.3, l1: float = 0.0003, l2: float = 1e-6, seed: int = 3) -> np.ndarray:
     """Weights and thresholds as one vector (2 ** BITS + GRADES - 1), by AdaGrad on the likelihood."""
     size = 1 << BITS
     rows = [featurise(t) for t in texts]
@@ -74,7 +74,7 @@ def fit(texts: list[str | None], grades: np.ndarray, epochs: int = 20, batch: in
     rng = np.random.default_rng(seed)
     w, cut = np.zeros(size), np.array([0.0, np.log(0.5)])  # t_1, log(t_2 - t_1)
     seen, seen_cut = np.full(size, 1e-8), np.full(2, 1e-8)
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(rows) // batch))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), batch):
             part = order[a : a + batch]

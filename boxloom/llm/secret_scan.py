@@ -2,8 +2,8 @@
 
 Three fixed kinds (assign, access, hex) are found by pattern and always stay. Two first-order
 character models, one of random strings and one of ordinary identifiers, are trained on labelled
-samples: the values of the fixed kinds and strings drawn from a seeded generator are random, all
-other runs of identifier characters in the corpus are ordinary. A long run that no fixed span
+samples: the values of the fixed kinds and strings drawn from a seeded generator are random, the
+runs of identifier characters in the corpus ordinary, except the candidates yet to be judged. A long run that no fixed span
 overlaps is a secret where the log-likelihood ratio per character is high enough.
 """
 
@@ -56,8 +56,12 @@ def drawn_samples(count: int = 2000, seed: int = 5) -> bytes:
     return " ".join("".join(rng.choices(sets[k % 3], k=rng.randint(20, 64))) for k in range(count)).encode()
 
 
+def is_candidate(run: str) -> bool:
+    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+
+
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total, secret = np.zeros(N * N, dtype=np.int64), np.zeros(N * N, dtype=np.int64)
+    total, secret, open_ = (np.zeros(N * N, dtype=np.int64) for _ in range(3))
     for batch in batches:
         for text in batch["text"]:
             if text:
@@ -65,8 +69,18 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 values = " ".join(v for *_, v in base_spans(text))
                 if values:
                     secret += transitions(values.encode())
+                maybe = " ".join(m[0] for m in RUN.finditer(text) if is_candidate(m[0]))
+                if maybe:
+                    open_ += transitions(maybe.encode())
     at = np.flatnonzero(total)
-    yield pd.DataFrame({"cell": at, "n": total[at], "secret": secret[at]})
+    yield pd.DataFrame({"cell": at, "n": total[at] - open_[at], "secret": secret[at]})
+
+
+def log_model(counts: np.ndarray) -> np.ndarray:
+    """Log-probabilities of transitions; what a state has not shown is drawn from the character frequencies."""
+    c = counts.reshape(N, N).astype(float)
+    share = (c.sum(0) + 0.5) / (c.sum() + 0.5 * N)
+    return np.log((c + 5 * share) / (c.sum(1, keepdims=True) + 5))
 
 
 def train(docs: DataFrame) -> np.ndarray:
@@ -78,10 +92,9 @@ def train(docs: DataFrame) -> np.ndarray:
     rows = rows.groupBy("cell").agg(F.sum("n").alias("n"), F.sum("secret").alias("secret")).collect()
     ordinary, rand = np.zeros(N * N), transitions(drawn_samples()).astype(float)
     for r in rows:
-        ordinary[r["cell"]] += max(0, r["n"] - r["secret"])
+        ordinary[r["cell"]] += max(0, r["n"])
         rand[r["cell"]] += r["secret"]
-    norm = lambda c: np.log((c.reshape(N, N) + 0.5) / (c.reshape(N, N) + 0.5).sum(1, keepdims=True))
-    return norm(rand) - norm(ordinary)
+    return log_model(rand) - log_model(ordinary)
 
 
 def ratio(run: str, model: np.ndarray) -> float:
@@ -95,8 +108,7 @@ def scan(text: str, model: np.ndarray, least: float) -> tuple[list, list]:
     more = []
     for m in RUN.finditer(text):
         run = m[0]
-        mixed = any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
-        if mixed and not any(b[0] < m.end() and m.start() < b[2] for b in base) and ratio(run, model) >= least:
+        if is_candidate(run) and not any(b[0] < m.end() and m.start() < b[2] for b in base) and ratio(run, model) >= least:
             more.append((m.start(), m.end()))
     return base, more
 
