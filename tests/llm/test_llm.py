@@ -264,7 +264,7 @@ def test_pii_learns_spans(spark):
 
 def test_secrets(spark):
     rng = random.Random(2)
-    prose = " ".join(rng.choices(["international", "responsibility", "configuration_manager", "the", "snake_case_identifier2024_value"], k=3000))
+    prose = " ".join(rng.choices(["international", "responsibility", "configuration_manager", "the", "snake_case", "identifier_value", "snake_case_identifier2024_value"], k=3000))
     key_ = "x9Kq7ZtR2vLmP4sWfB8nYdHc3J"
     rows = [*enumerate(TEXTS), (50, prose), (51, f"some words {key_} and on")]
     got = {r["doc_id"]: r for r in secret_scan.find_secrets(documents(spark, rows)).collect()}
