@@ -16,6 +16,9 @@ from boxloom.llm.common import staged
 
 #: Bits of one bitmap of Spark's bitmap functions.
 BITMAP_BITS = 32768
+#: A group that holds more than one part in HEAVY of all copies is joined by broadcast: its documents
+#: would meet in one task otherwise, and there are fewer than HEAVY such groups at any size.
+HEAVY = 2000
 
 
 def sha256_digest(text: Column) -> Column:
@@ -107,8 +110,14 @@ def exact_groups(
     index = groups.join(shared, "digest", "left").filter("n > 1").select(
         F.col("digest").alias("d"), "keep_id", "n", F.when(F.col("shared"), F.col("text")).alias("only")
     )
+    index = staged(index)
+    # groups of more than 1 / HEAVY of all copies: fewer than HEAVY rows, which no text accompanies
+    copies = run.agg(F.sum("n")).first()[0] or 0
+    heavy = F.broadcast(index.filter((F.col("n") > copies / HEAVY) & F.col("only").isNull()).select("d", "keep_id", "n"))
     marked = filter_hits(full, filters, buckets)
     hit = marked.filter("hit")
+    many = hit.join(heavy, hit.digest == heavy.d).select("doc_id", "text", "keep_id", F.col("n").alias("group_size"), *extra)
+    hit = hit.join(heavy, hit.digest == heavy.d, "left_anti")
     found = (
         hit.join(index, (hit.digest == index.d) & (index.only.isNull() | (index.only == hit.text)), "left")
         .select("doc_id", "text", F.when(F.col("d").isNotNull(), F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
@@ -117,7 +126,7 @@ def exact_groups(
     alone = marked.filter("not hit").select(
         "doc_id", "text", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), *extra
     )
-    return found.unionByName(alone).select(
+    return found.unionByName(many).unionByName(alone).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.sha2("text", 256).alias("text_sha256"), *extra,
     )
