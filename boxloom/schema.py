@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Fixed values of the manifest format.
-SCHEMA_VERSION = "vh_loop.data_schema.v2"
 LABEL_NAME_PATTERN = "^[A-Za-z0-9_.:-]+$"
 SOURCE_TYPES = ("human", "ai", "ai_human_reviewed", "synthetic", "imported", "web_scrap")
 QUALITIES = ("raw", "weak", "auto", "reviewed", "good", "gold")
