@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boxloom.llm.common import staged
-from boxloom.llm.hashing import WordHash, mix64, words_of
+from boxloom.llm.hashing import mix64, words_of
 
 CLASSES = 16
 FEATURE_BITS = 15
@@ -31,19 +32,31 @@ FEATURE_BITS = 15
 FREQUENT = 200_000
 CHUNKS = 64
 BATCH_TOKENS = 16_384
-END = ""
-_HASH = WordHash()
+#: A softmax whose logits stay within this bound needs no shift by its largest.
+SAFE_LOGIT = 60.0
 
 
-class _ClassOf(dict):
+class _Classes(dict):
+    """The last two bytes of a word -> its class; there are under 66,000 of them."""
+
+    def __missing__(self, end: bytes) -> int:
+        value = self[end] = xxhash.xxh3_64_intdigest(end) % CLASSES
+        return value
+
+
+class _Codes(dict):
+    """word (bytes) -> 59 bits of its hash and, as the lowest 4, its class; remembers the first ``most`` words."""
+
+    most = 150_000
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 400_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word[-2:]) % CLASSES
+        value = xxhash.xxh3_64_intdigest(word) >> 5 << 4 | _CLASSES[word[-2:]]
+        if len(self) < self.most:
+            self[word] = value
         return value
 
 
-_CLASS = _ClassOf()
+_CLASSES, _CODES = _Classes(), _Codes()
 
 
 def held_out(docs: DataFrame) -> DataFrame:
@@ -57,17 +70,17 @@ def tokens_of(text: str | None) -> list[bytes]:
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c, class) of the training documents; END is the empty word."""
+    """(word, c, class) of the training documents; the end is the empty word."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(part: Counter) -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode() for w in part], "c": list(part.values()), "class": [_CLASS[w] for w in part]})
+            return pd.DataFrame({"word": [w.decode() for w in part], "c": list(part.values()), "class": [_CLASSES[w[-2:]] for w in part]})
 
         part: Counter = Counter()
         for batch in batches:
             for text in batch["text"]:
                 part.update(tokens_of(text))
-                if len(part) > 300_000:
+                if len(part) > 200_000:
                     yield out(part)
                     part = Counter()
         yield out(part)
@@ -108,29 +121,43 @@ def _batches(texts: Iterator[str | None]) -> Iterator[tuple[list[int], list[byte
 
 
 def _arrays(sizes: list[int], words: list[bytes]):
-    h = np.fromiter((_HASH[w] for w in words), dtype=np.uint64, count=len(words))
-    cls = np.fromiter((_CLASS[w] for w in words), dtype=np.int64, count=len(words))
+    code = np.fromiter(map(_CODES.__getitem__, words), dtype=np.int64, count=len(words))
+    h, cls = code.astype(np.uint64), code & (CLASSES - 1)
     size = np.array(sizes)
     first = np.repeat(np.cumsum(size) - size, size)
     return h, cls, _features(h, cls, first)
 
 
 def _logits(theta: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Up to a shift of each row; of a size that exp() can take."""
     z = theta[feats[0]]
     for f in feats[1:]:
-        z = z + theta[f]
+        z += theta[f]
     z += theta[0]
-    z -= z.max(1, keepdims=True)
+    if np.abs(z).max(initial=0) > SAFE_LOGIT:
+        z -= z.max(1, keepdims=True)
     return z
 
 
+def _sums(e: np.ndarray) -> np.ndarray:
+    return e @ np.ones(CLASSES, dtype=e.dtype)
+
+
+def class_logp(theta: np.ndarray, feats: tuple[np.ndarray, ...], cls: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the first factor."""
+    z = _logits(theta, feats)
+    own = z[np.arange(len(cls)), cls]
+    return own - np.log(_sums(np.exp(z, out=z)))
+
+
 def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls: np.ndarray, rate: float) -> None:
     """AdaGrad on small pieces at first and larger ones later; a row moves by the gradient of the tokens that have it."""
     piece = 256 if used[0] < 50_000 else 4096
     for a in range(0, len(cls), piece):
         part = tuple(f[a : a + piece] for f in feats)
-        g = np.exp(_logits(theta, part))
-        g /= g.sum(1, keepdims=True)
+        g = _logits(theta, part)
+        np.exp(g, out=g)
+        g /= _sums(g)[:, None]
         g[np.arange(len(g)), cls[a : a + piece]] -= 1
         bias = g.sum(0) / np.sqrt(len(g))
         past[0] += bias * bias
@@ -208,9 +235,8 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
             out = []
             for sizes, words in _batches(iter(batch["text"])):
                 _, cls, feats = _arrays(sizes, words)
-                z = _logits(theta, feats)
-                logp = (z[np.arange(len(cls)), cls] - np.log(np.exp(z).sum(1))) / np.log(10) - norm[cls]
-                c = np.fromiter((table.get(w, 0) for w in words), dtype=np.int64, count=len(words))
+                logp = class_logp(theta, feats, cls) / np.log(10) - norm[cls]
+                c = np.fromiter(map(table.get, words, repeat(0)), dtype=np.int64, count=len(words))
                 begin = np.cumsum(sizes) - sizes
                 sums = [np.add.reduceat(x, begin) for x in (logp, np.where(c > 0, np.log10(c + 0.1), 0), c > 0)]
                 rest = np.flatnonzero(c == 0)
