@@ -164,9 +164,10 @@ def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls:
         theta[0] -= rate * bias / np.sqrt(past[0] + 1e-3)
         used[0] += len(g)
         for f in part:
-            order = np.argsort(f, kind="stable")
-            at, begin = np.unique(f[order], return_index=True)
-            many = np.diff(np.append(begin, len(f)))
+            order = np.argsort(f.astype(np.uint16), kind="stable")  # a radix sort; feature numbers have 16 bits
+            in_order = f[order]
+            begin = np.flatnonzero(np.diff(in_order, prepend=-1))
+            at, many = in_order[begin], np.diff(begin, append=len(f))
             mean = np.add.reduceat(g[order], begin, axis=0) / np.sqrt(many)[:, None]
             past[at] += mean * mean
             theta[at] -= rate * mean / np.sqrt(past[at] + 1e-3)
