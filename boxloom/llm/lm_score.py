@@ -74,7 +74,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def out(part: Counter) -> pd.DataFrame:
-            return pd.DataFrame({"word": [w.decode() for w in part], "c": list(part.values()), "class": [_CLASSES[w[-2:]] for w in part]})
+            return pd.DataFrame({"word": pd.Series([w.decode() for w in part], dtype=object), "c": list(part.values()), "class": [_CLASSES[w[-2:]] for w in part]})
 
         part: Counter = Counter()
         for batch in batches:
