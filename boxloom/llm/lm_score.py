@@ -2,7 +2,7 @@
 
 P(word | history) = P(class | history) * P(word | class). The first factor is a softmax over
 CLASSES classes with hashed features of the history: the word before, the word before that alone (a
-skip feature), and the classes of both together. The second is the maximum-entropy
+skip feature), both together, and the classes of both. The second is the maximum-entropy
 distribution with word features only, smoothed counts within the class. Words belong to classes by a
 hash of their ending, so unseen words have one too. Training is one epoch of distributed gradient
 updates: every task runs AdaGrad on its documents from the same start, and parameters are averaged,
@@ -103,7 +103,7 @@ def _features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.nda
     c2 = np.where(place >= 2, np.roll(cls, 2), CLASSES).astype(np.uint64)
     mask = np.uint64((1 << FEATURE_BITS) - 1)
     cut = lambda x, salt: (mix64(x + np.uint64(salt)) & mask).astype(np.int64) + 1
-    return cut(one, 1), cut(two, 2), cut(c1 * np.uint64(32) + c2, 3)
+    return cut(one, 1), cut(two, 2), cut(one * np.uint64(31) + mix64(two), 3), cut(c1 * np.uint64(32) + c2, 4)
 
 
 def _batches(texts: Iterator[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
@@ -130,11 +130,11 @@ def _arrays(sizes: list[int], words: list[bytes]):
 
 def _logits(theta: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
     """Up to a shift of each row; of a size that exp() can take."""
-    z = theta[feats[0]]
+    z = theta.take(feats[0], axis=0)
     for f in feats[1:]:
-        z += theta[f]
+        z += theta.take(f, axis=0)
     z += theta[0]
-    if np.abs(z).max(initial=0) > SAFE_LOGIT:
+    if max(z.max(initial=0), -z.min(initial=0)) > SAFE_LOGIT:
         z -= z.max(1, keepdims=True)
     return z
 
@@ -168,9 +168,15 @@ def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls:
             in_order = f[order]
             begin = np.flatnonzero(np.diff(in_order, prepend=-1))
             at, many = in_order[begin], np.diff(begin, append=len(f))
-            mean = np.add.reduceat(g[order], begin, axis=0) / np.sqrt(many)[:, None]
-            past[at] += mean * mean
-            theta[at] -= rate * mean / np.sqrt(past[at] + 1e-3)
+            mean = np.add.reduceat(g.take(order, axis=0), begin, axis=0)
+            mean /= np.sqrt(many)[:, None]
+            seen = past.take(at, axis=0)
+            seen += mean * mean
+            past[at] = seen
+            seen += 1e-3
+            mean *= rate
+            mean /= np.sqrt(seen, out=seen)
+            theta[at] -= mean
             used[at] += many
 
 

@@ -371,3 +371,22 @@ def test_lm_learns_context(spark):
     rows = [(k, " ".join(f"{a}{rng.choice('pqrs')}{a}" for a in rng.choice(["abcabc", "xyzxyz"]) * 10)) for k in range(400)]
     got = [r for r in lm_score.score(documents(spark, rows)).collect() if r["held_out"]]
     assert len(got) > 20 and sum(r["score"] > r["base_score"] for r in got) > 0.9 * len(got)
+
+
+def test_lm_learns_two_words_together():
+    """The third word of each triple is told by the two before together, by neither alone, nor by their classes."""
+    import numpy as np
+
+    rng = random.Random(4)
+
+    def arrays(count):
+        pairs = [(rng.choice("pq"), rng.choice("pq")) for _ in range(count)]
+        words = [w.encode() for a, b in pairs for w in (a + "word", b + "word", "yes" if a == b else "no")]
+        return lm_score._arrays([len(words)], words)
+
+    rows = (1 << lm_score.FEATURE_BITS) + 1
+    theta, past = (np.zeros((rows, lm_score.CLASSES), dtype=np.float32) for _ in range(2))
+    _, cls, feats = arrays(3000)
+    lm_score._descend(theta, past, np.zeros(rows), feats, cls, 0.3)
+    _, cls, feats = arrays(300)
+    assert cls[2::3].min() != cls[2::3].max() and np.exp(lm_score.class_logp(theta, feats, cls)[2::3]).mean() > 0.9
