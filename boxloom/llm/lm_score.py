@@ -8,6 +8,9 @@ hash of their ending, so unseen words have one too. Training is one epoch of dis
 updates: every task runs AdaGrad on its documents from the same start, and parameters are averaged,
 weighted by how often each was updated. Exact counts of frequent words are broadcast (a bounded
 number); all other words of the texts get theirs by a join.
+
+Short of the method: CLASSES and FEATURE_BITS do not grow with the input, and histories act on the
+class alone. The README has figures.
 """
 
 from __future__ import annotations
