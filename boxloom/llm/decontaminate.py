@@ -1,8 +1,8 @@
 """Benchmark decontamination by templates (DataFrame operations only).
 
 Numbers, names and units become typed slots that keep their value; what is hashed is the template.
-Items give a window at every word, documents one at every WINDOW-th word, so a shared run of
-2 * WINDOW - 1 words holds a common window wherever it starts, at a fraction of the rows. Windows are
+Items and documents give a window of WINDOW words at every word, so alignment does not matter; the items' side
+is the small one and is broadcast. Windows are
 joined by hash; hits of one document and item at one offset belong together, and their slots must
 map the item's values to the document's consistently: the same question with other parameters.
 """
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from boxloom.llm.common import BLANKS, broadcast_if_small, staged
 
 WINDOW = 5
-#: Windows that must agree at one offset: 3 * WINDOW - 1 shared words always hold two.
+#: Windows, none overlapping another, that must agree at one offset; of an item too short for so many, all must.
 LEAST_HITS = 2
 MAX_BROADCAST = 500_000
 #: Private characters that open a slot: name, number, unit.
@@ -52,18 +52,25 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
 
 
 def document_windows(docs: DataFrame, size: int) -> DataFrame:
-    pieces = F.regexp_extract_all(templated(F.col("text")), F.lit(f"[^ ]+(?: [^ ]+){{{size - 1}}}"), F.lit(0))
+    pieces = F.regexp_extract_all(templated(F.col("text")), F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"), F.lit(1))
     rows = docs.filter("text is not null").select("doc_id", F.posexplode(pieces).alias("no", "window"))
     return rows.withColumn("template", without_values(F.col("window"))).select(
-        "doc_id", (F.col("no") * size).alias("doc_at"), "window", F.col("template").alias("doc_template"), F.xxhash64("template").alias("h")
+        "doc_id", F.col("no").alias("doc_at"), "window", F.col("template").alias("doc_template"), F.xxhash64("template").alias("h")
     )
 
 
+def _apart(places: Column, size: int) -> Column:
+    """How many of the windows that begin at these places fit side by side."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(-size).alias("last"))
+    take = lambda a, x: F.when(x >= a["last"] + size, F.struct((a["n"] + 1).alias("n"), x.alias("last"))).otherwise(a)
+    return F.aggregate(F.array_sort(places), start, take, lambda a: a["n"])
+
+
 def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, least_hits: int = LEAST_HITS) -> DataFrame:
     """One row per document and benchmark item it holds: doc_id, item_id, n_windows, n_slots, changed_slots, kind.
 
-    Found for certain: every run of 3 * size - 1 words of an item (2 * size - 1 give one window),
-    whatever its case, punctuation and the values of its slots. A pair is dropped when a value of the
+    Found for certain: every run of least_hits * size words of an item, and every whole item from ``size``
+    words on, wherever it stands, whatever its case, punctuation and the values of its slots. A pair is dropped when a value of the
     item stands for two values in the document at the best offset. kind: "verbatim" or
     "reparameterised". Null texts hold nothing; items of fewer than ``size`` words, null texts among
     them, are in no document. Items with equal text are all reported. Rows that repeat a doc_id,
@@ -77,8 +84,10 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
         F.when(F.col("window").rlike("[\ue001-\ue003]"), pairs).alias("pairs"),
     )
     aligned = hits.groupBy("doc_id", "item_id", "offset").agg(
-        F.count_distinct("at").alias("n_windows"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    ).filter(F.col("n_windows") >= least_hits)
+        F.collect_set("at").alias("places"), F.first("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
+    ).withColumn("n_windows", F.size("places").cast("long"))
+    whole = F.col("n_windows") == F.col("n_words") - size + 1
+    aligned = aligned.filter((_apart(F.col("places"), size) >= least_hits) | (whole & (F.col("n_words") < least_hits * size)))
     aligned = aligned.withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
     consistent = aligned.filter(F.col("values") == F.size("pairs"))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))

@@ -195,6 +195,18 @@ def test_decontaminate_every_offset(spark):
     assert got == {(i, i // 100) for i, _ in texts}
 
 
+def test_decontaminate_short_items_and_runs(spark):
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choices("bcdfghjklm", k=7))
+    items = [(n, " ".join(word() for _ in range(n))) for n in (5, 6, 7, 9, 10, 12, 13, 30)]
+    cut = {n: t if n < 30 else " ".join(t.split()[8:18]) for n, t in items}
+    texts = [(100 * n + s, " ".join(["pre"] * s + [t] + ["post"] * 3)) for n, t in cut.items() for s in range(5)]
+    parts = [(10_000 + n, "pre " + t.rsplit(" ", 1)[0] + " post") for n, t in cut.items() if 5 < n <= 10 or n == 30]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contaminated(documents(spark, texts + parts), bench).collect()}
+    assert got == {(i, i // 100) for i, _ in texts}
+
+
 def test_url_rules(spark):
     urls = ["https://x.com/a", "http://www.EXAMPLE.com/en/1?q#f", "http://b.www.example.com/en/", "http://example.com/en/x", "http://a.net/es/1", "http://a.net/fr/1", "http://a.net/de/1", "no scheme", None, "", "http://xcom/", "ftp://net/es/?/"]
     rows = [(k, u) for k, u in enumerate(urls)] * 2
