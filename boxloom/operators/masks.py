@@ -118,6 +118,18 @@ def decode_brush(data: list[int], width: int, height: int) -> np.ndarray:
     return out.reshape(height, width, 4)[:, :, 3] > 0
 
 
+@F.pandas_udf(T.ArrayType(_LONG))
+def region_runs(rle: pd.Series, points: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
+    """Runs of a brush, else of a percent polygon; null where there is neither."""
+    out = []
+    for r, p, w, h in zip(rle, points, width, height):
+        if r is not None:
+            out.append(runs_of(decode_brush(list(r), int(w), int(h))))
+        else:
+            out.append(None if p is None else runs_of(polygon_mask([tuple(q) for q in p], int(w), int(h))))
+    return pd.Series(out, dtype=object)
+
+
 def encode_brush(mask: np.ndarray) -> list[int]:
     """A mask as opaque pixels in the same packing, all blocks runs."""
     pixels = np.repeat(np.asarray(mask, dtype=np.uint8).ravel() * 255, 4)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
 from boxloom.functions.text import basename, sequential_id, task_image_url
+from boxloom.operators import masks as M
 
 #: Order in which a result's label and shape are looked for (fixed values).
 LABEL_KEYS = ("brushlabels", "polygonlabels", "rectanglelabels", "labels", "keypointlabels")
@@ -62,10 +63,12 @@ def region_shape(v: Column) -> Column:
 
 
 def reviewed_instances(results: DataFrame) -> DataFrame:
-    """results (line_no, pos, r: region) of first annotations -> one instance an id: label, box, point.
+    """results (line_no, pos, r: region) of first annotations -> one instance an id: label, shape, box, point, mask, area.
 
     Results that share an id are one instance, of which the last label and shape count; without an id
-    each is its own, inst_<k>. Instances without a label go; without a shape they keep no box.
+    each is its own, inst_<k>. Instances without a label go; without a shape they keep no box. Brushes
+    and polygons give the mask (packed counts and size), whose box, unless the mask is empty, overrides
+    the rectangle and whose centroid is the point where there is no keypoint; area is the mask's.
     """
     v = F.col("r.value")
     w, h = F.col("r.original_width"), F.col("r.original_height")
@@ -73,14 +76,19 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
     own = F.when(F.col("r.id").isNotNull(), F.concat(F.lit("ls_"), F.col("r.id"))).otherwise(sequential_id(F.row_number().over(order) - 1, "inst_", 4))
     shape = region_shape(v)
     rect = G.percent_rect(v["x"], v["y"], v["width"], v["height"], w, h)
-    along = lambda k, extent: F.transform(v["points"], lambda p: G.percent_to_pixels(F.get(p, F.lit(k)), extent))
-    poly = F.struct(*[
-        f(along(k, (w, h)[k])).cast("long").alias(n)
-        for f, k, n in ((F.array_min, 0, "x1"), (F.array_min, 1, "y1"), (F.array_max, 0, "x2"), (F.array_max, 1, "y2"))])
     point = F.when(shape == "keypoint", F.struct(G.percent_to_pixels(v["x"], w).alias("x"), G.percent_to_pixels(v["y"], h).alias("y")))
-    rows = results.select("line_no", "pos", own.alias("instance_id"), region_label(v).alias("label"), shape.alias("shape"), F.when(shape == "rect", rect).when(shape == "polygon", poly).alias("box"), point.alias("point"))
+    rows = results.select("line_no", "pos", own.alias("instance_id"), region_label(v).alias("label"), shape.alias("shape"), F.when(shape == "rect", rect).alias("box"), point.alias("point"), M.region_runs(v["rle"], v["points"], w, h).alias("runs"), h.alias("h"), w.alias("w"))
+    rows = rows.withColumn("drawn", F.when(F.col("runs").isNotNull(), F.struct("runs", "h", "w"))).drop("runs", "h", "w")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-    return rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point")).filter("label is not null")
+    one = rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point"), last("drawn")).filter("label is not null")
+    one = one.withColumn("g", M.mask_geometry("drawn.runs", "drawn.h")).withColumn("counts", M.encode_runs("drawn.runs"))
+    drawn = F.col("drawn").isNotNull()
+    box = F.when(F.col("g.x1").isNotNull(), F.struct(*[F.col(f"g.{n}").alias(n) for n in ("x1", "y1", "x2", "y2")]))
+    centre = F.when(F.col("g.cx").isNotNull(), F.struct(F.col("g.cx").alias("x"), F.col("g.cy").alias("y")))
+    mask = F.when(drawn, F.struct("counts", F.array("drawn.h", "drawn.w").alias("size")))
+    return one.select(
+        "line_no", "instance_id", "pos", "label", "shape", F.coalesce(box, "box").alias("box"), F.coalesce("point", centre).alias("point"),
+        mask.alias("mask"), F.when(drawn, F.col("g.area")).alias("area"))
 
 
 def extend_labels(labels: DataFrame, instances: DataFrame) -> DataFrame:
@@ -104,7 +112,7 @@ def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[D
     inst = reviewed_instances(results)
     table = extend_labels(labels, inst)
     named = inst.join(table.select("label_id", F.col("label_name").alias("label")), "label")
-    made = named.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "instance_id", "label_id", F.col("label").alias("label_name"), "box", "point", "shape"))).alias("reviewed"))
+    made = named.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "instance_id", "label_id", F.col("label").alias("label_name"), "box", "point", "shape", "mask", "area"))).alias("reviewed"))
     done = samples.join(chosen.select("line_no", "task_no"), "line_no", "left").join(made, "line_no", "left")
     empty = F.array().cast(dict(made.dtypes)["reviewed"])
     return done.withColumn("reviewed", F.when(F.col("task_no").isNotNull(), F.coalesce("reviewed", empty))), table
@@ -113,7 +121,8 @@ def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[D
 def coco_tables(samples: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) with sequential ids; samples without a uri and annotations without a box go.
 
-    samples (line_no, uri, width, height, annotations: array of struct(idx, label_id, box, area)).
+    samples (line_no, uri, width, height, annotations: array of struct(label_id, box, area, and mask
+    (counts, size) where they have masks), as sync's reviewed). segmentation is the mask, null without one.
     Ids count in file order by offsets of range-partitioned counts only where the tool needs one file.
     """
     kept = samples.filter("uri is not null and uri <> ''").withColumn("image_id", F.row_number().over(Window.orderBy("line_no")))
@@ -121,9 +130,11 @@ def coco_tables(samples: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataF
     boxed = F.filter("annotations", lambda a: a["box"].isNotNull())
     each = kept.select("image_id", F.posexplode(boxed).alias("k", "a"))
     b = F.col("a.box")
+    has_mask = "mask" in samples.schema["annotations"].dataType.elementType.names
+    segmentation = F.col("a.mask") if has_mask else F.lit(None).cast("struct<counts:string,size:array<int>>")
     w, h = (b["x2"] - b["x1"]).cast("double"), (b["y2"] - b["y1"]).cast("double")
     annots = each.select(
-        F.row_number().over(Window.orderBy("image_id", "k")).alias("id"), "image_id", F.col("a.label_id").alias("category_id"),
+        F.row_number().over(Window.orderBy("image_id", "k")).alias("id"), "image_id", F.col("a.label_id").alias("category_id"), segmentation.alias("segmentation"),
         F.array(b["x1"].cast("double"), b["y1"].cast("double"), w, h).alias("bbox"), F.coalesce("a.area", (w * h).cast("long")).alias("area"), F.lit(0).alias("iscrowd"))
     cats = labels.select(F.col("label_id").alias("id"), F.col("label_name").alias("name"), F.lit("object").alias("supercategory"))
     return images, annots, cats

@@ -209,6 +209,33 @@ def test_sync(spark):
     assert got["b"] == [] and got["c"] is None and {r["label_name"] for r in table.collect()} == {"rotor", "new"}
 
 
+def test_sync_masks_to_coco(spark):
+    import numpy as np
+
+    mask = np.zeros((10, 20), dtype=bool)
+    mask[2:6, 3:9] = mask[7, 4] = True
+    brush = masks.encode_brush(mask)
+    region = lambda i, kind, **v: {"id": i, "original_width": 20, "original_height": 10, "value": {**v, kind: ["rotor"]}}
+    square = [[10., 20.], [50., 20.], [50., 60.], [10., 60.]]
+    result = [
+        region("m", "brushlabels", rle=brush), region("m", "rectanglelabels", x=0., y=0., width=100., height=100.), region("p", "polygonlabels", points=square),
+        region("k", "polygonlabels", points=square), region("k", "keypointlabels", x=50., y=50.), region("r", "rectanglelabels", x=0., y=0., width=50., height=50.),
+        region("e", "brushlabels", rle=masks.encode_brush(mask & False)), region("t", "polygonlabels", points=square[:2])]
+    samples = spark.createDataFrame([(1, "a", "x/a.jpg", 20, 10)], "line_no long, sample_id string, uri string, width int, height int")
+    tasks = spark.createDataFrame([(0, {"data": {"sample_id": "a", "image": "a.jpg"}, "annotations": [{"result": result}]})], f"task_no long, task {sync.TASK}")
+    done, table = sync.sync(samples, tasks, spark.createDataFrame([(4, "rotor", "d")], "label_id long, label_name string, description string"))
+    got = {a["instance_id"][3:]: a for a in done.first()["reviewed"]}
+    ys, xs = np.where(mask)
+    assert tuple(got["m"]["box"]) == (3, 2, 9, 8) and got["m"]["area"] == 25 and np.allclose(tuple(got["m"]["point"]), (xs.mean(), ys.mean()))
+    assert (masks.mask_of(masks.unpack_runs(got["m"]["mask"]["counts"]), *got["m"]["mask"]["size"]) == mask).all()
+    assert tuple(got["p"]["box"]) == (2, 2, 10, 6) and tuple(got["p"]["point"]) == (5.5, 3.5) and tuple(got["k"]["point"]) == (10, 5)
+    assert tuple(got["r"]["box"]) == (0, 0, 10, 5) and got["r"]["mask"] is None and got["r"]["area"] is None
+    assert all(got[k]["box"] is None and got[k]["point"] is None and got[k]["area"] == 0 for k in "et")
+    annots = sync.coco_tables(done.withColumnRenamed("reviewed", "annotations"), table)[1].orderBy("id").collect()
+    assert [(a["bbox"], a["area"], a["segmentation"]) for a in annots] == [
+        ([3., 2., 6., 6.], 25, got["m"]["mask"]), ([2., 2., 8., 4.], 32, got["p"]["mask"]), ([2., 2., 8., 4.], 32, got["k"]["mask"]), ([0., 0., 10., 5.], 50, None)]
+
+
 def test_text(spark):
     assert one(spark, X.relative_uri(F.lit("/a/b/c.jpg"), "/a/x/y")) == "../../b/c.jpg"
     assert one(spark, X.task_image_url(F.lit("a b/é.jpg"))) == "/data/local-files/?d=a%20b/%C3%A9.jpg"
