@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed slots that keep their value; what is hashed is the template.
 Items and documents give a window of WINDOW words at every word, so alignment does not matter; the items' side
-is the small one and is broadcast. Windows are
+is the small one and is broadcast. What counts as a name depends on case and on what stands before it, so a window
+with names is hashed a second time with them as plain words. Windows are
 joined by hash; hits of one document and item at one offset belong together, and their slots must
 map the item's values to the document's consistently: the same question with other parameters.
 """
@@ -38,6 +39,12 @@ def without_values(window: Column) -> Column:
     return F.when(window.rlike("[\ue001-\ue003]"), F.regexp_replace(window, "([\ue001-\ue003])[^ ]*", "$1")).otherwise(window)
 
 
+def _with_plain(window: str) -> Column:
+    """The window and, where it has names, its copy that takes them for plain words."""
+    w = F.col(window)
+    return F.explode(F.when(w.contains(NAME), F.array(w, F.translate(w, NAME, ""))).otherwise(F.array(w)))
+
+
 def _slots(window: str) -> Column:
     return F.regexp_extract_all(F.col(window), F.lit("[\ue001-\ue003][^ ]*"), F.lit(0))
 
@@ -48,13 +55,13 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return words.select(
         "item_id", "n_words",
         F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))).alias("at", "item_window"),
-    ).withColumn("template", without_values(F.col("item_window"))).withColumn("h", F.xxhash64("template"))
+    ).withColumn("item_window", _with_plain("item_window")).withColumn("template", without_values(F.col("item_window"))).withColumn("h", F.xxhash64("template"))
 
 
 def document_windows(docs: DataFrame, size: int) -> DataFrame:
     pieces = F.regexp_extract_all(templated(F.col("text")), F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"), F.lit(1))
     rows = docs.filter("text is not null").select("doc_id", F.posexplode(pieces).alias("no", "window"))
-    return rows.withColumn("template", without_values(F.col("window"))).select(
+    return rows.withColumn("window", _with_plain("window")).withColumn("template", without_values(F.col("window"))).select(
         "doc_id", F.col("no").alias("doc_at"), "window", F.col("template").alias("doc_template"), F.xxhash64("template").alias("h")
     )
 

@@ -207,6 +207,14 @@ def test_decontaminate_short_items_and_runs(spark):
     assert got == {(i, i // 100) for i, _ in texts}
 
 
+def test_decontaminate_names_in_any_case(spark):
+    item = "Yesterday young Peter met Paul and Mary near the old bridge while Simon watched Andrew and Judith leave town"
+    texts = [(1, item), (2, item.lower()), (3, item.upper()), (4, "and then Yesterday" + item[9:]), (5, item.replace("Paul", "Otto").replace("Simon", "Jakob")), (6, item.title())]
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_windows"], r["kind"]) for r in decontaminate.find_contaminated(documents(spark, texts), bench).collect()}
+    assert got == {k: (15, "reparameterised" if k == 5 else "verbatim") for k, _ in texts}
+
+
 def test_url_rules(spark):
     urls = ["https://x.com/a", "http://www.EXAMPLE.com/en/1?q#f", "http://b.www.example.com/en/", "http://example.com/en/x", "http://a.net/es/1", "http://a.net/fr/1", "http://a.net/de/1", "no scheme", None, "", "http://xcom/", "ftp://net/es/?/"]
     rows = [(k, u) for k, u in enumerate(urls)] * 2
