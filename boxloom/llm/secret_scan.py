@@ -24,7 +24,7 @@ KINDS = ("assign", "access", "hex")
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
-RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,200}(?![A-Za-z0-9+/_=-])")
+RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}(?![A-Za-z0-9+/_=-])")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Byte -> state; 0 is every character outside the alphabet, and so the edge of a run.
 STATE = np.zeros(256, dtype=np.int64)
@@ -57,7 +57,7 @@ def drawn_samples(count: int = 2000, seed: int = 5) -> bytes:
 
 
 def is_candidate(run: str) -> bool:
-    return any(c.isdigit() for c in run) and any(c.isalpha() for c in run)
+    return any(c.isalpha() for c in run)
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -118,8 +118,8 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame
 
     Spans are kind:start:end in code points, end exclusive, by start, then kind; the models' spans
     have kind "random" and overlap no base span. A null text counts as empty: no spans, empty
-    strings. Repeated rows are judged alike; an empty table gives no rows. A run of more than 200
-    characters is data, not a secret, unless a fixed kind fits.
+    strings. Repeated rows are judged alike; an empty table gives no rows. Every run of at least 20
+    characters with a letter is judged, however long and with or without digits.
     """
     shared = docs.sparkSession.sparkContext.broadcast(train(docs))  # N * N numbers
 

@@ -299,6 +299,17 @@ def test_secrets(spark):
     assert secret_scan.find_secrets(documents(spark, rows).limit(0)).count() == 0
 
 
+def test_secrets_long_or_without_digits():
+    rng = random.Random(8)
+    words = " ".join("".join(rng.choices(["ba", "ne", "tor", "li", "sum", "ka"], k=4)) for _ in range(5000))
+    model = secret_scan.log_model(secret_scan.transitions(secret_scan.drawn_samples()).astype(float)) - secret_scan.log_model(secret_scan.transitions(words.encode()).astype(float))
+    letters, every = secret_scan.ALPHABET[:52], secret_scan.ALPHABET[:62]
+    for run in ("".join(rng.choices(every, k=201)), "".join(rng.choices(every, k=3000)), "".join(rng.choices(letters, k=40))):
+        assert secret_scan.scan(f"see {run} there", model, secret_scan.LEAST_RATIO)[1] == [(4, 4 + len(run))]
+    plain = "".join(rng.choices(["ba", "ne", "tor", "li", "sum", "ka"], k=100))
+    assert secret_scan.scan(f"see {plain} and {plain[:30]} there", model, secret_scan.LEAST_RATIO) == ([], [])
+
+
 def test_secret_model_held_out():
     rng = random.Random(9)
     counts = secret_scan.transitions(" ".join(rng.choices(["responsibility", "configuration", "interface", "manager", "snake_case"], k=5000)).encode())
