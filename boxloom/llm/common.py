@@ -1,16 +1,20 @@
-"""Shared pieces: table access, shared-folder staging, size-checked broadcast, components."""
+"""Shared pieces: table access, shared-folder staging, size-checked broadcast, id filters, components."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.
 WORD = "[^\\x20\\x09-\\x0D]+"
 BLANKS = "[\\x20\\x09-\\x0D]+"
+#: Bits of one bitmap of Spark's bitmap functions, and the most bits of a filter (16 MB).
+BITMAP_BITS = 32768
+MAX_FILTER_BITS = 1 << 27
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,12 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a private one where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir; a private one only where that is unset on a local master (tests)."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="shared-"))
     return sc.getCheckpointDir()
 
@@ -36,7 +42,22 @@ def staged(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back._staged_path = path
+    return back
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the folders of tables from ``staged`` that nothing reads any more.
+
+    The collection lets Spark's cleaner delete the shuffle files of plans that are done with, too.
+    """
+    for df in tables:
+        jvm = df.sparkSession.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    if tables:
+        jvm.System.gc()
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
@@ -44,6 +65,24 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def id_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
+    """Bytes of a bitmap over the non-null ids, about eight bits an id up to MAX_FILTER_BITS; see may_hold."""
+    buckets = max(1, min(MAX_FILTER_BITS, 8 * count) // BITMAP_BITS + 1)
+    slot = F.pmod(F.col(column), F.lit(buckets * BITMAP_BITS))
+    maps = ids.filter(F.col(column).isNotNull()).groupBy(F.floor(slot / BITMAP_BITS).alias("bucket")).agg(
+        F.bitmap_construct_agg(slot % BITMAP_BITS).alias("bits")).collect()
+    out = np.zeros((buckets, BITMAP_BITS // 8), dtype=np.uint8)
+    for r in maps:
+        out[r["bucket"]] = np.frombuffer(bytes(r["bits"]), dtype=np.uint8)
+    return out.ravel()
+
+
+def may_hold(bits: np.ndarray, ids) -> np.ndarray:
+    """For a pandas column of ids: false proves that an id was not given to id_filter; null always may be."""
+    at = ids.fillna(0).to_numpy(dtype=np.int64) % (len(bits) * 8)
+    return (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) | ids.isna().to_numpy()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges -> (node, root) for every node of an edge; root is equal within a component.
 
@@ -65,15 +104,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = move.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-        edges = staged(
+        past, edges = edges, staged(
             edges.join(to_a, "a").join(to_b, "b")
             .select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b"))
             .filter("a <> b").distinct()
         )
+        discard(past)
     if not moves:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = moves[-1]
-    for move in reversed(moves[:-1]):
+    found = moves.pop()
+    for move in reversed(moves):
         later = found.select(F.col("node").alias("root"), F.col("root").alias("later"))
-        found = staged(move.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")))
+        past, found = found, staged(move.join(later, "root", "left").select("node", F.coalesce("later", "root").alias("root")))
+        discard(past, move)
     return found
