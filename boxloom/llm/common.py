@@ -48,16 +48,11 @@ def staged(df: DataFrame) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes the folders of tables from ``staged`` that nothing reads any more.
-
-    The collection lets Spark's cleaner delete the shuffle files of plans that are done with, too.
-    """
+    """Deletes the folders of tables from ``staged`` that nothing reads any more."""
     for df in tables:
-        jvm = df.sparkSession.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._staged_path)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    if tables:
-        jvm.System.gc()
+        sc = df.sparkSession.sparkContext
+        path = sc._jvm.org.apache.hadoop.fs.Path(df._staged_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
