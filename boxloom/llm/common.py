@@ -6,7 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than the six ASCII blanks.
@@ -60,6 +60,25 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def drop_listed(docs: DataFrame, listed: DataFrame, digest: Column, max_rows: int = 250_000) -> DataFrame:
+    """docs without the rows that listed (doc_id, digest, kept) names; where it says kept, one of the rows it names stays.
+
+    digest is that of docs' rows. Rows are named by id and digest, so an id that unlike rows share harms none of
+    them. Only repeated rows that stay once are shuffled, unless the list is too long to broadcast.
+    """
+    def named(rows: DataFrame):
+        rows = broadcast_if_small(rows.select(F.col("doc_id").alias("of"), F.col("digest").alias("of_digest")), max_rows)
+        return rows, docs.doc_id.cast("long").eqNullSafe(rows["of"]) & digest.eqNullSafe(rows["of_digest"])
+
+    left = docs.join(*named(listed), "left_anti")
+    if listed.filter("kept").isEmpty():
+        return left
+    again = docs.join(*named(listed.filter("kept")), "left_semi")
+    keys = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    picked = again.groupBy(*[k.alias(f"_key{i}") for i, k in enumerate(keys)]).agg(F.first(F.struct(*docs.columns)).alias("_row"))
+    return left.unionByName(picked.select(*[F.col("_row")[c].alias(c) for c in docs.columns]))
+
+
 def id_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
     """Bytes of a bitmap over the non-null ids, about eight bits an id up to MAX_FILTER_BITS; see may_hold."""
     buckets = max(1, min(MAX_FILTER_BITS, 8 * count) // BITMAP_BITS + 1)
@@ -72,9 +91,14 @@ def id_filter(ids: DataFrame, column: str, count: int) -> np.ndarray:
     return out.ravel()
 
 
+def as_text(column: str) -> Column:
+    """A column of ids for Python workers: a batch with nulls would take long ids for floats and lose digits."""
+    return F.col(column).cast("long").cast("string").alias(column)
+
+
 def may_hold(bits: np.ndarray, ids) -> np.ndarray:
-    """For a pandas column of ids: false proves that an id was not given to id_filter; null always may be."""
-    at = ids.fillna(0).to_numpy(dtype=np.int64) % (len(bits) * 8)
+    """For a pandas column of ids as text: false proves that an id was not given to id_filter; null always may be."""
+    at = ids.fillna("0").astype(np.int64).to_numpy() % (len(bits) * 8)
     return (((bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1) == 1) | ids.isna().to_numpy()
 
 

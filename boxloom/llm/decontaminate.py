@@ -5,7 +5,7 @@ Items and documents give a window of WINDOW words at every word, so alignment do
 is the small one and is broadcast. What counts as a name depends on case and on what stands before it, so a window
 with names is hashed a second time with them as plain words. Windows are
 joined by hash; hits of one document and item at one offset belong together, and their slots must
-map the item's values to the document's consistently: the same question with other parameters.
+map the item's values to the document's one to one: the same question with other parameters.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import BLANKS, broadcast_if_small, staged
+from boxloom.llm.common import BLANKS, broadcast_if_small, drop_listed, staged
 
 WINDOW = 5
 #: Windows, none overlapping another, that must agree at one offset; of an item too short for so many, all must.
@@ -77,8 +77,8 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     """One row per document and benchmark item it holds: doc_id, item_id, n_windows, n_slots, changed_slots, kind.
 
     Found for certain: every run of least_hits * size words of an item, and every whole item from ``size``
-    words on, wherever it stands, whatever its case, punctuation and the values of its slots. A pair is dropped when a value of the
-    item stands for two values in the document at the best offset. kind: "verbatim" or
+    words on, wherever it stands, whatever its case, punctuation and the values of its slots. An offset does not count where a value
+    of the item stands for two values of the document, or two for one. kind: "verbatim" or
     "reparameterised". Null texts hold nothing; items of fewer than ``size`` words, null texts among
     them, are in no document. Items with equal text are all reported. Rows that repeat a doc_id,
     null included, are one document. An empty table on either side gives no rows.
@@ -95,8 +95,9 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     ).withColumn("n_windows", F.size("places").cast("long"))
     whole = F.col("n_windows") == F.col("n_words") - size + 1
     aligned = aligned.filter((_apart(F.col("places"), size) >= least_hits) | (whole & (F.col("n_words") < least_hits * size)))
-    aligned = aligned.withColumn("values", F.size(F.array_distinct(F.transform("pairs", lambda p: p["item"]))))
-    consistent = aligned.filter(F.col("values") == F.size("pairs"))
+    different = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side])))
+    aligned = aligned.withColumn("values", different("item"))
+    consistent = aligned.filter((F.col("values") == F.size("pairs")) & (different("doc") == F.size("pairs")))
     changed = F.size(F.filter("pairs", lambda p: p["item"] != p["doc"]))
     best = consistent.groupBy("doc_id", "item_id").agg(
         F.max(F.struct("n_windows", F.col("values").alias("n_slots"), (-changed).alias("same"))).alias("best")
@@ -109,6 +110,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that hold no benchmark item."""
-    bad = staged(find_contaminated(docs, benchmark, **options).select(F.col("doc_id").alias("bad_id")).distinct())
-    return docs.join(broadcast_if_small(bad, MAX_BROADCAST), docs.doc_id.eqNullSafe(bad.bad_id), "left_anti")
+    """The rows of docs that hold no benchmark item. Rows count by id and text: a clean row stays, whatever shares its id."""
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("doc_id"), F.md5("text").alias("digest")).alias("doc_id"), "text")
+    found = find_contaminated(rows, benchmark, **options).select("doc_id.doc_id", "doc_id.digest").distinct()
+    return drop_listed(docs, staged(found.withColumn("kept", F.lit(False))), F.md5(docs.text))

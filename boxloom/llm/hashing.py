@@ -54,26 +54,33 @@ def pieces(texts: Sequence[str | None], most: int = PIECE) -> Iterator[list[str
         yield run
 
 
-def word_codes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(64-bit hashes of all words of words_of, in order; number of words by text), without a loop over words.
-
-    A word is mixed eight bytes at a time, all words of the texts abreast.
-    """
+def split_words(texts: Sequence[str | None]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all texts as bytes, A-Z lower-cased; begin and length of every word in them; number of words by text)."""
     raw = [text.encode("utf-8", "surrogatepass").lower() if text else b"" for text in texts]
     joined = b" ".join(raw) + b" " * 9
-    data = np.frombuffer(joined, dtype=np.uint8)
-    blank = _IS_BLANK[data]
+    blank = _IS_BLANK[np.frombuffer(joined, dtype=np.uint8)]
     turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if not blank[0]:
         turn = np.concatenate([[0], turn])
-    start, left = turn[0::2], turn[1::2] - turn[0::2]
+    start, length = turn[0::2], turn[1::2] - turn[0::2]
+    ends = np.cumsum(np.fromiter((len(b) + 1 for b in raw), dtype=np.int64, count=len(raw)))
+    return joined, start, length, np.diff(np.searchsorted(start, ends), prepend=0)
+
+
+def codes_of(joined: bytes, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the words, mixed eight bytes at a time, all words abreast."""
     eight = np.ndarray(shape=(len(joined) - 7,), dtype="<u8", buffer=joined, strides=(1,))
-    code = mix64(left.astype(np.uint64) * _SPREAD)
-    rows, at = np.arange(len(start)), start
+    code = mix64(length.astype(np.uint64) * _SPREAD)
+    rows, at, left = np.arange(len(start)), start, length
     while len(rows):
         part = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
         code[rows] = mix64(code[rows] * _SPREAD ^ part)
         longer = left > 8
         rows, at, left = rows[longer], at[longer] + 8, left[longer] - 8
-    ends = np.cumsum(np.fromiter((len(b) + 1 for b in raw), dtype=np.int64, count=len(raw)))
-    return code, np.diff(np.searchsorted(start, ends), prepend=0)
+    return code
+
+
+def word_codes(texts: Sequence[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words of words_of, in order; number of words by text), without a loop over words."""
+    joined, start, length, count = split_words(texts)
+    return codes_of(joined, start, length), count

@@ -29,15 +29,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import broadcast_if_small, connected_components, discard, id_filter, may_hold, staged
+from boxloom.llm.common import as_text, broadcast_if_small, connected_components, discard, drop_listed, id_filter, may_hold, staged
 from boxloom.llm.hashing import mix64, pieces, word_codes
 
 #: A set of n ids has n // GAIN heads more than the plain prefix bound asks for, and shares as many more.
 GAIN = 32
 #: Ids stored beyond the heads, one part in SLACK: so many may go to the end of the order without a second look at the text.
 SLACK = 10
-#: Every pair counts in runs of up to PAIRS sets; an id that more than HOT sets begin with goes to the end of the order.
-PAIRS, HOT = 4, 16
+#: Every pair counts in runs of up to PAIRS sets, a bounded number a set; an id that more than HOT sets begin with goes to the end of the order.
+PAIRS, HOT = 16, 16
 #: At most so many ids go there, those that most sets begin with (4 MB as a broadcast).
 MAX_HOT = 500_000
 #: Groups of more classes than this are dealt out; each chunk has about LEADERS sets of all chunks.
@@ -307,7 +307,7 @@ def verify(docs: DataFrame, members: DataFrame, units: DataFrame, ngram: int, pe
             sets = [s for s in ngram_sets(texts, ngram) if len(s)]
             yield pd.DataFrame({"key": [set_key(s) for s in sets], "n": [len(s) for s in sets], "ids": [s.astype("<i8").tobytes() for s in sets]})
 
-    sets = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, "key binary, n long, ids binary")
+    sets = docs.select(as_text("doc_id"), "text").mapInPandas(cut, "key binary, n long, ids binary")
     units = staged(units.join(members.select("rid", "key"), "rid"))
     count = units.count()
     placed = sets.join(broadcast_if_small(units, MAX_BROADCAST // 4), "key").withColumn("bin", F.pmod("unit", F.lit(max(1, count // (2 * unit)))))
@@ -361,7 +361,7 @@ def _pick_hot(counts: DataFrame, most: int) -> np.ndarray:
 def _components(docs: DataFrame, ngram: int, percent: int, unit: int, max_hot: int) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, key, digest; classes: key, first_id, root, one row a set), both staged."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.select(as_text("doc_id"), "text")
 
     def describe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rid = TaskContext.get().partitionId() << 33
@@ -374,7 +374,7 @@ def _components(docs: DataFrame, ngram: int, percent: int, unit: int, max_hot: i
             })
             rid += len(out)
 
-    described = staged(docs.mapInPandas(describe, "doc_id long, rid long, n long, key binary, digest string, low binary"))
+    described = staged(docs.mapInPandas(describe, "doc_id string, rid long, n long, key binary, digest string, low binary").withColumn("doc_id", F.col("doc_id").cast("long")))
     worded = described.filter("n > 0")
     classes = staged(worded.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.min("rid").alias("rid"), F.max("n").alias("n")))
     copies = staged(worded.select("rid").join(classes.select("rid"), "rid", "left_anti"))
@@ -478,14 +478,6 @@ def keep_one(docs: DataFrame, ngram: int = 5, percent: int = 80, unit: int = UNI
     best = named.groupBy("root").agg(F.min(order).alias("best"))
     each = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times")).join(best, "root")
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
-    each = staged(each.select(F.col("doc_id").alias("of"), "digest", "times", is_best.alias("best")).filter("not best or times > 1"))
+    listed = staged(each.select("doc_id", "digest", is_best.alias("kept"), "times").filter("not kept or times > 1").drop("times"))
     discard(rows, classes)
-    listed = broadcast_if_small(each, MAX_BROADCAST // 4)
-    same = docs.doc_id.cast("long").eqNullSafe(listed["of"]) & (F.md5(docs.text) == listed["digest"])
-    kept = docs.join(listed, same, "left_anti")
-    if each.filter("best").isEmpty():
-        return kept
-    again = broadcast_if_small(each.filter("best").select("of", "digest"), MAX_BROADCAST // 4)
-    same = docs.doc_id.cast("long").eqNullSafe(again["of"]) & (F.md5(docs.text) == again["digest"])
-    repeated = docs.join(again, same, "left_semi")
-    return kept.unionByName(repeated.dropDuplicates(["doc_id", "text"]))
+    return drop_listed(docs, listed, F.md5(docs.text))

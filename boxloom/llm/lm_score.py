@@ -1,220 +1,274 @@
 """Language-model scores by a hashed maximum-entropy model with class-factored softmax.
 
-P(word | history) = P(class | history) * P(word | class). The first factor is a softmax over
-CLASSES classes with hashed features of the history: the word before, the word before that alone (a
-skip feature), both together, and the classes of both. The second is the maximum-entropy
-distribution with word features only, smoothed counts within the class. Words belong to classes by a
-hash of their ending, so unseen words have one too. Training is one epoch of distributed gradient
-updates: every task runs AdaGrad on its documents from the same start, and parameters are averaged,
-weighted by how often each was updated. Exact counts of frequent words are broadcast (a bounded
-number); all other words of the texts get theirs by a join.
-
-Short of the method: CLASSES and FEATURE_BITS do not grow with the input, and histories act on the
-class alone. The README has figures.
+P(word | history) = P(class | history) * P(leaf | class, history) * P(word | leaf). The first two
+factors are softmaxes over WIDTH outcomes with hashed features of the history: the word before, the
+word before that alone (a skip feature), both together, and the leaves of both; within a class the
+features are hashed together with the class. The OWN most frequent words are leaves of their own, so
+histories tell them apart to the last; all others share leaves by their ending, unseen words too, and
+within such a leaf a word has its smoothed share of the leaf's counts. Training is one epoch of
+distributed gradient updates: every task runs AdaGrad on its documents from the same start, and
+parameters are averaged, weighted by how often each was updated, in the order of the tasks. Words are
+64-bit hashes throughout. Exact counts of frequent words are broadcast (a bounded number); all other
+words of the texts get theirs by a join.
+
+Counts grow with the input, the softmaxes' tables do not: every task trains a copy of them.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import staged
-from boxloom.llm.hashing import mix64, words_of
+from boxloom.llm.common import as_text, staged
+from boxloom.llm.hashing import codes_of, mix64, pieces, split_words
 
-CLASSES = 16
-FEATURE_BITS = 15
+#: Classes, and leaves of a class.
+WIDTH = 16
+LEAVES = WIDTH * WIDTH
+#: Words with a leaf of their own; the other leaves are shared.
+OWN = LEAVES // 2
+#: Rows of the hashed table of either softmax: 2 ** FEATURE_BITS.
+FEATURE_BITS = 16
 #: So many words at most have their counts broadcast.
 FREQUENT = 200_000
 CHUNKS = 64
-BATCH_TOKENS = 16_384
+#: Characters hashed together, and tokens counted together.
+BATCH_CHARS, COUNT_TOKENS = 1 << 17, 1 << 22
 #: A softmax whose logits stay within this bound needs no shift by its largest.
 SAFE_LOGIT = 60.0
-
-
-class _Classes(dict):
-    """The last two bytes of a word -> its class; there are under 66,000 of them."""
-
-    def __missing__(self, end: bytes) -> int:
-        value = self[end] = xxhash.xxh3_64_intdigest(end) % CLASSES
-        return value
-
-
-class _Codes(dict):
-    """word (bytes) -> 59 bits of its hash and, as the lowest 4, its class; remembers the first ``most`` words."""
-
-    most = 150_000
-
-    def __missing__(self, word: bytes) -> int:
-        value = xxhash.xxh3_64_intdigest(word) >> 5 << 4 | _CLASSES[word[-2:]]
-        if len(self) < self.most:
-            self[word] = value
-        return value
-
-
-_CLASSES, _CODES = _Classes(), _Codes()
+END = np.uint64(1)
+_MASK = np.uint64((1 << FEATURE_BITS) - 1)
+_OF_CLASS = (mix64(np.arange(1, WIDTH + 1, dtype=np.uint64)) & _MASK)
 
 
 def held_out(docs: DataFrame) -> DataFrame:
     """docs with held_out: crc32 of the id as text, mod 10, is 0; a null id counts as empty text, which is held out."""
     crc = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
-    return docs.select("doc_id", "text", (crc % 10 == 0).alias("held_out"))
+    return docs.select(as_text("doc_id"), "text", (crc % 10 == 0).alias("held_out"))
 
 
-def tokens_of(text: str | None) -> list[bytes]:
-    return [*words_of(text), b""]
+def tokens_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes of the tokens, shared leaf of each by its last two bytes, number of tokens by text); the end is a token."""
+    joined, start, length, count = split_words(texts)
+    data = np.frombuffer(joined, dtype=np.uint8).astype(np.uint64)
+    last = start + length - 1
+    tail = data[last] * np.uint64(256) + np.where(length > 1, data[np.maximum(last - 1, 0)], np.uint64(0))
+    shared = (mix64(tail) % np.uint64(LEAVES - OWN)).astype(np.int64) + OWN
+    size = count + 1
+    ends = np.cumsum(size) - 1
+    is_word = np.ones(int(size.sum()), dtype=bool)
+    is_word[ends] = False
+    token, leaf = np.full(len(is_word), END), np.full(len(is_word), OWN)
+    token[is_word], leaf[is_word] = codes_of(joined, start, length), shared
+    return token, leaf, size
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c, class) of the training documents; the end is the empty word."""
+    """(code, shared leaf, c) of the tokens of the training documents."""
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def out(part: Counter) -> pd.DataFrame:
-            return pd.DataFrame({"word": pd.Series([w.decode() for w in part], dtype=object), "c": list(part.values()), "class": [_CLASSES[w[-2:]] for w in part]})
+        def out() -> pd.DataFrame:
+            token, at, many = np.unique(np.concatenate([p[0] for p in held]), return_index=True, return_counts=True)
+            return pd.DataFrame({"code": token.view(np.int64), "leaf": np.concatenate([p[1] for p in held])[at], "c": many})
 
-        part: Counter = Counter()
+        held, size = [], 0
         for batch in batches:
-            for text in batch["text"]:
-                part.update(tokens_of(text))
-                if len(part) > 200_000:
-                    yield out(part)
-                    part = Counter()
-        yield out(part)
+            for run in pieces(batch["text"], BATCH_CHARS * 8):
+                held.append(tokens_of(run)[:2])
+                size += len(held[-1][0])
+                if size >= COUNT_TOKENS:
+                    yield out()
+                    held, size = [], 0
+        if held:
+            yield out()
 
-    rows = docs.filter("not held_out").select("text").mapInPandas(count, "word string, c long, class int")
-    return staged(rows.groupBy("word", "class").agg(F.sum("c").alias("c")))
+    rows = docs.filter("not held_out").select("text").mapInPandas(count, "code long, leaf int, c long")
+    return staged(rows.groupBy("code").agg(F.max("leaf").alias("leaf"), F.sum("c").alias("c")))
 
 
-def _features(h: np.ndarray, cls: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Feature numbers of every token of a batch of documents; first: index of the document's first token.
+def frequent_words(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, counts) of at most ``most`` words, sorted by hash: all with a count above one found from a histogram.
 
-    Row 0 is the bias. What lies before the first token is the end of another text.
+    The histogram has eight cells a doubling, and the words that pass it are bounded before they are collected.
     """
-    n = len(h)
-    place = np.arange(n) - first
-    edge = np.uint64(0)
-    one = np.where(place >= 1, np.roll(h, 1), edge)
-    two = np.where(place >= 2, np.roll(h, 2), edge)
-    c1 = np.where(place >= 1, np.roll(cls, 1), CLASSES).astype(np.uint64)
-    c2 = np.where(place >= 2, np.roll(cls, 2), CLASSES).astype(np.uint64)
-    mask = np.uint64((1 << FEATURE_BITS) - 1)
-    cut = lambda x, salt: (mix64(x + np.uint64(salt)) & mask).astype(np.int64) + 1
-    return cut(one, 1), cut(two, 2), cut(one * np.uint64(31) + mix64(two), 3), cut(c1 * np.uint64(32) + c2, 4)
-
-
-def _batches(texts: Iterator[str | None]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """(tokens by document, all tokens) of runs of whole documents of about BATCH_TOKENS tokens."""
-    sizes, words = [], []
-    for text in texts:
-        own = tokens_of(text)
-        sizes.append(len(own))
-        words += own
-        if len(words) >= BATCH_TOKENS:
-            yield sizes, words
-            sizes, words = [], []
-    if sizes:
-        yield sizes, words
-
-
-def _arrays(sizes: list[int], words: list[bytes]):
-    code = np.fromiter(map(_CODES.__getitem__, words), dtype=np.int64, count=len(words))
-    h, cls = code.astype(np.uint64), code & (CLASSES - 1)
-    size = np.array(sizes)
+    cell = F.floor(F.log2(F.col("c")) * 8)
+    cells = sorted(((r["cell"], r["words"]) for r in counts.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("words")).collect()), reverse=True)
+    least, total = None, 0
+    for at, words in cells:
+        total += words
+        if total > most:
+            break
+        least = at
+    rows = counts.filter(cell >= least).select("code", "c").collect() if least is not None else []
+    code, c = (np.array([r[k] for r in rows], dtype=np.int64) for k in range(2))
+    order = np.argsort(code.view(np.uint64))
+    return code.view(np.uint64)[order], c[order]
+
+
+def own_leaves(code: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, sorted; leaf of each) of the OWN words of the largest counts, WIDTH words of like count a class."""
+    top = np.lexsort((code, -c))[:OWN]
+    rank = np.arange(len(top))
+    order = np.argsort(code[top])
+    return code[top][order], rank[order]
+
+
+def look_up(token: np.ndarray, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places in the sorted array, whether the token is there)."""
+    if not len(among):
+        return np.zeros(len(token), dtype=np.int64), np.zeros(len(token), dtype=bool)
+    at = np.minimum(np.searchsorted(among, token), len(among) - 1)
+    return at, among[at] == token
+
+
+def leaves_of(token: np.ndarray, shared: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    at, is_own = look_up(token, own[0])
+    return np.where(is_own, own[1][at], shared) if len(own[0]) else shared
+
+
+def features(token: np.ndarray, leaf: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of the four features of every token's history; what lies before a document's first token is an edge."""
     first = np.repeat(np.cumsum(size) - size, size)
-    return h, cls, _features(h, cls, first)
+    place = np.arange(len(token)) - first
+    edge = np.uint64(0)
+    one = np.where(place >= 1, np.roll(token, 1), edge)
+    two = np.where(place >= 2, np.roll(token, 2), edge)
+    l1 = np.where(place >= 1, np.roll(leaf, 1), LEAVES).astype(np.uint64)
+    l2 = np.where(place >= 2, np.roll(leaf, 2), LEAVES).astype(np.uint64)
+    hashed = lambda x, salt: mix64(x + np.uint64(salt))
+    return hashed(one, 1), hashed(two, 2), hashed(one * np.uint64(31) + mix64(two), 3), hashed(l1 * np.uint64(LEAVES + 1) + l2, 4)
+
 
+def class_slots(hashed: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    return tuple((h & _MASK).astype(np.uint16) for h in hashed)
 
-def _logits(theta: np.ndarray, feats: tuple[np.ndarray, ...]) -> np.ndarray:
-    """Up to a shift of each row; of a size that exp() can take."""
-    z = theta.take(feats[0], axis=0)
-    for f in feats[1:]:
-        z += theta.take(f, axis=0)
-    z += theta[0]
-    if max(z.max(initial=0), -z.min(initial=0)) > SAFE_LOGIT:
-        z -= z.max(1, keepdims=True)
-    return z
 
+def leaf_slots(hashed: tuple[np.ndarray, ...], cls: np.ndarray) -> tuple[np.ndarray, ...]:
+    return tuple((((h >> np.uint64(20)) & _MASK) ^ _OF_CLASS[cls]).astype(np.uint16) for h in hashed)
 
-def _sums(e: np.ndarray) -> np.ndarray:
-    return e @ np.ones(CLASSES, dtype=e.dtype)
 
+class Softmax:
+    """Weights of hashed features and of a bias row per group, for WIDTH outcomes."""
 
-def class_logp(theta: np.ndarray, feats: tuple[np.ndarray, ...], cls: np.ndarray) -> np.ndarray:
-    """Natural logarithm of the first factor."""
-    z = _logits(theta, feats)
-    own = z[np.arange(len(cls)), cls]
-    return own - np.log(_sums(np.exp(z, out=z)))
+    def __init__(self, groups: int, theta: np.ndarray | None = None):
+        self.rows = (1 << FEATURE_BITS) + groups
+        self.theta = np.zeros((self.rows, WIDTH), dtype=np.float32) if theta is None else theta
+        self.table, self.bias = self.theta[:-groups], self.theta[-groups:]
 
+    def logits(self, slots: tuple[np.ndarray, ...], group: np.ndarray) -> np.ndarray:
+        """Up to a shift of each row; of a size that exp() can take."""
+        z = self.bias.take(group, axis=0)
+        for s in slots:
+            z += self.table.take(s, axis=0)
+        if max(z.max(initial=0), -z.min(initial=0)) > SAFE_LOGIT:
+            z -= z.max(1, keepdims=True)
+        return z
 
-def _descend(theta: np.ndarray, past: np.ndarray, used: np.ndarray, feats, cls: np.ndarray, rate: float) -> None:
-    """AdaGrad on small pieces at first and larger ones later; a row moves by the gradient of the tokens that have it."""
-    piece = 256 if used[0] < 50_000 else 4096
-    for a in range(0, len(cls), piece):
-        part = tuple(f[a : a + piece] for f in feats)
-        g = _logits(theta, part)
+    def logp(self, slots: tuple[np.ndarray, ...], group: np.ndarray, outcome: np.ndarray) -> np.ndarray:
+        z = self.logits(slots, group)
+        own = z[np.arange(len(outcome)), outcome]
+        return own - np.log(np.exp(z, out=z) @ np.ones(WIDTH, dtype=z.dtype))
+
+    def begin(self) -> None:
+        self.past, self.used = np.zeros_like(self.theta), np.zeros(self.rows)
+
+    def descend(self, slots: tuple[np.ndarray, ...], group: np.ndarray, outcome: np.ndarray, rate: float) -> None:
+        """One AdaGrad step: a row moves by the gradient of the tokens that have it."""
+        g = self.logits(slots, group)
         np.exp(g, out=g)
-        g /= _sums(g)[:, None]
-        g[np.arange(len(g)), cls[a : a + piece]] -= 1
-        bias = g.sum(0) / np.sqrt(len(g))
-        past[0] += bias * bias
-        theta[0] -= rate * bias / np.sqrt(past[0] + 1e-3)
-        used[0] += len(g)
-        for f in part:
-            order = np.argsort(f.astype(np.uint16), kind="stable")  # a radix sort; feature numbers have 16 bits
-            in_order = f[order]
-            begin = np.flatnonzero(np.diff(in_order, prepend=-1))
-            at, many = in_order[begin], np.diff(begin, append=len(f))
+        g /= (g @ np.ones(WIDTH, dtype=g.dtype))[:, None]
+        g[np.arange(len(g)), outcome] -= 1
+        for s, base in (*((s, 0) for s in slots), (group.astype(np.uint16), 1 << FEATURE_BITS)):
+            order = np.argsort(s, kind="stable")  # a radix sort of 16-bit numbers
+            in_order = s[order]
+            begin = np.flatnonzero(np.diff(in_order.astype(np.int32), prepend=-1))
+            at, many = in_order[begin].astype(np.int64) + base, np.diff(begin, append=len(s))
             mean = np.add.reduceat(g.take(order, axis=0), begin, axis=0)
-            mean /= np.sqrt(many)[:, None]
-            seen = past.take(at, axis=0)
+            mean /= np.sqrt(many).astype(np.float32)[:, None]
+            seen = self.past.take(at, axis=0)
             seen += mean * mean
-            past[at] = seen
+            self.past[at] = seen
             seen += 1e-3
             mean *= rate
             mean /= np.sqrt(seen, out=seen)
-            theta[at] -= mean
-            used[at] += many
+            self.theta[at] -= mean
+            self.used[at] += many
+
+
+def new_model() -> tuple[Softmax, Softmax]:
+    """The softmax of classes and that of the leaves of a class."""
+    return Softmax(1), Softmax(WIDTH)
+
+
+def leaf_logp(model: tuple[Softmax, Softmax], hashed: tuple[np.ndarray, ...], leaf: np.ndarray) -> np.ndarray:
+    """Natural logarithm of the first two factors."""
+    cls, inner = leaf // WIDTH, leaf % WIDTH
+    return model[0].logp(class_slots(hashed), np.zeros(len(leaf), dtype=np.int64), cls) + model[1].logp(leaf_slots(hashed, cls), cls, inner)
 
 
-def train(docs: DataFrame, rate: float = 0.3) -> np.ndarray:
-    """theta, (2 ** FEATURE_BITS + 1) x CLASSES: what reaches the driver is one such table."""
-    rows = (1 << FEATURE_BITS) + 1
-    span = -(-rows // CHUNKS)
+def learn(model: tuple[Softmax, Softmax], hashed: tuple[np.ndarray, ...], leaf: np.ndarray, rate: float) -> None:
+    """Small steps at first and larger ones later."""
+    cls, inner = leaf // WIDTH, leaf % WIDTH
+    slots = class_slots(hashed), leaf_slots(hashed, cls)
+    piece = 256 if model[0].used[-1] < 50_000 else 4096
+    for a in range(0, len(leaf), piece):
+        b = a + piece
+        model[0].descend(tuple(s[a:b] for s in slots[0]), np.zeros(len(leaf[a:b]), dtype=np.int64), cls[a:b], rate)
+        model[1].descend(tuple(s[a:b] for s in slots[1]), cls[a:b], inner[a:b], rate)
+
+
+def train(docs: DataFrame, own: tuple[np.ndarray, np.ndarray], rate: float = 0.3) -> tuple[np.ndarray, np.ndarray]:
+    """The weights of both softmaxes: what reaches the driver is one such pair."""
+    rows = [m.rows for m in new_model()]
+    span = -(-sum(rows) // CHUNKS)
 
     def epoch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        theta, past = np.zeros((rows, CLASSES), dtype=np.float32), np.zeros((rows, CLASSES), dtype=np.float32)
-        used = np.zeros(rows)
-        for sizes, words in _batches(t for b in batches for t in b["text"]):
-            _, cls, feats = _arrays(sizes, words)
-            _descend(theta, past, used, feats, cls, rate)
-        if used.any():
-            weight = np.sqrt(used)[:, None].astype(np.float32)
-            both = np.concatenate([theta * weight, weight], 1)
-            yield pd.DataFrame({"chunk": range(CHUNKS), "sums": [both[k * span : (k + 1) * span].tobytes() for k in range(CHUNKS)]})
+        model = new_model()
+        for m in model:
+            m.begin()
+        for batch in batches:
+            for run in pieces(batch["text"], BATCH_CHARS):
+                token, shared, size = tokens_of(run)
+                leaf = leaves_of(token, shared, own)
+                learn(model, features(token, leaf, size), leaf, rate)
+        if model[0].used.any():
+            weight = np.sqrt(np.concatenate([m.used for m in model]))[:, None]
+            both = np.concatenate([np.concatenate([m.theta for m in model]), weight], 1).astype(np.float16)
+            part = TaskContext.get().partitionId()
+            yield pd.DataFrame({"chunk": range(CHUNKS), "part": part, "sums": [both[k * span : (k + 1) * span].tobytes() for k in range(CHUNKS)]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        """Rows sorted by chunk and task: the mean does not depend on what arrives first."""
+        chunk, total = None, None
+
+        def out() -> pd.DataFrame:
+            mean = total[:, :WIDTH] / np.maximum(total[:, WIDTH:], 1e-9)
+            return pd.DataFrame({"chunk": [chunk], "mean": [mean.astype(np.float32).tobytes()]})
+
         for batch in batches:
-            for chunk, data in zip(batch["chunk"], batch["sums"]):
-                got = np.frombuffer(data, dtype=np.float32)
-                sums[chunk] = sums[chunk] + got if chunk in sums else got.astype(np.float64)
-        if sums:
-            yield pd.DataFrame({"chunk": list(sums), "sums": [v.astype(np.float32).tobytes() for v in sums.values()]})
-
-    schema = "chunk int, sums binary"
-    parts = docs.filter("not held_out").select("text").mapInPandas(epoch, schema)
-    got = parts.repartition(CHUNKS // 4, "chunk").mapInPandas(add, schema).collect()
+            for k, data in zip(batch["chunk"], batch["sums"]):
+                got = np.frombuffer(data, dtype=np.float16).reshape(-1, WIDTH + 1).astype(np.float64)
+                got[:, :WIDTH] *= got[:, WIDTH:]
+                if k != chunk:
+                    if chunk is not None:
+                        yield out()
+                    chunk, total = k, got
+                else:
+                    total += got
+        if chunk is not None:
+            yield out()
+
+    parts = docs.filter("not held_out").select("text").mapInPandas(epoch, "chunk int, part int, sums binary")
+    got = parts.repartition(CHUNKS // 4, "chunk").sortWithinPartitions("chunk", "part").mapInPandas(add, "chunk int, mean binary").collect()
     if not got:
-        return np.zeros((rows, CLASSES), dtype=np.float32)
-    both = np.concatenate([np.frombuffer(bytes(r["sums"]), dtype=np.float32) for r in sorted(got, key=lambda r: r["chunk"])]).reshape(-1, CLASSES + 1)
-    return both[:, :CLASSES] / np.maximum(both[:, CLASSES:], 1e-9)
+        return tuple(m.theta for m in new_model())
+    both = np.concatenate([np.frombuffer(bytes(r["mean"]), dtype=np.float32) for r in sorted(got, key=lambda r: r["chunk"])]).reshape(-1, WIDTH)
+    return both[: rows[0]], both[rows[0] :]
 
 
 def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
@@ -222,48 +276,51 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
 
     Tokens are the words (A-Z lower-cased, split at ASCII blanks) and one end. base_score: the sum of
     log10((c + 0.1) / (N + 0.1 * (V + 1))) with exact counts over all training documents. score: the
-    model's log10 probability, in which each class keeps one smoothed share for unseen words. A null
+    model's log10 probability, in which each leaf keeps one smoothed share for unseen words. A null
     text counts as empty: its only token is the end. Repeated rows and ids score alike. Without
     training documents N and V are 0; an empty table gives no rows.
     """
     spark = docs.sparkSession
     docs = held_out(docs)
     counts = word_counts(docs)
-    by_class = {r["class"]: r for r in counts.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
-    n_class, v_class = (np.array([by_class[k][x] if k in by_class else 0 for k in range(CLASSES)], dtype=np.float64) for x in "nv")
-    total, vocabulary = int(n_class.sum()), int(v_class.sum())
-    top = counts.orderBy(F.col("c").desc(), "word").limit(frequent).select("word", "c").toPandas()
-    known = dict(zip((w.encode() for w in top["word"]), top["c"].tolist()))
-    in_class = np.log10(n_class + 0.1 * (v_class + 1))
-    shared = spark.sparkContext.broadcast((train(docs), known, in_class))
+    known = frequent_words(counts, frequent)
+    own = own_leaves(*known)
+    of_own = spark.createDataFrame([(int(c), int(k)) for c, k in zip(own[0].view(np.int64), own[1])], "code long, own int")  # OWN rows at most
+    leaf = F.coalesce("own", "leaf")
+    by_leaf = {r["leaf"]: r for r in counts.join(F.broadcast(of_own), "code", "left").groupBy(leaf.alias("leaf")).agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
+    n_leaf, v_leaf = (np.array([by_leaf[k][x] if k in by_leaf else 0 for k in range(LEAVES)], dtype=np.float64) for x in "nv")
+    total, vocabulary = int(n_leaf.sum()), int(v_leaf.sum())
+    in_leaf = np.log10(n_leaf + 0.1 * (v_leaf + 1))
+    shared = spark.sparkContext.broadcast((train(docs, own), own, known, in_leaf))  # 8 MB of weights, 16 bytes a frequent word
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        theta, table, norm = shared.value
+        weights, own, (codes, counted), norm = shared.value
+        model = Softmax(1, weights[0]), Softmax(WIDTH, weights[1])
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, held = batch["doc_id"], batch["held_out"]
-            out = []
-            for sizes, words in _batches(iter(batch["text"])):
-                _, cls, feats = _arrays(sizes, words)
-                logp = class_logp(theta, feats, cls) / np.log(10) - norm[cls]
-                c = np.fromiter(map(table.get, words, repeat(0)), dtype=np.int64, count=len(words))
-                begin = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, begin) for x in (logp, np.where(c > 0, np.log10(c + 0.1), 0), c > 0)]
+            made = []
+            for run in pieces(batch["text"], BATCH_CHARS):
+                token, of_end, size = tokens_of(run)
+                leaf = leaves_of(token, of_end, own)
+                logp = leaf_logp(model, features(token, leaf, size), leaf) / np.log(10) - norm[leaf]
+                at, is_known = look_up(token, codes)
+                c = np.where(is_known, counted[at], 0) if len(codes) else np.zeros(len(token), dtype=np.int64)
+                begin = np.cumsum(size) - size
+                sums = [np.add.reduceat(x, begin) for x in (logp, np.where(c > 0, np.log10(c + 0.1), 0.0), (c > 0).astype(np.int64))]
                 rest = np.flatnonzero(c == 0)
-                cuts = np.searchsorted(rest, np.append(begin, len(words)))
-                for k, size in enumerate(sizes):
-                    rare = [words[i].decode() for i in rest[cuts[k] : cuts[k + 1]]]
-                    out.append((size, sums[0][k], sums[1][k], int(sums[2][k]), rare))
-            made = pd.DataFrame(out, columns=["n_tokens", "logp", "logc", "known", "rare"])
-            made.insert(0, "row", np.arange(row, row + len(made)))
-            row += len(made)
-            yield made.assign(doc_id=ids.array, held_out=held.array)
-
-    schema = "row long, n_tokens long, logp double, logc double, known long, rare array<string>, doc_id long, held_out boolean"
-    scored = staged(docs.withColumn("doc_id", F.col("doc_id").cast("long")).mapInPandas(judge, schema))
-    rare = scored.select("row", F.explode("rare").alias("word"))
+                cuts = np.searchsorted(rest, np.cumsum(size)[:-1])
+                made.append(pd.DataFrame({"n_tokens": size, "logp": sums[0], "logc": sums[1], "known": sums[2], "rare": np.split(token.view(np.int64)[rest], cuts)}))
+            if made:
+                out = pd.concat(made, ignore_index=True)
+                out.insert(0, "row", np.arange(row, row + len(out)))
+                row += len(out)
+                yield out.assign(doc_id=batch["doc_id"].array, held_out=batch["held_out"].array)
+
+    schema = "row long, n_tokens long, logp double, logc double, known long, rare array<long>, doc_id string, held_out boolean"
+    scored = staged(docs.mapInPandas(judge, schema))
+    rare = scored.select("row", F.explode("rare").alias("code"))
     found = (
-        rare.groupBy("row", "word").agg(F.count(F.lit(1)).alias("times")).join(counts.select("word", "c"), "word", "left")
+        rare.groupBy("row", "code").agg(F.count(F.lit(1)).alias("times")).join(counts.select("code", "c"), "code", "left")
         .groupBy("row").agg(
             F.sum(F.col("times") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1))).alias("more_logc"),
             F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
@@ -272,7 +329,7 @@ def score(docs: DataFrame, frequent: int = FREQUENT) -> DataFrame:
     each = F.log10(F.lit(total + 0.1 * (vocabulary + 1)))
     logc = F.col("logc") + F.coalesce("more_logc", F.lit(0.0))
     return scored.drop("rare").join(found, "row", "left").select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
+        F.col("doc_id").cast("long").alias("doc_id"), "held_out", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), (logc - F.col("n_tokens") * each).alias("base_score"),
         (F.col("logp") + logc).alias("score"),
     )

@@ -17,6 +17,8 @@ from boxloom.llm.common import WORD, broadcast_if_small, staged
 #: Characters that mark junk; documents full of them weigh less.
 JUNK = "[!#$%&*|]"
 BINS = 1024
+#: The least weight a document can have. Keys to this power lie evenly enough for equal bins, whatever the weights.
+LEAST_WEIGHT = 0.1
 #: Plans of up to so many sources are broadcast (about 10 MB); larger ones are joined by a shuffle.
 MAX_BROADCAST = 100_000
 #: Before every id in the order of ties.
@@ -30,12 +32,12 @@ def words(text: str = "text") -> Column:
 def quality_weight(text: str = "text") -> Column:
     """Between 0.1 and 1: one less four times the share of junk characters; 1 for a null or empty text."""
     share = F.regexp_count(F.col(text), F.lit(JUNK)) / F.greatest(F.length(text), F.lit(1))
-    return F.coalesce(F.greatest(F.lit(0.1), F.lit(1.0) - F.lit(4.0) * share), F.lit(1.0))
+    return F.coalesce(F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) - F.lit(4.0) * share), F.lit(1.0))
 
 
-def uniform(doc_id: str, seed: int) -> Column:
-    """In (0, 1), from 48 bits of an MD5, which other engines can compute as well."""
-    name = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.lit("null")), F.lit(f"/{seed}"))
+def uniform(doc_id: str, text: str, seed: int) -> Column:
+    """In (0, 1), from 48 bits of an MD5, which other engines can compute as well; without an id, of the text."""
+    name = F.concat(F.coalesce(F.col(doc_id).cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce(F.col(text), F.lit(""))))), F.lit(f"/{seed}"))
     return (F.conv(F.substring(F.md5(name), 1, 12), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(2**48))
 
 
@@ -44,7 +46,7 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, mos
 
     The excess of capped sources goes to the others by weight until none is above, which is water
     filling: with sources in order of cap / weight, the first level that stays below its own cap
-    holds for it and all that follow. One row per source, so the windows below are small.
+    holds for it and all that follow. The windows below run over one short row per source, not over documents.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     n = len(weights)
@@ -77,7 +79,8 @@ def _cuts(pool: DataFrame, plan: DataFrame, depth: int) -> DataFrame:
     width = 1.0
     for _ in range(depth):
         width /= BINS
-        binned = open_.withColumn("bin", F.least(F.floor((F.col("key") - F.col("lo")) / width), F.lit(BINS - 1)))
+        place = F.pow("key", F.lit(LEAST_WEIGHT)) - F.col("lo")
+        binned = open_.withColumn("bin", F.least(F.floor(place / width), F.lit(BINS - 1)))
         down = Window.partitionBy("sid").orderBy(F.col("bin").desc()).rowsBetween(Window.unboundedPreceding, -1)
         ends = (  # the bin in which rest ends; no row for a source that fits as a whole
             binned.groupBy("sid", "bin", "rest").agg(F.sum("size").alias("inside"))
@@ -88,8 +91,8 @@ def _cuts(pool: DataFrame, plan: DataFrame, depth: int) -> DataFrame:
         open_ = binned.join(broadcast_if_small(staged(ends), MAX_BROADCAST), ["sid", "bin"]).select(
             "sid", "key", "tie", "size", F.col("end_rest").alias("rest"), (F.col("lo") + F.col("bin") * width).alias("lo")
         )
-    upto = F.sum("size").over(Window.partitionBy("sid").orderBy(F.col("key").desc(), "tie"))  # equal rows go together
-    seen = open_.withColumn("upto", upto)
+    ties = open_.groupBy("sid", "key", "tie").agg(F.sum("size").alias("size"), F.max("rest").alias("rest"))  # equal rows go together
+    seen = ties.withColumn("upto", F.sum("size").over(Window.partitionBy("sid").orderBy(F.col("key").desc(), "tie")))
     last = seen.groupBy("sid").agg(
         F.max("rest").alias("rest"), F.max("key").alias("top"),
         F.max(F.when(F.col("upto") <= F.col("rest"), F.struct("upto", "tie", "key"))).alias("last"),
@@ -121,7 +124,7 @@ def mix(
     sid = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
     sized = docs.select("doc_id", "source", "text", *extra).select(
         "doc_id", "source", words().alias("size"), sid.alias("sid"),
-        F.pow(uniform("doc_id", seed), F.lit(1.0) / quality).alias("key"),
+        F.pow(uniform("doc_id", "text", seed), F.lit(1.0) / quality).alias("key"),
         F.coalesce("doc_id", F.lit(NO_ID + 1)).alias("tie"), *extra,
     )
     pool = staged(sized.drop("text", *extra))
@@ -149,13 +152,16 @@ def mix(
 
 
 def apply_mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: every row of docs taken / size times, with the columns of docs.
+    """The mixed corpus: every row of docs taken / size times, with the columns of docs and ``copy``, the repetition's number.
 
-    Wordless documents weigh nothing in a mix and stay once.
+    Wordless documents weigh nothing in a mix and stay once. Where docs has a column copy, the new one gets underscores before it.
     """
+    number = "copy"
+    while number in docs.columns:
+        number = "_" + number
     packed = docs.select("doc_id", "source", "text", F.struct(*docs.columns).alias("row"))
     times = F.when(F.col("size") == 0, F.lit(1)).otherwise((F.col("taken") / F.col("size")).cast("int"))
     mixed = mix(packed, extra=("row",), **options).withColumn("times", times).filter("times > 0")
-    return mixed.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select(
-        *[F.col("row")[c].alias(c) for c in docs.columns], F.col("copy")
+    return mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))).alias(number)).select(
+        *[F.col("row")[c].alias(c) for c in docs.columns], F.col(number)
     )

@@ -15,7 +15,7 @@ def _mix_sql(rounds: int = 3) -> str:
 WITH w AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          coalesce(greatest(0.1::DOUBLE, 1.0::DOUBLE - 4.0::DOUBLE * (len(regexp_extract_all(text, '[!#$%&*|]'))::DOUBLE / greatest(length(text), 1))), 1.0::DOUBLE) AS q,
-         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null') || '/17'), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+         (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null' || md5(coalesce(text, ''))) || '/17'), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
   FROM documents),
 d AS (SELECT doc_id, coalesce('s' || source, 'n') AS sid, source, size, pow(u, 1.0::DOUBLE / q) AS key FROM w),
 s AS (SELECT sid, any_value(source) AS source, sum(size)::BIGINT AS source_size FROM d GROUP BY sid),

@@ -31,8 +31,8 @@ GUARDS = {
     "email": r"@[A-Za-z0-9-]", "ip": r"[0-9]\.[0-9]++\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]",
 }
 NAME = r"\b\p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+){1,2}\b"
-NUMBER = r"\b[0-9]{2,4}(?:[ .-][0-9]{2,4}){2,3}\b"
-HANDLE = r"(?<![\w@.])@[A-Za-z0-9_]{3,30}\b"
+NUMBER = r"\b[0-9]++(?:[ .-][0-9]++){2,}+\b"
+HANDLE = r"(?<![\w@.])@[A-Za-z0-9_]{3,}\b"
 CANDIDATE = f"{NAME}|{NUMBER}|{HANDLE}"
 #: Gazetteers and cue words (fixed values).
 FIRST_NAMES = ("james", "mary", "john", "anna", "robert", "linda", "michael", "maria", "david", "sarah", "peter", "laura",
@@ -71,7 +71,16 @@ def located(text: Column, pattern: str, guard: str | None = None) -> Column:
         )
         return F.struct((start + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-    found = F.aggregate(items, zero, add, lambda acc: acc["out"])
+    def chain(acc, part):
+        moved = F.transform(part["out"], lambda x: F.struct(
+            x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"), (x["start"] + acc["at"]).alias("start"), (x["stop"] + acc["at"]).alias("stop")))
+        return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
+
+    # appending copies the list, so it is done in parts of about the root of their number
+    root = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
+    begins = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.greatest(root, F.lit(1)))).otherwise(F.array().cast("array<int>"))
+    parts_ = F.transform(begins, lambda b: F.aggregate(F.slice(items, b, root), zero, add))
+    found = F.aggregate(parts_, zero, chain, lambda acc: acc["out"])
     return F.when(F.coalesce(text.rlike(guard or pattern), F.lit(False)), found).otherwise(F.array().cast(kind))
 
 

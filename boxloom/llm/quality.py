@@ -112,14 +112,14 @@ def tails(text: str | None, model: np.ndarray) -> tuple[float, float]:
 
 def grade_of(quality: Column, toxic: Column) -> Column:
     """0: poor, 1: good but toxic, 2: good; null where the quality is unknown (unknown toxicity is none)."""
-    return F.when(quality == 0, 0).when(F.coalesce(toxic, F.lit(0)) == 1, 1).when(quality == 1, 2)
+    return F.when(quality == 0, 0).when((quality == 1) & (F.coalesce(toxic, F.lit(0)) == 1), 1).when(quality == 1, 2)
 
 
 def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> np.ndarray | None:
     """ratings (doc_id, grade). None without a rated document; a null grade or id is no rating.
 
     Of several ratings of a document the smallest counts. The ids chosen are at most ``sample``, so
-    the small side of the join is bounded, and so is what the one fitting task reads.
+    the small side of the join is bounded, and so is what the one fitting task gets by an exchange of its own.
     """
     rated = ratings.filter("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
     found = docs.select("doc_id", "text").join(F.broadcast(rated.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)), "doc_id")
@@ -131,7 +131,7 @@ def train(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> np.ndarr
             every = every.assign(known=every["text"].fillna("")).sort_values(["doc_id", "known"]).drop_duplicates("doc_id")
             yield pd.DataFrame({"w": [fit(list(every["text"]), every["grade"].to_numpy(dtype=np.int64)).tobytes()]})
 
-    got = found.coalesce(1).mapInPandas(fit_all, "w binary").collect()
+    got = found.repartition(1).mapInPandas(fit_all, "w binary").collect()
     return np.frombuffer(got[0]["w"]) if got else None
 
 

@@ -19,6 +19,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boxloom.llm.common import as_text
+
 KINDS = ("assign", "access", "hex")
 #: Fixed patterns. The lengths stand in the last two: a shorter run could not match in part either.
 ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII)
@@ -138,5 +140,5 @@ def find_secrets(docs: DataFrame, least_ratio: float = LEAST_RATIO) -> DataFrame
             made.insert(0, "doc_id", batch["doc_id"].array)
             yield made
 
-    schema = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_more long"
-    return docs.select("doc_id", "text").mapInPandas(judge, schema)
+    schema = "doc_id string, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_more long"
+    return docs.select(as_text("doc_id"), "text").mapInPandas(judge, schema).withColumn("doc_id", F.col("doc_id").cast("long"))

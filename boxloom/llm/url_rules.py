@@ -2,11 +2,15 @@
 
 A base list of (host, path) rules judges first, the longest fitting rule wins. FP-growth then mines
 token combinations from labelled URLs; rules pruned by support and confidence are matched through an
-inverted index (a rule is posted under its rarest token) and judge the URLs no base rule fits.
+inverted index (a rule is posted under its rarest token) and judge the URLs no base rule fits. Where
+the labels are the base list's own verdicts, the tokens that such a rule is made of are left out of
+the transactions: what they tell is the list itself, and says nothing about other URLs.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,16 +64,30 @@ def url_tokens(url: str = "url") -> Column:
     ))
 
 
+def tokens_of_rule(rule: tuple[str, str, str]) -> list[str]:
+    """Host labels and path segments of a base rule, as url_tokens writes them."""
+    host, path, _ = rule
+    digits = lambda x: re.sub("[0-9]+", "#", x)
+    return ["h:" + digits(x) for x in host.split(".") if x] + ["p:" + digits(x) for x in path.split("/") if x]
+
+
+def undecided(tokens: Column, rules=BASE_RULES) -> Column:
+    """tokens without those that any base rule is made of."""
+    known = sorted({x for r in rules for x in tokens_of_rule(r)})
+    return F.array_except(tokens, F.array(*map(F.lit, known))) if known else tokens
+
+
 def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: float, max_length: int) -> DataFrame:
-    """labelled (tokens, bad boolean, n: how often) -> (antecedent, verdict, confidence, support).
+    """labelled (tokens, bad boolean), one row a transaction -> (antecedent, verdict, confidence, support).
 
-    FP-growth runs over the labelled transactions with the label as an item; rules have the label
-    alone as consequent. The support bounds the number of rules, not their match.
+    FP-growth runs over the labelled transactions with the label as an item; equal ones meet in its
+    trees as counts. Rules have the label alone as consequent. The support bounds the number of
+    rules, not their match.
     """
     label = F.when(F.col("bad"), BLOCK).otherwise(ALLOW)
-    items = labelled.select(F.explode(F.array_repeat(F.concat("tokens", F.array(label)), F.col("n").cast("int"))).alias("items"))
     if labelled.isEmpty():
         return labelled.sparkSession.createDataFrame([], "antecedent array<string>, verdict string, confidence double, support double")
+    items = labelled.select(F.concat("tokens", F.array(label)).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(items)
     return staged(
         model.associationRules
@@ -80,6 +98,14 @@ def mine_rules(labelled: DataFrame, support: float, confidence: float, lift: flo
     )
 
 
+def precision(held: DataFrame, rules: DataFrame) -> DataFrame:
+    """held (tokens, bad) that no rule was mined from -> (verdict, judged, right) of the mined rules."""
+    rows = held.select(F.monotonically_increasing_id().alias("url"), "tokens", "bad")
+    rows = staged(rows)
+    return match_rules(rows, rules).join(rows.select("url", "bad"), "url").groupBy("verdict").agg(
+        F.count(F.lit(1)).alias("judged"), F.count_if(F.col("bad") == (F.col("verdict") == "block")).alias("right"))
+
+
 def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     """urls (url, tokens) distinct -> (url, verdict, confidence) of the best rule each matches.
 
@@ -104,27 +130,35 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     )
 
 
+def transactions(pages: DataFrame, rules=BASE_RULES) -> DataFrame:
+    """(tokens, bad, held): a row per distinct URL that a base rule fits, labelled with the rule's verdict.
+
+    One URL in ten, by hash, is held out: rules are mined from the others.
+    """
+    judged = pages.filter("url is not null").select("url").distinct().withColumn("base", base_rule(host_of(), path_of(), rules))
+    return judged.filter("base is not null").select(
+        undecided(url_tokens(), rules).alias("tokens"), (F.col("base.verdict") == "block").alias("bad"), (F.pmod(F.xxhash64("url"), F.lit(10)) == 0).alias("held"))
+
+
 def judge_urls(
     pages: DataFrame, labels: DataFrame | None = None, support: float = 0.01, confidence: float = 0.8,
     lift: float = 1.1, max_length: int = 4, rules=BASE_RULES,
 ) -> DataFrame:
     """One row per row of pages: page_id, host, path, rule, verdict, mined_confidence.
 
-    labels (url, bad boolean) trains the miner; without it, the URLs that a base rule fits are the
-    labelled ones and the rule's verdict is their label. URLs that neither a base nor a mined rule
-    fits are allowed. A null url, or one without ://, has empty host and path and no tokens of them.
-    Repeated rows are judged alike, each once; an empty table gives no rows; null labels are left out.
+    labels (url, bad boolean) trains the miner; without it, the distinct URLs that a base rule fits
+    are the labelled ones, the rule's verdict is their label, and they lack the tokens of base rules.
+    URLs that neither a base nor a mined rule fits are allowed. A null url, or one without ://, has
+    empty host and path and no tokens of them. Repeated rows are judged alike, each once, and are one
+    transaction; an empty table gives no rows; null labels are left out.
     """
     judged = pages.select("page_id", "url", host_of().alias("host"), path_of().alias("path"))
     judged = judged.withColumn("base", base_rule(F.col("host"), F.col("path"), rules))
     if labels is None:
-        # the tokens are those of the part of the URL a base rule does not already decide: all of them
-        known = judged.filter("base is not null").groupBy("url", (F.col("base.verdict") == "block").alias("bad"))
+        known = transactions(pages, rules).filter("not held").select("tokens", "bad")
     else:
-        known = labels.filter("url is not null and bad is not null").groupBy("url", "bad")
-    known = known.agg(F.count(F.lit(1)).alias("n")).select(url_tokens().alias("tokens"), "bad", "n")
-    known = staged(known.groupBy("tokens", "bad").agg(F.sum("n").alias("n")))
-    mined = mine_rules(known, support, confidence, lift, max_length)
+        known = labels.filter("url is not null and bad is not null").select("url", "bad").distinct().select(url_tokens().alias("tokens"), "bad")
+    mined = mine_rules(staged(known), support, confidence, lift, max_length)
     unknown = judged.filter("base is null and url is not null").select("url").distinct().withColumn("tokens", url_tokens())
     matched = match_rules(unknown, mined).select("url", F.col("verdict").alias("mined"), F.col("confidence").alias("mined_confidence"))
     return judged.join(matched, "url", "left").select(

@@ -52,6 +52,14 @@ def as_of_latest(rows: DataFrame, key: str, order: tuple[str, str], payload: str
     )
 
 
+def folded_headers(headers: Column) -> Column:
+    """Names lower-cased; values of names that are then equal are joined by a comma, in order, as HTTP reads them."""
+    entries = F.map_entries(headers)
+    names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
+    joined = lambda k: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == k), lambda e: e["value"]), ", ")
+    return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
+
+
 def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     """records (record_id, url, ts, status, etag, last_modified, headers map, payload_sha256) -> one row each.
 
@@ -65,7 +73,7 @@ def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     full = F.col("status") == 200
     rows = records.select(
         "record_id", "url", "ts", "status", "etag", "last_modified", "payload_sha256",
-        F.transform_keys("headers", lambda k, _: F.lower(k)).alias("headers"), canonical_url(F.col("url")).alias("canonical"),
+        folded_headers(F.col("headers")).alias("headers"), canonical_url(F.col("url")).alias("canonical"),
     ).withColumn("base", F.when(full, F.struct("record_id", "etag", "last_modified", "headers", "payload_sha256")))
     known = as_of_latest(
         rows.filter("canonical is not null"), "canonical", ("ts", "record_id"), "base",
