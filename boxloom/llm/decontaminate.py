@@ -35,8 +35,10 @@ def templated(text: Column) -> Column:
     return F.regexp_replace(bare, BLANKS, " ")
 
 
-def without_values(window: Column) -> Column:
-    return F.when(window.rlike("[\ue001-\ue003]"), F.regexp_replace(window, "([\ue001-\ue003])[^ ]*", "$1")).otherwise(window)
+def without_values(window: Column, size: int) -> Column:
+    """The template; a window with one plain word at most says nothing without its values, and keeps them."""
+    slots = F.regexp_count(window, F.lit("[\ue001-\ue003]"))
+    return F.when((slots > 0) & (slots < size - 1), F.regexp_replace(window, "([\ue001-\ue003])[^ ]*", "$1")).otherwise(window)
 
 
 def _with_plain(window: str) -> Column:
@@ -55,13 +57,13 @@ def item_windows(benchmark: DataFrame, size: int) -> DataFrame:
     return words.select(
         "item_id", "n_words",
         F.posexplode(F.transform(F.sequence(F.lit(1), F.col("n_words") - size + 1), lambda i: F.array_join(F.slice("words", i, size), " "))).alias("at", "item_window"),
-    ).withColumn("item_window", _with_plain("item_window")).withColumn("template", without_values(F.col("item_window"))).withColumn("h", F.xxhash64("template"))
+    ).withColumn("item_window", _with_plain("item_window")).withColumn("template", without_values(F.col("item_window"), size)).withColumn("h", F.xxhash64("template"))
 
 
 def document_windows(docs: DataFrame, size: int) -> DataFrame:
     pieces = F.regexp_extract_all(templated(F.col("text")), F.lit(f"(?<![^ ])(?=([^ ]+(?: [^ ]+){{{size - 1}}}))"), F.lit(1))
     rows = docs.filter("text is not null").select("doc_id", F.posexplode(pieces).alias("no", "window"))
-    return rows.withColumn("window", _with_plain("window")).withColumn("template", without_values(F.col("window"))).select(
+    return rows.withColumn("window", _with_plain("window")).withColumn("template", without_values(F.col("window"), size)).select(
         "doc_id", F.col("no").alias("doc_at"), "window", F.col("template").alias("doc_template"), F.xxhash64("template").alias("h")
     )
 

@@ -53,10 +53,10 @@ def as_of_latest(rows: DataFrame, key: str, order: tuple[str, str], payload: str
 
 
 def folded_headers(headers: Column) -> Column:
-    """Names lower-cased; values of names that are then equal are joined by a comma, in order, as HTTP reads them."""
+    """Names lower-cased; values of names that are then equal are joined by a comma, as HTTP reads them, sorted, as a map has no order."""
     entries = F.map_entries(headers)
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
-    joined = lambda k: F.array_join(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == k), lambda e: e["value"]), ", ")
+    joined = lambda k: F.array_join(F.array_sort(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == k), lambda e: e["value"])), ", ")
     return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
 
 
