@@ -88,34 +88,51 @@ def mask_geometry(runs: pd.Series, height: pd.Series) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "cx", "cy", "area"])
 
 
+def bit_fields(data: np.ndarray):
+    """A function (bit positions, widths up to 32) -> the unsigned numbers there, all at once; zeros after the end."""
+    padded = np.concatenate([data.astype(np.uint8), np.zeros(16, dtype=np.uint8)])
+    window = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+
+    def read(at, width) -> np.ndarray:
+        at = np.minimum(np.asarray(at, dtype=np.int64), 8 * len(data))
+        value = (window[at >> 3] << (at & 7).astype(np.uint64)) >> (np.uint64(64) - np.asarray(width, dtype=np.uint64))
+        return value.astype(np.int64)
+
+    return read
+
+
 def decode_brush(data: list[int], width: int, height: int) -> np.ndarray:
     """Packed brush of the annotation tool -> boolean (height, width) of the alpha channel.
 
     Head: 32 bits count, 5 bits word size less one, four times 4 bits size less one. Blocks: a bit
     for run or literals, two bits choosing a size, a length less one, then one word or as many.
+
+    Every bit position is read as if a block began there; following the blocks from the head's end
+    then tells which positions count, and only the words of alpha values are read.
     """
-    bits = np.unpackbits(np.asarray(data, dtype=np.int64).astype(np.uint8))
-    at = 0
-
-    def take(n: int) -> int:
-        nonlocal at
-        value = int("".join(map(str, bits[at : at + n])), 2)
-        at += n
-        return value
-
-    count, word = take(32), take(5) + 1
-    sizes = [take(4) + 1 for _ in range(4)]
-    out = np.zeros(count, dtype=np.uint8)
-    done = 0
-    while done < count:
-        run = take(1)
-        length = take(sizes[take(2)]) + 1
-        if run:
-            out[done : done + length] = take(word)
-        else:
-            out[done : done + length] = [take(word) for _ in range(length)]
-        done += length
-    return out.reshape(height, width, 4)[:, :, 3] > 0
+    raw = np.asarray(data, dtype=np.int64)
+    read, bits = bit_fields(raw), 8 * len(raw)
+    count, word = int(read(0, 32)), int(read(32, 5)) + 1
+    sizes = read(37 + 4 * np.arange(4), 4) + 1
+    here = np.arange(bits)
+    run, size = read(here, 1) == 1, sizes[read(here + 1, 2)]
+    length = read(here + 3, size) + 1
+    body = here + 3 + size
+    after = body + word * np.where(run, 1, length)
+    chain, at, done = [], 53, 0
+    while done < count and at < bits:
+        chain.append(at)
+        done += int(length[at])
+        at = int(after[at])
+    chain = np.array(chain, dtype=np.int64)
+    ends = np.cumsum(length[chain])
+    alpha = np.arange(3, min(count, done), 4)
+    block = np.searchsorted(ends, alpha, side="right")
+    inside = alpha - (ends - length[chain])[block]
+    place = body[chain][block] + word * np.where(run[chain][block], 0, inside)
+    out = np.zeros(height * width, dtype=bool)
+    out[: len(alpha)] = read(place, word)[: len(out)] > 0
+    return out.reshape(height, width)
 
 
 @F.pandas_udf(T.ArrayType(_LONG))

@@ -47,6 +47,27 @@ def batch_number(index: Column, size: int) -> Column:
     return F.floor(index / size)
 
 
+def debug_subset(df: DataFrame, index: str, most: int | None) -> DataFrame:
+    """The first ``most`` rows by index; all without a bound or with one that is not positive."""
+    return df.filter(F.col(index) < most) if most and most > 0 else df
+
+
+def plot_series(metrics: DataFrame, value: str) -> DataFrame:
+    """model, threshold and value as numbers, rows without one left out, in plotting order."""
+    numbers = metrics.select("model", F.col("threshold").try_cast("double").alias("threshold"), F.col(value).try_cast("double").alias(value))
+    sound = numbers.filter(~F.isnan(F.coalesce("threshold", F.lit(float("nan")))) & ~F.isnan(F.coalesce(F.col(value), F.lit(float("nan")))))
+    return sound.orderBy("model", "threshold")
+
+
+def by_requested_ids(df: DataFrame, id_col: str, wanted: list[str] | None, most: int) -> tuple[DataFrame, list[str]]:
+    """(the rows of the wanted ids, the wanted ids that are missing); without a list the first ``most`` by id."""
+    if not wanted:
+        return first_by_id(df, id_col, most), []
+    kept = df.filter(F.col(id_col).cast("string").isin([str(w) for w in wanted]))
+    have = {str(r[0]) for r in kept.select(id_col).distinct().collect()}  # at most as many as were asked for
+    return kept, [w for w in wanted if str(w) not in have]
+
+
 def first_by_id(df: DataFrame, id_col: str, n: int) -> DataFrame:
     return df.orderBy(id_col).limit(n)
 
@@ -72,6 +93,24 @@ def train_val_split(df: DataFrame, id_col: str, val: float = 0.2, seed: int = 42
     return both.select(*df.columns, "split")
 
 
+#: Rows counted in one window task of ``numbered``.
+BLOCK = 1 << 16
+
+
+def numbered(df: DataFrame, by: str, name: str, start: int = 0, then: tuple[str, ...] = (), group: tuple[str, ...] = ()) -> DataFrame:
+    """df with consecutive numbers in the order of the long column ``by`` (and the columns ``then``), a sequence a group.
+
+    Blocks of values are counted first; a window runs inside a block only, and what a block starts
+    with comes from the sums of the blocks before it, one short row each.
+    """
+    blocked = df.withColumn("_block", F.floor(F.col(by) / BLOCK))
+    upto = Window.partitionBy(*group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = blocked.groupBy(*group, "_block").agg(F.count(F.lit(1)).alias("_many"))
+    begins = sizes.select(*group, "_block", F.coalesce(F.sum("_many").over(upto), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*group, "_block").orderBy(by, *then))
+    return blocked.withColumn("_in", inside).join(begins, [*group, "_block"]).withColumn(name, (F.col("_before") + F.col("_in") + (start - 1)).cast("long")).select(*df.columns, name)
+
+
 def mask_length(mask: Column) -> Column:
     return F.aggregate(mask, F.lit(0).cast("long"), lambda a, x: a + x)
 
@@ -89,6 +128,22 @@ def structure_counts(messages: Column) -> Column:
     )
 
 
+def sample_structure(df: DataFrame) -> Column:
+    """struct of a row's counts: messages, text and image parts, images given as a mapping, target instances, their labels.
+
+    Columns messages, images (map) and target (struct with instances: array of struct with label) count where they are there.
+    """
+    kinds = dict(df.dtypes)
+    m = structure_counts(F.col("messages")) if "messages" in kinds else None
+    part = lambda n: F.coalesce(m[n], F.lit(0)) if m is not None else F.lit(0)
+    images = F.coalesce(F.size("images"), F.lit(0)) if kinds.get("images", "").startswith("map") else F.lit(0)
+    has_target = "instances:" in kinds.get("target", "")
+    found = F.coalesce(F.transform("target.instances", lambda i: i["label"]), F.array().cast("array<string>")) if has_target else F.array().cast("array<string>")
+    return F.struct(
+        part("n_messages").alias("num_messages"), part("n_text").alias("num_text_parts"), images.alias("num_image_assets"), part("n_image").alias("num_message_image_parts"),
+        F.size(found).alias("num_target_instances"), F.filter(found, lambda x: x.isNotNull()).alias("labels"))
+
+
 def token_length(text: Column) -> Column:
     """Whitespace tokens, in place of a model's tokenizer; pass a column of your own to the statistics for another."""
     return F.size(F.filter(F.split(text, "\\s+"), lambda t: t != ""))

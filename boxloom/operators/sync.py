@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from boxloom.functions import geometry as G
 from boxloom.functions.text import basename, sequential_id, task_image_url
 from boxloom.operators import masks as M
+from boxloom.operators.stats import numbered
 
 #: Order in which a result's label and shape are looked for (fixed values).
 LABEL_KEYS = ("brushlabels", "polygonlabels", "rectanglelabels", "labels", "keypointlabels")
@@ -32,22 +33,34 @@ def mask_predictions(annotations: Column, names: Column) -> Column:
     return F.filter(named, lambda p: p["label"].isNotNull() & p["runs"].isNotNull())
 
 
+def _parts(name: Column, lengths: list[int]) -> Column:
+    """The distinct substrings of a name that have one of the lengths."""
+    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+
+
 def match_tasks(tasks_: DataFrame, samples: DataFrame) -> DataFrame:
-    """task_no with the line_no of its sample: by id, else by basename, else by one uri within the other.
+    """task_no with the line_no of its sample: by id, else by basename, else by one basename within the other.
 
     tasks (task_no, key, path), samples (line_no, sample_id, uri). A task without a path never
-    matches. Each tier takes the first sample in file order; only what the first two leave reaches
-    the third, which compares shared basename tails.
+    matches. Each tier takes the first sample in file order. Only what the first two leave reaches the
+    third, which is two equi-joins on substrings: those that are as long as some name of the other side.
     """
     t = tasks_.filter("path is not null and path <> ''").withColumn("base", basename(F.col("path")))
     s = samples.withColumn("sbase", basename(F.col("uri")))
     ids = s.groupBy(F.col("sample_id").alias("key")).agg(F.min("line_no").alias("by_id"))
     names = s.filter("sbase <> ''").groupBy(F.col("sbase").alias("base")).agg(F.min("line_no").alias("by_name"))
     two = t.join(ids, "key", "left").join(names, "base", "left").withColumn("line_no", F.coalesce("by_id", "by_name"))
-    left = two.filter("line_no is null").select("task_no", "path", "base")
-    inside = F.col("base").contains(F.col("sbase")) | F.col("sbase").contains(F.col("base"))
-    third = left.join(s.filter("sbase <> ''").select("sbase", F.col("line_no").alias("by_part")), inside).groupBy("task_no").agg(F.min("by_part").alias("by_part"))
-    return two.join(third, "task_no", "left").select("task_no", F.coalesce("line_no", "by_part").alias("line_no")).filter("line_no is not null")
+    left = two.filter("line_no is null and base <> ''").select("task_no", "base")
+    lengths = lambda df: sorted(r[0] for r in df.select(F.length("base")).distinct().collect())  # noqa: E731  lengths of file names
+    of_tasks = lengths(left)
+    if of_tasks:
+        first = names.select("base", F.col("by_name").alias("by_part"))
+        in_task = left.select("task_no", F.explode(_parts(F.col("base"), lengths(names))).alias("base")).join(first, "base").select("task_no", "by_part")
+        in_name = first.select("by_part", F.explode(_parts(F.col("base"), of_tasks)).alias("base")).join(left, "base").select("task_no", "by_part")
+        third = in_task.unionByName(in_name).groupBy("task_no").agg(F.min("by_part").alias("by_part"))
+        two = two.join(third, "task_no", "left").withColumn("line_no", F.coalesce("line_no", "by_part"))
+    return two.select("task_no", "line_no").filter("line_no is not null")
 
 
 def last_task_per_sample(matched: DataFrame) -> DataFrame:
@@ -66,21 +79,23 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
     """results (line_no, pos, r: region) of first annotations -> one instance an id: label, shape, box, point, mask, area.
 
     Results that share an id are one instance, of which the last label and shape count; without an id
-    each is its own, inst_<k>. Instances without a label go; without a shape they keep no box. Brushes
+    each is its own, inst_<k>, k the number of instances before it, labelled or not. Instances without
+    a label go; without a shape they keep no box. Brushes
     and polygons give the mask (packed counts and size), whose box, unless the mask is empty, overrides
     the rectangle and whose centroid is the point where there is no keypoint; area is the mask's.
     """
     v = F.col("r.value")
     w, h = F.col("r.original_width"), F.col("r.original_height")
-    order = Window.partitionBy("line_no").orderBy("pos")
-    own = F.when(F.col("r.id").isNotNull(), F.concat(F.lit("ls_"), F.col("r.id"))).otherwise(sequential_id(F.row_number().over(order) - 1, "inst_", 4))
+    own = F.when(F.coalesce(F.col("r.id"), F.lit("")) != "", F.concat(F.lit("ls_"), F.col("r.id"))).otherwise(F.concat(F.lit("gen_"), F.col("pos").cast("string")))
     shape = region_shape(v)
     rect = G.percent_rect(v["x"], v["y"], v["width"], v["height"], w, h)
     point = F.when(shape == "keypoint", F.struct(G.percent_to_pixels(v["x"], w).alias("x"), G.percent_to_pixels(v["y"], h).alias("y")))
     rows = results.select("line_no", "pos", own.alias("instance_id"), region_label(v).alias("label"), shape.alias("shape"), F.when(shape == "rect", rect).alias("box"), point.alias("point"), M.region_runs(v["rle"], v["points"], w, h).alias("runs"), h.alias("h"), w.alias("w"))
     rows = rows.withColumn("drawn", F.when(F.col("runs").isNotNull(), F.struct("runs", "h", "w"))).drop("runs", "h", "w")
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
-    one = rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point"), last("drawn")).filter("label is not null")
+    one = rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point"), last("drawn"))
+    number = F.row_number().over(Window.partitionBy("line_no").orderBy("pos")) - 1  # one row an instance of an image
+    one = one.withColumn("instance_id", F.when(F.col("instance_id").startswith("gen_"), sequential_id(number, "inst_", 4)).otherwise(F.col("instance_id"))).filter("label is not null")
     one = one.withColumn("g", M.mask_geometry("drawn.runs", "drawn.h")).withColumn("counts", M.encode_runs("drawn.runs"))
     drawn = F.col("drawn").isNotNull()
     box = F.when(F.col("g.x1").isNotNull(), F.struct(*[F.col(f"g.{n}").alias(n) for n in ("x1", "y1", "x2", "y2")]))
@@ -118,23 +133,34 @@ def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[D
     return done.withColumn("reviewed", F.when(F.col("task_no").isNotNull(), F.coalesce("reviewed", empty))), table
 
 
+def reviewed_header(header: dict, table: DataFrame) -> dict:
+    """The header after a review: masks announced, labels rebuilt from the table (label_id, label_name, description)."""
+    info = dict(header["info"])
+    old = {k: v.get("description") for k, v in (info.get("label_info") or {}).items()}
+    rows = table.orderBy("label_id").collect()  # a label table
+    info["label_info"] = {r["label_name"]: {
+        "label_id": r["label_id"], "label_name": r["label_name"], "description": old.get(r["label_name"]) if r["label_name"] in old else r["description"],
+        "aliases": [], "parent_label": "root"} for r in rows}
+    return {**header, "info": info | {"has_semantic_masks": True}}
+
+
 def coco_tables(samples: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) with sequential ids; samples without a uri and annotations without a box go.
 
     samples (line_no, uri, width, height, annotations: array of struct(label_id, box, area, and mask
-    (counts, size) where they have masks), as sync's reviewed). segmentation is the mask, null without one.
-    Ids count in file order by offsets of range-partitioned counts only where the tool needs one file.
+    (counts, size) where they have masks), as sync's reviewed). segmentation is the mask, null without
+    one. Ids count from 1 in file order; no task numbers all rows (see numbered).
     """
-    kept = samples.filter("uri is not null and uri <> ''").withColumn("image_id", F.row_number().over(Window.orderBy("line_no")))
-    images = kept.select("image_id", F.col("uri").alias("file_name"), "width", "height")
     boxed = F.filter("annotations", lambda a: a["box"].isNotNull())
-    each = kept.select("image_id", F.posexplode(boxed).alias("k", "a"))
+    kept = numbered(samples.filter("uri is not null and uri <> ''").withColumn("_boxed", boxed), "line_no", "image_id", start=1)
+    images = kept.select("image_id", F.col("uri").alias("file_name"), "width", "height")
+    each = numbered(kept.select("image_id", F.posexplode("_boxed").alias("k", "a")), "image_id", "id", start=1, then=("k",))
     b = F.col("a.box")
     has_mask = "mask" in samples.schema["annotations"].dataType.elementType.names
     segmentation = F.col("a.mask") if has_mask else F.lit(None).cast("struct<counts:string,size:array<int>>")
     w, h = (b["x2"] - b["x1"]).cast("double"), (b["y2"] - b["y1"]).cast("double")
     annots = each.select(
-        F.row_number().over(Window.orderBy("image_id", "k")).alias("id"), "image_id", F.col("a.label_id").alias("category_id"), segmentation.alias("segmentation"),
+        "id", "image_id", F.col("a.label_id").alias("category_id"), segmentation.alias("segmentation"),
         F.array(b["x1"].cast("double"), b["y1"].cast("double"), w, h).alias("bbox"), F.coalesce("a.area", (w * h).cast("long")).alias("area"), F.lit(0).alias("iscrowd"))
     cats = labels.select(F.col("label_id").alias("id"), F.col("label_name").alias("name"), F.lit("object").alias("supercategory"))
     return images, annots, cats
@@ -147,7 +173,42 @@ def mask_messages(annots: DataFrame) -> DataFrame:
     return annots.filter("area is not null").select("sample_id", "instance_id", (100.0 * area / (F.col("width") * F.col("height"))).alias("percent"), odd.alias("problem"))
 
 
-def pseudo_label(samples: DataFrame, predictor, schema: str, overwrite: bool = False) -> DataFrame:
-    """Boxes without a mask (or all, with overwrite) through predictor, a mapInPandas function the caller brings."""
-    wanted = samples.filter(F.exists("annotations", lambda a: a["bbox"].isNotNull() & (a["mask"].isNull() | F.lit(overwrite))))
-    return wanted.mapInPandas(predictor, schema)
+def has_any_mask(annotations: Column) -> Column:
+    return F.exists(annotations, lambda a: a["mask"].isNotNull())
+
+
+def samples_to_show(samples: DataFrame, most: int = 0) -> DataFrame:
+    """Samples with masks and a found image, the first ``most`` by line_no; all for 0."""
+    shown = samples.filter(has_any_mask(F.col("annotations")) & F.col("found").isNotNull())
+    return shown.orderBy("line_no").limit(most) if most else shown
+
+
+def pseudo_label(samples: DataFrame, predictor, overwrite: bool = False, name: str = "sam2_box_prompt_rle") -> DataFrame:
+    """samples with masks for their boxes; every sample comes back.
+
+    samples (line_no, found, width, height, annotations: array of struct with instance_id, bbox struct
+    x1..y2, mask (counts, size), source). predictor takes batches of (line_no, pos, found, width,
+    height, x1, y1, x2, y2) through mapInPandas and gives (line_no, pos, height, width, runs); what it
+    fails on it leaves out. A box is asked about if its image was found and it has no mask, or all with
+    overwrite. A mask of another size than the image is refused. mask_source names the predictor where
+    anything changed, mask_format and source say so per instance; a source that is there stays.
+    """
+    each = samples.filter("found is not null").select("line_no", "found", "width", "height", F.posexplode("annotations").alias("pos", "a"))
+    asked = each.filter(F.col("a.bbox").isNotNull() & (F.col("a.mask").isNull() | F.lit(overwrite)))
+    box = G.prompt_box(F.col("a.bbox"), F.col("width"), F.col("height"))
+    prompts = asked.select("line_no", "pos", "found", "width", "height", box.alias("b")).select("line_no", "pos", "found", "width", "height", "b.*")
+    schema = "line_no long, pos int, height int, width int, runs array<long>"
+    made = prompts.mapInPandas(predictor, schema).withColumnRenamed("height", "mask_h").withColumnRenamed("width", "mask_w")
+    sized = made.join(samples.select("line_no", "width", "height"), "line_no").filter((F.col("mask_h") == F.col("height")) & (F.col("mask_w") == F.col("width")))
+    packed = sized.select("line_no", "pos", F.struct(M.encode_runs("runs").alias("counts"), F.array("mask_h", "mask_w").alias("size")).alias("mask"))
+    new = packed.groupBy("line_no").agg(F.map_from_entries(F.collect_list(F.struct("pos", "mask"))).alias("new"))  # an image's boxes
+
+    def one(a: Column, i: Column) -> Column:
+        mask = F.try_element_at(F.col("new"), i)
+        fields = [f for f in samples.schema["annotations"].dataType.elementType.names if f not in ("mask", "mask_format", "source")]
+        return F.struct(
+            *[a[f].alias(f) for f in fields], F.coalesce(mask, a["mask"]).alias("mask"), F.when(mask.isNotNull(), "coco_rle").alias("mask_format"),
+            F.when(mask.isNotNull(), F.coalesce(a["source"], F.lit(name))).otherwise(a["source"]).alias("source"))
+
+    done = samples.join(new, "line_no", "left").withColumn("annotations", F.transform("annotations", one))
+    return done.withColumn("mask_source", F.when(F.col("new").isNotNull(), F.lit(name))).drop("new")

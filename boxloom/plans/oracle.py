@@ -57,7 +57,7 @@ ORACLE = {
     "metrics_by_threshold": _METRICS + "SELECT model, threshold, tp, fp, fn, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1, round(mean_iou_tp, 6) AS mean_iou_tp, round(miou_gt_penalized, 6) AS miou_gt_penalized, round(mean_iou_positive_matches, 6) AS mean_iou_positive_matches FROM me",
     "summary_best_f1": _METRICS + "SELECT model, threshold AS best_threshold, round(f1, 6) AS best_f1, round(precision, 6) AS best_precision, round(recall, 6) AS best_recall, round(miou_gt_penalized, 6) AS miou_gt_penalized, round(mean_iou_positive_matches, 6) AS mean_iou_positive_matches FROM me QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold DESC, no) = 1",
     "csv_union_best": _METRICS + "SELECT model, threshold AS best_threshold, round(f1, 6) AS best_f1, round(precision, 6) AS best_precision, round(recall, 6) AS best_recall, round(miou_gt_penalized, 6) AS miou_gt_penalized, round(mean_iou_positive_matches, 6) AS mean_iou_positive_matches, CASE WHEN no >= 2 THEN round(mean_iou_tp, 6) END AS mean_iou_tp, tp, fp, fn FROM me QUALIFY row_number() OVER (PARTITION BY model ORDER BY f1 DESC, threshold DESC, no) = 1",
-    "iou_pairs": "WITH RECURSIVE" + _cands() + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM c0 WHERE iou >= 0.5",
+    "iou_pairs": "WITH" + _cands().split(",\nc AS (")[0] + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM c0 WHERE iou >= 0.5",
     "match_greedy": "WITH RECURSIVE" + _cands() + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM mt",
     "match_class_agnostic": "WITH RECURSIVE" + _cands(aware=False) + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM mt",
     "outer_align": "WITH" + _BOXES + " SELECT sample_id, (count(*) FILTER (WHERE side = 0))::INT AS n_gt, (count(*) FILTER (WHERE side = 1))::INT AS n_pred FROM b GROUP BY sample_id",
@@ -74,7 +74,7 @@ SELECT image_id, p, s, n, greatest(0, least(width - 1, least(xa, xb))) AS x1, gr
 c AS (SELECT regexp_replace(regexp_replace(regexp_replace(trim(label), '[^A-Za-z0-9_.:-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS label_name, description, s, o FROM a),
 f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY label_name ORDER BY s, o) = 1)
 SELECT (row_number() OVER (ORDER BY s, o, label_name))::INT AS label_id, label_name, description FROM f""",
-    "label_collisions": "WITH r AS (SELECT DISTINCT regexp_replace(p_name, '[aeiou]', ' ', 'g') AS label FROM part) SELECT regexp_replace(regexp_replace(regexp_replace(trim(label), '[^A-Za-z0-9_.:-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS label_name, count(*) AS n FROM r GROUP BY 1 HAVING count(*) > 1",
+    "label_collisions": "WITH r AS (SELECT DISTINCT unnest(list_slice([p_brand, replace(p_brand, '#', ' '), '_' || replace(p_brand, '#', '__')], 1, p_partkey % 3 + 1)) AS label FROM part) SELECT regexp_replace(regexp_replace(regexp_replace(trim(label), '[^A-Za-z0-9_.:-]+', '_', 'g'), '_+', '_', 'g'), '^_+|_+$', '', 'g') AS label_name, count(*) AS n FROM r GROUP BY 1 HAVING count(*) > 1",
     "invalid_counts": "WITH " + _RAW + """, v AS (SELECT image_id, class IS NOT NULL AND x1 < x2 AND y1 < y2 AS ok FROM nm),
 g AS (SELECT im.image_id, count(ok) AS n, count(*) FILTER (WHERE ok) AS good FROM im LEFT JOIN v ON v.image_id = im.image_id GROUP BY im.image_id)
 SELECT count(*) AS images, count(*) FILTER (WHERE good > 0) AS written, count(*) FILTER (WHERE n = 0) AS empty_seen, sum(good)::BIGINT AS instances, sum(n - good)::BIGINT AS invalid FROM g""",
@@ -88,7 +88,7 @@ q AS (SELECT sample_id, list_transform(string_split(trim(item, '<>'), ',')[2:5],
 z AS (SELECT sample_id, count(*) AS n, sum(least(159, c[1]) + least(159, c[2]) + greatest(1, least(160, c[3])) + greatest(1, least(160, c[4])))::BIGINT AS s FROM q GROUP BY sample_id)
 SELECT cl.sample_id, cleaned <> 'no boxes in sight' AS valid, cleaned = '<none>' AS is_empty, coalesce(n, 0)::INT AS n_items, (cleaned = 'no boxes in sight')::INT AS n_errors, coalesce(s, 0) AS corner_sum FROM cl LEFT JOIN z ON z.sample_id = cl.sample_id""",
     "flatten_messages": "SELECT conv_id, string_agg(role || ':' || chr(10) || coalesce(text, ''), chr(10) ORDER BY turn) AS txt FROM conversations GROUP BY conv_id",
-    "structure_counts": "SELECT conv_id, count(*)::INT AS n_messages, count(*)::INT AS n_text, 0::INT AS n_image FROM conversations GROUP BY conv_id",
+    "structure_counts": "SELECT conv_id, count(*)::INT AS n_messages, count(*)::INT AS n_text, sum(turn % 3)::INT AS n_image FROM conversations GROUP BY conv_id",
     "numeric_stats": """SELECT lang, count(n_chars) AS count, min(n_chars)::DOUBLE AS min, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, max(n_chars)::DOUBLE AS max,
 round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median, round(quantile_cont(n_chars::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(n_chars::DOUBLE, 0.99), 6) AS p99,
 count(*) FILTER (WHERE n_chars > 2000) AS num_over_max_length, round(count(*) FILTER (WHERE n_chars > 2000) / count(n_chars), 6) AS ratio_over_max_length FROM documents GROUP BY lang""",
@@ -99,8 +99,42 @@ count(*) FILTER (WHERE n_chars > 2000) AS num_over_max_length, round(count(*) FI
     "split_counts": "SELECT doc_id, CASE WHEN row_number() OVER (ORDER BY md5(doc_id || '|42'), doc_id) <= round_even((SELECT count(*) FROM documents) * 0.2::DOUBLE, 0) THEN 'val' ELSE 'train' END AS split FROM documents",
     "fingerprint": """SELECT doc_id, substr(sha256('{"doc_id":' || doc_id || ',"lang":"' || lang || '","n_chars":' || n_chars || '}'), 1, 16) AS fp FROM documents""",
     "rle_area": "SELECT p_partkey, (p_partkey * 2 % 17 + p_partkey * 4 % 17 + p_partkey * 6 % 17 + p_partkey * 8 % 17)::BIGINT AS area FROM part",
-    "rle_roundtrip": "SELECT p_partkey, true AS same FROM part",
-    "variant_metadata": "SELECT json_type(props) = 'OBJECT' AS is_object, count(*) AS n FROM events GROUP BY 1",
+    "rle_roundtrip": """WITH r AS (SELECT p_partkey, list_transform(range(1, 10), lambda i: p_partkey * i * 31 % 1700) AS v FROM part),
+x AS (SELECT p_partkey, v, unnest(list_transform(range(1, 10), lambda i: CASE WHEN i > 3 THEN v[i] - v[i - 2] ELSE v[i] END)) AS x FROM r)
+SELECT p_partkey, sum(CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512 AND 511 THEN 2 ELSE 3 END)::INT AS n_chars, array_to_string(any_value(v), ',') AS runs FROM x GROUP BY p_partkey""",
+    "convert_records": "WITH " + _RAW + """,
+o AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS line_no FROM im),
+v AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p, s, n) - 1 AS k, class IS NOT NULL AND x1 < x2 AND y1 < y2 AS ok FROM nm),
+g AS (SELECT image_id, count(*) FILTER (WHERE NOT ok) AS bad FROM v GROUP BY image_id)
+SELECT o.line_no, 'cfg_a_' || lpad(o.line_no::VARCHAR, greatest(6, length(o.line_no::VARCHAR))::INT, '0') AS sample_id, '../sets/pics/' || o.image_id || '.jpg' AS uri, coalesce(bad, 0) AS invalid,
+  'obj_' || lpad(k::VARCHAR, 5, '0') AS instance_id, category_id + 1 AS label_id, regexp_replace(class, '[^A-Za-z0-9_.:-]+', '_', 'g') AS label_name, x1, y1, x2, y2,
+  round_even((x1 + x2) / 2, 0)::BIGINT AS cx, round_even((y1 + y2) / 2, 0)::BIGINT AS cy
+FROM o LEFT JOIN g ON g.image_id = o.image_id LEFT JOIN v ON v.image_id = o.image_id AND ok""",
+    "task_match": """WITH s AS (SELECT doc_id AS line_no, doc_id::VARCHAR AS sample_id, 'doc_' || lpad(doc_id::VARCHAR, 5, '0') || '.jpg' AS name FROM documents),
+t AS (SELECT page_id AS task_no, CASE WHEN page_id % 6 = 0 THEN page_id::VARCHAR END AS key,
+  CASE page_id % 6 WHEN 0 THEN 'none.png' WHEN 1 THEN 'doc_' || lpad(page_id::VARCHAR, 5, '0') || '.jpg' WHEN 2 THEN '4f2-doc_' || lpad(page_id::VARCHAR, 5, '0') || '.jpg'
+    WHEN 3 THEN 'doc_' || lpad((page_id // 10)::VARCHAR, 4, '0') WHEN 4 THEN 'zz' END AS base FROM pages),
+m AS (SELECT task_no, min(line_no) FILTER (WHERE sample_id = key) AS a, min(line_no) FILTER (WHERE name = base) AS b, min(line_no) FILTER (WHERE contains(name, base) OR contains(base, name)) AS c
+  FROM t JOIN s ON base IS NOT NULL AND (sample_id = key OR name = base OR contains(name, base) OR contains(base, name)) GROUP BY task_no)
+SELECT task_no, coalesce(a, b, c) AS line_no FROM m""",
+    "reviewed_instances": """WITH b AS (SELECT p_partkey AS line_no, (p_partkey % 10 * 2)::BIGINT AS x, (p_partkey % 7 * 2)::BIGINT AS y, p_partkey % 10 * 5 AS xp, p_partkey % 7 * 10 AS yp FROM part)
+SELECT line_no, 'ls_r' AS instance_id, 'box' AS label, x AS x1, y AS y1, round_even(xp / 100 * 40 + (xp + 7) / 100 * 40, 0)::BIGINT AS x2, round_even(yp / 100 * 20 + (yp + 3) / 100 * 20, 0)::BIGINT AS y2,
+  NULL::DOUBLE AS px, NULL::DOUBLE AS py, NULL::BIGINT AS area, false AS has_mask FROM b
+UNION ALL SELECT line_no, 'ls_p', 'poly', x, y, x + 8, least(20, y + 6), x::DOUBLE, y::DOUBLE, 8 * (least(20, y + 6) - y), true FROM b
+UNION ALL SELECT line_no, 'ls_o', 'mask', x, y, x + 8, least(20, y + 6), x + 3.5::DOUBLE, y + (least(20, y + 6) - y - 1) / 2, 8 * (least(20, y + 6) - y), true FROM b
+UNION ALL SELECT line_no, 'inst_0004', 'late', 4, 2, 24, 12, NULL, NULL, NULL, false FROM b""",
+    "coco_export": "WITH" + _BOXES + """,
+im AS (SELECT DISTINCT o_orderkey // 8 AS image FROM orders),
+i AS (SELECT image, row_number() OVER (ORDER BY image) AS image_id, 'i/' || image AS file_name FROM im WHERE image % 7 > 0),
+a AS (SELECT image_id, file_name, r_name AS name, x1 AS x, y1 AS y, x2 - x1 AS w, y2 - y1 AS h, row_number() OVER (ORDER BY image_id, side, idx) AS id
+  FROM i JOIN b ON b.sample_id = image AND l_linenumber < 5 JOIN region ON r_regionkey = ascii(label) % 5)
+SELECT id, image_id, file_name, name, x, y, w, h, (w * h)::BIGINT AS area, 0 AS iscrowd FROM a""",
+    "parse_json": "WITH" + _BOXES + """,
+c AS (SELECT sample_id, count(*) AS n, sum(least(159, round_even(round_even(x1 / 160 * 1000, 0) / 1000 * 160, 0)) + least(159, round_even(round_even(y1 / 160 * 1000, 0) / 1000 * 160, 0))
+  + greatest(1, least(160, round_even(round_even(x2 / 160 * 1000, 0) / 1000 * 160, 0))) + greatest(1, least(160, round_even(round_even(y2 / 160 * 1000, 0) / 1000 * 160, 0))))::BIGINT AS s FROM b WHERE side = 1 GROUP BY sample_id)
+SELECT sample_id, sample_id % 17 <> 0 AS valid, sample_id % 17 <> 0 AND sample_id % 13 = 0 AS is_empty, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE n END::INT AS n_items,
+  (sample_id % 17 = 0)::INT AS n_errors, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE s END AS corner_sum FROM c""",
+    "variant_metadata": "SELECT event_type, coalesce(json_type(props) = 'OBJECT', false) AS is_object, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k, 0::BIGINT AS none FROM events GROUP BY 1, 2",
 }
 
 _LINE = "string_agg('    <Label value=\"' || r_name || '\" background=\"' || c[(k % 8 + 1)::INT] || '\"' || {more} || '/>', chr(10) ORDER BY r_regionkey)"

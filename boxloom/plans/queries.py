@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from boxloom.functions import geometry as G
 from boxloom.functions import text as X
-from boxloom.operators import convert, masks, matching, parsing, stats
+from boxloom.operators import convert, masks, matching, parsing, records, stats, sync
 
 THRESHOLDS = (0.1, 0.25, 0.5, 0.75, 0.9)
 BOX = ("x1", "y1", "x2", "y2")
@@ -120,7 +120,9 @@ def label_table(spark, d):
 
 
 def label_collisions(spark, d):
-    return convert.label_collisions(_t(spark, d, "part").select(F.regexp_replace("p_name", "[aeiou]", " ").alias("label")))
+    brand = F.col("p_brand")
+    written = F.array(brand, F.replace(brand, F.lit("#"), F.lit(" ")), F.concat(F.lit("_"), F.replace(brand, F.lit("#"), F.lit("__"))))
+    return convert.label_collisions(_t(spark, d, "part").select(F.explode(F.slice(written, 1, (F.col("p_partkey") % 3 + 1).cast("int"))).alias("label")))
 
 
 def _named(spark, d):
@@ -128,14 +130,21 @@ def _named(spark, d):
     return _raw_boxes(spark, d).join(F.broadcast(names), "category_id", "left")  # a nation table has 25 rows
 
 
+def _nation_labels(spark, d):
+    return _t(spark, d, "nation").select(X.sanitize_label(F.col("n_name")).alias("label_name"), (F.col("n_nationkey") + 1).alias("label_id"))
+
+
 def invalid_counts(spark, d):
-    box = G.xywh_to_xyxy(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
-    rows = _named(spark, d).withColumn("box", box).select("image_id", F.struct("p", "s", "n").alias("at"), (F.col("class").isNotNull() & G.is_valid(F.col("box"))).alias("valid"))
-    return convert.conversion_counts(convert.group_annotations(_images(spark, d), rows))
+    rows = _named(spark, d).withColumn("bbox", F.array("x", "y", "w", "h")).withColumn("at", F.col("p"))
+    done = convert.convert_boxes(rows, F.broadcast(_nation_labels(spark, d)))  # 25 rows
+    kept = done.select("image_id", F.struct("p", "s", "n").alias("at"), "valid")
+    return convert.conversion_counts(convert.group_annotations(_images(spark, d), kept))
 
 
 def category_filter(spark, d):
-    return _named(spark, d).filter(F.col("category_id").isin(1, 3, 5, 7)).groupBy("category_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    named = _named(spark, d)
+    kept = convert.keep_categories(named, _t(spark, d, "nation").select(F.col("n_nationkey").alias("category_id")), [1, 3, 5, 7])
+    return kept.groupBy("category_id", "class").agg(F.count(F.lit(1)).alias("n"))
 
 
 def group_annotations(spark, d):
@@ -180,7 +189,13 @@ def flatten_messages(spark, d):
 
 
 def structure_counts(spark, d):
-    return _messages(spark, d).select("conv_id", stats.structure_counts(F.col("messages")).alias("s")).select("conv_id", "s.*")
+    none = F.lit(None).cast("string")
+    text = F.struct(F.lit("text").alias("type"), none.alias("path"), F.col("text").alias("text"))
+    image = F.struct(F.lit("image").alias("type"), F.lit("a.jpg").alias("path"), none.alias("text"))
+    parts = F.when(F.col("turn") % 3 == 1, F.array(image, text)).when(F.col("turn") % 3 == 2, F.array(text, image, image)).otherwise(F.array(text))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.struct("role", parts.alias("content")).alias("m"))
+    m = rows.groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "m"))), lambda s: s["m"]).alias("messages"))
+    return m.select("conv_id", stats.structure_counts(F.col("messages")).alias("s")).select("conv_id", "s.*")
 
 
 def numeric_stats(spark, d):
@@ -225,9 +240,93 @@ def rle_area(spark, d):
 
 
 def rle_roundtrip(spark, d):
+    """Runs packed and unpacked again, with the length of the text, which SQL counts from the runs' differences."""
     runs = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: (F.col("p_partkey") * i * 31 % 1700).cast("long"))
-    p = _t(spark, d, "part").select("p_partkey", runs.alias("runs"))
-    return p.withColumn("again", masks.decode_runs(masks.encode_runs("runs"))).select("p_partkey", (F.col("again") == F.col("runs")).alias("same"))
+    p = _t(spark, d, "part").select("p_partkey", masks.encode_runs(runs).alias("counts"))
+    again = p.select("p_partkey", F.length("counts").alias("n_chars"), masks.decode_runs("counts").alias("runs"))
+    return again.select("p_partkey", "n_chars", F.array_join(F.transform("runs", lambda r: r.cast("string")), ",").alias("runs"))
+
+
+def convert_records(spark, d):
+    """Records of one entry, flattened: what a converted manifest says of every box."""
+    rows = _named(spark, d).select("image_id", F.struct("p", "s", "n").alias("at"), "class", F.array("x", "y", "w", "h").alias("bbox"))
+    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "idx"), rows)
+    samples = images.withColumn("image", F.concat(F.lit("imgs/../pics/"), F.col("image_id").cast("string"), F.lit(".jpg")))
+    labels = [(r["label_name"], r["label_id"]) for r in _nation_labels(spark, d).collect()]  # 25 rows
+    entry = {"entry_id": "cfg_a", "config_dir": "/data/cfg", "config_path": "/data/cfg/a.yaml", "dataset": "CocoWasteDataset", "global_root": "/data/sets"}
+    made = records.entry_records(samples, entry, labels, common_folder="/data/common")
+    a = F.explode_outer(F.col("assets")[0]["annotations"]).alias("a")
+    flat = made.select("line_no", "sample_id", F.col("assets")[0]["uri"].alias("uri"), "invalid", a)
+    return flat.select(
+        "line_no", "sample_id", "uri", "invalid", "a.instance_id", "a.label_id", "a.label_name", F.col("a.bbox.tl.x").alias("x1"), F.col("a.bbox.tl.y").alias("y1"),
+        F.col("a.bbox.br.x").alias("x2"), F.col("a.bbox.br.y").alias("y2"), F.col("a.points")[0]["x"].alias("cx"), F.col("a.points")[0]["y"].alias("cy"))
+
+
+def task_match(spark, d):
+    samples = _t(spark, d, "documents").select(F.col("doc_id").alias("line_no"), F.col("doc_id").cast("string").alias("sample_id"), F.format_string("imgs/doc_%05d.jpg", "doc_id").alias("uri"))
+    k = F.col("page_id")
+    name = F.format_string("doc_%05d.jpg", "page_id")
+    path = (
+        F.when(k % 6 == 0, "x/none.png").when(k % 6 == 1, F.concat(F.lit("x/"), name)).when(k % 6 == 2, F.concat(F.lit("x/4f2-"), name))
+        .when(k % 6 == 3, F.format_string("x/doc_%04d", (k / 10).cast("long"))).when(k % 6 == 4, F.lit("x/zz")))
+    key = F.when(k % 6 == 0, k.cast("string"))
+    return sync.match_tasks(_t(spark, d, "pages").select(k.alias("task_no"), key.alias("key"), path.alias("path")), samples)
+
+
+def _reviews(spark, d):
+    """A tool's results: per part a rectangle, a polygon with a key point, a polygon that overrides a rectangle, an unlabelled one and one without id."""
+    k = F.col("p_partkey")
+    x, y = k % 10 * 5, k % 7 * 10
+    num = lambda c: c.cast("double")
+    corner = lambda a, b: F.array(num(a), num(b))
+    square = F.array(corner(x, y), corner(x + 20, y), corner(x + 20, y + 30), corner(x, y + 30))
+    none = F.lit(None)
+
+    def region(i, label, key, points=none, rect=None, point=None):
+        x0, y0 = rect[:2] if rect else point or (none, none)
+        w, h = rect[2:] if rect else (none, none)
+        value = F.struct(
+            none.cast("array<int>").alias("rle"), points.cast("array<array<double>>").alias("points"), num(x0).alias("x"), num(y0).alias("y"), num(w).alias("width"), num(h).alias("height"),
+            *[(F.array(F.lit(label)) if n == key and label else none.cast("array<string>")).alias(n) for n in sync.LABEL_KEYS])
+        return F.struct(F.lit(i).cast("string").alias("id"), F.lit(40).alias("original_width"), F.lit(20).alias("original_height"), value.alias("value"))
+
+    results = F.array(
+        region("r", "box", "rectanglelabels", rect=(x, y, x + 7, y + 3)), region("p", "poly", "polygonlabels", square), region("p", None, "keypointlabels", point=(x, y)),
+        region("o", "both", "rectanglelabels", rect=(F.lit(0), F.lit(0), F.lit(100), F.lit(100))), region("o", "mask", "polygonlabels", square),
+        region(None, None, "labels", rect=(x, y, x, y)), region(None, "late", "labels", rect=(F.lit(10), F.lit(10), F.lit(50), F.lit(50))))
+    return _t(spark, d, "part").select(k.alias("line_no"), F.posexplode(results).alias("pos", "r"))
+
+
+def reviewed_instances(spark, d):
+    done = sync.reviewed_instances(_reviews(spark, d))
+    return done.select("line_no", "instance_id", "label", "box.*", F.round("point.x", 6).alias("px"), F.round("point.y", 6).alias("py"), F.col("area").cast("long").alias("area"), F.col("mask").isNotNull().alias("has_mask"))
+
+
+def coco_export(spark, d):
+    b = F.struct(*[F.col(c).cast("long").alias(c) for c in BOX]).alias("box")
+    rows = boxes(spark, d).select(F.col("sample_id").alias("image_id"), F.struct("side", "idx").alias("at"), (F.ascii("label") % 5).alias("label_id"), F.when(F.col("l_linenumber") < 5, b).alias("box"), F.lit(None).cast("long").alias("area"))
+    images = _t(spark, d, "orders").select(F.floor(F.col("o_orderkey") / 8).alias("image_id")).distinct()
+    samples = convert.group_annotations(images, rows).select(
+        F.col("image_id").alias("line_no"), F.when(F.col("image_id") % 7 > 0, F.concat(F.lit("i/"), F.col("image_id").cast("string"))).alias("uri"), F.lit(160).alias("width"), F.lit(160).alias("height"), "annotations")
+    labels = _t(spark, d, "region").select(F.col("r_regionkey").alias("label_id"), F.col("r_name").alias("label_name"))
+    images, annots, cats = sync.coco_tables(samples, labels)
+    named = annots.join(images, "image_id").join(cats.select(F.col("id").alias("category_id"), "name"), "category_id")
+    return named.select("id", "image_id", "file_name", "name", *[F.col("bbox")[i].alias(c) for i, c in enumerate(("x", "y", "w", "h"))], "area", "iscrowd")
+
+
+def parse_json(spark, d):
+    """Answers as JSON lists of objects or of 5-tuples, some broken."""
+    norm = lambda c: G.half_even(G.normalize(F.col(c), 160))
+    four = F.array(*[norm(c) for c in BOX])
+    item = F.when(F.col("idx") % 2 == 0, F.to_json(F.struct(F.col("label").alias("class"), four.alias("box")))).otherwise(
+        F.concat(F.lit('["'), "label", F.lit('", '), F.array_join(F.transform(four, lambda v: v.cast("string")), ", "), F.lit("]")))
+    rows = boxes(spark, d).filter("side = 1").withColumn("item", item)
+    t = rows.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda s: s["item"]), ", ").alias("t"))
+    k = F.col("sample_id")
+    answer = F.when(k % 17 == 0, "none to see").when(k % 13 == 0, "[]").when(k % 11 == 0, F.concat(F.lit("Here: ["), "t", F.lit("] done"))).otherwise(F.concat(F.lit("["), "t", F.lit("]")))
+    p = parsing.parse_answers(t.select("sample_id", answer.alias("answer"), F.lit(160).alias("width"), F.lit(160).alias("height")), "answer", "json_bbox_list")
+    total = F.aggregate("parsed.annotations", F.lit(0).cast("long"), lambda a, x: a + x["bbox"]["x1"] + x["bbox"]["y1"] + x["bbox"]["x2"] + x["bbox"]["y2"])
+    return p.select("sample_id", "parsed.valid", "parsed.is_empty", F.size("parsed.annotations").alias("n_items"), F.size("parsed.errors").alias("n_errors"), total.alias("corner_sum"))
 
 
 def label_xml(spark, d):
@@ -236,13 +335,14 @@ def label_xml(spark, d):
 
 
 def variant_metadata(spark, d):
-    v = F.parse_json("props")
-    return _t(spark, d, "events").select("event_id", F.schema_of_variant(v).alias("kind")).groupBy(F.col("kind").startswith("OBJECT").alias("is_object")).agg(F.count(F.lit(1)).alias("n"))
+    v = F.try_parse_json("props")
+    rows = _t(spark, d, "events").select("event_type", F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False)).alias("is_object"), F.try_variant_get(v, "$.k", "bigint").alias("k"), F.try_variant_get(v, "$.none", "string").alias("none"))
+    return rows.groupBy("event_type", "is_object").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.count("none").alias("none"))
 
 
 QUERIES = {f.__name__: f for f in (
     metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
     denormalize_clip, sanitize_labels, label_table, label_collisions, invalid_counts, category_filter, group_annotations, label_consistency,
     clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, label_histogram, stride_sample, batches, topn_ids, split_counts,
-    csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata,
+    csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, coco_export, parse_json,
 )}

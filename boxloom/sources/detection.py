@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import glob
 import os
+import warnings
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxloom.errors import DatasetBuildError
 from boxloom.functions.geometry import yolo_to_xywh
@@ -38,6 +41,61 @@ def read_coco(spark: SparkSession, path: str, img_root: str | None = None) -> Da
     return rows.select("image_id", "pos", image.alias("image"), "width", "height", F.coalesce("annotations", F.array()).alias("annotations"))
 
 
+def _jpeg_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the first frame header of a JPEG's segments."""
+    at = 2
+    while at + 9 <= len(data) and data[at] == 0xFF:
+        kind = data[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
+            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
+        at += 2 if kind in (0x01, *range(0xD0, 0xD9)) else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
+    return None
+
+
+def _tiff_size(data: bytes) -> tuple[int, int] | None:
+    """Width and height from the tags of a TIFF's first directory."""
+    order = "little" if data[:2] == b"II" else "big"
+    number = lambda a, n: int.from_bytes(data[a : a + n], order)
+    first, found = number(4, 4), {}
+    for k in range(number(first, 2)):
+        entry = first + 2 + 12 * k
+        found[number(entry, 2)] = number(entry + 8, 2 if number(entry + 2, 2) == 3 else 4)
+    return (found[256], found[257]) if {256, 257} <= set(found) else None
+
+
+def size_of_image(data: bytes) -> tuple[int, int] | None:
+    """(width, height) from the head of a PNG, BMP, JPEG or TIFF; None for anything else."""
+    try:
+        if data[:8] == b"\x89PNG\r\n\x1a\n":
+            found = int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
+        elif data[:2] == b"BM":
+            found = int.from_bytes(data[18:22], "little", signed=True), abs(int.from_bytes(data[22:26], "little", signed=True))
+        elif data[:2] == b"\xff\xd8":
+            found = _jpeg_size(data)
+        elif data[:4] in (b"II*\x00", b"MM\x00*"):
+            found = _tiff_size(data)
+        else:
+            found = None
+    except (IndexError, ValueError):
+        return None
+    return found if found and min(found) > 0 else None
+
+
+_SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
+
+
+@F.pandas_udf(_SIZE)
+def _sizes(content: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([size_of_image(bytes(c)) or (None, None) for c in content], columns=["width", "height"], dtype="Int32")
+
+
+def list_images(spark: SparkSession, folder: str) -> DataFrame:
+    """image, width, height of the images in a folder, by name; what cannot be read is left out."""
+    files = spark.read.format("binaryFile").load(folder).filter(F.lower("path").rlike("\\.(" + "|".join(IMAGE_ENDINGS) + ")$"))
+    sized = files.select(F.regexp_replace("path", "^file:/*", "/").alias("image"), _sizes("content").alias("s"))
+    return sized.filter("s.width is not null").select("image", "s.width", "s.height").orderBy("image")
+
+
 def read_yolo(spark: SparkSession, images: DataFrame, labels_path: str, classes: list[str]) -> DataFrame:
     """images (image, width, height) with the boxes of the label file of the same stem.
 
@@ -77,24 +135,47 @@ def label_descriptions(root: dict) -> dict:
     return {k: v for k, v in root.items() if k not in ("taxonomy_id", "version", "description", "domain")}
 
 
-def data_entries(cfg: dict) -> list[dict]:
-    """Entries of data_dicts or data_dict (mapping, list or text): key, source, folder."""
-    given = cfg.get("data_dicts", cfg.get("data_dict"))
-    if given is None:
-        return []
-    pairs = given.items() if isinstance(given, dict) and all(isinstance(v, (dict, str)) for v in given.values()) and not {"labels", "path", "p"} & set(given) else None
-    if pairs is None:
-        pairs = enumerate(given if isinstance(given, list) else [given])
-    first = lambda d, *names: next((d[n] for n in names if d.get(n)), None)
-    out = []
-    for key, v in pairs:
-        v = {"path": v} if isinstance(v, str) else v
-        out.append({"key": str(key), "source": first(v, "labels", "path", "p"), "folder": first(v, "folder_path", "img_root", "folder")})
-    return out
+def data_entries(cfg: dict, where: str = "configuration") -> list[dict]:
+    """key, source and folder of every entry of data_dicts, else data_dict.
+
+    A mapping has an entry per key; a list one per text, keyed by its stem, and one per key of a
+    mapping in it; a text is the one entry "dataset". An entry is a path, or a mapping with a source.
+    """
+    given = cfg.get("data_dicts") or cfg.get("data_dict") or []
+    if isinstance(given, str):
+        pairs = [("dataset", given)]
+    elif isinstance(given, dict):
+        pairs = list(given.items())
+    elif isinstance(given, list):
+        pairs = []
+        for item in given:
+            if not isinstance(item, (str, dict)):
+                raise DatasetBuildError(f"{where}: an entry is a path or a mapping, not {item!r}")
+            pairs += [(os.path.splitext(os.path.basename(item))[0], item)] if isinstance(item, str) else list(item.items())
+    else:
+        raise DatasetBuildError(f"{where}: data_dicts must be a mapping, a list or a path")
+
+    def entry(key, value) -> dict:
+        if not isinstance(value, (str, dict)):
+            raise DatasetBuildError(f"{where}: entry {key!r} is neither a path nor a mapping")
+        value = {"path": value} if isinstance(value, str) else value
+        first = lambda *names: next((str(value[n]) for n in names if value.get(n)), None)
+        if (source := first("labels", "path", "p")) is None:
+            raise DatasetBuildError(f"{where}: entry {key!r} names no labels, path or p")
+        return {"key": str(key), "source": source, "folder": first("folder_path", "img_root", "folder")}
+
+    return [entry(k, v) for k, v in pairs]
 
 
 def entry_specs(configs: dict[str, dict], default_class: str = "CocoWasteDataset") -> list[dict]:
-    return [{"config": name, "entry_id": f"{name}_{e['key']}", "dataset": cfg.get("dataset", default_class), "classes": cfg.get("CLASSES"), **e} for name, cfg in configs.items() for e in data_entries(cfg)]
+    """The entries of all configurations, in order; one without entries is warned about."""
+    specs = []
+    for name, cfg in configs.items():
+        entries = data_entries(cfg, name)
+        if not entries:
+            warnings.warn(f"{name}: no data entries", stacklevel=2)
+        specs += [{"config": name, "entry_id": f"{name}_{e['key']}", "dataset": cfg.get("dataset", default_class), "classes": cfg.get("CLASSES"), **e} for e in entries]
+    return specs
 
 
 def merge_options(*layers: dict | None) -> dict:
@@ -118,11 +199,14 @@ def check_options(options: dict, known: set[str], choices: dict[str, tuple] | No
             raise DatasetBuildError(f"{k} must be positive")
 
 
-def prediction_files(explicit: list | None = None, folders: list[str] | None = None, pattern: str = "*.jsonl") -> list[tuple[str, str]]:
-    """(name, path): given files, then the folders' sorted matches; a repeated path keeps its first place and its last name."""
+def prediction_files(explicit: list | None = None, folders: list[str] | None = None, patterns: list[str] | str = "*.jsonl") -> list[tuple[str, str]]:
+    """(name, path): given files, then every folder's matches of every pattern, sorted; a repeated path keeps its first place and its last name."""
+    stem = lambda p: os.path.splitext(os.path.basename(p))[0]
     found: dict[str, tuple[str, str]] = {}
-    every = [(e["name"], e["path"]) if isinstance(e, dict) else (os.path.splitext(os.path.basename(e))[0], e) for e in explicit or []]
-    every += [(os.path.splitext(os.path.basename(p))[0], p) for d in folders or [] for p in sorted(glob.glob(os.path.join(d, pattern)))]
+    every = [(str(e.get("name", stem(e["path"]))), e["path"]) if isinstance(e, dict) else (stem(e), e) for e in explicit or []]
+    for folder in folders or []:
+        for pattern in [patterns] if isinstance(patterns, str) else patterns:
+            every += [(stem(p), p) for p in sorted(glob.glob(os.path.join(folder, pattern)))]
     for name, path in every:
         found[os.path.realpath(path)] = (name, path)
     return list(found.values())
@@ -158,12 +242,12 @@ def label_map_of_xml(spark: SparkSession, xml: str) -> dict[str, int]:
     return {v: k for k, v in enumerate((v for v in row["v"] if v), 1)}
 
 
-SOURCES = {"coco": read_coco, "yolo": read_yolo}
+#: Readers by dataset class; register others here.
+SOURCES = {"CocoWasteDataset": read_coco, "coco": read_coco, "WarpDataset": read_yolo, "yolo": read_yolo}
 
 
 def source_of(name: str):
-    """The reader of a dataset class by name."""
-    key = "yolo" if "warp" in name.lower() or "yolo" in name.lower() else "coco" if "coco" in name.lower() else name.lower()
-    if key not in SOURCES:
-        raise DatasetBuildError(f"unknown dataset class {name!r}")
-    return SOURCES[key]
+    """The reader registered for a dataset class."""
+    if name not in SOURCES:
+        raise DatasetBuildError(f"unknown dataset class {name!r}; known: {', '.join(SOURCES)}")
+    return SOURCES[name]

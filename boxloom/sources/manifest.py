@@ -2,21 +2,68 @@
 
 from __future__ import annotations
 
+import warnings
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from boxloom.errors import ManifestError
+from boxloom.operators.stats import numbered
 from boxloom.schema import RECORD, sample_problem
 
 MODES = ("strict", "class", "eval", "lenient")
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(path, line_no from 1, value) of the non-empty lines; a byte order mark is dropped."""
-    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
-    lines = whole.select("path", F.posexplode(F.split("value", "\n")).alias("pos", "value"))
-    value = F.regexp_replace(F.regexp_replace("value", "^﻿", ""), "\r$", "")
-    return lines.select("path", (F.col("pos") + 1).alias("line_no"), value.alias("value")).filter(F.trim("value") != "")
+    """(path, line_no from 1, value) of the non-empty lines; a byte order mark is dropped.
+
+    Files are split as any text is. Within a split the ids that Spark gives its rows are consecutive,
+    so a line's number is its place in the split and the lines of the splits before it: one short row
+    a split is all that is added up.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), "value")
+    splits = lines.groupBy("path", "block").agg(F.min("at").alias("low"), F.count(F.lit(1)).alias("many"))
+    upto = Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    splits = splits.select("path", "block", "low", F.coalesce(F.sum("many").over(upto), F.lit(0)).alias("before"))
+    value = F.regexp_replace(F.regexp_replace("value", "^\ufeff", ""), "\r$", "")
+    numbered_ = lines.join(splits, ["path", "block"]).select("path", (F.col("before") + F.col("at") - F.col("low") + 1).alias("line_no"), value.alias("value"))
+    return numbered_.filter(F.trim("value") != "")
+
+
+def read_jsonl(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
+    """path, line_no and record (VARIANT) of any JSON lines; on_error: raise, or skip broken lines."""
+    rows = numbered_lines(spark, path).select("path", "line_no", F.try_parse_json("value").alias("record"))
+    if on_error == "skip":
+        return rows.filter("record is not null")
+    if on_error != "raise":
+        raise ManifestError(f"on_error is raise or skip, not {on_error!r}")
+    broken = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("path"), F.lit(": not JSON"))).cast("boolean")
+    return rows.filter(F.when(F.col("record").isNull(), broken).otherwise(True))
+
+
+def read_lenient_samples(spark: SparkSession, path: str) -> tuple[DataFrame, str]:
+    """(samples as VARIANT with line_no, dataset id): broken lines skipped, "unknown" without a header, nothing for a missing file."""
+    try:
+        rows = read_jsonl(spark, path, "skip")
+        kind = F.try_variant_get("record", "$.record_type", "string")
+        head = rows.filter(kind == "dataset_info").agg(F.max_by(F.try_variant_get("record", "$.info.dataset_id", "string"), "line_no")).first()[0]
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        warnings.warn(f"no such manifest: {path}", stacklevel=2)
+        return spark.createDataFrame([], "path string, line_no long, record variant"), "unknown"
+    return rows.filter(kind == "sample"), head or "unknown"
+
+
+def first_header(spark: SparkSession, path: str) -> tuple[str, list[dict]]:
+    """(dataset id, labels in order) of the first header anywhere; without labels it raises."""
+    records = read_records(spark, path).filter("record.record_type = 'dataset_info'")
+    found = records.orderBy("line_no").select("record.info.dataset_id", F.map_values("record.info.label_info").alias("labels")).first()
+    if not found or not found["labels"]:
+        raise ManifestError(f"no label_info in {path}")
+    return found["dataset_id"] or "unknown", [x.asDict(recursive=True) for x in found["labels"]]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -40,7 +87,6 @@ def problems(records: DataFrame, mode: str = "strict") -> DataFrame:
     if mode == "lenient":
         return records.limit(0).select("path", "line_no", F.lit("").alias("problem"))
     kind = F.coalesce(F.col("record.record_type"), F.lit("sample") if mode == "eval" else F.lit(None).cast("string"))
-    first = F.min("line_no").over(Window.partitionBy("path"))
     wrong = F.when(~F.col("is_object"), "line is not a JSON object")
     if mode != "eval":
         second = "a second dataset_info" if mode == "class" else "record_type must be sample"
@@ -51,7 +97,8 @@ def problems(records: DataFrame, mode: str = "strict") -> DataFrame:
     wrong = wrong.when(~F.coalesce(kind.isin("dataset_info", "sample"), F.lit(False)), "unknown record_type")
     if mode in ("strict", "class", "eval"):
         wrong = wrong.when(kind == "sample", sample_problem(F.col("record.sample")))
-    return records.withColumn("first", first).select("path", "line_no", wrong.alias("problem")).filter("problem is not null")
+    firsts = records.groupBy("path").agg(F.min("line_no").alias("first"))
+    return records.join(firsts, "path").select("path", "line_no", wrong.alias("problem")).filter("problem is not null")
 
 
 def _check(records: DataFrame, mode: str) -> None:
@@ -76,8 +123,8 @@ def read_header(spark: SparkSession, path: str, mode: str = "strict") -> DataFra
 
 
 def label_table(header: DataFrame) -> DataFrame:
-    """label_id, label_name, description, aliases, parent_label; of labels that share an id the first name."""
-    each = header.select(F.explode(F.map_values("label_info")).alias("l")).select("l.*")
+    """position, label_id, label_name, description, aliases, parent_label, in the header's order."""
+    each = header.select(F.posexplode(F.map_values("label_info")).alias("position", "l")).select("position", "l.*")
     if each.isEmpty():
         raise ManifestError("label_info is empty")
     return each
@@ -91,8 +138,15 @@ def read_samples(spark: SparkSession, path: str, mode: str = "strict") -> DataFr
     rows = records.filter(F.col("is_object") & (kind == "sample"))
     if mode in ("eval", "lenient"):
         rows = rows.groupBy(F.col("record.sample.sample_id").alias("id")).agg(F.max_by(F.struct("path", "line_no", "record"), F.struct("path", "line_no")).alias("r")).select("r.*")
-    order = Window.partitionBy("path").orderBy("line_no")
-    return rows.select("path", "line_no", (F.row_number().over(order) - 1).alias("idx"), "record.sample.*")
+    return numbered(rows.select("path", "line_no", "record"), "line_no", "idx", group=("path",)).select("path", "line_no", "idx", "record.sample.*")
+
+
+def get_record(samples: DataFrame, idx: int) -> DataFrame:
+    """The one sample at a place; an error outside."""
+    found = samples.filter(F.col("idx") == idx)
+    if found.isEmpty():
+        raise IndexError(f"no sample {idx}")
+    return found
 
 
 def annotations(samples: DataFrame, boxed_only: bool = False) -> DataFrame:
@@ -105,6 +159,6 @@ def annotations(samples: DataFrame, boxed_only: bool = False) -> DataFrame:
 
 
 def label_mismatches(annots: DataFrame, labels: DataFrame) -> DataFrame:
-    """Annotations whose label_id does not stand for their label_name."""
-    firsts = labels.groupBy("label_id").agg(F.first("label_name").alias("known_name"))
+    """Annotations whose label_id does not stand for their label_name; of labels that share an id the first counts."""
+    firsts = labels.groupBy("label_id").agg(F.min_by("label_name", "position").alias("known_name"))
     return annots.join(firsts, "label_id", "left").filter(~F.coalesce(F.col("known_name") == F.col("label_name"), F.lit(False)))

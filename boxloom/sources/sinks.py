@@ -4,17 +4,72 @@ from __future__ import annotations
 
 import json
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from boxloom.operators.stats import numbered
 
-def write_manifest(header: DataFrame, samples: DataFrame, path: str, order: str = "line_no", keep_nulls: bool = True) -> None:
-    """One text file of JSON lines, header first, samples in order; nulls are kept or left out."""
+
+def record_lines(samples: DataFrame, order: str = "line_no", keep_nulls: bool = True, leave_out: tuple[str, ...] = ("path", "idx", "invalid", "entry_id")) -> DataFrame:
+    """(n, value): a sample record a row; bookkeeping columns stay out of it."""
+    body = [c for c in samples.columns if c not in (order, *leave_out)]
     options = {"ignoreNullFields": "false" if keep_nulls else "true"}
-    first = header.select(F.lit(-1).cast("long").alias("n"), F.to_json(F.struct(F.lit("dataset_info").alias("record_type"), F.struct("*").alias("info")), options).alias("value"))
-    body = [c for c in samples.columns if c not in (order, "path", "idx")]
-    rest = samples.select(F.col(order).cast("long").alias("n"), F.to_json(F.struct(F.lit("sample").alias("record_type"), F.struct(*body).alias("sample")), options).alias("value"))
-    first.unionByName(rest).repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    return samples.select(F.col(order).cast("long").alias("n"), F.to_json(F.struct(F.lit("sample").alias("record_type"), F.struct(*body).alias("sample")), options).alias("value"))
+
+
+def header_line(header: DataFrame | dict, spark: SparkSession, keep_nulls: bool = True) -> DataFrame:
+    """(n, value) of a header given as a mapping, or as read_header gives it."""
+    if isinstance(header, dict):
+        return spark.createDataFrame([(-1, json.dumps(header, ensure_ascii=False, separators=(",", ":")))], "n long, value string")
+    info = [c for c in header.columns if c not in ("schema_version", "record_type")]
+    version = [F.col("schema_version")] if "schema_version" in header.columns else []
+    whole = F.struct(F.lit("dataset_info").alias("record_type"), *version, F.struct(*info).alias("info"))
+    return header.select(F.lit(-1).cast("long").alias("n"), F.to_json(whole, {"ignoreNullFields": "false" if keep_nulls else "true"}).alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Rows (n, value) as one text file in the order of n."""
+    lines.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+
+
+def write_manifest(header: DataFrame | dict, samples: DataFrame, path: str, order: str = "line_no", keep_nulls: bool = True) -> None:
+    """One text file of JSON lines, header first, samples in order; nulls are kept or left out."""
+    write_lines(header_line(header, samples.sparkSession, keep_nulls).unionByName(record_lines(samples, order, keep_nulls)), path)
+
+
+def write_conversion(headers: dict[str, dict], merged: dict, entries: dict[str, DataFrame], path: str) -> None:
+    """A manifest an entry, <entry>.canonical.jsonl, and merged.canonical.jsonl with all entries in order."""
+    spark = next(iter(entries.values())).sparkSession
+    every = header_line(merged, spark).withColumn("e", F.lit(-1))
+    for k, (name, records) in enumerate(entries.items()):
+        write_manifest(headers[name], records, f"{path}/{name}.canonical.jsonl")
+        every = every.unionByName(record_lines(records).withColumn("e", F.lit(k)))
+    every.repartitionByRange(1, "e", "n").sortWithinPartitions("e", "n").select("value").write.mode("overwrite").text(f"{path}/merged.canonical.jsonl")
+
+
+#: The document's frame (fixed values of the format).
+COCO_INFO = {"description": "Instance segmentation exported from Label Studio", "url": "", "version": "1.0", "year": 2026, "contributor": "Validation Pipeline", "date_created": "2026-06-04"}
+
+
+def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, info: dict | None = None) -> None:
+    """The three tables of coco_tables as one COCO document, a line an object; ids count from 1, categories keep theirs.
+
+    No row and no task holds more than a line at a time, but one task writes the one file.
+    """
+    spark = images.sparkSession
+
+    def section(rows: DataFrame, no: int, key: str, *more) -> DataFrame:
+        row = F.to_json(F.struct(*[F.col(c) for c in rows.columns], *more), {"ignoreNullFields": "false"})
+        return rows.select(F.lit(no).alias("s"), F.col(key).cast("long").alias("k"), F.concat(F.when(F.col(key) > 1, F.lit(",")).otherwise(F.lit("")), row).alias("value"))
+
+    blank = [F.lit(0).alias("license"), *[F.lit("").alias(c) for c in ("flickr_url", "coco_url", "date_captured")]]
+    cats = categories.withColumn("_k", F.row_number().over(Window.orderBy("id"))).select("_k", F.struct("id", "name", "supercategory").alias("c"))  # a label table
+    cat_lines = cats.select(F.lit(6).alias("s"), F.col("_k").cast("long").alias("k"), F.concat(F.when(F.col("_k") > 1, F.lit(",")).otherwise(F.lit("")), F.to_json("c")).alias("value"))
+    head = "{" + json.dumps("info") + ":" + json.dumps(COCO_INFO | (info or {})) + ',"licenses":[],"images":['
+    frame = spark.createDataFrame([(1, 0, head), (3, 0, '],"annotations":['), (5, 0, '],"categories":['), (7, 0, "]}")], "s int, k long, value string")
+    drawn = images.withColumnRenamed("image_id", "id")
+    lines = frame.unionByName(section(drawn, 2, "id", *blank)).unionByName(section(annotations, 4, "id")).unionByName(cat_lines)
+    lines.repartitionByRange(1, "s", "k").sortWithinPartitions("s", "k").select("value").write.mode("overwrite").text(path)
 
 
 def write_entries(samples: DataFrame, path: str, entry: str = "entry_id") -> None:
@@ -33,10 +88,14 @@ def write_csv(rows: DataFrame, path: str) -> bool:
 
 
 def write_errors(rows: DataFrame, path: str) -> bool:
-    """sample_id, error, generated_text of failed answers, only if there are any."""
+    """A JSON array of sample_id, error and generated_text of failed answers, only if there are any."""
     if rows.isEmpty():
         return False
-    rows.select("sample_id", "error", "generated_text").write.mode("overwrite").json(path)
+    lines = numbered(rows.withColumn("_at", F.monotonically_increasing_id()), "_at", "n", start=1)
+    one = F.to_json(F.struct("sample_id", "error", "generated_text"), {"ignoreNullFields": "false"})
+    body = lines.select("n", F.concat(F.when(F.col("n") > 1, F.lit(",")).otherwise(F.lit("")), one).alias("value"))
+    edges = rows.sparkSession.createDataFrame([(0, "["), (1 << 62, "]")], "n long, value string")
+    write_lines(body.unionByName(edges), path)
     return True
 
 

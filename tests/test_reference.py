@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -13,7 +14,8 @@ from pyspark.sql import functions as F
 from boxloom.errors import DatasetBuildError, ManifestError, ParseFormatError
 from boxloom.functions import geometry as G
 from boxloom.functions import text as X
-from boxloom.operators import convert, masks, matching, messages, parsing, stats, sync
+from boxloom.functions import paths
+from boxloom.operators import convert, masks, matching, messages, parsing, records, stats, sync
 from boxloom.plans import queries as plans
 from boxloom.plans.oracle import ORACLE
 from boxloom.sources import detection, manifest, sinks
@@ -35,7 +37,7 @@ def test_query_equals_sql(spark, name):
         con.execute(f"create view {f[:-8]} as select * from read_parquet('{SF}/{f}')")
     got, want = plans.QUERIES[name](spark, SF).toPandas(), con.execute(ORACLE[name]).df()
     assert sorted(got.columns) == sorted(want.columns)
-    show = lambda v: "" if v is None or v != v else f"{v:.6g}" if isinstance(v, float) else str(v)
+    show = lambda v: "" if pd.isna(v) else f"{v:.6g}" if isinstance(v, float) else str(v)
     rows = lambda d: sorted(tuple(show(x) for x in r) for r in d[sorted(d.columns)].astype(object).itertuples(index=False))
     assert rows(got) == rows(want)
 
@@ -147,7 +149,183 @@ def test_manifest_modes(spark, tmp_path):
     out = str(tmp_path / "out")
     sinks.write_manifest(manifest.read_header(spark, good), manifest.read_samples(spark, good), out)
     lines = [json.loads(r.value) for r in spark.read.text(out).collect()]
-    assert [x["record_type"] for x in lines] == ["dataset_info", "sample"]
+    assert [x["record_type"] for x in lines] == ["dataset_info", "sample"] and lines[0]["schema_version"] == "v" and "schema_version" not in lines[0]["info"]
+    assert lines[0]["info"]["label_info"]["rotor"]["label_id"] == 1 and lines[1]["sample"]["assets"][0]["annotations"][0]["bbox"]["br"]["x"] == 3
+    again = str(tmp_path / "again")
+    sinks.write_manifest(manifest.read_header(spark, out), manifest.read_samples(spark, out), again)
+    assert [json.loads(r.value) for r in spark.read.text(again).collect()] == lines
+
+
+def test_line_numbers_over_splits(spark, tmp_path):
+    p = tmp_path / "long.jsonl"
+    p.write_text("".join(f'{{"k": {k}, "pad": "{"x" * (k % 50)}"}}\n' + ("\n" if k % 9 == 0 else "") for k in range(3000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+        rows = manifest.read_jsonl(spark, str(p)).select("line_no", F.variant_get("record", "$.k", "int").alias("k")).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want, line = {}, 0
+    for k in range(3000):
+        line += 1
+        want[k] = line
+        line += k % 9 == 0
+    assert {r["k"]: r["line_no"] for r in rows} == want
+
+
+def test_lenient_readers(spark, tmp_path):
+    p = tmp_path / "a.jsonl"
+    p.write_text("\ufeff" + json.dumps({"record_type": "sample", "x": 1}) + "\n{oops\n" + json.dumps(HEADER) + "\n")
+    rows, name = manifest.read_lenient_samples(spark, str(p))
+    assert rows.count() == 1 and name == "d" and manifest.read_jsonl(spark, str(p), "skip").count() == 2
+    with pytest.raises(Exception, match="line 2"):
+        manifest.read_jsonl(spark, str(p)).collect()
+    with pytest.warns(UserWarning):
+        rows, name = manifest.read_lenient_samples(spark, str(tmp_path / "none.jsonl"))
+    assert rows.isEmpty() and name == "unknown"
+    assert manifest.first_header(spark, str(p))[1][0]["label_name"] == "rotor"
+    (tmp_path / "b.jsonl").write_text(json.dumps({"record_type": "dataset_info", "info": {"dataset_id": "e"}}))
+    with pytest.raises(ManifestError, match="label_info"):
+        manifest.first_header(spark, str(tmp_path / "b.jsonl"))
+    samples = spark.range(3).withColumnRenamed("id", "idx")
+    assert manifest.get_record(samples, 2).count() == 1
+    with pytest.raises(IndexError):
+        manifest.get_record(samples, 3)
+
+
+def test_label_ids_first_name_counts(spark):
+    labels = spark.createDataFrame([(0, 1, "a"), (1, 1, "b")], "position int, label_id long, label_name string")
+    annots = spark.createDataFrame([("s", 1, "a"), ("s", 1, "b"), ("s", 2, "c")], "sample_id string, label_id long, label_name string")
+    assert sorted(r["label_name"] for r in manifest.label_mismatches(annots, labels).collect()) == ["b", "c"]
+
+
+def test_numbered(spark):
+    df = spark.range(0, 400_000, 3, 7).withColumn("g", F.col("id") % 2)
+    got = stats.numbered(df, "id", "n", start=1, group=("g",)).collect()
+    rank = {g: {v: k for k, v in enumerate(sorted(r["id"] for r in got if r["g"] == g), 1)} for g in (0, 1)}
+    assert len(got) == df.count() and all(rank[r["g"]][r["id"]] == r["n"] for r in got)
+
+
+def test_conversion_end_to_end(spark, tmp_path):
+    doc = {"categories": [{"id": 4, "name": "PET bottle"}, {"id": 9, "name": "can"}], "images": [{"id": 1, "width": 200, "height": 100, "file_name": "a/x.jpg"}, {"id": 2, "width": 9, "height": 9, "file_name": "b.jpg"}, {"id": 3, "width": 50, "height": 50, "file_name": "c.jpg"}],
+           "annotations": [{"id": 7, "image_id": 1, "category_id": 4, "bbox": [10.2, 20.7, 30.1, 5.1]}, {"id": 8, "image_id": 1, "category_id": 4, "bbox": [300, 0, 5, 5]}, {"id": 9, "image_id": 3, "category_id": 9, "bbox": [0, 0, 9, 9]}]}
+    (tmp_path / "c.json").write_text(json.dumps(doc))
+    images = detection.read_coco(spark, str(tmp_path / "c.json"))
+    made = {r["line_no"]: r.asDict(recursive=True) for r in records.coco_records(images, [(4, "PET_bottle"), (9, "can")], split="train", source_file="c.json", id_strategy="sequential", id_prefix="p-", drop_empty=True).collect()}
+    assert {k: v["sample_id"] for k, v in made.items()} == {0: "p-000000", 2: "p-000001"} and made[0]["invalid"] == 1
+    one = made[0]["assets"][0]["annotations"][0]
+    assert (one["instance_id"], one["label_id"], one["label_name"], one["bbox"]["tl"]["x"], one["bbox"]["br"]["y"], one["points"][0]["x"]) == ("obj_7", 4, "PET_bottle", 10, 26, 26)
+    assert records.coco_records(images, [(4, "PET_bottle")], id_strategy="file_stem").orderBy("line_no").first()["sample_id"] == "x"
+    with pytest.raises(Exception, match="invalid box"):
+        records.coco_records(images, [(4, "x")], skip_invalid=False).collect()
+    with pytest.raises(DatasetBuildError):
+        records.coco_records(images, [], id_strategy="uuid")
+
+    samples = images.withColumnRenamed("pos", "idx")
+    labels = [{"label_id": 1, "label_name": "PET_bottle", "description": ["a", " bottle "]}, {"label_id": 2, "label_name": "can", "description": None}]
+    ids = [(x["label_name"], x["label_id"]) for x in labels]
+    entry = {"entry_id": "cfg_k", "config_dir": "/d", "dataset": "CocoWasteDataset"}
+    rows = records.entry_records(samples, entry, ids)
+    header = records.dataset_header("all", labels, {"split": "train"}, now="2020-01-01T00:00:00")
+    part = records.dataset_header("cfg_k", labels, only={"can"}, now="2020-01-01T00:00:00")
+    assert list(part["info"]["label_info"]) == ["can"] and part["info"]["label_info"]["can"]["label_id"] == 2
+    sinks.write_conversion({"cfg_k": part}, header, {"cfg_k": rows}, str(tmp_path / "out"))
+    back = manifest.read_samples(spark, str(tmp_path / "out" / "merged.canonical.jsonl")).collect()
+    assert [r["sample_id"] for r in back] == ["cfg_k_000000", "cfg_k_000001", "cfg_k_000002"] and [len(r["assets"][0]["annotations"]) for r in back] == [1, 0, 1]
+    got = manifest.read_header(spark, str(tmp_path / "out" / "merged.canonical.jsonl")).first()
+    assert got["dataset_id"] == "all" and got["label_info"]["PET_bottle"]["description"] == "a bottle" and got["schema_version"] == records.SCHEMA_VERSION
+    with pytest.raises(DatasetBuildError, match="can"):
+        records.dataset_header("x", labels, require_descriptions=True)
+    with pytest.raises(Exception, match="not in the table"):
+        records.entry_records(samples, entry, ids[:1]).collect()
+    train = messages.manifest_rows(spark, str(tmp_path / "out" / "merged.canonical.jsonl")).collect()
+    assert [m["messages"][1]["content"][0]["text"] for m in train][1] == "<none>" and "PET_bottle: a bottle" in train[0]["messages"][0]["content"][1]["text"]
+
+
+def test_predictions(spark):
+    asset = [{"type": "image", "uri": "a.jpg", "caption": None, "annotations": [], "metadata": "{}", "size": [200, 100], "camera_id": None}]
+    schema = "line_no long, sample_type string, sample_id string, assets array<struct<type:string,uri:string,caption:string,annotations:array<string>,metadata:string,size:array<int>,camera_id:string>>"
+    samples = spark.createDataFrame([(k, "si_simple_data", f"s{k}", asset) for k in range(3)], schema)
+    answers = spark.createDataFrame([("s0", "<rotor,100,200,500,800>"), ("s1", "dunno")], "sample_id string, generated_text string").withColumns({"width": F.lit(200), "height": F.lit(100)})
+    parsed = parsing.parse_answers(answers, "generated_text", "tag_bbox_list", ids=F.create_map(F.lit("rotor"), F.lit(3).cast("bigint")))
+    good, bad = records.prediction_records(samples, parsed)
+    g = good.collect()
+    assert [r["sample_id"] for r in g] == ["s0"] and g[0]["assets"][0]["annotations"][0]["label_id"] == 3
+    said = g[0]["assets"][0]["metadata"]["prediction"]
+    assert said["source"] == "model_inference" and said["num_predicted_instances"] == 1 and said["generated_text"].startswith("<rotor")
+    assert [r["sample_id"] for r in bad.collect()] == ["s1"]
+    info = records.prediction_header(records.dataset_header("d", []), "m", "ck")["info"]
+    assert info["metadata"]["prediction_run"] == {"source_dataset_id": "d", "model_name": "m", "checkpoint_path": "ck"} and info["annotation_info"]["source_type"] == "ai"
+
+
+def test_sinks(spark, tmp_path):
+    errors = spark.createDataFrame([("a", "e", "t"), ("b", None, "u")], "sample_id string, error string, generated_text string")
+    assert sinks.write_errors(errors, str(tmp_path / "e")) and not sinks.write_errors(errors.limit(0), str(tmp_path / "f"))
+    text = "".join(r.value for r in spark.read.text(str(tmp_path / "e")).collect())
+    assert sorted(json.loads(text), key=lambda x: x["sample_id"]) == [{"sample_id": "a", "error": "e", "generated_text": "t"}, {"sample_id": "b", "error": None, "generated_text": "u"}]
+    box = lambda *v: dict(zip(("x1", "y1", "x2", "y2"), v))
+    samples = spark.createDataFrame(
+        [(1, "a.jpg", 9, 8, [(4, box(1, 2, 4, 6), None), (4, None, None)]), (2, None, 1, 1, []), (5, "b.jpg", 9, 8, [(4, box(0, 0, 1, 1), 7)])],
+        "line_no long, uri string, width int, height int, annotations array<struct<label_id:long,box:struct<x1:long,y1:long,x2:long,y2:long>,area:long>>")
+    labels = spark.createDataFrame([(4, "x"), (2, "y")], "label_id long, label_name string")
+    sinks.write_coco(*sync.coco_tables(samples, labels), str(tmp_path / "coco"))
+    doc = json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "coco")).collect()))
+    assert [(i["id"], i["file_name"], i["license"]) for i in doc["images"]] == [(1, "a.jpg", 0), (2, "b.jpg", 0)] and [c["id"] for c in doc["categories"]] == [2, 4]
+    assert [(a["id"], a["image_id"], a["bbox"], a["area"]) for a in doc["annotations"]] == [(1, 1, [1.0, 2.0, 3.0, 4.0], 12), (2, 2, [0.0, 0.0, 1.0, 1.0], 7)]
+
+
+def test_paths(spark, tmp_path):
+    uri = lambda p, *a, **k: one(spark, paths.image_uri(F.lit(p), *a, **k))
+    assert uri("s3://b/x", "absolute", "/c") == "s3://b/x" and uri("/x/y.jpg", "absolute", "/c") == "/x/y.jpg"
+    assert uri("p/../y.jpg", "absolute", "/c") == "/c/y.jpg" and uri("y.jpg", "absolute", "/c", "/g/r") == "/g/r/y.jpg"
+    assert uri("./a//b.jpg", "relative", "/c") == "a/b.jpg" and uri("a.jpg", "relative", "/c/d", None, "/c") == "d/a.jpg" and uri("a.jpg", "relative", "/c/d", None, "/c/e/f") == "../../d/a.jpg"
+    with pytest.raises(DatasetBuildError):
+        uri("a", "odd", "/c")
+    assert paths.config_path("x", "/base") == "/base/x" and paths.config_path(None) is None and paths.config_path("gs://x", "/b") == "gs://x"
+    assert paths.data_path("no/such", "rel") == "rel/no/such"
+    files = spark.createDataFrame([("/im/a.jpg",), ("/im/sub/b.jpg",), ("/im/z/b.jpg",), ("/abs/c.jpg",)], "path string")
+    rows = spark.createDataFrame([("a.jpg",), ("x/a.jpg",), ("q/b.jpg",), ("/abs/c.jpg",), ("none.jpg",)], "uri string")
+    assert {r["uri"]: r["found"] for r in paths.find_images(rows, files, "/im").collect()} == {"a.jpg": "/im/a.jpg", "x/a.jpg": "/im/a.jpg", "q/b.jpg": "/im/sub/b.jpg", "/abs/c.jpg": "/abs/c.jpg", "none.jpg": None}
+
+
+def test_pseudo_labels_pass_through(spark):
+    import pandas as pd
+
+    schema = ("line_no long, found string, width int, height int, annotations array<struct<instance_id:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>,mask:struct<counts:string,size:array<int>>,source:string>>")
+    box = (1.0, 1.0, 3.0, 3.0)
+    rows = [(1, "a", 5, 4, [("i", box, None, None), ("j", None, None, None), ("k", box, ("x", [4, 5]), "human")]), (2, None, 5, 4, [("i", box, None, None)]), (3, "c", 5, 4, []), (4, "bad", 5, 4, [("i", box, None, "s")])]
+
+    def predictor(batches):
+        for b in batches:
+            yield pd.DataFrame({"line_no": b["line_no"], "pos": b["pos"], "height": [4 if f != "bad" else 9 for f in b["found"]], "width": b["width"], "runs": [[5, 2, 13]] * len(b)})
+
+    got = {r["line_no"]: r for r in sync.pseudo_label(spark.createDataFrame(rows, schema), predictor).collect()}
+    assert set(got) == {1, 2, 3, 4} and got[1]["mask_source"] and not any(got[k]["mask_source"] for k in (2, 3, 4))
+    a = got[1]["annotations"]
+    assert masks.unpack_runs(a[0]["mask"]["counts"]) == [5, 2, 13] and a[0]["mask_format"] == "coco_rle" and a[1]["mask"] is None and a[2]["mask"]["counts"] == "x" and a[2]["source"] == "human"
+
+
+def test_row_layouts(spark):
+    df = spark.createDataFrame([("p", "c", None, "t"), (None, None, "do", "t"), (None, None, None, "t"), ("p", None, None, None)], "prompt string, completion string, instruction string, text string")
+    assert [r[0] for r in df.select(messages.text_of(df)).collect()] == ["p\nc", "do", "t", ""]
+    kind = "messages array<struct<role:string,content:array<struct<type:string,path:string,image_id:string,text:string>>>>, image_registry map<string,string>, image string"
+    df = spark.createDataFrame([([("user", [("image", None, "k", None), ("image", None, "unknown", None), ("image", "b.jpg", None, None), ("text", None, None, "x")])], {"k": "a.jpg"}, "b.jpg")], kind)
+    assert df.select(messages.image_paths(df)).first()[0] == ["b.jpg", "a.jpg"]
+    rows = stats.plot_series(spark.createDataFrame([("b", "0.5", "1"), ("a", "x", "1"), ("a", "0.1", "nan"), ("a", "0.2", "0.3")], "model string, threshold string, f1 string"), "f1").collect()
+    assert [(r["model"], r["threshold"]) for r in rows] == [("a", 0.2), ("b", 0.5)]
+    kept, missing = stats.by_requested_ids(spark.createDataFrame([("a",), ("b",)], "id string"), "id", ["b", "z"], 5)
+    assert [r["id"] for r in kept.collect()] == ["b"] and missing == ["z"]
+
+
+def test_brush_literals_and_golden_runs():
+    """Literal blocks, whose words are read at computed places, and run texts worked out by hand from the packing."""
+    pixels = [0, 0, 0, 255, 1, 2, 3, 0, 9, 9, 9, 7, 0, 0, 0, 0]
+    bits = f"{16:032b}{7:05b}" + "".join(f"{s - 1:04b}" for s in (3, 4, 8, 16)) + "0" + "01" + f"{11:04b}" + "".join(f"{v:08b}" for v in pixels[:12]) + "1" + "00" + f"{3:03b}" + f"{0:08b}"
+    bits += "0" * (-len(bits) % 8)
+    mask = masks.decode_brush([int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)], 2, 2)
+    assert mask.tolist() == [[True, False], [True, False]]
+    # 15 -> one character 48 + 15; 16 needs a sign: 16 & 31 | 32, then 0; -1 is 48 + 31
+    assert masks.pack_runs([15, 16, 14, 15, 13]) == "?" + "`0" + ">" + "O" + "O" and masks.unpack_runs("?`0>OO") == [15, 16, 14, 15, 13]
 
 
 def test_coco_and_yolo(spark, tmp_path):
@@ -168,7 +346,20 @@ def test_configs(tmp_path):
     assert detection.merge_options({"a": 1, "options": {"a": 2}}, {"b": 3, "a": None}) == {"a": 2, "b": 3}
     with pytest.raises(DatasetBuildError):
         detection.check_options({"z": 1}, {"a"})
-    assert detection.prediction_files(["/x/a.jsonl", {"name": "n", "path": "/x/a.jsonl"}]) == [("n", "/x/a.jsonl")]
+    assert detection.prediction_files(["/x/a.jsonl", {"name": "n", "path": "/x/a.jsonl"}, {"path": "/x/b.jsonl"}]) == [("n", "/x/a.jsonl"), ("b", "/x/b.jsonl")]
+    keys = lambda cfg: [e["key"] for e in detection.data_entries(cfg)]
+    assert keys({"data_dict": "x/y.json"}) == ["dataset"] and keys({"data_dicts": ["p/q.json", {"m": "z", "n": {"p": "w"}}]}) == ["q", "m", "n"] and keys({}) == []
+    for bad in ({"data_dicts": {"a": {"folder": "f"}}}, {"data_dicts": [3]}, {"data_dicts": 5}, {"data_dicts": {"a": 3}}):
+        with pytest.raises(DatasetBuildError):
+            detection.data_entries(bad)
+    with pytest.raises(DatasetBuildError):
+        detection.source_of("Nothing")
+    assert detection.source_of("WarpDataset") is detection.read_yolo
+    with pytest.warns(UserWarning):
+        assert detection.entry_specs({"c": {"data_dicts": {"a": "x"}}, "d": {}})[0]["entry_id"] == "c_a"
+    for name in ("u.jsonl", "v.json"):
+        (tmp_path / name).write_text("")
+    assert [n for n, _ in detection.prediction_files(folders=[str(tmp_path)], patterns=["*.json", "*.jsonl"])] == ["v", "u"]
     assert X.description_of([" a ", "", "b"]) == "a b" and X.category_ids("1, 2") == [1, 2] and X.classes_of(["a"]) == {"a": None}
 
 
@@ -251,3 +442,35 @@ def test_label_tables(spark):
     declared = spark.createDataFrame([("b", None, 0), ("a", "x", 1)], "label string, description string, ord int")
     seen = spark.createDataFrame([("c", 0), ("a", 1)], "label string, ord int")
     assert [tuple(r) for r in convert.label_table(declared, seen).orderBy("label_id").collect()] == [(1, "b", None), (2, "a", "x"), (3, "c", None)]
+
+
+def test_image_listing(spark, tmp_path):
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (30).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"\x08"
+    bmp = b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-5).to_bytes(4, "little", signed=True)
+    jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (40).to_bytes(2, "big") + (60).to_bytes(2, "big") + bytes(8)
+    tag = lambda k, v: k.to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + v.to_bytes(4, "little")
+    tiff = b"II*\x00" + (8).to_bytes(4, "little") + (2).to_bytes(2, "little") + tag(256, 11) + tag(257, 12)
+    for name, data in {"c.png": png, "a.BMP": bmp, "b.jpg": jpeg, "d.tiff": tiff, "e.png": b"junk", "f.txt": png}.items():
+        (tmp_path / name).write_bytes(data)
+    got = [(os.path.basename(r["image"]), r["width"], r["height"]) for r in detection.list_images(spark, str(tmp_path)).collect()]
+    assert got == [("a.BMP", 7, 5), ("b.jpg", 60, 40), ("c.png", 30, 20), ("d.tiff", 11, 12)]
+
+
+def test_legacy_rows_and_structure(spark):
+    df = spark.createDataFrame([("a.jpg", 200, 100, [("PET", [10.0, 20.0, 30.0, 40.0])])], "image string, width int, height int, annotations array<struct<class:string,bbox:array<double>>>")
+    r = messages.legacy_rows(df, {"PET": ["bottle"]}, 1.0, image_root="/r").first()
+    assert json.loads(r["target"]) == [{"class": "PET", "box": [0.05, 0.2, 0.2, 0.6]}] and "# PET" in r["prompt"] and r["image_root"] == "/r"
+    kind = "messages array<struct<role:string,content:array<struct<type:string,text:string>>>>, images map<string,string>, target struct<instances:array<struct<label:string>>>"
+    df = spark.createDataFrame([([("u", [("text", "x"), ("image", None)])], {"q": "a"}, ([("PET",), (None,)],)), (None, None, None)], kind)
+    rows = [tuple(r[0]) for r in df.select(stats.sample_structure(df)).collect()]
+    assert rows == [(1, 1, 1, 1, 2, ["PET"]), (0, 0, 0, 0, 0, [])]
+
+
+def test_stream_of_manifests(spark, tmp_path):
+    from boxloom.streaming.manifests import stream_samples
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.jsonl").write_text("\n".join(json.dumps(x) for x in (HEADER, {"record_type": "sample", "sample": RECORD}, {"record_type": "sample", "sample": {**RECORD, "sample_type": "odd"}})))
+    q = stream_samples(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
+    assert {r["problem"] for r in spark.table("streamed").collect()} == {None, "unknown sample_type"}
