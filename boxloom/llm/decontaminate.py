@@ -24,13 +24,17 @@ NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 #: Unit words (fixed values).
 UNITS = ("mm", "cm", "km", "mg", "kg", "ml", "percent", "dollars", "euros", "miles", "meters", "metres", "grams", "liters",
          "litres", "minutes", "hours", "days", "weeks", "months", "years", "degrees", "pounds", "inches")
+#: Number words (fixed values).
+NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "thirteen", "fourteen", "fifteen", "sixteen", "seventeen",
+                "eighteen", "nineteen", "twenty", "thirty", "forty", "fifty", "sixty", "seventy", "eighty", "ninety", "hundred", "thousand", "million", "dozen", "half", "twice")
 
 
 def templated(text: Column) -> Column:
     """The text as single-spaced words without case and punctuation; slots are a mark and the value."""
     named = F.regexp_replace(text, "(?<=[\\p{L},;] )\\p{Lu}\\p{Ll}+(?![\\p{L}])", NAME + "$0")
     numbered = F.regexp_replace(F.lower(named), "\\p{Sc}?[0-9][0-9\\p{L}.,:/%-]*", NUMBER + "$0")
-    united = F.regexp_replace(numbered, "(?<![\\p{L}])(?:" + "|".join(UNITS) + ")(?![\\p{L}])", UNIT + "$0")
+    counted = F.regexp_replace(numbered, "(?<![\\p{L}])(?:" + "|".join(NUMBER_WORDS) + ")(?![\\p{L}])", NUMBER + "$0")
+    united = F.regexp_replace(counted, "(?<![\\p{L}])(?:" + "|".join(UNITS) + ")(?![\\p{L}])", UNIT + "$0")
     bare = F.regexp_replace(united, "[^\\p{L}\\p{N}\ue001-\ue003\\x20\\x09-\\x0D]+", "")
     return F.regexp_replace(bare, BLANKS, " ")
 
@@ -85,7 +89,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW,
     them, are in no document. Items with equal text are all reported. Rows that repeat a doc_id,
     null included, are one document. An empty table on either side gives no rows.
     """
-    items = broadcast_if_small(item_windows(benchmark, size), MAX_BROADCAST)
+    items = broadcast_if_small(staged(item_windows(benchmark, size)), MAX_BROADCAST)
     hits = document_windows(docs, size).join(items, "h").filter("doc_template = template")
     pairs = F.arrays_zip(_slots("item_window").alias("item"), _slots("window").alias("doc"))
     hits = hits.select(

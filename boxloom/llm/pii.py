@@ -35,8 +35,15 @@ NUMBER = r"\b[0-9]++(?:[ .-][0-9]++){2,}+\b"
 HANDLE = r"(?<![\w@.])@[A-Za-z0-9_]{3,}\b"
 CANDIDATE = f"{NAME}|{NUMBER}|{HANDLE}"
 #: Gazetteers and cue words (fixed values).
-FIRST_NAMES = ("james", "mary", "john", "anna", "robert", "linda", "michael", "maria", "david", "sarah", "peter", "laura",
-               "thomas", "julia", "paul", "sophie", "hans", "klaus", "jean", "pierre", "marie", "jose", "juan", "carmen")
+FIRST_NAMES = (
+    "james", "mary", "john", "anna", "robert", "linda", "michael", "maria", "david", "sarah", "peter", "laura", "thomas", "julia", "paul", "sophie", "hans", "klaus", "jean", "pierre",
+    "marie", "jose", "juan", "carmen", "william", "elizabeth", "richard", "jennifer", "joseph", "susan", "charles", "jessica", "daniel", "karen", "matthew", "nancy", "anthony", "lisa",
+    "mark", "betty", "steven", "margaret", "andrew", "sandra", "kevin", "ashley", "brian", "emily", "george", "donna", "edward", "michelle", "ronald", "carol", "timothy", "amanda",
+    "jason", "melissa", "jeffrey", "deborah", "ryan", "stephanie", "jacob", "rebecca", "gary", "sharon", "nicholas", "cynthia", "eric", "kathleen", "jonathan", "amy", "stephen",
+    "angela", "larry", "helen", "justin", "brenda", "scott", "pamela", "frank", "emma", "benjamin", "nicole", "samuel", "samantha", "gregory", "katherine", "alexander", "christine",
+    "wolfgang", "jürgen", "ursula", "monika", "petra", "sabine", "stefan", "andreas", "heike", "françois", "isabelle", "nathalie", "philippe", "michel", "catherine", "alain", "luis",
+    "carlos", "ana", "lucia", "miguel", "antonio", "francisco", "elena", "pablo", "javier", "rosa", "pedro", "isabel",
+)
 COMMON_WORDS = ("the", "and", "of", "to", "in", "is", "that", "for", "it", "was", "on", "with", "as", "at", "by", "this",
                 "le", "la", "les", "de", "des", "du", "et", "der", "die", "das", "und", "el", "los", "que", "en", "un")
 CUES_BEFORE = ("name", "mr", "mrs", "ms", "dr", "contact", "call", "tel", "phone", "mobile", "fax", "ssn", "passport",

@@ -10,7 +10,7 @@ captures is spread over its slices. Payloads are never moved, only their record
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Headers that describe the stored payload; a 304 does not change them.
@@ -36,8 +36,7 @@ def canonical_url(url: Column) -> Column:
 def as_of_latest(rows: DataFrame, key: str, order: tuple[str, str], payload: str, slice_of: Column) -> DataFrame:
     """rows with ``payload`` replaced by the latest non-null payload of an earlier row of the same key.
 
-    Rows are ordered by the two columns ``order``; slice_of maps the first to a slice number without
-    changing their order.
+    Rows are ordered by the two columns ``order``; slice_of maps them to a slice without changing their order.
     """
     rows = rows.withColumn("slice", slice_of)
     at = F.when(F.col(payload).isNotNull(), F.struct(*order))
@@ -52,15 +51,40 @@ def as_of_latest(rows: DataFrame, key: str, order: tuple[str, str], payload: str
     )
 
 
-def folded_headers(headers: Column) -> Column:
-    """Names lower-cased; values of names that are then equal are joined by a comma, as HTTP reads them, sorted, as a map has no order."""
-    entries = F.map_entries(headers)
+def _folded(entries: Column) -> Column:
     names = F.array_distinct(F.transform(entries, lambda e: F.lower(e["key"])))
     joined = lambda k: F.array_join(F.array_sort(F.transform(F.filter(entries, lambda e: F.lower(e["key"]) == k), lambda e: e["value"])), ", ")
     return F.map_from_entries(F.transform(names, lambda k: F.struct(k.alias("key"), joined(k).alias("value"))))
 
 
-def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
+def folded_headers(headers: Column) -> Column:
+    """Names lower-cased; values of names that are then equal are joined by a comma, as HTTP reads them, sorted, as a map has no order."""
+    return _folded(F.map_entries(headers))
+
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """Responses and revisits of WARC 1.0 files as resolve takes them: record_id, url, ts, status, etag, last_modified, headers, payload_sha256.
+
+    Records are cut at their version line, which splits uncompressed files like any text. What has no
+    WARC-Type after such a line is a payload's own text and is left out. payload_sha256 is the digest
+    the record states, in the form it states it; payloads themselves are not read.
+    """
+    raw = spark.read.text(path, lineSep="WARC/1.0\r\n")
+    head = F.substring_index("value", "\r\n\r\n", 1)
+    block = F.substring("value", F.length(head) + 5, F.length("value"))
+    cut = raw.select(head.alias("head"), F.substring_index(block, "\r\n\r\n", 1).alias("http"))
+    field = lambda of, name: F.regexp_extract(of, f"(?im)^{name}:[ \\t]*(.*?)[ \\t]*\\r?$", 1)
+    some = lambda c: F.when(c != "", c)
+    lines = F.filter(F.slice(F.split("http", "\r\n"), F.lit(2), F.size(F.split("http", "\r\n"))), lambda x: x.rlike("^[^:\\s]+:"))
+    entries = F.transform(lines, lambda x: F.struct(F.regexp_extract(x, "^([^:]+):", 1).alias("key"), F.regexp_extract(x, "^[^:]+:[ \\t]*(.*?)[ \\t]*$", 1).alias("value")))
+    kept = cut.filter(F.lower(field("head", "WARC-Type")).isin("response", "revisit"))
+    return kept.select(
+        some(field("head", "WARC-Record-ID")).alias("record_id"), some(field("head", "WARC-Target-URI")).alias("url"), F.try_to_timestamp(field("head", "WARC-Date")).alias("ts"),
+        F.regexp_extract("http", "^HTTP/[0-9.]+ ([0-9]{3})", 1).try_cast("int").alias("status"), some(field("http", "ETag")).alias("etag"),
+        some(field("http", "Last-Modified")).alias("last_modified"), _folded(entries).alias("headers"), some(field("head", "WARC-Payload-Digest")).alias("payload_sha256"))
+
+
+def resolve(records: DataFrame, slice_seconds: int = 3600) -> DataFrame:
     """records (record_id, url, ts, status, etag, last_modified, headers map, payload_sha256) -> one row each.
 
     Adds canonical, base_id, outcome, resolved_sha256 and merged (header names lower-cased). outcome:
@@ -77,7 +101,8 @@ def resolve(records: DataFrame, slice_seconds: int = 86_400) -> DataFrame:
     ).withColumn("base", F.when(full, F.struct("record_id", "etag", "last_modified", "headers", "payload_sha256")))
     known = as_of_latest(
         rows.filter("canonical is not null"), "canonical", ("ts", "record_id"), "base",
-        F.floor(F.coalesce(F.unix_seconds("ts"), F.lit(-(2**40))) / slice_seconds),
+        # rows without a time have one and the same: they are split by record id, in which they are ordered
+        F.struct(F.floor(F.coalesce(F.unix_seconds("ts"), F.lit(-(2**40))) / slice_seconds).alias("time"), F.when(F.col("ts").isNull(), F.floor(F.col("record_id").try_cast("long") / 65_536)).alias("id")),
     )
     rows = known.unionByName(rows.filter("canonical is null").withColumn("base", F.when(F.lit(False), F.col("base"))))
     by_etag = F.col("etag").isNotNull() & F.col("base.etag").isNotNull()

@@ -549,3 +549,28 @@ def test_url_verdicts_by_brute_force(spark):
     assert len(rows) == 3 and all(r["verdict"] == verdict(r["tokens"]) for r in rows)
     got = {r["url"]: r["verdict"] for r in rows}
     assert got["http://x.net/de/news"] == "allow" and got["http://y.org/en/promo?ad=1"] == "block"
+
+
+def test_warc_files(spark, tmp_path):
+    def record(kind, no, date, http, digest=None, body=""):
+        head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{no}>", "WARC-Target-URI: http://a.com/x", f"WARC-Date: 2020-01-0{date}T00:00:00Z", *([f"WARC-Payload-Digest: sha256:{digest}"] if digest else [])]
+        return "WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n" + http + "\r\n\r\n" + body + "\r\n\r\n"
+
+    text = record("warcinfo", 0, 1, "software: x") + record("response", 1, 1, 'HTTP/1.1 200 OK\r\nETag: "e"\r\nSet-Cookie: a\r\nset-cookie: b\r\nContent-Length: 5', "d1", "hello WARC/1.0\r\nnot a record")
+    text += record("revisit", 2, 2, 'HTTP/1.1 304 Not Modified\r\nETag: W/"e"\r\nDate: now') + record("revisit", 3, 3, 'HTTP/1.1 304 Not Modified\r\nETag: "f"')
+    (tmp_path / "a.warc").write_bytes(text.encode())
+    got = {r["record_id"]: r for r in warc_revisit.resolve(warc_revisit.read_warc(spark, str(tmp_path / "a.warc"))).collect()}
+    assert {k: r["outcome"] for k, r in got.items()} == {"<urn:1>": "full", "<urn:2>": "resolved", "<urn:3>": "changed"}
+    assert got["<urn:2>"]["base_id"] == "<urn:1>" and got["<urn:2>"]["resolved_sha256"] == "sha256:d1"
+    assert got["<urn:2>"]["merged"] == {"etag": 'W/"e"', "set-cookie": "a, b", "content-length": "5", "date": "now"}
+
+
+def test_revisits_without_times(spark):
+    """Rows without a time are one moment, ordered by record id over many slices."""
+    n = 300_000
+    df = spark.range(n).select(
+        F.col("id").alias("record_id"), F.lit("http://a.com/").alias("url"), F.lit(None).cast("timestamp").alias("ts"), F.when(F.col("id") % 100_000 == 5, 200).otherwise(304).alias("status"),
+        F.lit("e").alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("a"), F.lit("b")).alias("headers"), F.lit("p").alias("payload_sha256"))
+    done = warc_revisit.resolve(df).filter("outcome <> 'full'")
+    want = F.when(F.col("record_id") > 5, F.floor((F.col("record_id") - 6) / 100_000) * 100_000 + 5)
+    assert done.filter(~F.col("base_id").eqNullSafe(want)).isEmpty() and done.count() == n - 3

@@ -21,6 +21,39 @@ def test_stages(spark):
     assert sorted(map(str, p.run(spark, SF).select("doc_id", "copy").collect())) == sorted(map(str, docs.select("doc_id", "copy").collect()))
 
 
+def test_stages_by_brute_force(spark):
+    """Every stage but the first against its rule worked out anew, on rows with nulls, repeats and shared ids."""
+    import random
+
+    import corpus_pipeline as p
+    from test_llm import components
+
+    rng = random.Random(21)
+    word = ["".join(rng.choices("bcdfghjklm", k=6)) for _ in range(300)]
+    texts = [" ".join(rng.choices(word, k=rng.randint(30, 90))) for _ in range(40)]
+    texts += [t.rsplit(" ", 2)[0] + " extra" for t in texts[:8]] + texts[:5] + [None, "", " ", "one"]
+    ids = [*range(len(texts) - 3), None, None, 3]
+    rows = [(i, t, "en", rng.choice(["a", "b", None]), len(t or "")) for i, t in zip(ids, texts)]
+    item = " ".join(texts[30].split()[4:24])
+    docs = spark.createDataFrame([*rows, rows[2]], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(p.STAGES)
+    got = stage["exact dedup"](spark, docs, SF).collect()
+    assert sorted(r["text"] or "" for r in got) == sorted({r["text"] or "" for r in docs.collect()})
+    got = stage["n-gram Jaccard join"](spark, docs, SF).collect()
+    numbered = list(enumerate(r["text"] for r in docs.collect()))
+    found = components(numbered, 5, 80)
+    assert len(got) == len({c for _, n, c in found if n}) + sum(n == 0 for _, n, _ in found)
+    from boxloom.llm import decontaminate
+
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    want = sorted(r["text"] or "" for r in docs.collect() if item not in (r["text"] or ""))
+    assert sorted(r["text"] or "" for r in decontaminate.drop_contaminated(docs, bench).collect()) == want
+    mixed = stage["mixing sources to target weights"](spark, docs, SF)
+    assert set(r["text"] for r in mixed.collect()) <= set(texts)
+    for name, one in p.STAGES:
+        assert one(spark, docs.limit(0), SF).count() == 0, name
+
+
 def test_sql(spark):
     from boxloom.llm import queries
 
