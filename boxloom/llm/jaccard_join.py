@@ -458,8 +458,10 @@ def similarity_classes(docs: DataFrame, ngram: int = 4, percent: int = 85, unit:
     by 128-bit digests.
     """
     rows, classes = _components(docs, ngram, percent, unit, max_hot)
-    lowest = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = classes.select("key", "root").join(lowest, "root").select("key", "component_id")
+    # components of one class need no join, and a component of very many meets a broadcast row
+    lowest = staged(classes.groupBy("root").agg(F.min("first_id").alias("lowest"), F.count(F.lit(1)).alias("many")).filter("many > 1"))
+    named = classes.join(broadcast_if_small(lowest, MAX_BROADCAST), "root", "left").select(
+        "key", F.when(F.col("many").isNotNull(), F.col("lowest")).otherwise(F.col("first_id")).alias("component_id"))
     return rows.select("doc_id", "n", "key").join(named, "key", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
@@ -475,8 +477,9 @@ def keep_one(docs: DataFrame, ngram: int = 5, percent: int = 80, unit: int = UNI
     rows, classes = _components(docs, ngram, percent, unit, max_hot)
     named = rows.filter("n > 0").select("doc_id", "digest", "key").join(classes.select("key", "root"), "key")
     order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "digest")
-    best = named.groupBy("root").agg(F.min(order).alias("best"))
-    each = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times")).join(best, "root")
+    each = named.groupBy("root", "doc_id", "digest").agg(F.count(F.lit(1)).alias("times"))
+    best = staged(each.groupBy("root").agg(F.min(order).alias("best"), F.sum("times").alias("rows")).filter("rows > 1"))
+    each = each.join(broadcast_if_small(best, MAX_BROADCAST // 4), "root")
     is_best = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("digest") == F.col("best.digest"))
     listed = staged(each.select("doc_id", "digest", is_best.alias("kept"), "times").filter("not kept or times > 1").drop("times"))
     discard(rows, classes)

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boxloom.llm.common import as_text, staged
+from boxloom.llm.common import as_text, small_batches, staged
 from boxloom.llm.hashing import codes_of, mix64, pieces, split_words
 
 #: Classes, and leaves of a class.
@@ -264,7 +264,8 @@ def train(docs: DataFrame, own: tuple[np.ndarray, np.ndarray], rate: float = 0.3
             yield out()
 
     parts = docs.filter("not held_out").select("text").mapInPandas(epoch, "chunk int, part int, sums binary")
-    got = parts.repartition(CHUNKS // 4, "chunk").sortWithinPartitions("chunk", "part").mapInPandas(add, "chunk int, mean binary").collect()
+    with small_batches(docs.sparkSession):
+        got = parts.repartition(CHUNKS // 4, "chunk").sortWithinPartitions("chunk", "part").mapInPandas(add, "chunk int, mean binary").collect()
     if not got:
         return tuple(m.theta for m in new_model())
     both = np.concatenate([np.frombuffer(bytes(r["mean"]), dtype=np.float32) for r in sorted(got, key=lambda r: r["chunk"])]).reshape(-1, WIDTH)
