@@ -574,3 +574,39 @@ def test_revisits_without_times(spark):
     done = warc_revisit.resolve(df).filter("outcome <> 'full'")
     want = F.when(F.col("record_id") > 5, F.floor((F.col("record_id") - 6) / 100_000) * 100_000 + 5)
     assert done.filter(~F.col("base_id").eqNullSafe(want)).isEmpty() and done.count() == n - 3
+
+
+def test_decontaminate_by_brute_force(spark):
+    """Items of 1 to 30 words from a small vocabulary, whole or cut, at all offsets: exactly what the rule says is reported."""
+    rng = random.Random(31)
+    word = ["bab", "cac", "dad", "faf", "gag", "hah", "jaj"]
+    items = [(k, " ".join(rng.choices(word, k=rng.randint(1, 30)))) for k in range(25)]
+    texts = []
+    for k in range(120):
+        w = rng.choices(word, k=rng.randint(0, 12))
+        if k % 3:
+            part = rng.choice(items)[1].split()
+            a = rng.randrange(len(part))
+            part = part if k % 3 == 1 else part[a : a + rng.randint(1, 14)]
+            at = rng.randint(0, len(w))
+            w[at:at] = part
+        texts.append((k, " ".join(w)))
+
+    def holds(doc, item, size=5, least=2):
+        d, i = doc.split(), item.split()
+        places = {}
+        for x in range(len(d) - size + 1):
+            for y in range(len(i) - size + 1):
+                if d[x : x + size] == i[y : y + size]:
+                    places.setdefault(x - y, []).append(y)
+        for ys in places.values():
+            side_by_side, last = 0, -size
+            for y in sorted(ys):
+                if y >= last + size:
+                    side_by_side, last = side_by_side + 1, y
+            if side_by_side >= least or (len(ys) == len(i) - size + 1 and len(i) < least * size):
+                return True
+        return False
+
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(d, i) for d, t in texts for i, s in items if holds(t, s)} and len(got) > 20
