@@ -36,7 +36,7 @@ OWN = LEAVES // 2
 FEATURE_BITS = 16
 #: So many words at most have their counts broadcast.
 FREQUENT = 200_000
-CHUNKS = 64
+CHUNKS = 256
 #: Characters hashed together, and tokens counted together.
 BATCH_CHARS, COUNT_TOKENS = 1 << 17, 1 << 22
 #: A softmax whose logits stay within this bound needs no shift by its largest.

@@ -15,7 +15,9 @@ def op1_decontaminate(spark, sf_dir):
 
 
 def op2_url_rules(spark, sf_dir):
-    return url_rules.judge_urls(table(spark, sf_dir, "pages"))
+    """The miner's labels are those of the documents that the URLs name by number."""
+    pages = table(spark, sf_dir, "pages")
+    return url_rules.judge_urls(pages, url_rules.labels_of_documents(pages, table(spark, sf_dir, "labels")))
 
 
 def op4_exact_dedup(spark, sf_dir):

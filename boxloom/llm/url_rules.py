@@ -140,6 +140,18 @@ def transactions(pages: DataFrame, rules=BASE_RULES) -> DataFrame:
         undecided(url_tokens(), rules).alias("tokens"), (F.col("base.verdict") == "block").alias("bad"), (F.pmod(F.xxhash64("url"), F.lit(10)) == 0).alias("held"))
 
 
+def labels_of_documents(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """labels (doc_id, quality, toxic) as (url, bad): a URL whose path ends in a document's number has its label.
+
+    bad: poor quality or toxic; a document with several labels is bad if one says so, and one without a
+    known quality is no label.
+    """
+    rated = labels.filter("doc_id is not null and quality is not null").groupBy("doc_id").agg(
+        F.max((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1)).alias("bad"))
+    numbered = pages.filter("url is not null").select("url", F.regexp_extract(path_of(), "/([0-9]{1,18})/?$", 1).try_cast("long").alias("doc_id")).filter("doc_id is not null").distinct()
+    return numbered.join(rated, "doc_id").select("url", "bad")
+
+
 def judge_urls(
     pages: DataFrame, labels: DataFrame | None = None, support: float = 0.01, confidence: float = 0.8,
     lift: float = 1.1, max_length: int = 4, rules=BASE_RULES,

@@ -610,3 +610,12 @@ def test_decontaminate_by_brute_force(spark):
 
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_contaminated(documents(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()}
     assert got == {(d, i) for d, t in texts for i, s in items if holds(t, s)} and len(got) > 20
+
+
+def test_url_labels_of_documents(spark):
+    pages = spark.createDataFrame([(0, "http://a.com/en/7?x"), (1, "http://b.com/8/"), (2, "http://c.com/x9"), (3, None), (4, "http://d.com/en/7?x"), (5, "http://e.com/5"), (6, "http://f.com/" + "9" * 30)], "page_id long, url string")
+    labels = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (8, 1, 1), (9, 0, 0), (5, None, 1), (None, 0, 0)], "doc_id long, quality int, toxic int")
+    got = {(r["url"], r["bad"]) for r in url_rules.labels_of_documents(pages, labels).collect()}
+    assert got == {("http://a.com/en/7?x", True), ("http://d.com/en/7?x", True), ("http://b.com/8/", True)}
+    verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, url_rules.labels_of_documents(pages, labels)).collect()}
+    assert len(verdicts) == 7
