@@ -119,10 +119,10 @@ def may_hold(bits: np.ndarray, ids) -> np.ndarray:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(a long, b long) edges -> (node, root) for every node of an edge; root is equal within a component.
 
-    Star contraction: every node moves to its smallest neighbour, edges are relabelled, loops and
-    repeats go, until no edge is left; then the moves are composed backwards. Node ids should be
-    hashes, which makes the expected number of rounds logarithmic. Each round pre-aggregates before
-    its shuffle, so a node with very many neighbours is no hot group; staging cuts the lineage.
+    Star contraction: every node moves to the smallest node within two steps, edges are relabelled,
+    loops and repeats go, until no edge is left; then the moves are composed backwards. Node ids
+    should be hashes, which makes the expected number of rounds logarithmic. Each round pre-aggregates
+    before its shuffle, so a node with very many neighbours is no hot group; staging cuts the lineage.
     """
     edges = staged(
         edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct()
@@ -130,10 +130,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
     moves = []
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        move = staged(
-            both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-            .select("node", F.least("node", "m").alias("root"))
-        )
+        near = both.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m")).select("b", F.least("b", "m").alias("m"))
+        move = staged(both.join(near, "b").groupBy(F.col("a").alias("node")).agg(F.min("m").alias("root")))
         moves.append(move)
         to_a = move.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         to_b = move.select(F.col("node").alias("b"), F.col("root").alias("rb"))
