@@ -32,17 +32,19 @@ NUMBER_WORDS = ("one", "two", "three", "four", "five", "six", "seven", "eight",
 def templated(text: Column) -> Column:
     """The text as single-spaced words without case and punctuation; slots are a mark and the value."""
     named = F.regexp_replace(text, "(?<=[\\p{L},;] )\\p{Lu}\\p{Ll}+(?![\\p{L}])", NAME + "$0")
-    numbered = F.regexp_replace(F.lower(named), "\\p{Sc}?[0-9][0-9\\p{L}.,:/%-]*", NUMBER + "$0")
-    counted = F.regexp_replace(numbered, "(?<![\\p{L}])(?:" + "|".join(NUMBER_WORDS) + ")(?![\\p{L}])", NUMBER + "$0")
-    united = F.regexp_replace(counted, "(?<![\\p{L}])(?:" + "|".join(UNITS) + ")(?![\\p{L}])", UNIT + "$0")
+    # the letters that number words begin with rule out most words before the alternatives are tried
+    words = "(?<!\\p{L})(?=[" + "".join(sorted({w[0] for w in NUMBER_WORDS})) + "])(?:" + "|".join(NUMBER_WORDS) + ")(?!\\p{L})"
+    numbered = F.regexp_replace(F.lower(named), "\\p{Sc}?[0-9][0-9\\p{L}.,:/%-]*|" + words, NUMBER + "$0")
+    united = F.regexp_replace(numbered, "(?<![\\p{L}])(?:" + "|".join(UNITS) + ")(?![\\p{L}])", UNIT + "$0")
     bare = F.regexp_replace(united, "[^\\p{L}\\p{N}\ue001-\ue003\\x20\\x09-\\x0D]+", "")
     return F.regexp_replace(bare, BLANKS, " ")
 
 
 def without_values(window: Column, size: int) -> Column:
     """The template; a window with one plain word at most says nothing without its values, and keeps them."""
-    slots = F.regexp_count(window, F.lit("[\ue001-\ue003]"))
-    return F.when((slots > 0) & (slots < size - 1), F.regexp_replace(window, "([\ue001-\ue003])[^ ]*", "$1")).otherwise(window)
+    slots = F.length(window) - F.length(F.translate(window, NAME + NUMBER + UNIT, ""))
+    has = window.contains(NAME) | window.contains(NUMBER) | window.contains(UNIT)
+    return F.when(has, F.when(slots < size - 1, F.regexp_replace(window, "([\ue001-\ue003])[^ ]*", "$1")).otherwise(window)).otherwise(window)
 
 
 def _with_plain(window: str) -> Column:
