@@ -13,8 +13,9 @@ from boxloom.functions.paths import image_uri
 from boxloom.functions.text import description_of, file_stem, sanitize_label, sequential_id
 from boxloom.operators.stats import numbered
 
+#: What a header states unless it is told otherwise; readers take any text.
+SCHEMA_VERSION = "data_schema.v2"
 #: Fixed values of the manifest format.
-SCHEMA_VERSION = "vh_loop.data_schema.v2"
 SAMPLE_TYPE = "si_simple_data"
 ID_STRATEGIES = ("image_id", "sequential", "file_stem")
 #: Defaults of a conversion's header (fixed values).
@@ -151,12 +152,12 @@ def label_info(labels: list[dict], require_descriptions: bool = False) -> dict[s
     return out
 
 
-def dataset_header(dataset_id: str, labels: list[dict], options: dict | None = None, notes: str = "", metadata: dict | None = None, only: set[str] | None = None, now: str | None = None, require_descriptions: bool = False) -> dict:
+def dataset_header(dataset_id: str, labels: list[dict], options: dict | None = None, notes: str = "", metadata: dict | None = None, only: set[str] | None = None, now: str | None = None, require_descriptions: bool = False, schema_version: str = SCHEMA_VERSION) -> dict:
     """A header record. only: the labels a single entry declares or uses; the ids stay those of all."""
     o = DEFAULTS | {k: v for k, v in (options or {}).items() if v is not None}
     now = now or datetime.datetime.now().isoformat(timespec="seconds")
     chosen = [x for x in labels if only is None or x["label_name"] in only]
-    return {"record_type": "dataset_info", "schema_version": SCHEMA_VERSION, "info": {
+    return {"record_type": "dataset_info", "schema_version": schema_version, "info": {
         "dataset_id": dataset_id, "description": o["description"], "annotation_info": {"source_type": o["annotation_source"], "quality": o["annotation_quality"], "notes": notes},
         "domain": o["domain"], "split": o["split"], "date_collected": None, "date_last_update": now, "label_info": label_info(chosen, require_descriptions),
         "message_build_info": {
