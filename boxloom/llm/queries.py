@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from boxloom.llm import (
-    decontaminate, exact_dedup, jaccard_join, lm_score, mixing, pii, quality, secret_scan, url_rules, warc_revisit,
+    decontaminate, exact_dedup, hard_negatives, jaccard_join, lm_score, mixing, near_vectors, pii, quality, secret_scan, url_rules, vectors, warc_revisit, whitening,
 )
 from pyspark.sql import functions as F
 
@@ -57,6 +57,27 @@ def op10_lm_score(spark, sf_dir):
     return lm_score.score(table(spark, sf_dir, "documents"))
 
 
+def _longest(rows):
+    return rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
+def op11_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter(vectors.usable("embedding") & F.col("label").isNotNull())
+    width, turned = _longest(rows), F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    x = vectors.fixed_point("embedding", 256, 0, width, 2**31 - 1)
+    return hard_negatives.mine(rows.select("vec_id", turned.alias("label"), x.alias("x")), F.col("vec_id") % 100 == 0, width=width)
+
+
+def op12_whitening(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").filter(vectors.usable("embedding"))
+    width = _longest(rows)
+    return whitening.whiten(rows.select("vec_id", vectors.fixed_point("embedding", 1024, 100_000, width, 2**40).alias("x")), "x", width)
+
+
+def op13_near_vectors(spark, sf_dir):
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def queries():
     return {k: v for k, v in globals().items() if k.startswith("op")}
 
