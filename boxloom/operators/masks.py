@@ -8,8 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_LONG, _DOUBLE = T.LongType(), T.DoubleType()
-GEOMETRY = T.StructType([T.StructField(n, _DOUBLE if n in ("cx", "cy") else _LONG) for n in ("x1", "y1", "x2", "y2", "cx", "cy", "area")])
+_LONG = T.LongType()
 
 
 def run_area(runs: Column) -> Column:
@@ -70,69 +69,212 @@ def encode_runs(runs: pd.Series) -> pd.Series:
     return runs.map(lambda r: None if r is None else pack_runs(list(r)))
 
 
-@F.pandas_udf(GEOMETRY)
-def mask_geometry(runs: pd.Series, height: pd.Series) -> pd.DataFrame:
-    """Bounding box (exclusive), centroid of the pixel indices and area, from the runs alone; nulls for an empty mask."""
-    rows = []
-    for r, h in zip(runs, height):
-        r = np.asarray([] if r is None else r, dtype=np.int64)
-        end = np.cumsum(r)
-        a, b = (end - r)[1::2], end[1::2]
-        a, b = a[b > a], b[b > a]
-        if not len(a):
-            rows.append((None,) * 6 + (0,))
-            continue
-        at = np.concatenate([np.arange(s, e) for s, e in zip(a, b)])
-        x, y = at // h, at % h
-        rows.append((int(x.min()), int(y.min()), int(x.max()) + 1, int(y.max()) + 1, float(x.mean()), float(y.mean()), len(at)))
-    return pd.DataFrame(rows, columns=["x1", "y1", "x2", "y2", "cx", "cy", "area"])
+def mask_geometry(runs: Column | str, height: Column | str) -> Column:
+    """struct(x1, y1, x2, y2, cx, cy, area): bounding box (exclusive), centroid of the pixel indices and area, from the runs alone.
+
+    A run from s to e of columns h high has sum(p // h) = S(e) - S(s) with S(n) = h * q * (q - 1) / 2 + q * r, q and r
+    the quotient and rest of n by h, and sum(p) = (e * (e - 1) - s * (s - 1)) / 2; a run over a column's end touches the
+    first and the last line. No pixel is ever listed. Exact below 2 ** 31 pixels; no box and centre for an empty mask.
+    """
+    runs, h = (F.col(c) if isinstance(c, str) else c for c in (runs, height))
+    h = h.cast("long")
+    quotient = lambda n: ((n - n % h) / h).cast("long")
+    none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+    each = F.transform(F.coalesce(runs, F.array().cast("array<bigint>")), lambda r, i: F.struct(r.cast("long").alias("n"), (i % 2 == 1).alias("on")))
+    start = F.struct(zero.alias("at"), none.alias("x1"), none.alias("y1"), none.alias("x2"), none.alias("y2"), zero.alias("sx"), zero.alias("sp"), zero.alias("area"))
+    half = lambda n: (n / 2).cast("long")
+
+    def columns_before(n: Column) -> Column:
+        q = quotient(n)
+        return half(q * (q - 1)) * h + q * (n % h)
+
+    def step(acc: Column, r: Column) -> Column:
+        s, e = acc["at"], acc["at"] + r["n"]
+        first, last = quotient(s), quotient(e - 1)
+        over = first < last
+        grown = F.struct(
+            e.alias("at"), F.least(acc["x1"], first).alias("x1"), F.least(acc["y1"], F.when(over, zero).otherwise(s % h)).alias("y1"),
+            F.greatest(acc["x2"], last + 1).alias("x2"), F.greatest(acc["y2"], F.when(over, h).otherwise((e - 1) % h + 1)).alias("y2"),
+            (acc["sx"] + columns_before(e) - columns_before(s)).alias("sx"), (acc["sp"] + half(e * (e - 1)) - half(s * (s - 1))).alias("sp"), (acc["area"] + r["n"]).alias("area"))
+        passed = F.struct(e.alias("at"), *[acc[c].alias(c) for c in ("x1", "y1", "x2", "y2", "sx", "sp", "area")])
+        return F.when(r["on"] & (r["n"] > 0), grown).otherwise(passed)
+
+    def finish(acc: Column) -> Column:
+        mean = lambda c: F.when(acc["area"] > 0, c / acc["area"])
+        return F.struct(*[acc[c].alias(c) for c in ("x1", "y1", "x2", "y2")], mean(acc["sx"]).alias("cx"), mean(acc["sp"] - h * acc["sx"]).alias("cy"), acc["area"].alias("area"))
+
+    return F.aggregate(F.when(h > 0, each).otherwise(F.slice(each, 1, 0)), start, step, finish)
+
+
+def spans_of(runs) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, end) of the pixels that are set."""
+    r = np.asarray([] if runs is None else runs, dtype=np.int64)
+    end = np.cumsum(r)
+    begin, end = (end - r)[1::2], end[1::2]
+    return begin[end > begin], end[end > begin]
+
+
+def runs_of_spans(begin: np.ndarray, end: np.ndarray, total: int) -> list[int]:
+    """Runs of sorted spans that neither touch nor overlap."""
+    if not total:
+        return []
+    edges = np.empty(2 * len(begin) + 2, dtype=np.int64)
+    edges[0], edges[1:-1:2], edges[2:-1:2], edges[-1] = 0, begin, end, total
+    runs = np.diff(edges).tolist()
+    return runs[:-1] if not runs[-1] and len(runs) > 1 else runs
+
+
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Spans sorted by begin, those that touch or overlap made one."""
+    order = np.argsort(begin, kind="stable")
+    begin, reach = begin[order], np.maximum.accumulate(end[order]) if len(end) else end
+    new = np.ones(len(begin), dtype=bool)
+    new[1:] = begin[1:] > reach[:-1]
+    last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1) if len(begin) else np.zeros(0, dtype=np.int64)
+    return begin[new], reach[last]
+
+
+def turned(begin: np.ndarray, end: np.ndarray, lines: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spans over ``lines`` lines of ``length`` pixels, one after the other, as spans across the lines.
+
+    Where a line differs from the one before it, spans across the lines begin and end: only those pixels are
+    listed, as many as the outline is long.
+    """
+    if not len(begin):
+        return begin, end
+    first, last = begin // length, (end - 1) // length
+    many = last - first + 1
+    line = np.repeat(first, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    a = np.where(line == np.repeat(first, many), np.repeat(begin % length, many), 0)
+    b = np.where(line == np.repeat(last, many), np.repeat((end - 1) % length + 1, many), length)
+    step = length + 1
+    at, of = np.unique(np.concatenate([line * step + a, line * step + b, (line + 1) * step + a, (line + 1) * step + b]), return_inverse=True)
+    change = np.cumsum(np.bincount(of, np.repeat([1.0, -1.0, -1.0, 1.0], len(line))))[:-1]
+
+    def places(chosen: np.ndarray) -> np.ndarray:
+        n = np.diff(at)[chosen]
+        p = np.repeat(at[:-1][chosen], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.sort(p % step * lines + p // step)
+
+    return merged(places(change > 0.5), places(change < -0.5))
 
 
 def bit_fields(data: np.ndarray):
     """A function (bit positions, widths up to 32) -> the unsigned numbers there, all at once; zeros after the end."""
     padded = np.concatenate([data.astype(np.uint8), np.zeros(16, dtype=np.uint8)])
-    window = np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(">u8").ravel().astype(np.uint64)
+    window = np.lib.stride_tricks.sliding_window_view(padded, 8)
 
     def read(at, width) -> np.ndarray:
         at = np.minimum(np.asarray(at, dtype=np.int64), 8 * len(data))
-        value = (window[at >> 3] << (at & 7).astype(np.uint64)) >> (np.uint64(64) - np.asarray(width, dtype=np.uint64))
+        word = np.ascontiguousarray(window[at >> 3]).view(">u8").reshape(at.shape).astype(np.uint64)
+        value = (word << (at & 7).astype(np.uint64)) >> (np.uint64(64) - np.asarray(width, dtype=np.uint64))
         return value.astype(np.int64)
 
     return read
 
 
-def decode_brush(data: list[int], width: int, height: int) -> np.ndarray:
-    """Packed brush of the annotation tool -> boolean (height, width) of the alpha channel.
+#: Widths of the lengths of blocks (fixed values of the brush format).
+BRUSH_SIZES = (3, 4, 8, 16)
+
+
+def brush_spans(data) -> tuple[np.ndarray, np.ndarray]:
+    """Packed brush of the annotation tool -> spans of the pixels, row by row, whose alpha value is not 0.
 
     Head: 32 bits count, 5 bits word size less one, four times 4 bits size less one. Blocks: a bit
     for run or literals, two bits choosing a size, a length less one, then one word or as many.
-
-    Every bit position is read as if a block began there; following the blocks from the head's end
-    then tells which positions count, and only the words of alpha values are read.
+    The values are those of four channels in turn, of which the fourth is alpha. A block gives its spans
+    at once, and of literals only the alpha words are read; values missing at the end are 0.
     """
-    raw = np.asarray(data, dtype=np.int64)
-    read, bits = bit_fields(raw), 8 * len(raw)
-    count, word = int(read(0, 32)), int(read(32, 5)) + 1
-    sizes = read(37 + 4 * np.arange(4), 4) + 1
-    here = np.arange(bits)
-    run, size = read(here, 1) == 1, sizes[read(here + 1, 2)]
-    length = read(here + 3, size) + 1
-    body = here + 3 + size
-    after = body + word * np.where(run, 1, length)
-    chain, at, done = [], 53, 0
+    raw = np.asarray(data, dtype=np.int64) & 255
+    text, read, bits = raw.astype(np.uint8).tobytes() + bytes(8), bit_fields(raw), 8 * len(raw)
+
+    def field(at: int, width: int) -> int:
+        return int.from_bytes(text[at >> 3 : (at + width + 7) >> 3], "big") >> (-(at + width) & 7) & ((1 << width) - 1)
+
+    count, word = field(0, 32), field(32, 5) + 1
+    sizes = [field(37 + 4 * k, 4) + 1 for k in range(4)]
+    at, done, begin, end = 53, 0, [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     while done < count and at < bits:
-        chain.append(at)
-        done += int(length[at])
-        at = int(after[at])
-    chain = np.array(chain, dtype=np.int64)
-    ends = np.cumsum(length[chain])
-    alpha = np.arange(3, min(count, done), 4)
-    block = np.searchsorted(ends, alpha, side="right")
-    inside = alpha - (ends - length[chain])[block]
-    place = body[chain][block] + word * np.where(run[chain][block], 0, inside)
-    out = np.zeros(height * width, dtype=bool)
-    out[: len(alpha)] = read(place, word)[: len(out)] > 0
-    return out.reshape(height, width)
+        size = sizes[field(at + 1, 2)]
+        length, body = field(at + 3, size) + 1, at + 3 + size
+        first, last = done // 4, min(done + length, count) // 4  # pixels whose alpha value the block holds
+        if field(at, 1):
+            if field(body, word) and last > first:
+                begin.append(np.array([first]))
+                end.append(np.array([last]))
+            at = body + word
+        else:
+            pixel = np.arange(first, last)
+            on = np.flatnonzero(read(body + word * (4 * pixel + 3 - done), word) > 0) + first if last > first else pixel
+            begin.append(on)
+            end.append(on + 1)
+            at = body + word * length
+        done += length
+    return merged(np.concatenate(begin), np.concatenate(end))
+
+
+def brush_runs(data, width: int, height: int) -> list[int]:
+    """Column-major runs of a packed brush; pixels after the image's end are left out."""
+    begin, end = brush_spans(data)
+    begin, end = begin[begin < width * height], np.minimum(end[begin < width * height], width * height)
+    return runs_of_spans(*turned(begin, end, height, width), width * height)
+
+
+def brush_of(runs, width: int, height: int) -> list[int]:
+    """Column-major runs as opaque pixels in the brush packing, all blocks runs of four equal channels."""
+    begin, end = turned(*spans_of(runs), width, height)
+    rows = runs_of_spans(begin, end, width * height)
+    bits = [f"{4 * width * height:032b}", f"{7:05b}", *[f"{s - 1:04b}" for s in BRUSH_SIZES]]
+    for k, run in enumerate(rows):
+        left = 4 * run
+        while left:
+            n = min(left, 1 << BRUSH_SIZES[-1])
+            size = next(i for i, s in enumerate(BRUSH_SIZES) if n - 1 < 1 << s)
+            bits.append(f"1{size:02b}{n - 1:0{BRUSH_SIZES[size]}b}{255 * (k % 2):08b}")
+            left -= n
+    text = "".join(bits)
+    text += "0" * (-len(text) % 8)
+    return list(int(text, 2).to_bytes(len(text) // 8, "big"))
+
+
+def polygon_runs(points, width: int, height: int) -> list[int]:
+    """Percent polygon -> column-major runs of its inside and its edges; fewer than three points: none.
+
+    Corners are cut to whole pixels. On each line the crossings of the edges that reach it are sorted and taken in
+    pairs; an edge that ends on a line other than the last crosses it twice, so that corners stay closed. A pair
+    fills the pixels from its first crossing, rounded half up, to its second, rounded half down. Level edges are
+    drawn. Crossings of one line are all that is held beside the spans.
+    """
+    if len(points) < 3:
+        return runs_of_spans(*[np.zeros(0, dtype=np.int64)] * 2, width * height)
+    xs, ys = (np.trunc(np.array([p[k] for p in points], dtype=float) / 100 * s).astype(np.int64) for k, s in ((0, width), (1, height)))
+    x1, y1 = np.roll(xs, -1), np.roll(ys, -1)
+    begin, end = [], []
+
+    def draw(y: int, left, right) -> None:
+        left, right = np.maximum(left, 0), np.minimum(right, width - 1)
+        seen = left <= right
+        begin.append(y * width + left[seen])
+        end.append(y * width + right[seen] + 1)
+
+    for x, a, b in zip(ys[ys == y1].tolist(), np.minimum(xs, x1)[ys == y1], np.maximum(xs, x1)[ys == y1]):
+        if 0 <= x < height:
+            draw(x, np.array([a]), np.array([b]))
+    steep = ys != y1
+    top, low = np.minimum(ys, y1)[steep], np.maximum(ys, y1)[steep]
+    at, on, slope = xs[steep], ys[steep], ((x1 - xs)[steep]) / ((y1 - ys)[steep])
+    order = np.argsort(top, kind="stable")
+    top, low, at, on, slope = (v[order] for v in (top, low, at, on, slope))
+    bottom = int(low.max()) if len(low) else -1
+    for y in range(max(0, int(top.min())) if len(top) else 0, min(height - 1, bottom) + 1):
+        active = np.flatnonzero(low[: np.searchsorted(top, y, side="right")] >= y)
+        cross = at[active] + (y - on[active]) * slope[active]
+        ends = (low[active] == y) & (y < bottom)
+        cross = np.sort(np.concatenate([cross, cross[ends]]))
+        cross = cross[: len(cross) // 2 * 2]
+        draw(y, np.floor(cross[0::2] + 0.5).astype(np.int64), np.ceil(cross[1::2] - 0.5).astype(np.int64))
+    spans = merged(np.concatenate(begin), np.concatenate(end)) if begin else [np.zeros(0, dtype=np.int64)] * 2
+    return runs_of_spans(*turned(*spans, height, width), width * height)
 
 
 @F.pandas_udf(T.ArrayType(_LONG))
@@ -141,38 +283,14 @@ def region_runs(rle: pd.Series, points: pd.Series, width: pd.Series, height: pd.
     out = []
     for r, p, w, h in zip(rle, points, width, height):
         if r is not None:
-            out.append(runs_of(decode_brush(list(r), int(w), int(h))))
+            out.append(brush_runs(r, int(w), int(h)))
         else:
-            out.append(None if p is None else runs_of(polygon_mask([tuple(q) for q in p], int(w), int(h))))
+            out.append(None if p is None else polygon_runs([tuple(q) for q in p], int(w), int(h)))
     return pd.Series(out, dtype=object)
 
 
-def encode_brush(mask: np.ndarray) -> list[int]:
-    """A mask as opaque pixels in the same packing, all blocks runs."""
-    pixels = np.repeat(np.asarray(mask, dtype=np.uint8).ravel() * 255, 4)
-    bits = [f"{len(pixels):032b}", f"{7:05b}", *[f"{s - 1:04b}" for s in (3, 4, 8, 16)]]
-    edge = np.flatnonzero(np.diff(pixels)) + 1
-    for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(pixels)]])):
-        for s in range(a, b, 1 << 16):
-            n = min(b, s + (1 << 16)) - s
-            k = next(i for i, size in enumerate((3, 4, 8, 16)) if n - 1 < 1 << size)
-            bits.append(f"1{k:02b}{n - 1:0{(3, 4, 8, 16)[k]}b}{int(pixels[a]):08b}")
-    text = "".join(bits)
-    text += "0" * (-len(text) % 8)
-    return [int(text[i : i + 8], 2) for i in range(0, len(text), 8)]
-
-
-def polygon_mask(points: list[tuple[float, float]], width: int, height: int) -> np.ndarray:
-    """Percent polygon -> mask of the pixels whose centre is inside or on the edge; fewer than three points: none."""
-    mask = np.zeros((height, width), dtype=bool)
-    if len(points) < 3:
-        return mask
-    xs, ys = (np.array([p[k] for p in points], dtype=float) / 100 * s for k, s in ((0, width), (1, height)))
-    gx, gy = np.meshgrid(np.arange(width) + 0.5, np.arange(height) + 0.5)
-    j = len(points) - 1
-    for i in range(len(points)):
-        cross = (ys[i] > gy) != (ys[j] > gy)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            mask ^= cross & (gx < (xs[j] - xs[i]) * (gy - ys[i]) / (ys[j] - ys[i]) + xs[i])
-        j = i
-    return mask
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def brushes(masks: pd.Series) -> pd.Series:
+    """Brush packings of lists of masks (counts as text, size as height and width)."""
+    each = lambda m: brush_of(unpack_runs(m["counts"]), int(m["size"][1]), int(m["size"][0]))
+    return masks.map(lambda ms: None if ms is None else [each(m) for m in ms])

@@ -65,26 +65,30 @@ def entry_records(
     """Records of one entry: line_no, sample_type, sample_id, assets, and invalid, the number of boxes left out.
 
     samples (idx from 0, image, width, height, annotations: array of struct(class, bbox, ...)). Sample
-    ids count source samples, dropped ones too, and instance ids all source annotations. A null class
+    ids count source samples from 1, dropped ones too, and instance ids all source annotations from 0. A null class
     or box is left out whatever the options; a label the table lacks raises. entry: entry_id,
     config_dir, config_path, dataset, global_root, folder.
     """
     w, h, ids = F.col("width"), F.col("height"), _ids_of(labels)
-    name = (lambda a: sanitize_label(a["class"])) if sanitize else (lambda a: a["class"])
-    known = lambda a: F.coalesce(F.element_at(ids, name(a)), F.raise_error(F.concat(F.lit("label is not in the table: "), a["class"])).cast("bigint"))
+    name = sanitize_label if sanitize else (lambda c: c)
+    known = lambda b: F.coalesce(F.element_at(ids, b["name"]), F.raise_error(F.concat(F.lit("label is not in the table: "), b["raw"])).cast("bigint"))
     refuse = F.raise_error(F.concat(F.lit("invalid box in "), F.col("image"))).cast("boolean")
 
-    def made(a: Column, i: Column) -> Column:
-        box = _xyxy(a, w, h)
-        valid = F.when(G.is_valid(box), True).otherwise(F.lit(False) if skip_invalid else refuse)
+    def read(a: Column, i: Column) -> Column:
+        """What an instance is built from, each part worked out once."""
+        label = F.when(a["class"].isNotNull(), name(a["class"]))
+        return F.struct(i.alias("i"), a["class"].alias("raw"), label.alias("name"), a["bbox"].alias("bbox"), _xyxy(a, w, h).alias("box"))
+
+    def made(b: Column) -> Column:
+        valid = F.when(G.is_valid(b["box"]), True).otherwise(F.lit(False) if skip_invalid else refuse)
         more = None
         if instance_metadata:
             more = F.create_map(
-                F.lit("raw_label"), a["class"], F.lit("raw_bbox_xywh"), F.to_json(a["bbox"]), F.lit("source_entry"), F.lit(entry["entry_id"]))
-        one = _instance(sequential_id(i, "obj_", 5), known(a), name(a), box, centre_points, more)
-        return F.when(a["class"].isNotNull() & a["bbox"].isNotNull(), F.when(valid, one))
+                F.lit("raw_label"), b["raw"], F.lit("raw_bbox_xywh"), F.to_json(b["bbox"]), F.lit("source_entry"), F.lit(entry["entry_id"]))
+        one = _instance(sequential_id(b["i"], "obj_", 5), known(b), b["name"], b["box"], centre_points, more)
+        return F.when(b["raw"].isNotNull() & b["bbox"].isNotNull(), F.when(valid, one))
 
-    every = samples.withColumn("_made", F.filter(F.transform("annotations", made), lambda x: x.isNotNull()))
+    every = samples.withColumn("_made", F.filter(F.transform(F.transform("annotations", read), made), lambda x: x.isNotNull()))
     every = every.withColumn("invalid", (F.size("annotations") - F.size("_made")).cast("long"))
     if drop_empty:
         every = every.filter(F.size("_made") > 0)
@@ -94,7 +98,7 @@ def entry_records(
         text("folder").alias("folder_path"), F.size("_made").alias("num_instances"), F.col("invalid").alias("num_invalid_annotations_skipped"),
         F.lit("grounder_bbox_xywh_pixel").alias("bbox_source"), F.lit("pixel_xyxy").alias("bbox_coordinate_space"))
     uri = image_uri(F.col("image"), uri_mode, entry.get("config_dir", "/"), entry.get("global_root"), common_folder)
-    return every.select(F.col("idx").cast("long").alias("line_no"), *_sample(sequential_id(F.col("idx"), entry["entry_id"] + "_", 6), uri, w, h, F.col("_made"), metadata), "invalid")
+    return every.select(F.col("idx").cast("long").alias("line_no"), *_sample(sequential_id(F.col("idx") + 1, entry["entry_id"] + "_", 6), uri, w, h, F.col("_made"), metadata), "invalid")
 
 
 def coco_sample_id(strategy: str, prefix: str, image_id: Column, number: Column, file: Column) -> Column:
@@ -112,25 +116,26 @@ def coco_records(
     """Records of COCO images (pos, image_id, image, width, height, annotations: array of struct(category_id, bbox, annotation_id)).
 
     Label ids are the category ids, instance ids those of the annotations; only the labels given are
-    selected. Sequential ids count written samples from 0.
+    selected. Sequential ids count written samples from 1; they also stand for a file without a name.
     """
     names = F.create_map(*[F.lit(x) for pair in labels for x in pair]) if labels else F.lit(None).cast("map<bigint,string>")
     w, h = F.col("width"), F.col("height")
     refuse = F.raise_error(F.concat(F.lit("invalid box in "), F.col("image"))).cast("boolean")
     chosen = F.filter("annotations", lambda a: a["category_id"].isin([k for k, _ in labels]))
 
-    def made(a: Column) -> Column:
-        box = _xyxy(a, w, h)
-        valid = F.when(G.is_valid(box), True).otherwise(F.lit(False) if skip_invalid else refuse)
-        return F.when(valid, _instance(F.concat(F.lit("obj_"), F.coalesce(a["annotation_id"].cast("string"), F.lit("unknown"))), a["category_id"], F.element_at(names, a["category_id"]), box, centre_points))
+    read = lambda a: F.struct(a["annotation_id"].cast("string").alias("id"), a["category_id"].alias("category"), _xyxy(a, w, h).alias("box"))
+
+    def made(b: Column) -> Column:
+        valid = F.when(G.is_valid(b["box"]), True).otherwise(F.lit(False) if skip_invalid else refuse)
+        return F.when(valid, _instance(F.concat(F.lit("obj_"), F.coalesce(b["id"], F.lit("unknown"))), b["category"], F.element_at(names, b["category"]), b["box"], centre_points))
 
     rows = images.withColumn("_chosen", chosen)
     if drop_empty:
         rows = rows.filter(F.size("_chosen") > 0)
-    rows = rows.withColumn("_made", F.filter(F.transform("_chosen", made), lambda x: x.isNotNull())).withColumn("invalid", (F.size("_chosen") - F.size("_made")).cast("long"))
+    rows = rows.withColumn("_made", F.filter(F.transform(F.transform("_chosen", read), made), lambda x: x.isNotNull())).withColumn("invalid", (F.size("_chosen") - F.size("_made")).cast("long"))
     if drop_empty:
         rows = rows.filter(F.size("_made") > 0)
-    rows = numbered(rows, "pos", "_n") if id_strategy == "sequential" else rows.withColumn("_n", F.col("pos").cast("long"))
+    rows = rows.withColumn("_n", F.col("pos").cast("long")) if id_strategy == "image_id" else numbered(rows, "pos", "_n", start=1)
     metadata = F.struct(
         F.lit("COCO").alias("source_format"), F.lit(source_file).alias("source_file"), F.lit(split).cast("string").alias("split"), F.col("image_id").alias("coco_image_id"),
         F.col("image").alias("original_file_name"), F.size("_made").alias("num_instances"), F.col("invalid").alias("num_invalid_annotations_skipped"),

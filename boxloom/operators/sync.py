@@ -19,24 +19,75 @@ REGION = (
 TASK = f"struct<id:bigint,data:struct<image:string,img:string,uri:string,sample_id:string,id:string>,annotations:array<struct<result:array<{REGION}>>>>"
 
 
-def tasks(samples: DataFrame, root: str) -> DataFrame:
-    """task_id, image url: samples (sample_id, idx, uri) under root; without a uri none, without an id idx_<i>."""
-    relative = F.when(F.startswith("uri", F.lit(root.rstrip("/") + "/")), F.substring("uri", F.lit(len(root.rstrip("/")) + 2), F.length("uri"))).otherwise(F.col("uri"))
-    return samples.filter("uri is not null and uri <> ''").select(
-        F.coalesce("sample_id", F.concat(F.lit("idx_"), F.col("idx").cast("string"))).alias("sample_id"), task_image_url(relative).alias("image"))
+#: What an imported mask result states of itself, and what a reviewed mask is marked with (fixed values of the formats).
+RESULT = {"type": "brushlabels", "from_name": "mask", "to_name": "image", "image_rotation": 0, "origin": "prediction"}
+MODEL_VERSION, MASK_FORMAT, REVIEWED = "sam2_rle_masks", "coco_rle", "label_studio_manual"
 
 
-def mask_predictions(annotations: Column, names: Column) -> Column:
-    """Results of annotations (label_name, label_id, mask runs): id mask_k; without label or mask they are passed over."""
-    named = F.transform(annotations, lambda a, i: F.struct(
-        F.concat(F.lit("mask_"), i.cast("string")).alias("id"), F.coalesce(a["label_name"], F.element_at(names, a["label_id"])).alias("label"), a["runs"].alias("runs")))
-    return F.filter(named, lambda p: p["label"].isNotNull() & p["runs"].isNotNull())
+def mask_predictions(annotations: Column, names: Column, width: Column, height: Column) -> Column:
+    """Importable results of annotations (label_name, label_id, mask: counts and size); without label or mask they are passed over.
+
+    An empty label name is looked up by its id. Results are numbered among themselves, mask_0 on; the mask is packed as
+    the tool's brush.
+    """
+    label = lambda a: F.coalesce(F.when(a["label_name"] != "", a["label_name"]), F.when(a["label_id"].isNotNull(), F.element_at(names, a["label_id"])))
+    drawn = lambda a: (F.coalesce(a["mask"]["counts"], F.lit("")) != "") & (F.coalesce(F.size(a["mask"]["size"]), F.lit(0)) == 2)
+    kept = F.filter(annotations, lambda a: (F.coalesce(label(a), F.lit("")) != "") & drawn(a))
+    packed = M.brushes(F.transform(kept, lambda a: F.struct(a["mask"]["counts"].alias("counts"), a["mask"]["size"].alias("size"))))
+    fixed = lambda n: F.lit(RESULT[n]).alias(n)
+    result = lambda z, i: F.struct(
+        F.concat(F.lit("mask_"), i.cast("string")).alias("id"), fixed("type"), fixed("from_name"), fixed("to_name"), width.cast("int").alias("original_width"),
+        height.cast("int").alias("original_height"), fixed("image_rotation"), fixed("origin"),
+        F.struct(F.lit("rle").alias("format"), z["rle"].alias("rle"), F.array(z["label"]).alias("brushlabels")).alias("value"))
+    return F.transform(F.arrays_zip(F.transform(kept, label).alias("label"), packed.alias("rle")), result)
+
+
+def tasks(samples: DataFrame, root: str, labels: list[tuple[int, str]] = ()) -> DataFrame:
+    """line_no and a task's data and predictions: samples (line_no, sample_id, uri, and annotations, width, height for predictions) under root.
+
+    Without a uri no task, without an id idx_<line_no>; predictions are null where no annotation has a mask.
+    """
+    base = root.rstrip("/")
+    path = F.when(F.startswith("uri", F.lit("/")), F.col("uri")).otherwise(F.concat(F.lit(base + "/"), "uri"))
+    relative = F.when(F.startswith(path, F.lit(base + "/")), F.substring(path, F.lit(len(base) + 2), F.length(path))).otherwise(path)
+    number = F.col("line_no") if "line_no" in samples.columns else F.col("idx")
+    data = F.struct(
+        task_image_url(relative).alias("image"), F.coalesce("sample_id", F.concat(F.lit("idx_"), number.cast("string"))).alias("sample_id"), path.alias("storage_path"))
+    out = samples.filter("uri is not null and uri <> ''").withColumn("data", data)
+    if "annotations" not in samples.columns:
+        return out.select(number.alias("line_no"), "data")
+    names = F.create_map(*[F.lit(x) for pair in labels for x in pair]) if labels else F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<string>"))
+    out = out.withColumn("result", mask_predictions(F.col("annotations"), names, F.col("width"), F.col("height")))
+    predictions = F.when(F.size("result") > 0, F.array(F.struct(F.lit(MODEL_VERSION).alias("model_version"), "result")))
+    return out.select(number.alias("line_no"), "data", predictions.alias("predictions"))
+
+
+#: Lengths of grams. A name is looked up by grams of the longest of these that fits into it.
+GRAMS = (8, 4, 2, 1)
 
 
-def _parts(name: Column, lengths: list[int]) -> Column:
-    """The distinct substrings of a name that have one of the lengths."""
-    of = lambda n: F.when(F.length(name) >= n, F.transform(F.sequence(F.lit(1), F.length(name) - n + 1), lambda i: F.substring(name, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(*[of(n) for n in lengths])) if lengths else F.array().cast("array<string>")
+def _grams(name: Column, length: int) -> Column:
+    every = F.transform(F.sequence(F.lit(1), F.length(name) - (length - 1)), lambda i: F.substring(name, i, F.lit(length)))
+    return F.when(F.length(name) >= length, F.array_distinct(every)).otherwise(F.array().cast("array<string>"))
+
+
+def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
+    """(needle, hay) of distinct, not empty names where the first is part of the second.
+
+    An inverted index: each name of hay is posted under its grams, a row a place at most for each gram length that
+    some needle needs. A needle is looked up under the one of its grams that the fewest are posted under, and what
+    is found there is verified; a gram that nobody has proves that there is nothing.
+    """
+    asked = needles.withColumn("q", F.coalesce(*[F.when(F.length("needle") >= q, q) for q in GRAMS]))
+    present = sorted(r["q"] for r in asked.select("q").distinct().collect())  # GRAMS at most
+    if not present:
+        return needles.limit(0).select("needle", F.col("needle").alias("hay"))
+    named = [F.transform(_grams(F.col("hay"), q), lambda g: F.struct(F.lit(q).alias("q"), g.alias("gram"))) for q in present]  # noqa: B023
+    posted = hay.select("hay", F.explode(F.concat(*named)).alias("p")).select("hay", "p.q", "p.gram")
+    many = posted.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.select("needle", "q", F.explode(F.coalesce(*[F.when(F.col("q") == q, _grams(F.col("needle"), q)) for q in present])).alias("gram"))
+    rarest = own.join(many, ["q", "gram"], "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "q")).alias("r")).filter("r.n > 0")
+    return rarest.select("needle", "r.q", "r.gram").join(posted, ["q", "gram"]).filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
 
 
 def match_tasks(tasks_: DataFrame, samples: DataFrame) -> DataFrame:
@@ -44,22 +95,20 @@ def match_tasks(tasks_: DataFrame, samples: DataFrame) -> DataFrame:
 
     tasks (task_no, key, path), samples (line_no, sample_id, uri). A task without a path never
     matches. Each tier takes the first sample in file order. Only what the first two leave reaches the
-    third, which is two equi-joins on substrings: those that are as long as some name of the other side.
+    third, which looks names up in an inverted index of grams, each side's names in the other's.
     """
     t = tasks_.filter("path is not null and path <> ''").withColumn("base", basename(F.col("path")))
     s = samples.withColumn("sbase", basename(F.col("uri")))
     ids = s.groupBy(F.col("sample_id").alias("key")).agg(F.min("line_no").alias("by_id"))
     names = s.filter("sbase <> ''").groupBy(F.col("sbase").alias("base")).agg(F.min("line_no").alias("by_name"))
     two = t.join(ids, "key", "left").join(names, "base", "left").withColumn("line_no", F.coalesce("by_id", "by_name"))
-    left = two.filter("line_no is null and base <> ''").select("task_no", "base")
-    lengths = lambda df: sorted(r[0] for r in df.select(F.length("base")).distinct().collect())  # noqa: E731  lengths of file names
-    of_tasks = lengths(left)
-    if of_tasks:
-        first = names.select("base", F.col("by_name").alias("by_part"))
-        in_task = left.select("task_no", F.explode(_parts(F.col("base"), lengths(names))).alias("base")).join(first, "base").select("task_no", "by_part")
-        in_name = first.select("by_part", F.explode(_parts(F.col("base"), of_tasks)).alias("base")).join(left, "base").select("task_no", "by_part")
-        third = in_task.unionByName(in_name).groupBy("task_no").agg(F.min("by_part").alias("by_part"))
-        two = two.join(third, "task_no", "left").withColumn("line_no", F.coalesce("line_no", "by_part"))
+    left = two.filter("line_no is null and base <> ''").select("base").distinct()
+    if not left.isEmpty():
+        in_task = contained(names.select(F.col("base").alias("needle")), left.select(F.col("base").alias("hay"))).select(F.col("needle").alias("sbase"), F.col("hay").alias("base"))
+        in_name = contained(left.select(F.col("base").alias("needle")), names.select(F.col("base").alias("hay"))).select(F.col("hay").alias("sbase"), F.col("needle").alias("base"))
+        first = names.select(F.col("base").alias("sbase"), F.col("by_name").alias("by_part"))
+        third = in_task.unionByName(in_name).join(first, "sbase").groupBy("base").agg(F.min("by_part").alias("by_part"))
+        two = two.join(third, "base", "left").withColumn("line_no", F.coalesce("line_no", "by_part"))
     return two.select("task_no", "line_no").filter("line_no is not null")
 
 
@@ -75,9 +124,17 @@ def region_shape(v: Column) -> Column:
     return F.when(v["rle"].isNotNull(), "rle").when(v["points"].isNotNull(), "polygon").when(v["width"].isNotNull(), "rect").when(v["x"].isNotNull(), "keypoint")
 
 
+def task_rows(export: DataFrame) -> DataFrame:
+    """(task_no, task: TASK) of a tool's export as read_tool_export gives it; fields the sync does not know are left out."""
+    return export.select("task_no", F.from_json(F.to_json("task"), TASK).alias("task"))
+
+
 def reviewed_instances(results: DataFrame) -> DataFrame:
     """results (line_no, pos, r: region) of first annotations -> one instance an id: label, shape, box, point, mask, area.
 
+    Shapes are drawn at the sample's size, columns width and height, and where these are missing or 0 at the one that the
+    tool states for the image's first result.
+
     Results that share an id are one instance, of which the last label and shape count; without an id
     each is its own, inst_<k>, k the number of instances before it, labelled or not. Instances without
     a label go; without a shape they keep no box. Brushes
@@ -85,7 +142,12 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
     the rectangle and whose centroid is the point where there is no keypoint; area is the mask's.
     """
     v = F.col("r.value")
-    w, h = F.col("r.original_width"), F.col("r.original_height")
+    stated = F.struct(F.col("r.original_width").alias("w"), F.col("r.original_height").alias("h"))
+    tool = F.min_by(stated, F.when((stated["w"] > 0) & (stated["h"] > 0), F.col("pos"))).over(Window.partitionBy("line_no"))  # an image's results
+    given = [F.col(c) if c in results.columns else F.lit(None).cast("int") for c in ("width", "height")]
+    known = F.when((given[0] > 0) & (given[1] > 0), F.struct(given[0].cast("int").alias("w"), given[1].cast("int").alias("h")))
+    results = results.withColumn("_size", F.coalesce(known, tool))
+    w, h = F.col("_size.w"), F.col("_size.h")
     own = F.when(F.coalesce(F.col("r.id"), F.lit("")) != "", F.concat(F.lit("ls_"), F.col("r.id"))).otherwise(F.concat(F.lit("gen_"), F.col("pos").cast("string")))
     shape = region_shape(v)
     rect = G.percent_rect(v["x"], v["y"], v["width"], v["height"], w, h)
@@ -116,14 +178,16 @@ def extend_labels(labels: DataFrame, instances: DataFrame) -> DataFrame:
 
 
 def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(samples with reviewed annotations, labels): a matched task's first annotation replaces all; unmatched pass through.
+    """(samples with the column reviewed, labels): a matched task's first annotation replaces all; unmatched have null.
 
-    samples (line_no, sample_id, uri, annotations); task_rows (task_no, task: TASK).
+    samples (line_no, sample_id, uri; width and height where they are known); task_rows (task_no, task: TASK).
     """
     t = task_rows.select("task_no", "task", F.coalesce("task.data.sample_id", "task.data.id").alias("key"), F.coalesce("task.data.image", "task.data.img", "task.data.uri").alias("path"))
     chosen = last_task_per_sample(match_tasks(t.select("task_no", "key", "path"), samples)).join(t.select("task_no", "task"), "task_no")
     first = F.try_element_at(F.col("task.annotations"), F.lit(1))["result"]
     results = chosen.select("line_no", F.posexplode(F.coalesce(first, F.array())).alias("pos", "r"))
+    if {"width", "height"} <= set(samples.columns):
+        results = results.join(samples.select("line_no", "width", "height"), "line_no")
     inst = reviewed_instances(results)
     table = extend_labels(labels, inst)
     named = inst.join(table.select("label_id", F.col("label_name").alias("label")), "label")
@@ -133,6 +197,48 @@ def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[D
     return done.withColumn("reviewed", F.when(F.col("task_no").isNotNull(), F.coalesce("reviewed", empty))), table
 
 
+def synced_records(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(sample records as a review leaves them, labels): line_no, sample_type, sample_id, assets, to be written with nulls left out.
+
+    samples as read_samples gives them; task_rows (task_no, task: TASK). A sample's image is its first asset's uri, else
+    the file name in its metadata. A matched sample's first asset gets the reviewed instances: id, label, attributes,
+    bbox, mask with its format and source, center_point; metadata.mask_source says so, where the task has no annotation
+    at all only if there is metadata. A size that is missing or 0 becomes the tool's. Other samples and assets stay.
+    """
+    asset = F.col("assets")[0]
+    extent = lambda k: F.coalesce(F.get(asset["size"], F.lit(k)), F.lit(0))
+    file = F.coalesce(F.when(asset["uri"] != "", asset["uri"]), F.try_variant_get(asset["metadata"], "$.original_file_name", "string"))
+    flat = samples.select("line_no", "sample_id", file.alias("uri"), extent(0).alias("width"), extent(1).alias("height"))
+    done, table = sync(flat, task_rows, labels)
+    regions = F.try_element_at(F.col("task.annotations"), F.lit(1))["result"]
+    results = task_rows.select("task_no", (F.coalesce(F.size("task.annotations"), F.lit(0)) > 0).alias("annotated"), F.coalesce(regions, F.array()).alias("rs"))
+    sized = F.filter("rs", lambda r: (r["original_width"] > 0) & (r["original_height"] > 0))
+    stated = results.select("task_no", "annotated", F.try_element_at(sized, F.lit(1)).alias("r")).select("task_no", "annotated", F.when(F.col("r").isNotNull(), F.array("r.original_width", "r.original_height")).alias("stated"))
+    rows = samples.select("line_no", "sample_type", "sample_id", "assets").join(done.select("line_no", "task_no", "reviewed", "width", "height"), "line_no").join(stated, "task_no", "left")
+
+    as_variant = lambda c: F.parse_json(F.to_json(c))  # noqa: E731  nulls are left out
+    corner = lambda b, x, y: F.struct(b[x].alias("x"), b[y].alias("y"))
+    new = lambda i: F.struct(
+        i["instance_id"].alias("instance_id"), i["label_id"].alias("label_id"), i["label_name"].alias("label_name"),
+        F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>")).alias("attributes"),
+        F.when(i["box"].isNotNull(), F.struct(corner(i["box"], "x1", "y1").alias("tl"), corner(i["box"], "x2", "y2").alias("br"), F.lit("xyxy").alias("format"))).alias("bbox"),
+        i["mask"].alias("mask"), F.when(i["mask"].isNotNull(), MASK_FORMAT).alias("mask_format"), F.when(i["mask"].isNotNull(), REVIEWED).alias("source"), i["point"].alias("center_point"))
+    matched = F.col("task_no").isNotNull()
+
+    def remade(a: Column, k: Column) -> Column:
+        ours = matched & (k == 0)
+        past = F.variant_get(a["metadata"], "$", "map<string,variant>")
+        others = F.map_filter(F.coalesce(past, F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<variant>"))), lambda n, _: n != "mask_source")
+        marked = F.parse_json(F.to_json(F.map_concat(others, F.create_map(F.lit("mask_source"), F.parse_json(F.lit(f'"{REVIEWED}"'))))))
+        size = F.when(ours & F.col("annotated") & ((F.col("width") == 0) | (F.col("height") == 0)), F.coalesce("stated", a["size"])).otherwise(a["size"])
+        return F.struct(
+            a["type"].alias("type"), a["uri"].alias("uri"), a["caption"].alias("caption"),
+            F.when(ours, F.transform("reviewed", lambda i: as_variant(new(i)))).otherwise(F.transform(a["annotations"], as_variant)).alias("annotations"),
+            F.when(ours & (F.col("annotated") | a["metadata"].isNotNull()), marked).otherwise(a["metadata"]).alias("metadata"), size.alias("size"), a["camera_id"].alias("camera_id"))
+
+    return rows.select("line_no", "sample_type", "sample_id", F.transform("assets", remade).alias("assets")), table
+
+
 def reviewed_header(header: dict, table: DataFrame) -> dict:
     """The header after a review: masks announced, labels rebuilt from the table (label_id, label_name, description)."""
     info = dict(header["info"])

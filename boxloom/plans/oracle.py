@@ -106,7 +106,7 @@ SELECT p_partkey, sum(CASE WHEN x BETWEEN -16 AND 15 THEN 1 WHEN x BETWEEN -512
 o AS (SELECT image_id, row_number() OVER (ORDER BY image_id) - 1 AS line_no FROM im),
 v AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY p, s, n) - 1 AS k, class IS NOT NULL AND x1 < x2 AND y1 < y2 AS ok FROM nm),
 g AS (SELECT image_id, count(*) FILTER (WHERE NOT ok) AS bad FROM v GROUP BY image_id)
-SELECT o.line_no, 'cfg_a_' || lpad(o.line_no::VARCHAR, greatest(6, length(o.line_no::VARCHAR))::INT, '0') AS sample_id, '../sets/pics/' || o.image_id || '.jpg' AS uri, coalesce(bad, 0) AS invalid,
+SELECT o.line_no, 'cfg_a_' || printf('%06d', o.line_no + 1) AS sample_id, '../sets/pics/' || o.image_id || '.jpg' AS uri, coalesce(bad, 0) AS invalid,
   'obj_' || lpad(k::VARCHAR, 5, '0') AS instance_id, category_id + 1 AS label_id, regexp_replace(class, '[^A-Za-z0-9_.:-]+', '_', 'g') AS label_name, x1, y1, x2, y2,
   round_even((x1 + x2) / 2, 0)::BIGINT AS cx, round_even((y1 + y2) / 2, 0)::BIGINT AS cy
 FROM o LEFT JOIN g ON g.image_id = o.image_id LEFT JOIN v ON v.image_id = o.image_id AND ok""",
@@ -117,12 +117,29 @@ t AS (SELECT page_id AS task_no, CASE WHEN page_id % 6 = 0 THEN page_id::VARCHAR
 m AS (SELECT task_no, min(line_no) FILTER (WHERE sample_id = key) AS a, min(line_no) FILTER (WHERE name = base) AS b, min(line_no) FILTER (WHERE contains(name, base) OR contains(base, name)) AS c
   FROM t JOIN s ON base IS NOT NULL AND (sample_id = key OR name = base OR contains(name, base) OR contains(base, name)) GROUP BY task_no)
 SELECT task_no, coalesce(a, b, c) AS line_no FROM m""",
-    "reviewed_instances": """WITH b AS (SELECT p_partkey AS line_no, (p_partkey % 10 * 2)::BIGINT AS x, (p_partkey % 7 * 2)::BIGINT AS y, p_partkey % 10 * 5 AS xp, p_partkey % 7 * 10 AS yp FROM part)
+    # a polygon's corners are cut to whole pixels, and all its edges are drawn
+    "reviewed_instances": """WITH k AS (SELECT p_partkey AS line_no, p_partkey % 10 * 5 AS xp, p_partkey % 7 * 10 AS yp FROM part),
+b AS (SELECT *, round_even(xp / 100 * 40, 0)::BIGINT AS x, round_even(yp / 100 * 20, 0)::BIGINT AS y, trunc(xp / 100 * 40)::BIGINT AS px1, trunc((xp + 20) / 100 * 40)::BIGINT AS px2, trunc(yp / 100 * 20)::BIGINT AS py1, trunc((yp + 30) / 100 * 20)::BIGINT AS py2 FROM k),
+q AS (SELECT *, (px1 + px2) / 2 AS mx, (py1 + py2) / 2 AS my, (px2 - px1 + 1) * (py2 - py1 + 1) AS area FROM b)
 SELECT line_no, 'ls_r' AS instance_id, 'box' AS label, x AS x1, y AS y1, round_even(xp / 100 * 40 + (xp + 7) / 100 * 40, 0)::BIGINT AS x2, round_even(yp / 100 * 20 + (yp + 3) / 100 * 20, 0)::BIGINT AS y2,
-  NULL::DOUBLE AS px, NULL::DOUBLE AS py, NULL::BIGINT AS area, false AS has_mask FROM b
-UNION ALL SELECT line_no, 'ls_p', 'poly', x, y, x + 8, least(20, y + 6), x::DOUBLE, y::DOUBLE, 8 * (least(20, y + 6) - y), true FROM b
-UNION ALL SELECT line_no, 'ls_o', 'mask', x, y, x + 8, least(20, y + 6), x + 3.5::DOUBLE, y + (least(20, y + 6) - y - 1) / 2, 8 * (least(20, y + 6) - y), true FROM b
-UNION ALL SELECT line_no, 'inst_0004', 'late', 4, 2, 24, 12, NULL, NULL, NULL, false FROM b""",
+  NULL::DOUBLE AS px, NULL::DOUBLE AS py, NULL::BIGINT AS area, false AS has_mask FROM q
+UNION ALL SELECT line_no, 'ls_p', 'poly', px1, py1, px2 + 1, py2 + 1, round(xp / 100 * 40, 6), round(yp / 100 * 20, 6), area, true FROM q
+UNION ALL SELECT line_no, 'ls_o', 'mask', px1, py1, px2 + 1, py2 + 1, mx, my, area, true FROM q
+UNION ALL SELECT line_no, 'inst_0004', 'late', 4, 2, 24, 12, NULL, NULL, NULL, false FROM q
+UNION ALL SELECT line_no, 'ls_t', 'corner', 0, 0, 11, 11, round(10 / 3, 6), round(10 / 3, 6), 66, true FROM q
+UNION ALL SELECT line_no, 'ls_b', 'brushed', 5, 2, 8, 3, 6, 2, 2, true FROM q""",
+    "synced_records": """WITH k AS (SELECT p_partkey AS k, p_partkey % 7 > 0 AS known, p_partkey % 4 = 0 AS emptied, p_partkey % 10 * 5 AS xp, p_partkey % 7 * 10 AS yp FROM part),
+s AS (SELECT *, k::VARCHAR AS sample_id, CASE WHEN k % 2 = 0 OR (known AND NOT emptied) THEN '40x20' END AS size, CASE WHEN known AND (NOT emptied OR k % 3 = 0) THEN 'label_studio_manual' WHEN k % 3 = 0 THEN 'none' END AS mask_source, CASE WHEN k % 3 = 0 THEN k END AS part,
+  round_even(xp / 100 * 40, 0)::BIGINT AS x, round_even(yp / 100 * 20, 0)::BIGINT AS y, trunc(xp / 100 * 40)::BIGINT AS px1, trunc((xp + 20) / 100 * 40)::BIGINT AS px2, trunc(yp / 100 * 20)::BIGINT AS py1, trunc((yp + 30) / 100 * 20)::BIGINT AS py2 FROM k),
+-- instances in the order of their first results: the rectangle r, then o, whose last label and mask count
+i AS (SELECT k, 0 AS pos, 'ls_r' AS instance_id, 1 AS label_id, 'box' AS label_name, NULL AS mask_format, NULL AS source, x AS tl_x, y AS tl_y, round_even(xp / 100 * 40 + (xp + 7) / 100 * 40, 0)::BIGINT AS br_x, round_even(yp / 100 * 20 + (yp + 3) / 100 * 20, 0)::BIGINT AS br_y, NULL::DOUBLE AS px, NULL::DOUBLE AS py FROM s WHERE known AND NOT emptied
+  UNION ALL SELECT k, 1, 'ls_o', 2, 'mask', 'coco_rle', 'label_studio_manual', px1, py1, px2 + 1, py2 + 1, (px1 + px2) / 2, (py1 + py2) / 2 FROM s WHERE known AND NOT emptied
+  UNION ALL SELECT k, 0, 'old_' || k, 1, 'box', NULL, NULL, k % 9, k % 7, k % 9 + 3, k % 7 + 2, NULL, NULL FROM s WHERE NOT known)
+SELECT sample_id, size, mask_source, part, pos, instance_id, label_id, label_name, mask_format, source, tl_x, tl_y, br_x, br_y, px, py FROM s LEFT JOIN i ON i.k = s.k""",
+    "coco_records": "WITH " + _RAW + """,
+c AS (SELECT *, category_id IN (3, 5) AS chosen, category_id IN (3, 5) AND x1 < x2 AND y1 < y2 AS ok FROM bx),
+g AS (SELECT image_id, count(*) FILTER (WHERE chosen AND NOT ok) AS invalid, row_number() OVER (ORDER BY image_id) AS no FROM c GROUP BY image_id HAVING count(*) FILTER (WHERE ok) > 0)
+SELECT 't-' || printf('%06d', no) AS sample_id, image_id, invalid, 'obj_' || p || '-' || n AS instance_id, category_id AS label_id, CASE category_id WHEN 3 THEN 'three' ELSE 'five' END AS label_name, x1, y2 FROM g JOIN c USING (image_id) WHERE ok""",
     "coco_export": "WITH" + _BOXES + """,
 im AS (SELECT DISTINCT o_orderkey // 8 AS image FROM orders),
 i AS (SELECT image, row_number() OVER (ORDER BY image) AS image_id, 'i/' || image AS file_name FROM im WHERE image % 7 > 0),

@@ -273,8 +273,20 @@ def task_match(spark, d):
     return sync.match_tasks(_t(spark, d, "pages").select(k.alias("task_no"), key.alias("key"), path.alias("path")), samples)
 
 
+def _hand_packed_brush() -> list[int]:
+    """A brush of 40 x 20 pixels in blocks of another kind than the library writes: row 2 has alpha at columns 5 and 7."""
+    def block(run: int, length: int, *values: int) -> str:
+        return f"{run}11{length - 1:016b}" + "".join(f"{v:08b}" for v in values)
+
+    bits = f"{3200:032b}" + "00111" + "0010" + "0011" + "0111" + "1111"
+    bits += block(1, 340, 0) + block(0, 16, 9, 9, 9, 255, 1, 1, 1, 0, 0, 0, 0, 1, 7, 7, 7, 0) + block(1, 2844, 0)
+    bits += "0" * (-len(bits) % 8)
+    return [int(bits[k : k + 8], 2) for k in range(0, len(bits), 8)]
+
+
 def _reviews(spark, d):
-    """A tool's results: per part a rectangle, a polygon with a key point, a polygon that overrides a rectangle, an unlabelled one and one without id."""
+    """A tool's results: per part a rectangle, a polygon with a key point, a polygon that overrides a rectangle, an unlabelled
+    one, one without id, a triangle and a brush. Even parts know their size, 40 x 20; of odd ones the tool does."""
     k = F.col("p_partkey")
     x, y = k % 10 * 5, k % 7 * 10
     num = lambda c: c.cast("double")
@@ -282,19 +294,21 @@ def _reviews(spark, d):
     square = F.array(corner(x, y), corner(x + 20, y), corner(x + 20, y + 30), corner(x, y + 30))
     none = F.lit(None)
 
-    def region(i, label, key, points=none, rect=None, point=None):
+    def region(i, label, key, points=none, rect=None, point=None, brush=none):
         x0, y0 = rect[:2] if rect else point or (none, none)
         w, h = rect[2:] if rect else (none, none)
         value = F.struct(
-            none.cast("array<int>").alias("rle"), points.cast("array<array<double>>").alias("points"), num(x0).alias("x"), num(y0).alias("y"), num(w).alias("width"), num(h).alias("height"),
+            brush.cast("array<int>").alias("rle"), points.cast("array<array<double>>").alias("points"), num(x0).alias("x"), num(y0).alias("y"), num(w).alias("width"), num(h).alias("height"),
             *[(F.array(F.lit(label)) if n == key and label else none.cast("array<string>")).alias(n) for n in sync.LABEL_KEYS])
-        return F.struct(F.lit(i).cast("string").alias("id"), F.lit(40).alias("original_width"), F.lit(20).alias("original_height"), value.alias("value"))
+        return F.struct(F.lit(i).cast("string").alias("id"), F.when(k % 2 == 1, 40).otherwise(7).alias("original_width"), F.when(k % 2 == 1, 20).otherwise(9).alias("original_height"), value.alias("value"))
 
     results = F.array(
         region("r", "box", "rectanglelabels", rect=(x, y, x + 7, y + 3)), region("p", "poly", "polygonlabels", square), region("p", None, "keypointlabels", point=(x, y)),
         region("o", "both", "rectanglelabels", rect=(F.lit(0), F.lit(0), F.lit(100), F.lit(100))), region("o", "mask", "polygonlabels", square),
-        region(None, None, "labels", rect=(x, y, x, y)), region(None, "late", "labels", rect=(F.lit(10), F.lit(10), F.lit(50), F.lit(50))))
-    return _t(spark, d, "part").select(k.alias("line_no"), F.posexplode(results).alias("pos", "r"))
+        region(None, None, "labels", rect=(x, y, x, y)), region(None, "late", "labels", rect=(F.lit(10), F.lit(10), F.lit(50), F.lit(50))),
+        region("t", "corner", "polygonlabels", F.array(corner(F.lit(0), F.lit(0)), corner(F.lit(25), F.lit(0)), corner(F.lit(0), F.lit(50)))), region("b", "brushed", "brushlabels", brush=F.array(*map(F.lit, _hand_packed_brush()))))
+    size = lambda n: F.when(k % 2 == 0, n).otherwise(0)
+    return _t(spark, d, "part").select(k.alias("line_no"), size(40).alias("width"), size(20).alias("height"), F.posexplode(results).alias("pos", "r"))
 
 
 def reviewed_instances(spark, d):
@@ -302,6 +316,41 @@ def reviewed_instances(spark, d):
     return done.select("line_no", "instance_id", "label", "box.*", F.round("point.x", 6).alias("px"), F.round("point.y", 6).alias("py"), F.col("area").cast("long").alias("area"), F.col("mask").isNotNull().alias("has_mask"))
 
 
+def synced_records(spark, d):
+    """Records that a review leaves: two regions in three of four samples, an emptied one, and every seventh that no task knows."""
+    k = F.col("p_partkey")
+    text = lambda c: F.lit(c).cast("string")
+    point = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"), F.lit(None).cast("boolean").alias("is_positive"))
+    old = F.struct(
+        F.concat(F.lit("old_"), k.cast("string")).alias("instance_id"), F.lit(1).cast("bigint").alias("label_id"), text("box").alias("label_name"), F.struct(point(k % 9, k % 7).alias("tl"), point(k % 9 + 3, k % 7 + 2).alias("br"), text("xyxy").alias("format")).alias("bbox"),
+        F.lit(None).cast("array<struct<x:double,y:double,is_positive:boolean>>").alias("points"), F.lit(None).cast("struct<counts:variant,size:array<int>>").alias("mask"), text(None).alias("caption"), F.lit(None).cast("map<string,string>").alias("attributes"))
+    asset = F.struct(
+        text("image").alias("type"), F.concat(F.lit("im/"), k.cast("string"), F.lit(".png")).alias("uri"), text(None).alias("caption"), F.array(old).alias("annotations"),
+        F.when(k % 3 == 0, F.parse_json(F.concat(F.lit('{"mask_source":"none","part":'), k.cast("string"), F.lit("}")))).alias("metadata"), F.when(k % 2 == 0, F.array(F.lit(40), F.lit(20))).alias("size"), text(None).alias("camera_id"))
+    part = _t(spark, d, "part")
+    samples = part.select(k.cast("long").alias("line_no"), text("si_simple_data").alias("sample_type"), k.cast("string").alias("sample_id"), F.array(asset).alias("assets"))
+    regions = _reviews(spark, d).filter("r.id = 'o' or r.id = 'r'").groupBy("line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("result"))
+    data = F.struct(F.concat(F.lit("up/"), k.cast("string"), F.lit(".png")).alias("image"), text(None).alias("img"), text(None).alias("uri"), F.when(k % 5 == 0, k.cast("string")).alias("sample_id"), text(None).alias("id"))
+    done = F.when(k % 4 == 0, F.array().cast("array<struct<result:array<" + sync.REGION + ">>>")).otherwise(F.array(F.struct(F.col("result").cast("array<" + sync.REGION + ">").alias("result"))))
+    tasks = part.filter(k % 7 > 0).join(regions, k == F.col("line_no")).select(k.alias("task_no"), F.struct(k.cast("bigint").alias("id"), data.alias("data"), done.alias("annotations")).alias("task"))
+    labels = spark.createDataFrame([(1, "box", "d")], "label_id long, label_name string, description string")
+    records_, _ = sync.synced_records(samples, tasks, labels)
+    a = F.col("assets")[0]
+    flat = records_.select("sample_id", F.array_join(F.transform(a["size"], lambda v: v.cast("string")), "x").alias("size"), F.try_variant_get(a["metadata"], "$.mask_source", "string").alias("mask_source"), F.try_variant_get(a["metadata"], "$.part", "bigint").alias("part"), F.posexplode_outer(a["annotations"]).alias("pos", "i"))
+    get = lambda path, kind: F.try_variant_get("i", f"$.{path}", kind)
+    return flat.select("sample_id", "size", "mask_source", "part", "pos", *[get(n, t).alias(n) for n, t in (("instance_id", "string"), ("label_id", "bigint"), ("label_name", "string"), ("mask_format", "string"), ("source", "string"))],
+                       *[get(f"bbox.{c}", "bigint").alias(c.replace(".", "_")) for c in ("tl.x", "tl.y", "br.x", "br.y")], F.round(get("center_point.x", "double"), 6).alias("px"), F.round(get("center_point.y", "double"), 6).alias("py"))
+
+
+def coco_records(spark, d):
+    """Records of COCO images with sequential ids: images without a valid selected box are not written, nor counted."""
+    rows = _raw_boxes(spark, d).select("image_id", F.struct("p", "s", "n").alias("at"), F.col("category_id").cast("bigint").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), F.concat_ws("-", "p", "n").alias("annotation_id"))
+    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "pos"), rows).withColumn("image", F.concat(F.lit("a/"), F.col("image_id").cast("string"), F.lit(".jpg")))
+    made = records.coco_records(images, [(3, "three"), (5, "five")], "train", "c.json", drop_empty=True, id_strategy="sequential", id_prefix="t-")
+    flat = made.select("sample_id", "invalid", F.col("assets")[0]["metadata"]["coco_image_id"].alias("image_id"), F.explode(F.col("assets")[0]["annotations"]).alias("a"))
+    return flat.select("sample_id", "image_id", "invalid", "a.instance_id", "a.label_id", "a.label_name", F.col("a.bbox.tl.x").alias("x1"), F.col("a.bbox.br.y").alias("y2"))
+
+
 def coco_export(spark, d):
     b = F.struct(*[F.col(c).cast("long").alias(c) for c in BOX]).alias("box")
     rows = boxes(spark, d).select(F.col("sample_id").alias("image_id"), F.struct("side", "idx").alias("at"), (F.ascii("label") % 5).alias("label_id"), F.when(F.col("l_linenumber") < 5, b).alias("box"), F.lit(None).cast("long").alias("area"))
@@ -344,5 +393,5 @@ QUERIES = {f.__name__: f for f in (
     metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
     denormalize_clip, sanitize_labels, label_table, label_collisions, invalid_counts, category_filter, group_annotations, label_consistency,
     clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, label_histogram, stride_sample, batches, topn_ids, split_counts,
-    csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, coco_export, parse_json,
+    csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, synced_records, coco_records, coco_export, parse_json,
 )}

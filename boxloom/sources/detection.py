@@ -230,7 +230,7 @@ def read_metric_tables(spark: SparkSession, paths: list[str]) -> DataFrame:
 
 
 def read_tool_export(spark: SparkSession, path: str) -> DataFrame:
-    """Tasks of an annotation tool's JSON export, a list or a single object, as VARIANT rows with task_no."""
+    """Tasks of an annotation tool's JSON export, a list or a single object, as VARIANT rows with task_no; see sync.task_rows."""
     doc = spark.read.text(path, wholetext=True).select(F.parse_json("value").alias("v"))
     each = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.variant_get("v", "$", "array<variant>")).otherwise(F.array("v"))
     return doc.select(F.posexplode(each).alias("task_no", "task"))

@@ -54,6 +54,8 @@ COCO_INFO = {"description": "Instance segmentation exported from Label Studio",
 def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame, path: str, info: dict | None = None) -> None:
     """The three tables of coco_tables as one COCO document, a line an object; ids count from 1, categories keep theirs.
 
+    What has no mask gets an empty segmentation.
+
     No row and no task holds more than a line at a time, but one task writes the one file.
     """
     spark = images.sparkSession
@@ -68,6 +70,7 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     head = "{" + json.dumps("info") + ":" + json.dumps(COCO_INFO | (info or {})) + ',"licenses":[],"images":['
     frame = spark.createDataFrame([(1, 0, head), (3, 0, '],"annotations":['), (5, 0, '],"categories":['), (7, 0, "]}")], "s int, k long, value string")
     drawn = images.withColumnRenamed("image_id", "id")
+    annotations = annotations.withColumn("segmentation", F.parse_json(F.coalesce(F.to_json("segmentation"), F.lit("{}"))))
     lines = frame.unionByName(section(drawn, 2, "id", *blank)).unionByName(section(annotations, 4, "id")).unionByName(cat_lines)
     lines.repartitionByRange(1, "s", "k").sortWithinPartitions("s", "k").select("value").write.mode("overwrite").text(path)
 

@@ -212,7 +212,7 @@ def test_conversion_end_to_end(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(doc))
     images = detection.read_coco(spark, str(tmp_path / "c.json"))
     made = {r["line_no"]: r.asDict(recursive=True) for r in records.coco_records(images, [(4, "PET_bottle"), (9, "can")], split="train", source_file="c.json", id_strategy="sequential", id_prefix="p-", drop_empty=True).collect()}
-    assert {k: v["sample_id"] for k, v in made.items()} == {0: "p-000000", 2: "p-000001"} and made[0]["invalid"] == 1
+    assert {k: v["sample_id"] for k, v in made.items()} == {0: "p-000001", 2: "p-000002"} and made[0]["invalid"] == 1
     one = made[0]["assets"][0]["annotations"][0]
     assert (one["instance_id"], one["label_id"], one["label_name"], one["bbox"]["tl"]["x"], one["bbox"]["br"]["y"], one["points"][0]["x"]) == ("obj_7", 4, "PET_bottle", 10, 26, 26)
     assert records.coco_records(images, [(4, "PET_bottle")], id_strategy="file_stem").orderBy("line_no").first()["sample_id"] == "x"
@@ -231,7 +231,7 @@ def test_conversion_end_to_end(spark, tmp_path):
     assert list(part["info"]["label_info"]) == ["can"] and part["info"]["label_info"]["can"]["label_id"] == 2
     sinks.write_conversion({"cfg_k": part}, header, {"cfg_k": rows}, str(tmp_path / "out"))
     back = manifest.read_samples(spark, str(tmp_path / "out" / "merged.canonical.jsonl")).collect()
-    assert [r["sample_id"] for r in back] == ["cfg_k_000000", "cfg_k_000001", "cfg_k_000002"] and [len(r["assets"][0]["annotations"]) for r in back] == [1, 0, 1]
+    assert [r["sample_id"] for r in back] == ["cfg_k_000001", "cfg_k_000002", "cfg_k_000003"] and [len(r["assets"][0]["annotations"]) for r in back] == [1, 0, 1]
     got = manifest.read_header(spark, str(tmp_path / "out" / "merged.canonical.jsonl")).first()
     assert got["dataset_id"] == "all" and got["label_info"]["PET_bottle"]["description"] == "a bottle" and got["schema_version"] == records.SCHEMA_VERSION
     with pytest.raises(DatasetBuildError, match="can"):
@@ -322,8 +322,12 @@ def test_brush_literals_and_golden_runs():
     pixels = [0, 0, 0, 255, 1, 2, 3, 0, 9, 9, 9, 7, 0, 0, 0, 0]
     bits = f"{16:032b}{7:05b}" + "".join(f"{s - 1:04b}" for s in (3, 4, 8, 16)) + "0" + "01" + f"{11:04b}" + "".join(f"{v:08b}" for v in pixels[:12]) + "1" + "00" + f"{3:03b}" + f"{0:08b}"
     bits += "0" * (-len(bits) % 8)
-    mask = masks.decode_brush([int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)], 2, 2)
-    assert mask.tolist() == [[True, False], [True, False]]
+    data = [int(bits[i : i + 8], 2) for i in range(0, len(bits), 8)]
+    assert masks.mask_of(masks.brush_runs(data, 2, 2), 2, 2).tolist() == [[True, False], [True, False]]
+    assert masks.brush_runs([b - 256 if b > 127 else b for b in data], 2, 2) == masks.brush_runs(data, 2, 2) == [0, 2, 2]
+    # a mask of one column, its lower pixel set, worked out bit by bit: 8 values, words of 8 bits, lengths of 3, 4, 8 or 16 bits
+    golden = "".join(["0" * 28 + "1000", "00111", "0010", "0011", "0111", "1111", "1" + "00" + "011" + "0" * 8, "1" + "00" + "011" + "1" * 8]) + "0" * 7
+    assert masks.brush_of([1, 1], 1, 2) == [int(golden[i : i + 8], 2) for i in range(0, len(golden), 8)]
     # 15 -> one character 48 + 15; 16 needs a sign: 16 & 31 | 32, then 0; -1 is 48 + 31
     assert masks.pack_runs([15, 16, 14, 15, 13]) == "?" + "`0" + ">" + "O" + "O" and masks.unpack_runs("?`0>OO") == [15, 16, 14, 15, 13]
 
@@ -375,16 +379,74 @@ def test_messages(spark):
 @given(st.lists(st.lists(st.booleans(), min_size=5, max_size=5), min_size=1, max_size=7))
 def test_mask_codecs(rows):
     mask = np.array(rows)
-    runs = masks.runs_of(mask)
+    runs, (h, w) = masks.runs_of(mask), mask.shape
     assert (masks.mask_of(runs, *mask.shape) == mask).all() and masks.unpack_runs(masks.pack_runs(runs)) == runs
-    assert (masks.decode_brush(masks.encode_brush(mask), mask.shape[1], mask.shape[0]) == mask).all()
+    assert masks.runs_of_spans(*masks.spans_of(runs), mask.size) == runs
+    assert masks.runs_of_spans(*masks.turned(*masks.spans_of(runs), w, h), mask.size) == masks.runs_of(mask.T)
+    assert masks.brush_runs(masks.brush_of(runs, w, h), w, h) == runs
 
 
 def test_mask_geometry(spark):
-    df = spark.createDataFrame([([4, 1, 4],), ([9],), ([0, 9],)], "runs array<long>").withColumn("h", F.lit(3)).select(masks.mask_geometry("runs", "h").alias("g"), masks.run_area(F.col("runs")).alias("a"))
+    df = spark.createDataFrame([([4, 1, 4],), ([9],), ([0, 9],), (None,)], "runs array<long>").withColumn("h", F.lit(3)).select(masks.mask_geometry("runs", "h").alias("g"), masks.run_area(F.col("runs")).alias("a"))
     got = [(tuple(r["g"])[:4], r["g"]["cx"], r["a"]) for r in df.collect()]
-    assert got == [((1, 1, 2, 2), 1.0, 1), ((None,) * 4, None, 0), ((0, 0, 3, 3), 1.0, 9)]
-    assert masks.polygon_mask([(0, 0), (100, 0), (100, 100), (0, 100)], 4, 3).all() and not masks.polygon_mask([(0, 0), (1, 1)], 4, 3).any()
+    assert got == [((1, 1, 2, 2), 1.0, 1), ((None,) * 4, None, 0), ((0, 0, 3, 3), 1.0, 9), ((None,) * 4, None, None)]
+
+
+def test_mask_geometry_equals_pixels(spark):
+    rng = np.random.default_rng(1)
+    shapes = [(1, 1), (1, 9), (9, 1), (7, 5), (40, 33)] * 12
+    drawn = [(rng.random(shape) < p) if k % 3 else np.repeat(rng.random((shape[0], 1)) < p, shape[1], 1) for k, (shape, p) in enumerate((s, q) for s in shapes for q in (0.05, 0.5))]
+    big = np.zeros((2160, 3840), dtype=bool)
+    big[100:2000, 300:3500] = big[5, 7] = True
+    rows = [(k, m.shape[0], masks.runs_of(m)) for k, m in enumerate([*drawn, big])]
+    df = spark.createDataFrame(rows, "k int, h int, runs array<long>").select("k", masks.mask_geometry("runs", "h").alias("g"))
+    for r in df.collect():
+        ys, xs = np.where([*drawn, big][r["k"]])
+        want = (xs.min(), ys.min(), xs.max() + 1, ys.max() + 1, xs.mean(), ys.mean(), len(xs)) if len(xs) else (None,) * 6 + (0,)
+        assert tuple(r["g"]) == pytest.approx(want) if len(xs) else tuple(r["g"]) == want
+
+
+#: Percent corners, width, height and the picture, worked out by hand line by line.
+POLYGONS = [
+    ([(0, 0), (80, 0), (0, 80)], 5, 5, ["#####", "####.", "###..", "##...", "#...."]),  # a right triangle and its edges
+    ([(0, 0), (80, 0), (80, 80), (0, 80)], 5, 5, ["#####"] * 5),
+    ([(20, 20), (60, 20), (60, 60), (20, 60)], 5, 5, [".....", ".###.", ".###.", ".###.", "....."]),  # both far edges count
+    ([(40, 0), (80, 40), (40, 80), (0, 40)], 5, 5, ["..#..", ".###.", "#####", ".###.", "..#.."]),
+    ([(0, 0), (80, 80), (80, 0), (0, 80)], 5, 5, ["#...#", "##.##", "#####", "##.##", "#...#"]),  # crosses itself in the middle
+    ([(0, 0), (80, 0), (40, 0)], 5, 2, ["#####", "....."]),  # flat: only its level edges
+    ([(0, 0), (0, 80), (0, 40)], 2, 5, ["#."] * 5),  # upright and flat
+    ([(-100, -100), (200, -100), (200, 200), (-100, 200)], 3, 3, ["###"] * 3),  # beyond the image
+    ([(0, 0), (80, 0), (80, 80), (40, 40), (0, 80)], 5, 5, ["#####", "#####", "#####", "##.##", "#...#"]),  # a notch from below
+    ([(0, 80), (40, 0), (80, 80)], 5, 5, ["..#..", "..#..", ".###.", ".###.", "#####"]),  # x is 2 - y / 2 and 2 + y / 2: halves go up on the left side, down on the right
+    ([(0, 0), (80, 0), (80, 20), (20, 20), (20, 80), (0, 80)], 5, 5, ["#####", "#####", "##...", "##...", "##..."]),  # an L
+    ([(30, 30), (50, 30), (50, 50)], 10, 10, [".........." if y not in (3, 4, 5) else "." * y + "#" * (6 - y) + "." * 4 for y in range(10)]),
+    ([(0, 0), (100, 100)], 4, 4, ["...."] * 4),
+]
+
+
+@pytest.mark.parametrize("points,width,height,want", POLYGONS)
+def test_polygons(points, width, height, want):
+    mask = masks.mask_of(masks.polygon_runs(points, width, height), height, width)
+    assert ["".join(".#"[int(v)] for v in row) for row in mask] == want
+
+
+@given(st.lists(st.tuples(st.integers(-20, 120), st.integers(-20, 120)), min_size=3, max_size=9))
+def test_polygons_equal_lines_drawn_pixel_by_pixel(points):
+    w, h = 23, 17
+    px = [(int(x / 100 * w), int(y / 100 * h)) for x, y in points]
+    want, bottom = np.zeros((h, w), dtype=bool), max(y for _, y in px)
+    for y in range(h):
+        cross = []
+        for (xa, ya), (xb, yb) in zip(px, px[1:] + px[:1]):
+            if ya == yb == y:
+                want[y, max(0, min(xa, xb)) : max(0, max(xa, xb) + 1)] = True
+            elif ya != yb and min(ya, yb) <= y <= max(ya, yb):
+                cross += [xa + (y - ya) * ((xb - xa) / (yb - ya))] * (2 if y == max(ya, yb) and y < bottom else 1)
+        cross.sort()
+        for a, b in zip(cross[::2], cross[1::2]):
+            for x in range(max(0, int(np.floor(a + 0.5))), min(w - 1, int(np.ceil(b - 0.5))) + 1):
+                want[y, x] = True
+    assert (masks.mask_of(masks.polygon_runs(points, w, h), h, w) == want).all()
 
 
 def test_sync(spark):
@@ -405,13 +467,13 @@ def test_sync_masks_to_coco(spark):
 
     mask = np.zeros((10, 20), dtype=bool)
     mask[2:6, 3:9] = mask[7, 4] = True
-    brush = masks.encode_brush(mask)
+    brush = masks.brush_of(masks.runs_of(mask), 20, 10)
     region = lambda i, kind, **v: {"id": i, "original_width": 20, "original_height": 10, "value": {**v, kind: ["rotor"]}}
     square = [[10., 20.], [50., 20.], [50., 60.], [10., 60.]]
     result = [
         region("m", "brushlabels", rle=brush), region("m", "rectanglelabels", x=0., y=0., width=100., height=100.), region("p", "polygonlabels", points=square),
         region("k", "polygonlabels", points=square), region("k", "keypointlabels", x=50., y=50.), region("r", "rectanglelabels", x=0., y=0., width=50., height=50.),
-        region("e", "brushlabels", rle=masks.encode_brush(mask & False)), region("t", "polygonlabels", points=square[:2])]
+        region("e", "brushlabels", rle=masks.brush_of([200], 20, 10)), region("t", "polygonlabels", points=square[:2])]
     samples = spark.createDataFrame([(1, "a", "x/a.jpg", 20, 10)], "line_no long, sample_id string, uri string, width int, height int")
     tasks = spark.createDataFrame([(0, {"data": {"sample_id": "a", "image": "a.jpg"}, "annotations": [{"result": result}]})], f"task_no long, task {sync.TASK}")
     done, table = sync.sync(samples, tasks, spark.createDataFrame([(4, "rotor", "d")], "label_id long, label_name string, description string"))
@@ -419,12 +481,65 @@ def test_sync_masks_to_coco(spark):
     ys, xs = np.where(mask)
     assert tuple(got["m"]["box"]) == (3, 2, 9, 8) and got["m"]["area"] == 25 and np.allclose(tuple(got["m"]["point"]), (xs.mean(), ys.mean()))
     assert (masks.mask_of(masks.unpack_runs(got["m"]["mask"]["counts"]), *got["m"]["mask"]["size"]) == mask).all()
-    assert tuple(got["p"]["box"]) == (2, 2, 10, 6) and tuple(got["p"]["point"]) == (5.5, 3.5) and tuple(got["k"]["point"]) == (10, 5)
+    assert tuple(got["p"]["box"]) == (2, 2, 11, 7) and tuple(got["p"]["point"]) == (6, 4) and tuple(got["k"]["point"]) == (10, 5)
     assert tuple(got["r"]["box"]) == (0, 0, 10, 5) and got["r"]["mask"] is None and got["r"]["area"] is None
     assert all(got[k]["box"] is None and got[k]["point"] is None and got[k]["area"] == 0 for k in "et")
     annots = sync.coco_tables(done.withColumnRenamed("reviewed", "annotations"), table)[1].orderBy("id").collect()
     assert [(a["bbox"], a["area"], a["segmentation"]) for a in annots] == [
-        ([3., 2., 6., 6.], 25, got["m"]["mask"]), ([2., 2., 8., 4.], 32, got["p"]["mask"]), ([2., 2., 8., 4.], 32, got["k"]["mask"]), ([0., 0., 10., 5.], 50, None)]
+        ([3., 2., 6., 6.], 25, got["m"]["mask"]), ([2., 2., 9., 5.], 45, got["p"]["mask"]), ([2., 2., 9., 5.], 45, got["k"]["mask"]), ([0., 0., 10., 5.], 50, None)]
+
+
+def test_review_round_trip(spark, tmp_path):
+    """A manifest, its masks as importable tasks, the tool's export of them, and the records that the review leaves."""
+    mask = np.zeros((6, 8), dtype=bool)
+    mask[1:4, 2:7] = mask[5, 0] = True
+    counts = masks.pack_runs(masks.runs_of(mask))
+    boxed = {"instance_id": "i", "label_id": 1, "label_name": "rotor", "bbox": {"tl": {"x": 1, "y": 1}, "br": {"x": 3, "y": 3}, "format": "xyxy"}}
+    asset = lambda uri, size, annotations, **more: {"type": "image", "uri": uri, "size": size, "annotations": annotations, **more}
+    samples = [
+        asset("im/a.jpg", [8, 6], [boxed, {"instance_id": "j", "label_id": 1, "label_name": "rotor", "mask": {"counts": counts, "size": [6, 8]}}], metadata={"mask_source": "old", "k": [1, None]}),
+        asset("im/b.jpg", [8, 6], [boxed]), asset("im/c.jpg", [8, 6], [boxed], metadata={"k": 1}), asset("im/d.jpg", [8, 6], [boxed]), asset("im/e.jpg", [0, 0], [])]
+    lines = [HEADER, *[{"record_type": "sample", "sample": {"sample_type": "si_simple_data", "sample_id": f"s{k}", "assets": [a]}} for k, a in enumerate(samples)]]
+    (tmp_path / "m.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    rows = manifest.read_samples(spark, str(tmp_path / "m.jsonl"), "lenient")  # the tool's sync refuses nothing
+    flat = rows.select("line_no", "sample_id", F.col("assets")[0]["uri"].alias("uri"), F.col("assets")[0]["size"][0].alias("width"), F.col("assets")[0]["size"][1].alias("height"), F.transform(
+        F.col("assets")[0]["annotations"], lambda a: F.struct(a["label_name"], a["label_id"], F.struct(F.variant_get(a["mask"]["counts"], "$", "string").alias("counts"), a["mask"]["size"].alias("size")).alias("mask"))).alias("annotations"))
+    made = {r["data"]["sample_id"]: r for r in sync.tasks(flat, "/root/store").collect()}
+    assert made["s0"]["data"]["image"] == "/data/local-files/?d=im/a.jpg" and made["s0"]["data"]["storage_path"] == "/root/store/im/a.jpg" and made["s1"]["predictions"] is None
+    result = made["s0"]["predictions"][0]["result"]
+    assert [(x["id"], x["value"]["brushlabels"], x["original_width"]) for x in result] == [("mask_0", ["rotor"], 8)] and masks.brush_runs(result[0]["value"]["rle"], 8, 6) == masks.runs_of(mask)
+
+    results = [
+        {**result[0].asDict(recursive=True), "id": "m", "value": {"format": "rle", "rle": result[0]["value"]["rle"], "brushlabels": ["fan"]}},
+        {"id": "r", "original_width": 99, "original_height": 99, "type": "x", "value": {"x": 25, "y": 50, "width": 25, "height": 50, "rectanglelabels": ["rotor"]}},
+        {"original_width": 8, "original_height": 6, "value": {"x": 50, "y": 50, "keypointlabels": ["rotor"]}}]
+    export = [
+        {"id": 7, "data": {"image": "/x/1f-a.jpg"}, "annotations": [{"result": results, "extra": 1}]}, {"id": 8, "data": {"image": "q/b.jpg"}, "annotations": []},
+        {"id": 9, "data": {"image": "q/c.jpg"}}, {"id": 10, "data": {"image": "q/e.jpg"}, "annotations": [{"result": [{"id": "w", "original_width": 40, "original_height": 20, "value": {"x": 0, "y": 0, "width": 50, "height": 50, "rectanglelabels": ["rotor"]}}]}]}]
+    (tmp_path / "tool.json").write_text(json.dumps(export))
+    labels = spark.createDataFrame([(1, "rotor", "x")], "label_id long, label_name string, description string")
+    records_, table = sync.synced_records(rows, sync.task_rows(detection.read_tool_export(spark, str(tmp_path / "tool.json"))), labels)
+    sinks.write_manifest(HEADER, records_, str(tmp_path / "out"), keep_nulls=False)
+    got = [json.loads(r.value)["sample"]["assets"][0] for r in spark.read.text(str(tmp_path / "out")).collect()[1:]]
+    assert got[0]["metadata"] == {"mask_source": "label_studio_manual", "k": [1, None]} and got[0]["size"] == [8, 6]
+    assert got[0]["annotations"] == [
+        {"instance_id": "ls_m", "label_id": 2, "label_name": "fan", "attributes": {}, "bbox": {"tl": {"x": 0, "y": 1}, "br": {"x": 7, "y": 6}, "format": "xyxy"}, "mask": {"counts": counts, "size": [6, 8]},
+         "mask_format": "coco_rle", "source": "label_studio_manual", "center_point": {"x": pytest.approx(3.75), "y": pytest.approx(35 / 16)}},
+        {"instance_id": "ls_r", "label_id": 1, "label_name": "rotor", "attributes": {}, "bbox": {"tl": {"x": 2, "y": 3}, "br": {"x": 4, "y": 6}, "format": "xyxy"}},
+        {"instance_id": "inst_0002", "label_id": 1, "label_name": "rotor", "attributes": {}, "center_point": {"x": 4.0, "y": 3.0}}]
+    assert got[1]["annotations"] == [] and "metadata" not in got[1] and got[2]["annotations"] == [] and got[2]["metadata"] == {"k": 1, "mask_source": "label_studio_manual"}
+    assert got[3]["annotations"] == [boxed] and "metadata" not in got[3] and got[4]["size"] == [40, 20] and got[4]["annotations"][0]["bbox"]["br"] == {"x": 20, "y": 10}
+    assert {r["label_name"]: r["label_id"] for r in table.collect()} == {"rotor": 1, "fan": 2}
+
+
+def test_names_within_names(spark):
+    rng = np.random.default_rng(4)
+    word = lambda n: "".join(rng.choice(list("ab1_"), n))
+    short, long_ = sorted({word(k) for k in (1, 2, 3, 5, 9, 12) for _ in range(6)}), sorted({word(k) for k in (1, 4, 11, 40) for _ in range(15)})
+    long_ += [f"x{short[-1]}y", "é" + short[0]]
+    got = sync.contained(spark.createDataFrame([(s,) for s in short], "needle string"), spark.createDataFrame([(s,) for s in long_], "hay string")).collect()
+    assert sorted(map(tuple, got)) == sorted((a, b) for a in short for b in long_ if a in b)
+    assert sync.contained(spark.createDataFrame([], "needle string"), spark.createDataFrame([("a",)], "hay string")).count() == 0
 
 
 def test_text(spark):
