@@ -15,12 +15,11 @@ from pyspark.sql import types as T
 from boxloom.errors import DatasetBuildError
 from boxloom.functions.geometry import yolo_to_xywh
 from boxloom.functions.text import file_stem
+from boxloom.sources.split_json import objects
 
-COCO = (
-    "info variant, categories array<struct<id:bigint,name:string>>, "
-    "images array<struct<id:string,width:int,height:int,file_name:string,filename:string>>, "
-    "annotations array<struct<id:string,image_id:string,category_id:bigint,bbox:array<double>,area:double,iscrowd:int,attributes:map<string,variant>>>"
-)
+IMAGE = "id string, width int, height int, file_name string, filename string"
+ANNOTATION = "id string, image_id string, category_id bigint, bbox array<double>"
+CATEGORY = "id bigint, name string"
 #: Image endings that are read, in either case (fixed values).
 IMAGE_ENDINGS = ("jpg", "jpeg", "png", "bmp", "tiff")
 
@@ -29,16 +28,20 @@ def read_coco(spark: SparkSession, path: str, img_root: str | None = None) -> Da
     """One row an image: image_id, pos, image, width, height, annotations in file order with their class names.
 
     Images without annotations keep an empty array; annotations of no image go; an unknown category
-    gives a null class.
+    gives a null class. A document is read by all cores (see split_json), in three scans: for its structure, for
+    its categories, and for images and annotations, which meet in one shuffle.
     """
-    doc = spark.read.schema(COCO).json(path, multiLine=True)
-    images = doc.select(F.posexplode("images").alias("pos", "i")).select("pos", F.col("i.id").alias("image_id"), F.coalesce("i.file_name", "i.filename").alias("file"), "i.width", "i.height")
-    names = doc.select(F.explode("categories").alias("c")).select(F.col("c.id").alias("category_id"), F.col("c.name").alias("class")).dropDuplicates(["category_id"])
-    annots = doc.select(F.posexplode("annotations").alias("at", "a")).select("at", "a.*").join(names, "category_id", "left")
-    grouped = annots.groupBy("image_id").agg(F.array_sort(F.collect_list(F.struct("at", "class", "category_id", "bbox", F.col("id").alias("annotation_id")))).alias("annotations"))
-    image = F.concat(F.lit(img_root.rstrip("/") + "/"), "file") if img_root else F.col("file")
-    rows = images.join(grouped, "image_id", "left")
-    return rows.select("image_id", "pos", image.alias("image"), "width", "height", F.coalesce("annotations", F.array()).alias("annotations"))
+    read = lambda wanted, kind: wanted.select("path", "name", "no", F.from_json("value", kind).alias("o"))
+    names = read(objects(spark, path, ("categories",)), CATEGORY).groupBy("path", F.col("o.id").alias("category_id")).agg(F.min_by("o.name", "no").alias("class"))
+    both = read(objects(spark, path, ("images", "annotations")), f"{IMAGE}, {ANNOTATION.partition(', ')[2]}")
+    is_image = F.col("name") == "images"
+    keyed = both.select("path", "no", is_image.alias("is_image"), F.when(is_image, F.col("o.id")).otherwise(F.col("o.image_id")).alias("image_id"), F.when(~is_image, F.col("o.category_id")).alias("category_id"), "o").join(names, ["path", "category_id"], "left")
+    file = F.coalesce("o.file_name", "o.filename")
+    image = F.concat(F.lit(img_root.rstrip("/") + "/"), file) if img_root else file
+    seen = F.collect_list(F.when(F.col("is_image"), F.struct(F.col("no").cast("int").alias("pos"), image.alias("image"), F.col("o.width").alias("width"), F.col("o.height").alias("height"))))
+    boxes = F.array_sort(F.collect_list(F.when(~F.col("is_image"), F.struct(F.col("no").alias("at"), "class", "category_id", F.col("o.bbox").alias("bbox"), F.col("o.id").alias("annotation_id")))))
+    grouped = keyed.filter("image_id is not null or is_image").groupBy("path", "image_id").agg(seen.alias("i"), boxes.alias("annotations"))
+    return grouped.select("image_id", F.explode("i").alias("i"), F.when(F.col("image_id").isNotNull(), F.col("annotations")).otherwise(F.slice("annotations", 1, 0)).alias("annotations")).select("image_id", "i.pos", "i.image", "i.width", "i.height", "annotations")
 
 
 def _jpeg_size(data: bytes) -> tuple[int, int] | None:

@@ -345,6 +345,47 @@ def test_coco_and_yolo(spark, tmp_path):
     assert set(got) == {"p/a.JPG", "p/b.png"} and got["p/b.png"] == [] and [c for c, _ in got["p/a.JPG"]] == ["PET", "7"] and got["p/a.JPG"][0][1] == [50, 25, 100, 50]
 
 
+COCO = (
+    "categories array<struct<id:bigint,name:string>>, images array<struct<id:string,width:int,height:int,file_name:string,filename:string>>, "
+    "annotations array<struct<id:string,image_id:string,category_id:bigint,bbox:array<double>>>"
+)
+
+
+def read_whole(spark, path):
+    """The whole document in one row, as Spark reads it."""
+    doc = spark.read.schema(COCO).json(path, multiLine=True)
+    names = {r["id"]: r["name"] for r in reversed(doc.select(F.explode("categories").alias("c")).select("c.*").collect())}
+    found = {}
+    for r in doc.select(F.posexplode("annotations").alias("at", "a")).select("a.*").collect():
+        found.setdefault(r["image_id"], []).append((names.get(r["category_id"]), r["category_id"], r["bbox"], r["id"]))
+    images = doc.select(F.posexplode("images").alias("pos", "i")).select("pos", "i.*").collect()
+    return sorted((r["pos"], r["id"], r["file_name"] or r["filename"], r["width"], r["height"], found.get(r["id"], []) if r["id"] else []) for r in images)
+
+
+@pytest.mark.parametrize("split,indent", [("128m", None), ("700", None), ("2k", 1), ("64", None)])
+def test_split_coco_documents(spark, tmp_path, split, indent):
+    """Ranges that begin in strings with brackets and quotes, in nested objects, between arrays and within the keys of arrays."""
+    rng = np.random.default_rng(3)
+    odd = ['}"annotations":[{', '\\"}', "}{][", "é}\\", "\u2028}", ""]
+    images = [{"id": k, "width": 10 + k, "height": 9, "file_name": f"a{odd[k % 6]}{k}.jpg"} if k % 7 else {"id": k, "width": 1, "height": 1, "filename": "b}"} for k in range(60)]
+    annots = [{"id": k, "image_id": int(rng.integers(0, 70)), "category_id": int(rng.integers(0, 4)), "bbox": [1, 2.5, k, 3], "attributes": {"t": {"annotations": [{"id": 5}], "n": odd[k % 6]}},
+               "segmentation": [[1, 2], []] if k % 2 else {"counts": "x}y{", "size": [1, 2]}} for k in range(300)]
+    categories = [{"id": 1, "name": "a}"}, {"id": 2, "name": 'b"{'}, {"id": 2, "name": "again"}, {"id": 3, "name": "c"}]
+    doc = {"info": {"x": {"y": [{"images": [{"id": 9}]}]}}, "licenses": [{"id": 1}], "categories": categories, "images": images, "annotations": annots, "more": [{"id": 1}, 3]}
+    if split == "2k":
+        doc = dict(reversed(doc.items()))
+    (tmp_path / "c.json").write_text(json.dumps(doc, indent=indent, ensure_ascii=split == "700"), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+        got = detection.read_coco(spark, str(tmp_path / "c.json"))
+        assert split == "128m" or got.sparkSession.read.text(str(tmp_path / "c.json"), lineSep="}").rdd.getNumPartitions() > 3
+        got = sorted((r["pos"], r["image_id"], r["image"], r["width"], r["height"], [(a["class"], a["category_id"], a["bbox"], a["annotation_id"]) for a in r["annotations"]]) for r in got.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == read_whole(spark, str(tmp_path / "c.json")) and len(got) == 60
+
+
 def test_configs(tmp_path):
     assert [e["source"] for e in detection.data_entries({"data_dicts": {"a": {"labels": "x", "folder": "f"}, "b": "y"}})] == ["x", "y"]
     assert detection.merge_options({"a": 1, "options": {"a": 2}}, {"b": 3, "a": None}) == {"a": 2, "b": 3}
