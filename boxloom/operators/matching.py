@@ -2,12 +2,14 @@
 
 Greedy one-to-one matching takes candidates by falling IoU. Those above a threshold are a prefix of
 that order, so one matching at the smallest IoU serves every threshold. A sample's boxes meet in one
-row by a single shuffle, and the greedy pass is a fold over its sorted candidates inside the JVM.
+row by a single shuffle, those of a crowded sample in the cells of a grid, and the greedy pass is a fold
+over the sorted candidates inside the JVM.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,33 +31,94 @@ def side_by_side(gt: DataFrame, pred: DataFrame, keys: tuple[str, ...] = ("sampl
     return rows.groupBy(*keys).agg(pick(0).alias("gt"), pick(1).alias("pred"))
 
 
-def candidates(least: float, class_aware: bool) -> Column:
-    """array<struct(neg, gt_idx, pred_idx)> of the pairs of a row, by falling IoU, then indices."""
-    def pair(g: Column, p: Column) -> Column:
-        return F.struct((-iou(g, p)).alias("neg"), g["idx"].alias("gt_idx"), p["idx"].alias("pred_idx"))
+def _candidate(g: Column, i: Column, p: Column, j: Column) -> Column:
+    """Sorted by falling IoU, then indices; g and p are the boxes' places in their arrays."""
+    return F.struct((-iou(g, p)).alias("neg"), g["idx"].alias("gt_idx"), p["idx"].alias("pred_idx"), i.cast("int").alias("g"), j.cast("int").alias("p"))
+
 
-    def near(g: Column) -> Column:
-        own = F.filter("pred", lambda p: p["label"] == g["label"]) if class_aware else F.col("pred")
-        return F.filter(F.transform(own, lambda p: pair(g, p)), lambda c: -c["neg"] >= least)
+def candidates(least: float, class_aware: bool) -> Column:
+    """array<struct(neg, gt_idx, pred_idx, g, p)> of the pairs of a row, by falling IoU, then indices."""
+    def near(g: Column, i: Column) -> Column:
+        pair = lambda p, j: _candidate(g, i, p, j)
+        each = F.transform("pred", (lambda p, j: F.when(p["label"] == g["label"], pair(p, j))) if class_aware else pair)
+        return F.filter(each, lambda c: -c["neg"] >= least)
 
     return F.array_sort(F.flatten(F.transform("gt", near)))
 
 
-def greedy(cands: Column) -> Column:
-    """The fold: a candidate is kept if neither of its boxes is taken."""
+def grid_candidates(rows: DataFrame, least: float, class_aware: bool, keys: tuple[str, ...]) -> DataFrame:
+    """keys and the candidates of rows of many boxes, for a least IoU above 0, without meeting all pairs.
+
+    A box is posted to the cells of its sample's grid that it touches; two boxes that overlap meet in the cell of their
+    overlap's upper left corner, and only there. Cells are as wide and high as the sample's boxes in the quadratic mean,
+    so that postings are at most four times the boxes however unlike these are. Boxes without extent, or with corners
+    that are not finite, overlap nothing.
+    """
+    every = F.concat("gt", "pred")
+    sound = lambda b: (b["x2"] > b["x1"]) & (b["y2"] > b["y1"]) & (F.greatest(*[F.abs(b[c]) for c in ("x1", "y1", "x2", "y2")]) < 1e12)
+    mean = lambda lo, hi: F.sqrt(F.aggregate(F.filter(every, sound), F.lit(0.0), lambda a, b: a + (b[hi] - b[lo]) * (b[hi] - b[lo])) / F.greatest(F.size(F.filter(every, sound)), F.lit(1)))
+    sized = rows.select(*keys, "gt", "pred", mean("x1", "x2").alias("cw"), mean("y1", "y2").alias("ch")).withColumns({c: F.when(F.col(c) > 0, F.col(c)).otherwise(1.0) for c in ("cw", "ch")})
+    cell = lambda v, extent: F.floor(v / F.col(extent))
+
+    def posted(side: str, at: str) -> DataFrame:
+        boxes = sized.select(*keys, "cw", "ch", F.posexplode(side).alias(at, side)).filter(sound(F.col(side)))
+        b = F.col(side)
+        cells = F.flatten(F.transform(F.sequence(cell(b["x1"], "cw"), cell(b["x2"], "cw")), lambda cx: F.transform(
+            F.sequence(cell(b["y1"], "ch"), cell(b["y2"], "ch")), lambda cy: F.struct(cx.alias("cx"), cy.alias("cy")))))
+        label = [b["label"].alias("label")] if class_aware else []
+        return boxes.select(*keys, at, side, "cw", "ch", *label, F.explode(cells).alias("c")).select(*keys, at, side, "cw", "ch", *(["label"] if class_aware else []), "c.cx", "c.cy")
+
+    meet = posted("gt", "g").join(posted("pred", "p").drop("cw", "ch"), [*keys, "cx", "cy", *(["label"] if class_aware else [])])
+    g, p = F.col("gt"), F.col("pred")
+    once = (cell(F.greatest(g["x1"], p["x1"]), "cw") == F.col("cx")) & (cell(F.greatest(g["y1"], p["y1"]), "ch") == F.col("cy"))
+    found = meet.filter(once).select(*keys, _candidate(g, F.col("g"), p, F.col("p")).alias("c")).filter(-F.col("c.neg") >= least)
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list("c")).alias("met"))
+
+
+#: Bits of a word of the maps of taken boxes.
+WORD = 62
+
+
+def greedy(cands: Column, n_gt: Column, n_pred: Column) -> Column:
+    """The fold: a candidate is kept if neither of its boxes is taken, which two bitmaps tell."""
+    word = lambda at: F.floor(at / WORD).cast("int")
+    bit = lambda at: F.call_function("shiftleft", F.lit(1).cast("long"), (at % WORD).cast("int"))
+    is_taken = lambda words, at: F.get(words, word(at)).bitwiseAND(bit(at)) != 0
+    take = lambda words, at: F.transform(words, lambda w, i: F.when(i == word(at), w.bitwiseOR(bit(at))).otherwise(w))
+    none = lambda n: F.array_repeat(F.lit(0).cast("long"), (F.floor(n / WORD) + 1).cast("int"))
+
     def step(acc: Column, c: Column) -> Column:
-        taken = F.exists(acc, lambda m: (m["gt_idx"] == c["gt_idx"]) | (m["pred_idx"] == c["pred_idx"]))
         one = F.struct((-c["neg"]).alias("iou"), c["gt_idx"].cast("int").alias("gt_idx"), c["pred_idx"].cast("int").alias("pred_idx"))
-        return F.when(taken, acc).otherwise(F.concat(acc, F.array(one)))
+        kept = F.struct(F.concat(acc["found"], F.array(one)).alias("found"), take(acc["gt"], c["g"]).alias("gt"), take(acc["pred"], c["p"]).alias("pred"))
+        return F.when(is_taken(acc["gt"], c["g"]) | is_taken(acc["pred"], c["p"]), acc).otherwise(kept)
+
+    zero = F.struct(F.array().cast(FOUND).alias("found"), none(n_gt).alias("gt"), none(n_pred).alias("pred"))
+    return F.aggregate(cands, zero, step, lambda acc: acc["found"])
+
 
-    return F.aggregate(cands, F.array().cast(FOUND), step)
+#: Pairs of a sample from which on its boxes meet in a grid.
+CROWDED = 1 << 16
 
 
-def match_boxes(gt: DataFrame, pred: DataFrame, threshold: float = TINY, class_aware: bool = True, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
-    """keys, matches, unmatched_gt, unmatched_pred: one row per sample on either side."""
-    rows = side_by_side(gt, pred, keys).withColumn("cands", candidates(threshold, class_aware)).withColumn("matches", greedy(F.col("cands")))
+def match_boxes(gt: DataFrame, pred: DataFrame, threshold: float = TINY, class_aware: bool = True, keys: tuple[str, ...] = ("sample_id",), crowded: int = CROWDED) -> DataFrame:
+    """keys, matches, unmatched_gt, unmatched_pred: one row per sample on either side.
+
+    A sample of more than ``crowded`` pairs finds its candidates in a grid, by cells over all tasks; matches are the same.
+    Whether there may be one is counted first, from the keys alone. Boxes of one side and sample have different idx.
+    """
+    rows = side_by_side(gt, pred, keys)
+    inside = candidates(threshold, class_aware)
+    sides = gt.select(*keys, F.lit(0).alias("_side")).unionByName(pred.select(*keys, F.lit(1).alias("_side")))
+    if threshold > 0 and not sides.groupBy(*keys, "_side").count().filter(F.col("count") > isqrt(crowded)).isEmpty():
+        many = F.size("gt").cast("long") * F.size("pred") > crowded
+        for k in keys:
+            many &= F.col(k).isNotNull()
+        grid = grid_candidates(rows.filter(many), threshold, class_aware, keys)
+        rows = rows.join(grid, list(keys), "left")
+        inside = F.when(many, F.coalesce("met", F.slice(inside, 1, 0))).otherwise(inside)
+    rows = rows.withColumn("cands", inside).withColumn("matches", greedy(F.col("cands"), F.size("gt"), F.size("pred")))
     free = lambda side, idx: F.array_except(F.transform(side, lambda b: b["idx"].cast("int")), F.transform("matches", lambda m: m[idx]))
-    return rows.withColumn("unmatched_gt", free("gt", "gt_idx")).withColumn("unmatched_pred", free("pred", "pred_idx")).drop("cands")
+    return rows.withColumn("unmatched_gt", free("gt", "gt_idx")).withColumn("unmatched_pred", free("pred", "pred_idx")).select(*keys, "gt", "pred", "matches", "unmatched_gt", "unmatched_pred")
 
 
 def metrics_by_threshold(gt: DataFrame, pred: DataFrame, thresholds: list[float], class_aware: bool = True, keys: tuple[str, ...] = ("sample_id",), by: tuple[str, ...] = ()) -> DataFrame:

@@ -102,6 +102,51 @@ def test_metrics_golden(spark):
         matching.metrics_by_threshold(gt, pred, [])
 
 
+def greedy_by_hand(gt, pred, least, aware):
+    def overlap(a, b):
+        w, h = min(a[3], b[3]) - max(a[1], b[1]), min(a[4], b[4]) - max(a[2], b[2])
+        inter = max(0.0, w) * max(0.0, h)
+        union = (a[3] - a[1]) * (a[4] - a[2]) + (b[3] - b[1]) * (b[4] - b[2]) - inter
+        return inter / union if union > 0 else 0.0
+
+    pairs = sorted((-overlap(a, b), i, j) for i, a in enumerate(gt) for j, b in enumerate(pred) if (a[0] == b[0] or not aware) and overlap(a, b) >= least)
+    out, used_g, used_p = [], set(), set()
+    for neg, i, j in pairs:
+        if i not in used_g and j not in used_p:
+            out.append((-neg, i, j))
+            used_g.add(i)
+            used_p.add(j)
+    return out
+
+
+@pytest.mark.parametrize("aware", [True, False])
+def test_crowded_samples_match_alike(spark, aware):
+    """One huge box among small ones, boxes that only touch, without extent or not finite, negative places, equal boxes."""
+    rng = np.random.default_rng(8)
+
+    def boxes(n):
+        c, e = rng.uniform(-200, 200, (n, 2)), rng.exponential(25, (n, 2))
+        out = [("ab"[k % 2], *c[k].round(1).tolist(), *(c[k] + e[k]).round(1).tolist()) for k in range(n)]
+        return [*out, ("a", -1e6, -1e6, 1e6, 1e6), ("a", 5.0, 5.0, 5.0, 9.0), ("a", 9.0, 9.0, 3.0, 3.0), out[3], out[3], ("b", 0.0, 0.0, 10.0, 10.0), ("b", 10.0, 0.0, 20.0, 10.0)]
+
+    sides = {s: (boxes(70), boxes(90)) for s in ("x", "y", "z")}
+    schema = "sample_id string, label string, x1 double, y1 double, x2 double, y2 double, idx int"
+    frame = lambda k: spark.createDataFrame([(s, *b, i) for s, both in sides.items() for i, b in enumerate(both[k])] + [(None, "a", 0.0, 0.0, 1.0, 1.0, 0)], schema)
+    for least in (matching.TINY, 0.3):
+        for crowded in (0, matching.CROWDED):
+            got = {r["sample_id"]: [tuple(m) for m in r["matches"]] for r in matching.match_boxes(frame(0), frame(1), least, aware, crowded=crowded).collect()}
+            assert got.pop(None) == [(1.0, 0, 0)]
+            assert got == {s: greedy_by_hand(*both, least, aware) for s, both in sides.items()}
+
+
+def test_five_thousand_boxes_a_side(spark):
+    """With all pairs this would take minutes and gigabytes in one row."""
+    at = lambda shift: spark.range(5000).select(F.lit("s").alias("sample_id"), F.lit("a").alias("label"), *[((F.col("id") % 100) * 10 + shift + d).cast("double").alias(c) for c, d in (("x1", 0), ("x2", 8))],
+                                                *[(F.floor(F.col("id") / 100) * 10 + d).cast("double").alias(c) for c, d in (("y1", 0), ("y2", 8))], F.col("id").cast("int").alias("idx"))
+    row = matching.match_boxes(at(0), at(3)).first()
+    assert len(row["matches"]) == 5000 and all(m["gt_idx"] == m["pred_idx"] for m in row["matches"]) and row["unmatched_gt"] == []
+
+
 def test_best_summary_nan_last(spark):
     df = spark.createDataFrame([("a", .1, float("nan"), 0), ("a", .5, .4, 1), ("a", .7, .4, 2)], "model string, threshold double, f1 double, row_no int")
     assert matching.best_summary(df).first()["best_threshold"] == .7
