@@ -2,20 +2,63 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boxloom.errors import DatasetBuildError
+from boxloom.functions.text import flatten_messages
+
+
+#: The percentiles of a distribution; the error of the sketch that brackets them, as one in so many rows; and groups
+#: that are told to all tasks.
+QUANTILES = {"median": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+ACCURACY, MOST_TOLD = 10_000, 10_000
 
 
 def numeric_stats(df: DataFrame, value: str, by: tuple[str, ...] = (), max_length: float | None = None) -> DataFrame:
-    """count, min, mean, population std, median, p90, p95, p99 (exact, interpolated), max; nulls left out, empty: nulls."""
+    """count, min, mean, population std, median, p90, p95, p99 (exact, interpolated), max; nulls left out, empty: nulls.
+
+    Percentiles are selected, not sorted: a mergeable sketch gives each a narrow range of values that must hold its
+    ranks; then what lies below a range is counted, and only values inside ranges, equal ones as one row, are put in
+    order. No task holds a group's values, but a thousandth of their distinct ones, or a group of at most ACCURACY rows.
+    """
     v = F.col(value).cast("double")
-    q = F.percentile(v, F.array(*map(F.lit, (0.5, 0.9, 0.95, 0.99)))).alias("q")
-    aggs = [F.count(v).alias("count"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), q, F.max(v).alias("max")]
+    margin = 5 / ACCURACY
+    marks = F.array(*[F.lit(x) for q in QUANTILES.values() for x in (max(0.0, q - margin), min(1.0, q + margin))])
+    aggs = [F.count(v).alias("count"), F.min(v).alias("min"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.max(v).alias("max")]
     if max_length is not None:
         aggs.append(F.count_if(v > max_length).alias("num_over_max_length"))
-    out = (df.groupBy(*by).agg(*aggs)).withColumns({n: F.get("q", F.lit(k)) for k, n in enumerate(("median", "p90", "p95", "p99"))}).drop("q")
+    one = df.groupBy(*by).agg(*aggs, F.percentile_approx(v, marks, ACCURACY).alias("_marks"))
+    told = one.limit(MOST_TOLD + 1).collect()
+    if len(told) <= MOST_TOLD:  # a short row a group
+        one = F.broadcast(df.sparkSession.createDataFrame(told, one.schema))
+    ranges = one.filter("count > 0").select(*[F.col(c).alias(f"_{c}") for c in by], F.col("count").alias("_n"), *[
+        F.when(F.col("count") <= ACCURACY, F.col(end)).otherwise(F.get("_marks", F.lit(2 * k + high))).alias(f"_{n}{k}") for k in range(len(QUANTILES)) for n, high, end in (("low", 0, "min"), ("high", 1, "max"))])
+    same = F.lit(True)
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    rows = df.select(*by, v.alias("_v")).filter("_v is not null").join(ranges, same)
+    groups = [f"_{c}" for c in by]
+    below = rows.groupBy(*groups).agg(*[F.count_if(F.col("_v") < F.col(f"_low{k}")).alias(f"_below{k}") for k in range(len(QUANTILES))])
+    held = F.filter(F.array(*[F.when(F.col("_v").between(F.col(f"_low{k}"), F.col(f"_high{k}")), k) for k in range(len(QUANTILES))]), lambda k: k.isNotNull())
+    inside = rows.select(*groups, "_n", "_v", F.explode(held).alias("_k")).groupBy(*groups, "_n", "_k", "_v").agg(F.count(F.lit(1)).alias("_many"))
+    upto = Window.partitionBy(*groups, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    null_safe = lambda other: [F.col(f"_{c}").eqNullSafe(F.col(f"{other}_{c}")) for c in by] or [F.lit(True)]
+    counted = below.select(*[F.col(g).alias(f"b{g}") for g in groups], F.array(*[f"_below{k}" for k in range(len(QUANTILES))]).alias("_below"))
+    placed = inside.withColumn("_end", F.sum("_many").over(upto)).join(F.broadcast(counted) if len(told) <= MOST_TOLD else counted, null_safe("b"))
+    quantile = F.element_at(F.lit([float(q) for q in QUANTILES.values()]), F.col("_k") + 1)
+    rank = quantile * (F.col("_n") - 1)
+    end, before = F.col("_end") + F.get("_below", F.col("_k")), F.get("_below", F.col("_k"))
+    at = lambda r: F.min(F.when(end > r, F.col("_v")))
+    picked = placed.groupBy(*groups, "_k").agg(at(F.floor(rank)).alias("_lower"), at(F.ceil(rank)).alias("_upper"), F.max(rank - F.floor(rank)).alias("_weight"), F.max(before > F.floor(rank)).alias("_missed"))
+    sound = ~F.col("_missed") & F.col("_upper").isNotNull()
+    between = F.when(F.col("_lower") == F.col("_upper"), F.col("_lower")).otherwise((1 - F.col("_weight")) * F.col("_lower") + F.col("_weight") * F.col("_upper"))
+    found = picked.select(*groups, "_k", F.when(sound, between).otherwise(F.raise_error(F.lit("a percentile lies outside its range")).cast("double")).alias("_q"))
+    wide = found.groupBy(*groups).agg(*[F.max(F.when(F.col("_k") == k, F.col("_q"))).alias(n) for k, n in enumerate(QUANTILES)])
+    joined = one.join(wide, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by] or F.lit(True), "left")
+    out = joined.select(*by, "count", "min", "mean", "std", "max", *(["num_over_max_length"] if max_length is not None else []), *QUANTILES)
     if max_length is not None:
         out = out.withColumn("ratio_over_max_length", F.when(F.col("count") > 0, F.col("num_over_max_length") / F.col("count")).otherwise(0.0))
     return out
@@ -145,15 +188,77 @@ def sample_structure(df: DataFrame) -> Column:
 
 
 def token_length(text: Column) -> Column:
-    """Whitespace tokens, in place of a model's tokenizer; pass a column of your own to the statistics for another."""
+    """Whitespace tokens, in place of a model's tokenizer; see captured for one of your own."""
     return F.size(F.filter(F.split(text, "\\s+"), lambda t: t != ""))
 
 
-def dataset_statistics(df: DataFrame, messages: str, label: str | None = None, max_length: float | None = None) -> tuple[DataFrame, DataFrame | None]:
-    """(one row of length statistics and structure sums, label histogram)."""
-    from boxloom.functions.text import flatten_messages
-
-    rows = df.withColumn("length", token_length(flatten_messages(F.col(messages)))).withColumn("s", structure_counts(F.col(messages)))
-    sums = rows.agg(*[F.sum(f"s.{c}").alias(c) for c in ("n_messages", "n_text", "n_image")])
-    one = numeric_stats(rows, "length", (), max_length).withColumn("k", F.lit(1)).join(sums.withColumn("k", F.lit(1)), "k").drop("k")
-    return one, label_histogram(df, label) if label else None
+def captured(function, column: Column) -> Column:
+    """struct(value, error) of a Python function of a text, a tokenizer's length say: what it raises is told, not raised."""
+    @F.pandas_udf(T.StructType([T.StructField("value", T.LongType()), T.StructField("error", T.StringType())]))
+    def each(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            try:
+                value = function(text)
+                out.append((None if value is None else int(value), None))
+            except Exception as e:  # noqa: BLE001  it is part of the report
+                out.append((None, repr(e)))
+        return pd.DataFrame(out, columns=["value", "error"]).astype({"value": "Int64"})
+
+    return each(column)
+
+
+#: Distributions of a report and the sample counts among them.
+LENGTHS = ("raw_token_length", "collated_input_length", "collated_label_length")
+COUNTS = {
+    "messages_per_sample": "num_messages", "text_parts_per_sample": "num_text_parts", "image_assets_per_sample": "num_image_assets",
+    "message_image_parts_per_sample": "num_message_image_parts", "target_instances_per_sample": "num_target_instances"}
+#: Errors that a report tells.
+MOST_ERRORS = 20
+
+
+def dataset_statistics(
+    df: DataFrame, split: str, index: str, lengths: dict[str, Column] | None = None, max_length: int | None = None, max_samples: int | None = None,
+) -> DataFrame:
+    """One row: the report on a dataset of training rows (messages, images, target as sample_structure reads them).
+
+    index numbers the rows from 0; with max_samples only those of a uniform stride are inspected. lengths gives columns
+    for raw_token_length (whitespace tokens of the flattened messages otherwise), collated_input_length and
+    collated_label_length: numbers, or what captured gives, whose errors go into the report with sample and stage. Nulls
+    are no measurement. All distributions are rows of one table, so they share the selection of percentiles.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    chosen = df.filter(is_stride_pick(F.col(index), F.lit(total), max_samples))
+    flat = token_length(flatten_messages(F.col("messages"))) if "messages" in df.columns else F.lit(None).cast("long")
+    given = {"raw_token_length": flat} | (lengths or {})
+    if unknown := sorted(set(given) - set(LENGTHS)):
+        raise DatasetBuildError(f"unknown lengths: {', '.join(unknown)}")
+    measured = chosen.select(F.col(index).cast("long").alias("i"), sample_structure(df).alias("s"), *[c.alias(n) for n, c in given.items()])
+    tells = [n for n, kind in measured.dtypes if n in given and kind.startswith("struct")]
+    number = lambda n: (F.col(n)["value"] if n in tells else F.col(n)).cast("double") if n in given else F.lit(None).cast("double")
+    pairs = F.array(*[F.struct(F.lit(n).alias("name"), number(n).alias("v")) for n in LENGTHS], *[F.struct(F.lit(n).alias("name"), F.col(f"s.{c}").cast("double").alias("v")) for n, c in COUNTS.items()])
+    told = numeric_stats(measured.select(F.explode(pairs).alias("p")).select("p.name", "p.v"), "v", ("name",), max_length).filter("count > 0")
+    rows = {r["name"]: r.asDict() for r in told.collect()}  # a row a distribution
+
+    def shown(name: str) -> Column:
+        row = rows.get(name, {"count": 0})
+        fields = ["count", "min", "mean", "std", "median", "p90", "p95", "p99", "max"]
+        if max_length is not None and name in LENGTHS:
+            fields += ["num_over_max_length", "ratio_over_max_length"]
+        kind = lambda f: "bigint" if f in ("count", "num_over_max_length") else "double"
+        return F.struct(*[F.lit(row.get(f)).cast(kind(f)).alias(f) for f in fields]).alias(name)
+
+    labels = measured.select(F.explode("s.labels").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    spread = labels.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("label", "n")))).alias("label_distribution"))  # a label table
+    stage = {"raw_token_length": "raw_inspection"}
+    wrong = F.filter(F.array(*[F.struct(F.lit(LENGTHS.index(n)).alias("k"), F.lit(stage.get(n, "collator")).alias("stage"), F.col(n)["error"].alias("error")) for n in tells]), lambda e: e["error"].isNotNull()) if tells else F.array().cast("array<struct<k:int,stage:string,error:string>>")
+    errors = measured.select("i", F.explode(wrong).alias("e")).select("i", "e.k", "e.stage", "e.error")
+    many = errors.agg(F.count(F.lit(1)).alias("num_errors"))
+    order = (F.col("stage") != "raw_inspection").cast("int")  # the inspection comes before the collation
+    first = errors.orderBy(order, "i", "k").limit(MOST_ERRORS).agg(F.sort_array(F.collect_list(F.struct(order.alias("later"), "i", "k", "stage", "error"))).alias("e"))
+    listed = first.select(F.transform("e", lambda e: F.struct(e["i"].alias("sample_index"), e["stage"].alias("stage"), e["error"].alias("error"))).alias("errors"))
+    inspected = measured.agg(F.count(F.lit(1)).alias("num_samples_inspected"))
+    whole = inspected.join(spread, F.lit(True)).join(many, F.lit(True)).join(listed, F.lit(True))  # of one row each
+    return whole.select(
+        F.lit(split).alias("split"), F.lit(total).cast("bigint").alias("num_samples_total"), "num_samples_inspected", F.lit(max_length).cast("int").alias("max_length"),
+        *[shown(n) for n in (*LENGTHS, *COUNTS)], "label_distribution", "num_errors", "errors")

@@ -92,6 +92,20 @@ SELECT cl.sample_id, cleaned <> 'no boxes in sight' AS valid, cleaned = '<none>'
     "numeric_stats": """SELECT lang, count(n_chars) AS count, min(n_chars)::DOUBLE AS min, round(avg(n_chars), 6) AS mean, round(stddev_pop(n_chars), 6) AS std, max(n_chars)::DOUBLE AS max,
 round(quantile_cont(n_chars::DOUBLE, 0.5), 6) AS median, round(quantile_cont(n_chars::DOUBLE, 0.9), 6) AS p90, round(quantile_cont(n_chars::DOUBLE, 0.95), 6) AS p95, round(quantile_cont(n_chars::DOUBLE, 0.99), 6) AS p99,
 count(*) FILTER (WHERE n_chars > 2000) AS num_over_max_length, round(count(*) FILTER (WHERE n_chars > 2000) / count(n_chars), 6) AS ratio_over_max_length FROM documents GROUP BY lang""",
+    # selection by stride, population deviation, percentiles between neighbours; a sample that cannot be measured still counts
+    "dataset_statistics": """WITH m AS (SELECT conv_id, count(*) AS messages, count(*) FILTER (WHERE turn % 3 = 1) AS images, count(*) FILTER (WHERE turn > 0) AS targets,
+  len(regexp_extract_all(string_agg(role || ':' || chr(10) || CASE WHEN turn % 3 = 1 THEN '<image>' || chr(10) ELSE '' END || coalesce(text, ''), chr(10) ORDER BY turn), '[^ \n\t]+')) AS words FROM conversations GROUP BY conv_id),
+n AS (SELECT *, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS total FROM m),
+i AS (SELECT * FROM n WHERE total <= 40 OR idx IN (SELECT least(k * (SELECT count(*) FROM m) // 40, (SELECT count(*) FROM m) - 1) FROM range(40) t(k))),
+v AS (SELECT 'raw_token_length' AS name, CASE WHEN words % 5 > 0 THEN words END::DOUBLE AS v FROM i UNION ALL SELECT 'collated_input_length', messages * 7 FROM i UNION ALL SELECT 'collated_label_length', NULL FROM i
+  UNION ALL SELECT 'messages_per_sample', messages FROM i UNION ALL SELECT 'text_parts_per_sample', messages FROM i UNION ALL SELECT 'image_assets_per_sample', 0 FROM i
+  UNION ALL SELECT 'message_image_parts_per_sample', images FROM i UNION ALL SELECT 'target_instances_per_sample', targets FROM i),
+l AS (SELECT string_agg(role || '=' || n, ',' ORDER BY role) AS labels FROM (SELECT role, count(*) AS n FROM conversations JOIN i USING (conv_id) WHERE turn > 0 GROUP BY role)),
+e AS (SELECT any_value(total) AS total, count(*) AS inspected, count(*) FILTER (WHERE words % 5 = 0) AS errors, min(idx) FILTER (WHERE words % 5 = 0) AS first_error FROM i)
+SELECT total AS num_samples_total, inspected AS num_samples_inspected, errors AS num_errors, first_error, least(errors, 20)::INT AS told, labels, name, count(v) AS count, min(v) AS min, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std,
+  round(quantile_cont(v, 0.5), 6) AS median, round(quantile_cont(v, 0.9), 6) AS p90, round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, max(v) AS max,
+  CASE WHEN name IN ('raw_token_length', 'collated_input_length', 'collated_label_length') AND count(v) > 0 THEN count(*) FILTER (WHERE v > 25) END AS over
+FROM v, l, e GROUP BY total, inspected, errors, first_error, labels, name""",
     "label_histogram": "SELECT quality, count(*) AS n FROM labels GROUP BY quality",
     "stride_sample": "WITH n AS (SELECT count(*) AS n FROM documents) SELECT DISTINCT least(i * n // 77, n - 1)::BIGINT AS doc_id FROM n, range(77) t(i)",
     "batches": "SELECT doc_id // 16 AS batch, count(*) AS n, max(n_chars) AS longest FROM documents GROUP BY 1",

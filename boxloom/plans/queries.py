@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -202,6 +204,32 @@ def numeric_stats(spark, d):
     return _rounded(stats.numeric_stats(_t(spark, d, "documents"), "n_chars", ("lang",), 2000))
 
 
+def _words_or_error(text):
+    words = re.findall(r"[^ \n\t]+", text)
+    if len(words) % 5 == 0:
+        raise ValueError("a fifth")
+    return len(words)
+
+
+def dataset_statistics(spark, d):
+    """A report, a row a distribution: two of three turns are inspected for words, of which some cannot be counted."""
+    none = F.lit(None).cast("string")
+    text = F.struct(F.lit("text").alias("type"), none.alias("path"), F.col("text").alias("text"))
+    image = F.struct(F.lit("image").alias("type"), F.lit("a.jpg").alias("path"), none.alias("text"))
+    parts = F.when(F.col("turn") % 3 == 1, F.array(image, text)).otherwise(F.array(text))
+    rows = _t(spark, d, "conversations").select("conv_id", "turn", F.struct("role", parts.alias("content")).alias("m"))
+    grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "m"))).alias("t"))
+    named = grouped.select("conv_id", F.transform("t", lambda x: x["m"]).alias("messages"), F.struct(F.transform(F.filter("t", lambda x: x["turn"] > 0), lambda x: F.struct(x["m"]["role"].alias("label"))).alias("instances")).alias("target"))
+    data = stats.numbered(named, "conv_id", "idx")
+    words = stats.captured(_words_or_error, X.flatten_messages(F.col("messages")))
+    report = stats.dataset_statistics(data, "train", "idx", {"raw_token_length": words, "collated_input_length": F.size("messages") * 7}, 25, 40)
+    fields = ("count", "min", "mean", "std", "median", "p90", "p95", "p99", "max")
+    over = lambda n: (F.col(n)["num_over_max_length"] if n in stats.LENGTHS else F.lit(None)).cast("bigint").alias("over")
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), *[(F.col(n)[f] if f in ("count", "min", "max") else F.round(F.col(n)[f], 6)).alias(f) for f in fields], over(n)) for n in (*stats.LENGTHS, *stats.COUNTS)])).alias("x")
+    labels = F.array_join(F.transform(F.map_entries("label_distribution"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return report.select("num_samples_total", "num_samples_inspected", "num_errors", F.element_at("errors", 1)["sample_index"].alias("first_error"), F.size("errors").alias("told"), labels.alias("labels"), each).select("*", "x.*").drop("x")
+
+
 def label_histogram(spark, d):
     return stats.label_histogram(_t(spark, d, "labels"), "quality")
 
@@ -392,6 +420,6 @@ def variant_metadata(spark, d):
 QUERIES = {f.__name__: f for f in (
     metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
     denormalize_clip, sanitize_labels, label_table, label_collisions, invalid_counts, category_filter, group_annotations, label_consistency,
-    clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, label_histogram, stride_sample, batches, topn_ids, split_counts,
+    clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, dataset_statistics, label_histogram, stride_sample, batches, topn_ids, split_counts,
     csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, synced_records, coco_records, coco_export, parse_json,
 )}

@@ -102,7 +102,6 @@ def write_errors(rows: DataFrame, path: str) -> bool:
     return True
 
 
-def write_statistics(stats: DataFrame, path: str) -> None:
-    """The one row of statistics as a JSON document."""
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(stats.first().asDict(recursive=True), f, indent=2, default=str)
+def write_statistics(report: DataFrame, path: str) -> None:
+    """The one row of dataset_statistics as a JSON document, indented, nulls kept."""
+    report.select(F.to_json(F.struct(*report.columns), {"ignoreNullFields": "false", "pretty": "true"}).alias("value")).write.mode("overwrite").text(path)

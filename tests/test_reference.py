@@ -156,7 +156,20 @@ def test_stats(spark):
     df = spark.createDataFrame([(1.,), (2.,), (3.,), (10.,)], "v double")
     r = stats.numeric_stats(df, "v", max_length=5).first()
     assert (r["mean"], r["median"], r["num_over_max_length"]) == (4, 2.5, 1) and r["std"] == pytest.approx(3.5355339059327378) and r["p99"] == pytest.approx(9.79)
-    assert stats.numeric_stats(df.limit(0), "v").first()["mean"] is None
+    assert stats.numeric_stats(df.limit(0), "v").first()["mean"] is None and stats.numeric_stats(df.limit(0), "v").first()["p90"] is None
+    rng = np.random.default_rng(0)
+    groups = {"a": rng.lognormal(0, 8, 60_001), "b": np.repeat([3.0, 7.0], [9, 30_000]), None: -rng.integers(0, 50, 20_000).astype(float), "d": np.array([5.0]), "e": np.array([float("inf"), 1, -float("inf"), 2.5])}
+    rows = pd.DataFrame({"g": np.repeat(np.array(list(groups), dtype=object), [len(v) for v in groups.values()]), "v": np.concatenate(list(groups.values()))}).sample(frac=1, random_state=1)
+    wide = spark.createDataFrame(rows, "g string, v double").repartition(7).unionByName(spark.createDataFrame([("a", None), ("f", None)], "g string, v double"))
+    got = {r["g"]: r for r in stats.numeric_stats(wide, "v", ("g",), 4).collect()}
+    for g, v in groups.items():
+        s = np.sort(v)
+        for n, q in stats.QUANTILES.items():
+            k = q * (len(s) - 1)
+            lo, hi = s[int(np.floor(k))], s[int(np.ceil(k))]
+            assert got[g][n] == pytest.approx(lo if lo == hi else lo * (1 - (k - np.floor(k))) + hi * (k - np.floor(k)), rel=1e-12), (g, n)
+        assert got[g]["count"] == len(v) and got[g]["num_over_max_length"] == (v > 4).sum()
+    assert got["f"]["count"] == 0 and got["f"]["median"] is None and got["f"]["ratio_over_max_length"] == 0
     split = stats.train_val_split(spark.range(50), "id").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in split} == {"val": 10, "train": 40}
 
@@ -657,6 +670,21 @@ def test_image_listing(spark, tmp_path):
     assert got == [("a.BMP", 7, 5), ("b.jpg", 60, 40), ("c.png", 30, 20), ("d.tiff", 11, 12)]
 
 
+def test_dataset_report(spark, tmp_path):
+    df = spark.createDataFrame([(k, [("user", [("text", None, "w " * k)])]) for k in range(30)], "idx long, messages array<struct<role:string,content:array<struct<type:string,path:string,text:string>>>>")
+    r = stats.dataset_statistics(df, "train", "idx", {"raw_token_length": stats.captured(lambda t: 1 // 0, F.lit("x")), "collated_label_length": F.when(F.col("idx") > 27, 5)}, max_length=3)
+    one = r.first()
+    assert one["num_errors"] == 30 and len(one["errors"]) == 20 and one["errors"][0].asDict() == {"sample_index": 0, "stage": "raw_inspection", "error": repr(ZeroDivisionError("integer division or modulo by zero"))}
+    assert one["raw_token_length"]["count"] == 0 and one["raw_token_length"]["mean"] is None and one["collated_label_length"]["num_over_max_length"] == 2 and one["messages_per_sample"]["mean"] == 1 and one["label_distribution"] == {}
+    sinks.write_statistics(r, str(tmp_path / "report"))
+    doc = json.loads("\n".join(x.value for x in spark.read.text(str(tmp_path / "report")).collect()))
+    assert doc["split"] == "train" and doc["num_samples_total"] == 30 and doc["collated_input_length"]["count"] == 0 and list(doc)[:3] == ["split", "num_samples_total", "num_samples_inspected"]
+    plain = stats.dataset_statistics(df, "val", "idx", max_samples=10).first()
+    assert plain["num_samples_inspected"] == 10 and plain["raw_token_length"]["max"] == 28 and plain["num_errors"] == 0 and plain["errors"] == []
+    with pytest.raises(DatasetBuildError):
+        stats.dataset_statistics(df, "x", "idx", {"odd": F.lit(1)})
+
+
 def test_legacy_rows_and_structure(spark):
     df = spark.createDataFrame([("a.jpg", 200, 100, [("PET", [10.0, 20.0, 30.0, 40.0])])], "image string, width int, height int, annotations array<struct<class:string,bbox:array<double>>>")
     r = messages.legacy_rows(df, {"PET": ["bottle"]}, 1.0, image_root="/r").first()
