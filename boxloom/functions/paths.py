@@ -38,10 +38,16 @@ def data_path(path: str | None, base_dir: str | None = None) -> str | None:
     return os.path.realpath(joined) if os.path.exists(joined) else joined
 
 
+def once(value: Column, use) -> Column:
+    """use(value), where value is worked out a single time however often it is named; without this every mention costs anew."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def normal(path: Column) -> Column:
     """An absolute path without empty, . and .. segments; .. at the root stays there."""
     step = lambda acc, s: F.when(s == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(F.concat(acc, F.array(s)))
-    kept = F.aggregate(F.filter(F.split(path, "/"), lambda s: ~s.isin("", ".")), F.array().cast("array<string>"), step)
+    climb = lambda parts: F.when(F.array_contains(parts, ".."), F.aggregate(parts, F.array().cast("array<string>"), step)).otherwise(parts)
+    kept = once(F.filter(F.split(path, "/"), lambda s: ~s.isin("", ".")), climb)
     return F.concat(F.lit("/"), F.array_join(kept, "/"))
 
 
@@ -49,18 +55,20 @@ def tidy(path: Column) -> Column:
     """A path as it is written, without doubled slashes, . segments and a slash at the end."""
     parts = F.filter(F.split(path, "/"), lambda s: ~s.isin("", "."))
     joined = F.concat(F.when(path.startswith("/"), F.lit("/")).otherwise(F.lit("")), F.array_join(parts, "/"))
-    return F.when(joined == "", F.lit(".")).otherwise(joined)
+    return F.when(path.isNotNull(), F.coalesce(F.nullif(joined, F.lit("")), F.lit(".")))
 
 
 def seen_from(path: Column, base: str) -> Column:
     """A normal absolute path relative to the folder base, with ../ where it lies outside."""
-    there, here = F.split(F.substring(path, F.lit(2), F.length(path)), "/"), [p for p in os.path.normpath(base).split("/") if p]
-    home = F.array(*map(F.lit, here)) if here else F.array().cast("array<string>")
-    same = F.aggregate(F.arrays_zip(home.alias("a"), F.slice(there, 1, max(1, len(here))).alias("b")), F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda acc, x: F.struct(
-        (acc["n"] + F.when(acc["on"] & x["a"].eqNullSafe(x["b"]), 1).otherwise(0)).alias("n"), (acc["on"] & x["a"].eqNullSafe(x["b"])).alias("on")))["n"]
-    up = F.array_repeat(F.lit(".."), F.lit(len(here)) - same)
-    found = F.array_join(F.concat(up, F.slice(there, same + 1, F.size(there))), "/")
-    return F.when(found == "", F.lit(".")).otherwise(found)
+    here = [p for p in os.path.normpath(base).split("/") if p]
+
+    def seen(there: Column) -> Column:
+        # how many leading segments are the same: the first that is not, or all
+        differs = F.array(*[F.when(~F.get(there, F.lit(k)).eqNullSafe(F.lit(p)), k) for k, p in enumerate(here)], F.lit(len(here)))
+        same = F.array_min(differs)
+        return once(same, lambda n: F.array_join(F.concat(F.array_repeat(F.lit(".."), F.lit(len(here)) - n), F.slice(there, n + 1, F.size(there))), "/"))
+
+    return once(path, lambda p: F.when(p.isNotNull(), F.coalesce(F.nullif(once(F.split(F.substring(p, F.lit(2), F.length(p)), "/"), seen), F.lit("")), F.lit("."))))
 
 
 def absolute_image(image: Column, config_dir: str, global_root: str | None = None) -> Column:

@@ -237,13 +237,17 @@ def brush_of(runs, width: int, height: int) -> list[int]:
     return list(int(text, 2).to_bytes(len(text) // 8, "big"))
 
 
+#: Crossings of a polygon's lines that are worked out together.
+CROSSINGS = 1 << 18
+
+
 def polygon_runs(points, width: int, height: int) -> list[int]:
     """Percent polygon -> column-major runs of its inside and its edges; fewer than three points: none.
 
     Corners are cut to whole pixels. On each line the crossings of the edges that reach it are sorted and taken in
     pairs; an edge that ends on a line other than the last crosses it twice, so that corners stay closed. A pair
     fills the pixels from its first crossing, rounded half up, to its second, rounded half down. Level edges are
-    drawn. Crossings of one line are all that is held beside the spans.
+    drawn. Beside the spans, the crossings of some lines at a time are held.
     """
     if len(points) < 3:
         return runs_of_spans(*[np.zeros(0, dtype=np.int64)] * 2, width * height)
@@ -251,28 +255,29 @@ def polygon_runs(points, width: int, height: int) -> list[int]:
     x1, y1 = np.roll(xs, -1), np.roll(ys, -1)
     begin, end = [], []
 
-    def draw(y: int, left, right) -> None:
+    def draw(y, left, right) -> None:
         left, right = np.maximum(left, 0), np.minimum(right, width - 1)
-        seen = left <= right
-        begin.append(y * width + left[seen])
-        end.append(y * width + right[seen] + 1)
+        seen = (left <= right) & (y >= 0) & (y < height)
+        begin.append((y * width + left)[seen])
+        end.append((y * width + right + 1)[seen])
 
-    for x, a, b in zip(ys[ys == y1].tolist(), np.minimum(xs, x1)[ys == y1], np.maximum(xs, x1)[ys == y1]):
-        if 0 <= x < height:
-            draw(x, np.array([a]), np.array([b]))
+    level = ys == y1
+    draw(ys[level], np.minimum(xs, x1)[level], np.maximum(xs, x1)[level])
     steep = ys != y1
     top, low = np.minimum(ys, y1)[steep], np.maximum(ys, y1)[steep]
     at, on, slope = xs[steep], ys[steep], ((x1 - xs)[steep]) / ((y1 - ys)[steep])
-    order = np.argsort(top, kind="stable")
-    top, low, at, on, slope = (v[order] for v in (top, low, at, on, slope))
     bottom = int(low.max()) if len(low) else -1
-    for y in range(max(0, int(top.min())) if len(top) else 0, min(height - 1, bottom) + 1):
-        active = np.flatnonzero(low[: np.searchsorted(top, y, side="right")] >= y)
-        cross = at[active] + (y - on[active]) * slope[active]
-        ends = (low[active] == y) & (y < bottom)
-        cross = np.sort(np.concatenate([cross, cross[ends]]))
-        cross = cross[: len(cross) // 2 * 2]
-        draw(y, np.floor(cross[0::2] + 0.5).astype(np.int64), np.ceil(cross[1::2] - 0.5).astype(np.int64))
+    first, last = max(0, int(top.min())) if len(low) else 0, min(height - 1, bottom)
+    lines = max(1, CROSSINGS // max(1, 2 * len(low)))
+    for y in range(first, last + 1, lines):
+        line = np.arange(y, min(last + 1, y + lines))[:, None]
+        near = (top < y + lines) & (low >= y)
+        reached = (top[near] <= line) & (low[near] >= line)
+        cross = np.where(reached, at[near] + (line - on[near]) * slope[near], np.inf)
+        again = np.where(reached & (low[near] == line) & (line < bottom), cross, np.inf)
+        cross = np.sort(np.concatenate([cross, again], axis=1), axis=1)
+        row, pair = np.nonzero(cross[:, 1::2] < np.inf)
+        draw(line[row, 0], np.floor(cross[row, 2 * pair] + 0.5).astype(np.int64), np.ceil(cross[row, 2 * pair + 1] - 0.5).astype(np.int64))
     spans = merged(np.concatenate(begin), np.concatenate(end)) if begin else [np.zeros(0, dtype=np.int64)] * 2
     return runs_of_spans(*turned(*spans, height, width), width * height)
 
@@ -285,7 +290,7 @@ def region_runs(rle: pd.Series, points: pd.Series, width: pd.Series, height: pd.
         if r is not None:
             out.append(brush_runs(r, int(w), int(h)))
         else:
-            out.append(None if p is None else polygon_runs([tuple(q) for q in p], int(w), int(h)))
+            out.append(None if p is None else polygon_runs(list(p), int(w), int(h)))
     return pd.Series(out, dtype=object)
 
 

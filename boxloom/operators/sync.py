@@ -152,13 +152,14 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
     shape = region_shape(v)
     rect = G.percent_rect(v["x"], v["y"], v["width"], v["height"], w, h)
     point = F.when(shape == "keypoint", F.struct(G.percent_to_pixels(v["x"], w).alias("x"), G.percent_to_pixels(v["y"], h).alias("y")))
-    rows = results.select("line_no", "pos", own.alias("instance_id"), region_label(v).alias("label"), shape.alias("shape"), F.when(shape == "rect", rect).alias("box"), point.alias("point"), M.region_runs(v["rle"], v["points"], w, h).alias("runs"), h.alias("h"), w.alias("w"))
-    rows = rows.withColumn("drawn", F.when(F.col("runs").isNotNull(), F.struct("runs", "h", "w"))).drop("runs", "h", "w")
+    rows = results.select("line_no", "pos", own.alias("instance_id"), region_label(v).alias("label"), shape.alias("shape"), F.when(shape == "rect", rect).alias("box"), point.alias("point"),
+        F.when(v["rle"].isNotNull() | v["points"].isNotNull(), F.struct(v["rle"].alias("rle"), v["points"].alias("points"), h.alias("h"), w.alias("w"))).alias("drawn"))
     last = lambda c: F.max_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)
     one = rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point"), last("drawn"))
     number = F.row_number().over(Window.partitionBy("line_no").orderBy("pos")) - 1  # one row an instance of an image
     one = one.withColumn("instance_id", F.when(F.col("instance_id").startswith("gen_"), sequential_id(number, "inst_", 4)).otherwise(F.col("instance_id"))).filter("label is not null")
-    one = one.withColumn("g", M.mask_geometry("drawn.runs", "drawn.h")).withColumn("counts", M.encode_runs("drawn.runs"))
+    one = one.withColumn("runs", M.region_runs("drawn.rle", "drawn.points", "drawn.w", "drawn.h"))  # only what an instance ends up with is drawn
+    one = one.withColumn("g", M.mask_geometry("runs", "drawn.h")).withColumn("counts", M.encode_runs("runs"))
     drawn = F.col("drawn").isNotNull()
     box = F.when(F.col("g.x1").isNotNull(), F.struct(*[F.col(f"g.{n}").alias(n) for n in ("x1", "y1", "x2", "y2")]))
     centre = F.when(F.col("g.cx").isNotNull(), F.struct(F.col("g.cx").alias("x"), F.col("g.cy").alias("y")))
