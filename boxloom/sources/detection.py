@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 import warnings
 from functools import reduce
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,39 +46,42 @@ def read_coco(spark: SparkSession, path: str, img_root: str | None = None) -> Da
     return grouped.select("image_id", F.explode("i").alias("i"), F.when(F.col("image_id").isNotNull(), F.col("annotations")).otherwise(F.slice("annotations", 1, 0)).alias("annotations")).select("image_id", "i.pos", "i.image", "i.width", "i.height", "annotations")
 
 
-def _jpeg_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the first frame header of a JPEG's segments."""
+def _jpeg_size(read) -> tuple[int, int] | None:
+    """Width and height from the first frame header of a JPEG; other segments are skipped, however long."""
     at = 2
-    while at + 9 <= len(data) and data[at] == 0xFF:
-        kind = data[at + 1]
+    while True:
+        head = read(at, 9)
+        if len(head) < 9 or head[0] != 0xFF:
+            return None
+        kind = head[1]
         if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):
-            return int.from_bytes(data[at + 7 : at + 9], "big"), int.from_bytes(data[at + 5 : at + 7], "big")
-        at += 2 if kind in (0x01, *range(0xD0, 0xD9)) else 2 + int.from_bytes(data[at + 2 : at + 4], "big")
-    return None
-
-
-def _tiff_size(data: bytes) -> tuple[int, int] | None:
-    """Width and height from the tags of a TIFF's first directory."""
-    order = "little" if data[:2] == b"II" else "big"
-    number = lambda a, n: int.from_bytes(data[a : a + n], order)
-    first, found = number(4, 4), {}
-    for k in range(number(first, 2)):
-        entry = first + 2 + 12 * k
-        found[number(entry, 2)] = number(entry + 8, 2 if number(entry + 2, 2) == 3 else 4)
+            return int.from_bytes(head[7:9], "big"), int.from_bytes(head[5:7], "big")
+        at += 2 if kind in (0x01, *range(0xD0, 0xD9)) else 2 + int.from_bytes(head[2:4], "big")
+
+
+def _tiff_size(read) -> tuple[int, int] | None:
+    """Width and height from the tags of a TIFF's first directory, wherever it is."""
+    order = "little" if read(0, 2) == b"II" else "big"
+    number = lambda data, a, n: int.from_bytes(data[a : a + n], order)
+    first, found = number(read(4, 4), 0, 4), {}
+    entries = read(first + 2, 12 * number(read(first, 2), 0, 2))
+    for at in range(0, len(entries) - 11, 12):
+        found[number(entries, at, 2)] = number(entries, at + 8, 2 if number(entries, at + 2, 2) == 3 else 4)
     return (found[256], found[257]) if {256, 257} <= set(found) else None
 
 
-def size_of_image(data: bytes) -> tuple[int, int] | None:
-    """(width, height) from the head of a PNG, BMP, JPEG or TIFF; None for anything else."""
+def size_of_image(read) -> tuple[int, int] | None:
+    """(width, height) of a PNG, BMP, JPEG or TIFF from a few short reads, read(at, n); None for anything else."""
     try:
-        if data[:8] == b"\x89PNG\r\n\x1a\n":
-            found = int.from_bytes(data[16:20], "big"), int.from_bytes(data[20:24], "big")
-        elif data[:2] == b"BM":
-            found = int.from_bytes(data[18:22], "little", signed=True), abs(int.from_bytes(data[22:26], "little", signed=True))
-        elif data[:2] == b"\xff\xd8":
-            found = _jpeg_size(data)
-        elif data[:4] in (b"II*\x00", b"MM\x00*"):
-            found = _tiff_size(data)
+        head = read(0, 26)
+        if head[:8] == b"\x89PNG\r\n\x1a\n":
+            found = int.from_bytes(head[16:20], "big"), int.from_bytes(head[20:24], "big")
+        elif head[:2] == b"BM":
+            found = int.from_bytes(head[18:22], "little", signed=True), abs(int.from_bytes(head[22:26], "little", signed=True))
+        elif head[:2] == b"\xff\xd8":
+            found = _jpeg_size(read)
+        elif head[:4] in (b"II*\x00", b"MM\x00*"):
+            found = _tiff_size(read)
         else:
             found = None
     except (IndexError, ValueError):
@@ -87,15 +92,46 @@ def size_of_image(data: bytes) -> tuple[int, int] | None:
 _SIZE = T.StructType([T.StructField("width", T.IntegerType()), T.StructField("height", T.IntegerType())])
 
 
+def _opened(path: str):
+    """(file system, path in it) of a path as Spark gives it; raises for stores that only Spark reads."""
+    return FileSystem.from_uri(re.sub("^file:/+", "file:///", path))
+
+
+def _sizes(rows: list) -> pd.DataFrame:
+    return pd.DataFrame([r or (None, None) for r in rows], columns=["width", "height"], dtype="Int32")
+
+
 @F.pandas_udf(_SIZE)
-def _sizes(content: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([size_of_image(bytes(c)) or (None, None) for c in content], columns=["width", "height"], dtype="Int32")
+def _sizes_of_files(paths: pd.Series) -> pd.DataFrame:
+    def size(path: str):
+        try:
+            store, name = _opened(path)
+            with store.open_input_file(name) as f:
+                return size_of_image(lambda at, n: f.read_at(n, at) if at < f.size() else b"")
+        except OSError:
+            return None
+
+    return _sizes([size(p) for p in paths])
+
+
+@F.pandas_udf(_SIZE)
+def _sizes_of_contents(content: pd.Series) -> pd.DataFrame:
+    return _sizes([size_of_image(lambda at, n, c=bytes(c): c[at : at + n]) for c in content])
 
 
 def list_images(spark: SparkSession, folder: str) -> DataFrame:
-    """image, width, height of the images in a folder, by name; what cannot be read is left out."""
+    """image, width, height of the images in a folder, by name; what cannot be read is left out.
+
+    Of each file some short pieces are read. From a store that only Spark reads, files come whole.
+    """
     files = spark.read.format("binaryFile").load(folder).filter(F.lower("path").rlike("\\.(" + "|".join(IMAGE_ENDINGS) + ")$"))
-    sized = files.select(F.regexp_replace("path", "^file:/*", "/").alias("image"), _sizes("content").alias("s"))
+    some = files.select("path").first()
+    try:
+        direct = bool(some) and _opened(some["path"]) is not None
+    except (ValueError, OSError):
+        direct = False
+    size = _sizes_of_files("path") if direct else _sizes_of_contents("content")
+    sized = files.select(F.regexp_replace("path", "^file:/*", "/").alias("image"), size.alias("s"))
     return sized.filter("s.width is not null").select("image", "s.width", "s.height").orderBy("image")
 
 

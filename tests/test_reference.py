@@ -300,6 +300,42 @@ def test_conversion_end_to_end(spark, tmp_path):
     assert [m["messages"][1]["content"][0]["text"] for m in train][1] == "<none>" and "PET_bottle: a bottle" in train[0]["messages"][0]["content"][1]["text"]
 
 
+def test_run_of_a_conversion(spark, tmp_path):
+    """A YAML run over a COCO and a YOLO configuration, to manifests and a summary, as a user starts it."""
+    doc = {"categories": [{"id": 4, "name": "PET bottle"}, {"id": 9, "name": "can"}], "images": [{"id": k, "width": 200, "height": 100, "file_name": f"{k}.jpg"} for k in (1, 2, 3)],
+           "annotations": [{"id": 7, "image_id": 1, "category_id": 9, "bbox": [10.2, 20.7, 30.1, 5.1]}, {"id": 8, "image_id": 3, "category_id": 4, "bbox": [300, 0, 5, 5]}, {"id": 9, "image_id": 3, "category_id": 4, "bbox": [0, 0, 9, 9]}]}
+    (tmp_path / "cfg").mkdir()
+    (tmp_path / "cfg" / "c.json").write_text(json.dumps(doc))
+    (tmp_path / "cfg" / "w.yaml").write_text("dataset: CocoWasteDataset\ndata_dicts:\n  one: {labels: c.json, folder_path: im}\nCLASSES:\n  PET bottle: [a, b]\n  unused: []\n")
+    (tmp_path / "cfg" / "y.yaml").write_text("dataset: WarpDataset\nGLOBAL_ROOT: root\ndata_dict:\n  two: {path: lab, folder: pics}\nCLASSES: [fan]\n")
+    (tmp_path / "cfg" / "root" / "pics").mkdir(parents=True)
+    (tmp_path / "cfg" / "lab").mkdir()
+    png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (40).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"\x08"
+    for n in "ab":
+        (tmp_path / "cfg" / "root" / "pics" / f"{n}.png").write_bytes(png)
+    (tmp_path / "cfg" / "lab" / "b.txt").write_text("0 .5 .5 .5 .5\n")
+    (tmp_path / "run.yaml").write_text("configs: [cfg/w.yaml, cfg/y.yaml]\nout_dir: out\nuri_mode: absolute\noptions: {dataset_id: all, drop_empty: true, uri_mode: relative}\n")
+    from boxloom.sources import conversion
+
+    said = conversion.convert_run(spark, str(tmp_path / "run.yaml"))
+    out = str(tmp_path / "out")
+    assert said == {
+        "output_dir": out, "merged_output": f"{out}/merged.canonical.jsonl", "per_entry_outputs": [f"{out}/w_one.canonical.jsonl", f"{out}/y_two.canonical.jsonl"], "num_entries": 2, "num_samples_written": 3,
+        "num_invalid_annotations_skipped": 1, "num_labels": 4, "labels": {"PET_bottle": 1, "unused": 2, "fan": 3, "can": 4}}
+    rows = manifest.read_samples(spark, said["merged_output"]).orderBy("line_no").collect()
+    assert [(r["sample_id"], r["assets"][0]["uri"]) for r in rows] == [("w_one_000001", "im/1.jpg"), ("w_one_000003", "im/3.jpg"), ("y_two_000002", "pics/b.png")]
+    assert rows[2]["assets"][0]["annotations"][0]["label_id"] == 3 and rows[2]["assets"][0]["annotations"][0]["bbox"]["br"]["x"] == 30
+    head = manifest.read_header(spark, said["per_entry_outputs"][1]).first()
+    assert head["dataset_id"] == "all_y_two" and list(head["label_info"]) == ["fan"] and head["label_info"]["fan"]["label_id"] == 3
+    first = json.loads(spark.read.text(said["per_entry_outputs"][0]).first()["value"])["info"]
+    assert list(first["label_info"]) == ["PET_bottle", "unused", "can"] and first["label_info"]["PET_bottle"]["description"] == "a b" and first["metadata"]["entries"][0]["folder_path"] == "im"
+    for wrong in ({"odd": 1}, {"uri_mode": "x"}, {"normalization_factor": 0}):
+        with pytest.raises(DatasetBuildError):
+            conversion.run_options(wrong)
+    with pytest.raises(DatasetBuildError, match="no dataset entries"):
+        conversion.convert_entries(spark, [], out)
+
+
 def test_predictions(spark):
     asset = [{"type": "image", "uri": "a.jpg", "caption": None, "annotations": [], "metadata": "{}", "size": [200, 100], "camera_id": None}]
     schema = "line_no long, sample_type string, sample_id string, assets array<struct<type:string,uri:string,caption:string,annotations:array<string>,metadata:string,size:array<int>,camera_id:string>>"
@@ -662,12 +698,15 @@ def test_image_listing(spark, tmp_path):
     png = b"\x89PNG\r\n\x1a\n" + b"\0\0\0\rIHDR" + (30).to_bytes(4, "big") + (20).to_bytes(4, "big") + b"\x08"
     bmp = b"BM" + bytes(16) + (7).to_bytes(4, "little") + (-5).to_bytes(4, "little", signed=True)
     jpeg = b"\xff\xd8\xff\xe0\x00\x04ab\xff\xc0\x00\x11\x08" + (40).to_bytes(2, "big") + (60).to_bytes(2, "big") + bytes(8)
+    exif = b"\xff\xd8\xff\xe1\xff\xff" + bytes(65533) + b"\xff\xe2\x10\x00" + bytes(4094) + b"\xff\xc2\x00\x11\x08" + (41).to_bytes(2, "big") + (61).to_bytes(2, "big") + bytes(8)
     tag = lambda k, v: k.to_bytes(2, "little") + (3).to_bytes(2, "little") + (1).to_bytes(4, "little") + v.to_bytes(4, "little")
     tiff = b"II*\x00" + (8).to_bytes(4, "little") + (2).to_bytes(2, "little") + tag(256, 11) + tag(257, 12)
-    for name, data in {"c.png": png, "a.BMP": bmp, "b.jpg": jpeg, "d.tiff": tiff, "e.png": b"junk", "f.txt": png}.items():
+    for name, data in {"c.png": png, "a.BMP": bmp, "b.jpg": jpeg, "d.tiff": tiff, "e.png": b"junk", "f.txt": png, "g h+%.jpeg": exif, "i.jpg": jpeg[:9]}.items():
         (tmp_path / name).write_bytes(data)
     got = [(os.path.basename(r["image"]), r["width"], r["height"]) for r in detection.list_images(spark, str(tmp_path)).collect()]
-    assert got == [("a.BMP", 7, 5), ("b.jpg", 60, 40), ("c.png", 30, 20), ("d.tiff", 11, 12)]
+    assert got == [("a.BMP", 7, 5), ("b.jpg", 60, 40), ("c.png", 30, 20), ("d.tiff", 11, 12), ("g h+%.jpeg", 61, 41)]
+    reads = []
+    assert detection.size_of_image(lambda at, n: reads.append(n) or exif[at : at + n]) == (61, 41) and sum(reads) < 100
 
 
 def test_dataset_report(spark, tmp_path):
