@@ -66,9 +66,24 @@ def yolo_to_xywh(xc: Column, yc: Column, wn: Column, hn: Column, width: Column,
     return F.struct(x.alias("x"), y.alias("y"), w.alias("w"), h.alias("h"))
 
 
+def rounded(v: Column, places: int) -> Column:
+    """v to so many decimal places as its binary value says, exact halves to even.
+
+    Decimal rounding goes by the shortest text of a number, which may be a half where the number is not. There the
+    product with twice the power of ten is all but an odd whole number, and what it lies beside it by, worked out
+    exactly with split factors, says on which side of the half the number is.
+    """
+    double, power = float(2 * 10**places), float(10**places)
+    whole, spread = F.rint(v * double), v * 134217729.0  # 2 ** 27 + 1 splits a double into halves that multiply exactly
+    high = spread - (spread - v)
+    beside = (high * double - whole) + (v - high) * double
+    half = (F.abs(whole) % 2 == 1) & (F.abs(beside) < 1e-6) & (beside != 0)
+    return F.when(half, (whole + F.signum(beside)) / 2 / power).otherwise(F.bround(v, places))
+
+
 def unit_xyxy(x: Column, y: Column, w: Column, h: Column, width: Column, height: Column, places: int = 4) -> Column:
-    """struct of the corners in 0..1; rounded on the decimal text, so the last place may differ from binary rounding."""
-    r = lambda v: F.bround(v, places)
+    """struct of the corners in 0..1, rounded."""
+    r = lambda v: rounded(v, places)
     return F.struct(r(x / width).alias("x1"), r(y / height).alias("y1"), r((x + w) / width).alias("x2"), r((y + h) / height).alias("y2"))
 
 

@@ -50,7 +50,8 @@ def build_split(manifests: list[DataFrame], labels: list[list[tuple[str, str | N
 
 def rows_fingerprint(header: DataFrame, schema: str, include_target: bool) -> DataFrame:
     """Header and conversion options as one key, so that no stale rows are taken for these."""
-    return header.select(fingerprint(F.struct("*").alias("header"), F.lit(schema).alias("schema"), F.lit(include_target).alias("include_target")).alias("fingerprint"))
+    fields = F.struct(*sorted(header.columns))  # keys in order, on both levels
+    return header.select(fingerprint(fields.alias("header"), F.lit(include_target).alias("include_target"), F.lit(schema).alias("schema")).alias("fingerprint"))
 
 
 def image_path(part: Column, registry: Column | None = None) -> Column:

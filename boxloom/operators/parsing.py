@@ -18,6 +18,7 @@ BOX = "struct<x1:bigint,y1:bigint,x2:bigint,y2:bigint>"
 ITEM = f"struct<instance_id:string,label_name:string,label_id:bigint,bbox:{BOX},error:string>"
 _ITEM = T.StructType([T.StructField("label", T.StringType()), T.StructField("coords", T.ArrayType(T.DoubleType())), T.StructField("bad", T.StringType())])
 READ = T.StructType([T.StructField("items", T.ArrayType(_ITEM)), T.StructField("problem", T.StringType())])
+_ITEMS = "array<struct<label:string,coords:array<double>,bad:string>>"
 FORMATS = ("tag_bbox_list", "json_bbox_list", "text")
 
 
@@ -69,7 +70,7 @@ def parse_tags(df: DataFrame, text: str, width: str, height: str, ids: Column |
 
 @F.pandas_udf(READ)
 def _json_items(cleaned: pd.Series) -> pd.DataFrame:
-    """JSON with a fall-back to Python literals, which SQL cannot read."""
+    """JSON, else Python literals of any kind; null texts have nothing."""
 
     def number(v):
         try:
@@ -109,15 +110,83 @@ def _json_items(cleaned: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"items": [g[0] for g in got], "problem": [g[1] for g in got]})
 
 
+#: Strings of either quote in a list of Python's or JSON's, and words that only one of the two has.
+STRING = """'(?:[^'\\\\]|\\\\.)*+'|"(?:[^"\\\\]|\\\\.)*+\""""
+JSON_WORDS, LONE = "\\b(?:true|false|null)\\b", "\\([^(),]*\\)"
+
+
+def literal_json(body: Column) -> Column:
+    """A Python literal of lists, tuples, mappings and plain strings as JSON; null where the two may differ in meaning.
+
+    The text is cut at its strings, so that nothing inside one is touched: words and brackets are rewritten outside of them, strings
+    get double quotes. Escapes in single quotes, one value in brackets and JSON's own words are left alone (null).
+    """
+    outside, strings = F.split(body, STRING, -1), F.regexp_extract_all(body, F.lit(STRING), F.lit(0))
+    swap = lambda c, a, b: F.regexp_replace(c, a, b)
+    code = lambda c: swap(swap(swap(swap(F.translate(c, "()", "[]"), "\\bNone\\b", "null"), "\\bTrue\\b", "true"), "\\bFalse\\b", "false"), ",(\\s*[\\]}])", "$1")
+    quoted = lambda x: F.when(x.startswith("'"), F.concat(F.lit('"'), F.replace(F.substring(x, F.lit(2), F.length(x) - 2), F.lit('"'), F.lit('\\"')), F.lit('"'))).otherwise(x)
+    made = F.array_join(F.transform(F.arrays_zip(outside.alias("o"), F.concat(F.transform(strings, quoted), F.array(F.lit(""))).alias("s")), lambda z: F.concat(code(z["o"]), z["s"])), "")
+    odd = F.exists(outside, lambda c: c.rlike(JSON_WORDS) | c.rlike(LONE)) | F.exists(strings, lambda x: x.startswith("'") & x.contains("\\"))
+    return F.when(~odd, made)
+
+
+def _items_of(v: Column) -> tuple[Column, Column]:
+    """(items of a JSON array as VARIANT, whether all are of the kinds that are read here)."""
+    each = F.try_variant_get(v, "$", "array<variant>")
+    kind = lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID"))
+    is_number = lambda x: kind(x).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|VOID)")
+    part = lambda x, n: F.try_variant_get(x, f"$.{n}", "variant")
+    listed = lambda x: F.coalesce(F.try_variant_get(x, "$", "array<variant>"), F.array().cast("array<variant>"))
+    labels, boxes = ("class", "label", "category"), ("box", "bbox", "bbox_2d")
+    is_object = lambda x: kind(x).startswith("OBJECT")
+    is_five = lambda x: kind(x).startswith("ARRAY") & (F.size(listed(x)) == 5)
+    texts = lambda x: [F.when(kind(part(x, n)) == "STRING", F.try_variant_get(x, f"$.{n}", "string")) for n in labels]
+    lists = lambda x: [F.when(kind(part(x, n)).startswith("ARRAY"), listed(part(x, n))) for n in boxes]
+
+    def read(x: Column) -> Column:
+        a, b = texts(x), lists(x)
+        label = F.when(is_object(x), F.coalesce(*[F.when(t != "", t) for t in a[:2]], a[2])).when(is_five(x), F.try_variant_get(x, "$[0]", "string"))
+        some = F.coalesce(*[F.when(F.size(t) > 0, t) for t in b[:2]], b[2])
+        coords = F.when(is_object(x), some).when(is_five(x), F.slice(listed(x), 2, 4))
+        numbers = F.transform(coords, lambda c: F.try_variant_get(c, "$", "double"))
+        whole = label.isNotNull() & coords.isNotNull()
+        return F.struct(F.when(whole, label).alias("label"), F.when(whole, numbers).alias("coords"), F.when(~whole, "label or box is missing").alias("bad"))
+
+    def plain(x: Column) -> Column:
+        fields = [kind(part(x, n)).isin("STRING", "VOID") for n in labels] + [
+            kind(part(x, n)).startswith("ARRAY") & F.forall(listed(part(x, n)), is_number) | (kind(part(x, n)) == "VOID") for n in boxes]
+        every = fields[0]
+        for f in fields[1:]:
+            every &= f
+        five = F.try_variant_get(x, "$[0]", "variant")
+        return F.when(is_object(x), every).when(is_five(x), kind(five).isin("STRING", "VOID") & F.forall(F.slice(listed(x), 2, 4), is_number)).otherwise(True)
+
+    return F.transform(each, read), F.coalesce(F.forall(each, plain), F.lit(False))
+
+
+def read_items(df: DataFrame, cleaned: str) -> DataFrame:
+    """df with ``_read`` (READ) and ``_in_python``: JSON and plain Python literals are read in the JVM, only what is left in Python."""
+    body = F.regexp_extract(cleaned, r"(?s)\[.*\]", 0)
+    none = F.array().cast(_ITEMS)
+    empty = F.lower(F.trim(cleaned)).isin("", "<none>", "none") | F.col(cleaned).isNull()
+    found = df.withColumn("_body", F.when(~empty & (body != ""), body)).withColumn("_v", F.coalesce(F.try_parse_json("_body"), F.try_parse_json(literal_json(F.col("_body")))))
+    items, plain = _items_of(F.col("_v"))
+    found = found.withColumn("_in_python", F.col("_body").isNotNull() & ~plain)
+    left = _json_items(F.when(F.col("_in_python"), F.col(cleaned)))
+    told = F.struct(none.alias("items"), F.when(~empty, "no JSON array found").alias("problem"))
+    here = F.struct(items.alias("items"), F.lit(None).cast("string").alias("problem"))
+    return found.withColumn("_left", left).withColumn("_read", F.when(F.col("_body").isNull(), told).when(F.col("_in_python"), F.col("_left")).otherwise(here)).drop("_body", "_v", "_left")
+
+
 def parse_json(df: DataFrame, text: str, width: str, height: str, ids: Column | None = None, strict: bool = False, factor=1000, normalized: bool = True) -> DataFrame:
     """df with ``parsed`` for JSON lists of objects or 5-tuples."""
     items = F.transform("_read.items", lambda x, i: _annotation(x["label"], x["coords"], i, F.col(width), F.col(height), ids, strict, factor, normalized))
     empty = F.col("_read.problem").isNull() & (F.size("_read.items") == 0)
     return (
-        df.withColumn("_cleaned", X.clean_answer(F.col(text))).withColumn("_read", _json_items("_cleaned"))
+        read_items(df.withColumn("_cleaned", X.clean_answer(F.col(text))), "_cleaned")
         .withColumn("_items", items)
         .withColumn("parsed", _result(F.col("_items"), empty, F.col("_read.problem"), F.col("_cleaned"), "json_bbox_list"))
-        .drop("_cleaned", "_read", "_items")
+        .drop("_cleaned", "_read", "_items", "_in_python")
     )
 
 

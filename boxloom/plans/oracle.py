@@ -164,7 +164,8 @@ SELECT id, image_id, file_name, name, x, y, w, h, (w * h)::BIGINT AS area, 0 AS
 c AS (SELECT sample_id, count(*) AS n, sum(least(159, round_even(round_even(x1 / 160 * 1000, 0) / 1000 * 160, 0)) + least(159, round_even(round_even(y1 / 160 * 1000, 0) / 1000 * 160, 0))
   + greatest(1, least(160, round_even(round_even(x2 / 160 * 1000, 0) / 1000 * 160, 0))) + greatest(1, least(160, round_even(round_even(y2 / 160 * 1000, 0) / 1000 * 160, 0))))::BIGINT AS s FROM b WHERE side = 1 GROUP BY sample_id)
 SELECT sample_id, sample_id % 17 <> 0 AS valid, sample_id % 17 <> 0 AND sample_id % 13 = 0 AS is_empty, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE n END::INT AS n_items,
-  (sample_id % 17 = 0)::INT AS n_errors, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE s END AS corner_sum FROM c""",
+  -- a text without a list, an object without a label, and an item of which one number is none are an error each
+  (sample_id % 17 = 0 OR (sample_id % 13 > 0 AND sample_id % 11 > 0 AND (sample_id % 7 = 0 OR sample_id % 5 = 0)))::INT AS n_errors, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE s END AS corner_sum FROM c""",
     "variant_metadata": "SELECT event_type, coalesce(json_type(props) = 'OBJECT', false) AS is_object, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k, 0::BIGINT AS none FROM events GROUP BY 1, 2",
 }
 

@@ -392,7 +392,7 @@ def coco_export(spark, d):
 
 
 def parse_json(spark, d):
-    """Answers as JSON lists of objects or of 5-tuples, some broken."""
+    """Answers as lists of objects or of 5-tuples, in JSON or as Python writes them, some broken, some with a bad item."""
     norm = lambda c: G.half_even(G.normalize(F.col(c), 160))
     four = F.array(*[norm(c) for c in BOX])
     item = F.when(F.col("idx") % 2 == 0, F.to_json(F.struct(F.col("label").alias("class"), four.alias("box")))).otherwise(
@@ -400,7 +400,8 @@ def parse_json(spark, d):
     rows = boxes(spark, d).filter("side = 1").withColumn("item", item)
     t = rows.groupBy("sample_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("idx", "item"))), lambda s: s["item"]), ", ").alias("t"))
     k = F.col("sample_id")
-    answer = F.when(k % 17 == 0, "none to see").when(k % 13 == 0, "[]").when(k % 11 == 0, F.concat(F.lit("Here: ["), "t", F.lit("] done"))).otherwise(F.concat(F.lit("["), "t", F.lit("]")))
+    answer = F.when(k % 17 == 0, "none to see").when(k % 13 == 0, "[]").when(k % 11 == 0, F.concat(F.lit("Here: ["), "t", F.lit("] done"))).when(k % 7 == 0, F.concat(F.lit("[{'class': None}, "), F.translate("t", '"[]', "'()"), F.lit(",]"))).when(
+        k % 5 == 0, F.concat(F.lit("[['x', '1', 0x2, 3, 'y'], "), "t", F.lit("]"))).otherwise(F.concat(F.lit("["), "t", F.lit("]")))
     p = parsing.parse_answers(t.select("sample_id", answer.alias("answer"), F.lit(160).alias("width"), F.lit(160).alias("height")), "answer", "json_bbox_list")
     total = F.aggregate("parsed.annotations", F.lit(0).cast("long"), lambda a, x: a + x["bbox"]["x1"] + x["bbox"]["y1"] + x["bbox"]["x2"] + x["bbox"]["y2"])
     return p.select("sample_id", "parsed.valid", "parsed.is_empty", F.size("parsed.annotations").alias("n_items"), F.size("parsed.errors").alias("n_errors"), total.alias("corner_sum"))

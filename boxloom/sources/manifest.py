@@ -12,6 +12,8 @@ from boxloom.errors import ManifestError
 from boxloom.operators.stats import numbered
 from boxloom.schema import RECORD, sample_problem
 
+#: Broken lines that are warned of.
+MOST_WARNINGS = 20
 MODES = ("strict", "class", "eval", "lenient")
 
 
@@ -33,12 +35,15 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_jsonl(spark: SparkSession, path: str, on_error: str = "raise") -> DataFrame:
-    """path, line_no and record (VARIANT) of any JSON lines; on_error: raise, or skip broken lines."""
+    """path, line_no and record (VARIANT) of any JSON lines; on_error: raise, or skip broken lines, or warn of the first of them, too."""
     rows = numbered_lines(spark, path).select("path", "line_no", F.try_parse_json("value").alias("record"))
-    if on_error == "skip":
+    if on_error == "warn":
+        for r in rows.filter("record is null").orderBy("path", "line_no").limit(MOST_WARNINGS).collect():
+            warnings.warn(f"line {r['line_no']} of {r['path']} is not JSON", stacklevel=2)
+    if on_error in ("skip", "warn"):
         return rows.filter("record is not null")
     if on_error != "raise":
-        raise ManifestError(f"on_error is raise or skip, not {on_error!r}")
+        raise ManifestError(f"on_error is raise, skip or warn, not {on_error!r}")
     broken = F.raise_error(F.concat(F.lit("line "), F.col("line_no").cast("string"), F.lit(" of "), F.col("path"), F.lit(": not JSON"))).cast("boolean")
     return rows.filter(F.when(F.col("record").isNull(), broken).otherwise(True))
 

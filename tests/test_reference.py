@@ -80,6 +80,13 @@ def test_answers(spark):
         parsing.parse_answers(df, "t", "xml")
 
 
+def test_places_are_rounded_as_binary_numbers(spark):
+    rng = np.random.default_rng(6)
+    values = [*(rng.integers(0, 20_000, 3000) / 20_000), *rng.random(500), *np.nextafter(rng.integers(0, 20_000, 300) / 20_000, 1), 0.12345, 0.00005, 0.5, -0.12345, 1.00005, 0.0, 1e-9]
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").select("v", G.rounded(F.col("v"), 4).alias("r"))
+    assert [(r["v"], r["r"]) for r in df.collect() if r["r"] != round(r["v"], 4)] == []
+
+
 def test_json_answers(spark):
     texts = ['[{"class":"PET","box":[0,0,500,500]}]', '[["PET",0,0,500,500]]', "[('PET', 0, 0, 500, 500)]", "[]", "nothing", '[{"box":[1,2,3,4]}]']
     df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").withColumns({"width": F.lit(200), "height": F.lit(100)})
@@ -88,6 +95,23 @@ def test_json_answers(spark):
     assert [p["valid"] for p in got] == [True] * 4 + [False] * 2
 
 
+def test_items_are_read_alike_in_both(spark):
+    """What the JVM reads equals what Python reads, and plain literals need no Python."""
+    plain = [
+        "[]", "[{'class': 'PET', 'box': (1, 2.5, 3, 4)}]", '[{"label": "a\\"b", "bbox": [1,2,3,4]}]', "[('PET', 0, -1, 5e2, 1.5), ['x', 1, 2, 3, None],]", "[{'class': 'it is \"x\"', 'box': [1, 2, 3]}]",
+        "x [{'class': '(None) [True', 'box': [1, 2, 3, 4],},] y", '[{"class": "", "label": "b", "box": [], "bbox": [1, 2, 3, 4]}]', "[{'box': [1,2,3,4]}, 5, 'a', None, [1, 2], {}]", '[{"category": "", "bbox_2d": []}]',
+        "[[None, 1, 2, 3, 4]]", "[{'class': None, 'category': 'c', 'bbox': [1,2,3,4]}]", '["a]", ["b", 1, 2, 3, 4]]', "none", "", None, "no list", "] [", "[1, 2", '[{"class": "a", "box": null}]']
+    odd = [
+        "[{'class': 5, 'box': [1,2,3,4]}]", "[['a', '1', ' 2', 'x', 4]]", "[{'class': 'a\\'b', 'box': [1,2,3,4]}]", "[(5)]", "['a', true]", "[{'class': 'a' 'b', 'box': [1, 2, 3, 0x10]}]", "[[True, 1, 2, 3, 4]]",
+        "[{1: 2}]", "[nan]", "[{'class': 'a', 'box': '1,2,3,4'}]", '[{"class": "a", "class": "b", "box": [1,2,3,4]}]', "[{'class': 'a', 'box': [True, 2, 3, 4]}]", "[foo]", "[{'label': ['a'], 'box': [1,2,3,4]}]", "[[1.0, 1, 2, 3, 4]]"]
+    df = spark.createDataFrame(list(enumerate(plain + odd)), "k int, t string")
+    rows = parsing.read_items(df, "t").withColumn("p", parsing._json_items("t")).orderBy("k").collect()
+    show = lambda r: ([(i["label"], i["coords"], i["bad"]) for i in r["items"]], r["problem"])
+    for r in rows:
+        assert show(r["_read"]) == show(r["p"]), r["t"]
+    assert [r["t"] for r in rows if r["_in_python"]] == odd
+
+
 def test_metrics_golden(spark):
     schema = "sample_id string, label string, x1 double, y1 double, x2 double, y2 double, idx int"
     gt = spark.createDataFrame([("s1", "rotor", 0., 0., 10., 10., 0), ("s1", "rotor", 20., 20., 30., 30., 1), ("s2", "rotor", 0., 0., 5., 5., 0)], schema)
@@ -238,6 +262,8 @@ def test_lenient_readers(spark, tmp_path):
     assert rows.count() == 1 and name == "d" and manifest.read_jsonl(spark, str(p), "skip").count() == 2
     with pytest.raises(Exception, match="line 2"):
         manifest.read_jsonl(spark, str(p)).collect()
+    with pytest.warns(UserWarning, match="line 2 of .* is not JSON"):
+        assert manifest.read_jsonl(spark, str(p), "warn").count() == 2
     with pytest.warns(UserWarning):
         rows, name = manifest.read_lenient_samples(spark, str(tmp_path / "none.jsonl"))
     assert rows.isEmpty() and name == "unknown"
