@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.errors import DatasetBuildError
-from boxloom.functions.geometry import iou, safe_div
+from boxloom.functions.geometry import iou, rounded, safe_div
 
 #: Least IoU that counts as an overlap at all.
 TINY = 1e-9
@@ -167,12 +167,26 @@ def best_summary(table: DataFrame, row_order: str = "row_no") -> DataFrame:
     return ranked.select("model", *[F.col(a).alias(b) for a, b in new.items() if a in table.columns], *[c for c in rest if c in table.columns]).orderBy("model")
 
 
-def box_status(matched: DataFrame) -> DataFrame:
-    """One row a box: side, idx and status TP, FP or FN, for rendering."""
-    hit = lambda side, idx: F.transform("matches", lambda m: F.struct(F.lit(side).alias("side"), m[idx].alias("idx"), F.lit("TP").alias("status"), m["iou"].alias("iou")))
-    miss = lambda col, side, status: F.transform(col, lambda i: F.struct(F.lit(side).alias("side"), i.alias("idx"), F.lit(status).alias("status"), F.lit(None).cast("double").alias("iou")))
-    every = F.concat(hit("gt", "gt_idx"), hit("pred", "pred_idx"), miss("unmatched_gt", "gt", "FN"), miss("unmatched_pred", "pred", "FP"))
-    return matched.select("sample_id", F.explode(every).alias("b")).select("sample_id", "b.*")
+def box_status(matched: DataFrame, keys: tuple[str, ...] = ("sample_id",)) -> DataFrame:
+    """One row a box: keys, side, idx, status TP, FP or FN, iou, text and corners, for rendering.
+
+    text is what a picture writes at the box: status, label and, on predictions that hit, the IoU with two places; GT at the
+    true boxes that are hit.
+    """
+    corners = ("x1", "y1", "x2", "y2")
+    found = lambda key: F.map_from_entries(F.transform("matches", lambda m: F.struct(m[key], m["iou"])))
+    hits = {"gt": found("gt_idx"), "pred": found("pred_idx")}
+
+    def each(side: str, missed: str) -> Column:
+        def one(b: Column) -> Column:
+            iou_ = F.try_element_at(hits[side], b["idx"].cast("int"))
+            share = F.format_string(" | IoU=%.2f", rounded(iou_, 2)) if side == "pred" else F.lit("")
+            text = F.when(iou_.isNotNull(), F.concat(F.lit("TP " if side == "pred" else "GT "), b["label"], share)).otherwise(F.concat(F.lit(missed + " "), b["label"]))
+            return F.struct(F.lit(side).alias("side"), b["idx"].cast("int").alias("idx"), F.when(iou_.isNotNull(), "TP").otherwise(missed).alias("status"), iou_.alias("iou"), text.alias("text"), *[b[c].alias(c) for c in corners])
+
+        return F.transform(side, one)
+
+    return matched.select(*keys, F.explode(F.concat(each("gt", "FN"), each("pred", "FP"))).alias("b")).select(*keys, "b.*")
 
 
 def union_tables(tables: list[DataFrame]) -> DataFrame:

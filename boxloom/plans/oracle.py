@@ -60,6 +60,10 @@ ORACLE = {
     "iou_pairs": "WITH" + _cands().split(",\nc AS (")[0] + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM c0 WHERE iou >= 0.5",
     "match_greedy": "WITH RECURSIVE" + _cands() + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM mt",
     "match_class_agnostic": "WITH RECURSIVE" + _cands(aware=False) + " SELECT sample_id, gi AS gt_idx, pi AS pred_idx, round(iou, 9) AS iou FROM mt",
+    "box_status": "WITH RECURSIVE" + _cands() + """, h AS (SELECT * FROM mt WHERE iou >= 0.5)
+SELECT b.sample_id, CASE WHEN side = 0 THEN 'gt' ELSE 'pred' END AS side, idx, CASE WHEN iou IS NOT NULL THEN 'TP' WHEN side = 0 THEN 'FN' ELSE 'FP' END AS status,
+  CASE WHEN iou IS NOT NULL AND side = 1 THEN 'TP ' || label || printf(' | IoU=%.2f', iou) WHEN iou IS NOT NULL THEN 'GT ' || label WHEN side = 0 THEN 'FN ' || label ELSE 'FP ' || label END AS text, x1, y2
+FROM b LEFT JOIN h ON h.sample_id = b.sample_id AND CASE WHEN side = 0 THEN gi ELSE pi END = idx""",
     "outer_align": "WITH" + _BOXES + " SELECT sample_id, (count(*) FILTER (WHERE side = 0))::INT AS n_gt, (count(*) FILTER (WHERE side = 1))::INT AS n_pred FROM b GROUP BY sample_id",
     "xywh_clip": "WITH " + _RAW + " SELECT image_id, p, s, n, x1, y1, x2, y2, x1 < x2 AND y1 < y2 AS valid, round_even((x1 + x2) / 2, 0)::BIGINT AS cx, round_even((y1 + y2) / 2, 0)::BIGINT AS cy FROM bx",
     "yolo_to_xywh": "WITH " + _RAW + """, u AS (SELECT *, (p * 37 % 1000) / 1000 AS a, (s * 91 % 1000) / 1000 AS b, (p * 11 % 1000) / 1000 AS c, (n * 130 % 1000) / 1000 AS e FROM rb),

@@ -54,6 +54,11 @@ def match_class_agnostic(spark, d):
     return _matches(spark, d, False)
 
 
+def box_status(spark, d):
+    done = matching.box_status(matching.match_boxes(*_sides(spark, d), threshold=0.5))
+    return done.select("sample_id", "side", "idx", "status", "text", "x1", "y2")
+
+
 def _metrics(spark, d):
     gt, pred = _sides(spark, d)
     models = F.explode(F.array(F.lit("m0"), F.lit("m1")))
@@ -419,7 +424,7 @@ def variant_metadata(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
+    metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, box_status, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
     denormalize_clip, sanitize_labels, label_table, label_collisions, invalid_counts, category_filter, group_annotations, label_consistency,
     clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, dataset_statistics, label_histogram, stride_sample, batches, topn_ids, split_counts,
     csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, synced_records, coco_records, coco_export, parse_json,
