@@ -11,6 +11,7 @@ context features) is trained, and that classifier alone decides about candidates
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,18 +56,17 @@ FEATURE_BUCKETS = 1024
 ACCEPT = 0.9
 
 
+def _once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value worked out once a row: inside a lambda an outer expression is worked out for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def located(text: Column, pattern: str, guard: str | None = None) -> Column:
     """array<struct<m, before, after, start, stop>> of the matches, leftmost and non-overlapping.
 
     start and stop count code points, stop exclusive: the pieces between matches have the offsets.
     before and after are the 30 characters around.
     """
-    parts = F.split(text, pattern, -1)
-    zipped = F.arrays_zip(
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), parts.alias("before"),
-        F.slice(parts, F.lit(2), F.size(parts)).alias("after"),
-    )
-    items = F.filter(zipped, lambda x: x["m"].isNotNull())
     kind = "array<struct<m:string,before:string,after:string,start:int,stop:int>>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(kind).alias("out"))
 
@@ -83,12 +83,16 @@ def located(text: Column, pattern: str, guard: str | None = None) -> Column:
             x["m"].alias("m"), x["before"].alias("before"), x["after"].alias("after"), (x["start"] + acc["at"]).alias("start"), (x["stop"] + acc["at"]).alias("stop")))
         return F.struct((acc["at"] + part["at"]).alias("at"), F.concat(acc["out"], moved).alias("out"))
 
-    # appending copies the list, so it is done in parts of about the root of their number
-    root = F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int")
-    begins = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), F.greatest(root, F.lit(1)))).otherwise(F.array().cast("array<int>"))
-    parts_ = F.transform(begins, lambda b: F.aggregate(F.slice(items, b, root), zero, add))
-    found = F.aggregate(parts_, zero, chain, lambda acc: acc["out"])
-    return F.when(F.coalesce(text.rlike(guard or pattern), F.lit(False)), found).otherwise(F.array().cast(kind))
+    def offsets(items):
+        # appending copies the list, so it is done in parts of about the root of their number
+        root = F.greatest(F.ceil(F.sqrt(F.size(items).cast("double"))).cast("int"), F.lit(1))
+        begins = F.when(F.size(items) > 0, F.sequence(F.lit(1), F.size(items), root)).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(F.transform(begins, lambda b: F.aggregate(F.slice(items, b, root), zero, add)), zero, chain, lambda acc: acc["out"])
+
+    pieces = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("m"), F.split(text, pattern, -1).alias("between"))
+    items = _once(pieces, lambda p: F.transform(p["m"], lambda m, i: F.struct(
+        m.alias("m"), F.get(p["between"], i).alias("before"), F.get(p["between"], i + 1).alias("after"))))
+    return F.when(F.coalesce(text.rlike(guard or pattern), F.lit(False)), _once(items, offsets)).otherwise(F.array().cast(kind))
 
 
 def _digits(m: Column) -> Column:
@@ -119,8 +123,9 @@ def base_spans(text: Column, kind: str) -> Column:
     )
 
 
-def _any_word(text: Column, words) -> Column:
-    return text.rlike("(?i)(?<![\\p{L}])(?:" + "|".join(words) + ")(?![\\p{L}])")
+def _has_word(text: Column, words) -> Column:
+    """Whether a run of letters of the text is one of the words: a look-up a run."""
+    return F.exists(F.split(F.lower(text), "[^\\p{L}]+"), lambda w: w.isin(*words))
 
 
 def votes(x: Column) -> Column:
@@ -129,7 +134,7 @@ def votes(x: Column) -> Column:
     number = m.rlike("[0-9]")
     ballot = {
         "pattern": F.when(m.rlike("^([0-9]{3}-[0-9]{2}-[0-9]{4}|@.*)$"), "2").when(m.rlike("^[0-9]{1,2}[.-][0-9]{1,2}[.-]([0-9]{2}){1,2}$"), "0"),
-        "gazetteer": F.when(_any_word(m, FIRST_NAMES), "2").when(~number & _any_word(m, COMMON_WORDS), "0"),
+        "gazetteer": F.when(_has_word(m, FIRST_NAMES), "2").when(~number & _has_word(m, COMMON_WORDS), "0"),
         "before": F.when(before.rlike("(?i)(?<![\\p{L}])(?:" + "|".join(CUES_BEFORE) + ")[^\\p{L}\\n]{0,4}(?:is |no )?$"), "2")
         .when(before.rlike("(?i)(?<![\\p{L}])(?:" + "|".join(CUES_AGAINST) + ")[^\\p{L}\\n]{0,4}$"), "0")
         .when(~number & before.rlike("(^|[.!?\\n])[^\\p{L}]*$"), "0"),
@@ -146,7 +151,7 @@ def features(x: Column) -> Column:
         F.concat(F.lit("s:"), shape), F.concat(F.lit("n:"), F.least(F.length(x["m"]), F.lit(40)).cast("string")),
         F.concat(F.lit("b:"), word(x["before"], "([\\p{L}]+)[^\\p{L}]*$")), F.concat(F.lit("a:"), word(x["after"], "^[^\\p{L}]*([\\p{L}]+)")),
         F.concat(F.lit("e:"), F.regexp_extract(x["before"], "([.!?\\n]?)[^.!?\\n\\p{L}]*$", 1)),
-        F.concat(F.lit("g:"), _any_word(x["m"], FIRST_NAMES).cast("string")),
+        F.concat(F.lit("g:"), _has_word(x["m"], FIRST_NAMES).cast("string")),
         F.concat(F.lit("c:"), x["before"].rlike("(?i)(?<![\\p{L}])(?:" + "|".join(CUES_BEFORE) + ")[^\\p{L}\\n]{0,4}(?:is |no )?$").cast("string")),
     )
     return F.array_distinct(F.transform(named, lambda f: F.pmod(F.xxhash64(f), F.lit(FEATURE_BUCKETS)).cast("int")))
@@ -178,9 +183,8 @@ def estimate(patterns: dict[str, int], rounds: int = 60) -> dict[str, float]:
 def train(spans: DataFrame) -> tuple[dict[str, float], dict[int, float], float]:
     """spans (votes, features) -> (belief by vote pattern, log-odds by feature, prior log-odds).
 
-    What reaches the driver is bounded: 81 patterns, FEATURE_BUCKETS features.
+    spans is read twice. What reaches the driver is bounded: 81 patterns, FEATURE_BUCKETS features.
     """
-    spans = staged(spans)
     counts = {r["votes"]: r["n"] for r in spans.groupBy("votes").agg(F.count(F.lit(1)).alias("n")).collect()}
     belief = estimate(counts)
     if not counts:
@@ -204,23 +208,23 @@ def find_pii(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     their text alone; an empty table gives no rows, and so trains nothing.
     """
     text = F.coalesce("text", F.lit(""))
-    based = docs.select("doc_id", text.alias("text")).select(
-        "doc_id", "text", *[base_spans(F.col("text"), k).alias(k) for k in KINDS]
-    )
-    based = based.withColumn("base", F.concat(*KINDS)).withColumn("maybe", located(F.col("text"), CANDIDATE))
+    based = docs.select("doc_id", *[base_spans(text, k).alias(k) for k in KINDS], located(text, CANDIDATE).alias("maybe"))
+    based = based.withColumn("base", F.concat(*KINDS))
     free = F.filter("maybe", lambda x: ~F.exists("base", lambda b: (b["start"] < x["stop"]) & (x["start"] < b["stop"])))
-    spans = based.select(F.explode(free).alias("x")).select(votes(F.col("x")).alias("votes"), features(F.col("x")).alias("features"))
-    _, weights, prior = train(spans)
+    judged = F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), votes(x).alias("votes"), features(x).alias("features")))
+    # texts are read once: what both the training and the decision need of them is a few numbers a candidate
+    found = staged(based.select("doc_id", *KINDS, "base", judged.alias("open")))
+    _, weights, prior = train(found.select(F.explode("open").alias("x")).select("x.votes", "x.features"))
     limit = math.log(accept / (1 - accept))
     if weights:
         table = F.lit([float(weights.get(k, 0.0)) for k in range(FEATURE_BUCKETS)])
-        score = lambda x: F.aggregate(features(x), F.lit(prior), lambda a, f: a + F.element_at(table, f + 1))
-        more = F.transform(F.filter(free, lambda x: score(x) >= limit), lambda x: F.struct(F.lit(len(KINDS)).alias("no"), x["start"].alias("start"), x["stop"].alias("stop")))
+        score = lambda x: F.aggregate(x["features"], F.lit(prior), lambda a, f: a + F.element_at(table, f + 1))
+        more = F.transform(F.filter("open", lambda x: score(x) >= limit), lambda x: F.struct(F.lit(len(KINDS)).alias("no"), x["start"].alias("start"), x["stop"].alias("stop")))
     else:
         more = F.array().cast("array<struct<no:int,start:int,stop:int>>")
     names = F.array(*[F.lit(k) for k in (*KINDS, "more")])
     shown = lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", F.element_at(names, x["no"] + 1), x["start"].cast("string"), x["stop"].cast("string"))), ",")
-    return based.withColumn("extra", more).select(
+    return found.withColumn("extra", more).select(
         "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in KINDS],
         F.sha2(shown(F.col("base")), 256).alias("base_sha256"), shown(F.concat("base", "extra")).alias("spans"),
         F.size("extra").cast("long").alias("n_more"),

@@ -619,3 +619,18 @@ def test_url_labels_of_documents(spark):
     assert got == {("http://a.com/en/7?x", True), ("http://d.com/en/7?x", True), ("http://b.com/8/", True)}
     verdicts = {r["page_id"]: r["verdict"] for r in url_rules.judge_urls(pages, url_rules.labels_of_documents(pages, labels)).collect()}
     assert len(verdicts) == 7
+
+
+def test_pii_offsets_in_long_texts(spark):
+    """Every candidate of a long text has its place in code points; the text's length costs no second look per match."""
+    text = "".join(f"so Anna Smith{'é' * (k % 3)} \U0001f600 and @user_{k} met, " for k in range(6000))
+    got = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string").select(
+        "doc_id", pii.located(F.col("text"), pii.CANDIDATE).alias("x")).collect()
+    want = [(m[0], m.start(), m.end()) for m in re.finditer(r"\bAnna Smithé*|(?<![\w@.])@\w{3,}", text)]
+    assert [(x["m"], x["start"], x["stop"]) for x in got[0]["x"]] == want and len(want) == 12_000
+    assert all(text[x["stop"]:][:30] == x["after"][:30] or len(x["after"]) < 30 for x in got[0]["x"])
+    assert got[1]["x"] == [] and got[2]["x"] == []
+    found = pii.find_pii(spark.createDataFrame([(1, text + " a@b.cd"), (2, None)], "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r["n_email"] for r in found] == [1, 0]
+    at = len(text) + 1
+    assert found[0]["base_sha256"] == hashlib.sha256(f"email:{at}:{at + 6}".encode()).hexdigest()
