@@ -634,3 +634,45 @@ def test_pii_offsets_in_long_texts(spark):
     assert [r["n_email"] for r in found] == [1, 0]
     at = len(text) + 1
     assert found[0]["base_sha256"] == hashlib.sha256(f"email:{at}:{at + 6}".encode()).hexdigest()
+
+
+def _warc_record(kind, no, url, second, http="", *more, version="1.0"):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:{no}>", f"WARC-Target-URI: {url}", f"WARC-Date: 2020-01-01T00:00:{second:02d}Z", *more]
+    return (f"WARC/{version}\r\n" + "\r\n".join(head) + "\r\n\r\n" + http + "\r\n\r\nbody\r\n\r\n").encode()
+
+
+def test_warc_copies_are_no_bases(spark, tmp_path):
+    import gzip
+
+    profile = "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+    ok, e = "HTTP/1.1 200 OK\r\nX: {}\r\nETag: \"e\"", "HTTP/1.1 304 Not Modified\r\nETag: \"e\"\r\nX: new"
+    records = [
+        _warc_record("response", 1, "http://a.com/x", 1, ok.format(1), "WARC-Payload-Digest: sha256:d1"),
+        _warc_record("revisit", 2, "http://a.com/x", 2, ok.format(2), profile, "WARC-Payload-Digest: sha256:d1", version="1.1"),
+        _warc_record("revisit", 3, "http://a.com/x", 3, e, version="1.1"),
+        _warc_record("revisit", 4, "http://b.com/y", 4, ok.format(4), profile, "WARC-Payload-Digest: sha256:d1", "WARC-Refers-To: <urn:1>", version="1.1"),
+        _warc_record("revisit", 5, "http://b.com/y", 5, ok.format(5), profile, "WARC-Payload-Digest: sha256:d9", "WARC-Refers-To: <urn:1>"),
+        _warc_record("revisit", 6, "http://b.com/y", 6, ok.format(6), profile, "WARC-Payload-Digest: sha256:d9"),
+        _warc_record("revisit", 7, "http://b.com/y", 7, ok.format(7), profile),
+        _warc_record("revisit", 8, "http://a.com/x", 0, ok.format(8), profile, "WARC-Payload-Digest: sha256:d1"),
+        _warc_record("revisit", 9, "http://b.com/y", 9, ok.format(9), profile, "WARC-Payload-Digest: sha256:d1", "WARC-Refers-To: <urn:77>"),
+    ]
+    (tmp_path / "plain.warc").write_bytes(b"".join(records))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in records))
+    want = {
+        1: ("full", 1, "d1", "1"), 2: ("duplicate", 1, "d1", "2"), 3: ("resolved", 1, "d1", "new"), 4: ("duplicate", 1, "d1", "4"), 5: ("changed", None, None, None),
+        6: ("no_base", None, None, None), 7: ("no_base", None, None, None), 8: ("no_base", None, None, None), 9: ("duplicate", 1, "d1", "9"),
+    }
+    for name in ("plain.warc", "members.warc.gz"):
+        got = warc_revisit.resolve(warc_revisit.read_warc(spark, str(tmp_path / name))).collect()
+        assert {int(r["record_id"][5:-1]): (
+            r["outcome"], r["base_id"] and int(r["base_id"][5:-1]), r["resolved_sha256"] and r["resolved_sha256"][7:], r["merged"] and r["merged"]["x"]) for r in got} == want and len(got) == 9
+
+
+def test_warc_text_ids_without_times(spark):
+    """Text ids are ordered as text, digits too, and split by what they begin with."""
+    schema = "record_id string, url string, ts timestamp, status int, etag string, last_modified string, headers map<string,string>, payload_sha256 string"
+    ids = ["10", "9", "100", "<urn:uuid:0001-aaaa>", "<urn:uuid:0001-bbbb>", "<urn:uuid:ffff-aaaa>", None]
+    rows = [(i, "http://a.com/", None, 200 if i and i[-1] in "0b>" and "bbbb" not in i and i != "100" else 304, "e", None, {}, f"p{i}") for i in ids]
+    got = {r["record_id"]: r["base_id"] for r in warc_revisit.resolve(spark.createDataFrame(rows, schema)).collect()}
+    assert got == {None: None, "10": "10", "100": "10", "9": "10", "<urn:uuid:0001-aaaa>": "<urn:uuid:0001-aaaa>", "<urn:uuid:0001-bbbb>": "<urn:uuid:0001-aaaa>", "<urn:uuid:ffff-aaaa>": "<urn:uuid:ffff-aaaa>"}
