@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 import json
-
+import os
+import re
+import shutil
+import uuid
+from collections.abc import Iterator
+
+import pandas as pd
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,9 +34,90 @@ def header_line(header: DataFrame | dict, spark: SparkSession, keep_nulls: bool
     return header.select(F.lit(-1).cast("long").alias("n"), F.to_json(whole, {"ignoreNullFields": "false" if keep_nulls else "true"}).alias("value"))
 
 
-def write_lines(lines: DataFrame, path: str) -> None:
+def _numbered_parts(fs, folder) -> list[tuple[str, int]]:
+    """(path, bytes) of the part files of a folder that hold something, in the order of their rows."""
+    found = []
+    for status in fs.listStatus(folder):
+        if (m := re.match(r"part-(\d+)-.*?(?:-c(\d+))?\.txt$", status.getPath().getName())) and status.getLen():
+            found.append((int(m[1]), int(m[2] or 0), status.getPath(), status.getLen()))
+    return [(p, n) for *_, p, n in sorted(found, key=lambda x: x[:2])]
+
+
+def _copy_to_places(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for part, target, at in zip(batch["part"], batch["target"], batch["at"]):
+            with open(part, "rb") as source, open(target, "r+b") as out:
+                out.seek(at)
+                shutil.copyfileobj(source, out, 1 << 23)
+                yield pd.DataFrame({"copied": [out.tell() - at]})
+
+
+def _join_in_place(spark: SparkSession, parts: list[tuple], target: str) -> None:
+    """Parts of a mounted file system as one file: their sizes give their places, and a task a part copies it there.
+
+    A task that is run again writes the same bytes to the same place.
+    """
+    rows, at = [], 0
+    for part, size in parts:
+        rows.append((part.toUri().getPath(), target, at))
+        at += size
+    with open(target, "wb") as out:
+        out.truncate(at)
+    places = spark.createDataFrame(rows, "part string, target string, at long").repartition(len(rows), "at")
+    copied = places.mapInPandas(_copy_to_places, "copied long").agg(F.sum("copied")).first()[0]
+    if copied != at or os.path.getsize(target) != at:
+        raise OSError(f"{target}: {copied} of {at} bytes written")
+
+
+def write_ordered(lines: DataFrame, keys: tuple[str, ...], path: str, parts: int | None = None) -> None:
+    """``value`` of lines as the one text file of folder path, in the order of keys, written by many tasks.
+
+    Ranges of keys are written as parts, which are then joined without passing through one task: by the store where
+    it can (HDFS), or by a task a part that copies it to its place in the file (mounted file systems). Only on other
+    stores, which can neither, one task writes the file. What was at path stays until the file is whole. Rows are
+    evaluated twice, as ranges come from a sample; parts is their number (None: the session's, less what AQE merges).
+    """
+    spark = lines.sparkSession
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    goal = jvm.org.apache.hadoop.fs.Path(path)
+    fs = goal.getFileSystem(conf)
+    goal = fs.makeQualified(goal)
+    work = jvm.org.apache.hadoop.fs.Path(goal.getParent(), f"_{goal.getName()}-{uuid.uuid4().hex}")
+    child = lambda folder, name: jvm.org.apache.hadoop.fs.Path(folder, name)
+    try:
+        ranged = lines.repartitionByRange(*([parts] if parts else []), *keys).sortWithinPartitions(*keys)
+        ranged.select("value").write.text(work.toString())
+        found = _numbered_parts(fs, work)
+        whole = found[0][0] if found else child(work, "empty")
+        if not found:
+            fs.create(whole).close()
+        elif len(found) > 1 and fs.getUri().getScheme() == "file":
+            whole = child(work, "joined")
+            _join_in_place(spark, found, whole.toUri().getPath())
+        elif len(found) > 1:
+            others = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Path, len(found) - 1)
+            for k, (part, _) in enumerate(found[1:]):
+                others[k] = part
+            try:
+                fs.concat(whole, others)
+            except Py4JJavaError as error:
+                if "UnsupportedOperationException" not in str(error.java_exception):
+                    raise
+                again = child(work, "one")
+                lines.repartitionByRange(1, *keys).sortWithinPartitions(*keys).select("value").write.text(again.toString())
+                whole = _numbered_parts(fs, again)[0][0]
+        fs.delete(goal, True)
+        fs.mkdirs(goal)
+        if not fs.rename(whole, child(goal, "part-00000.txt")):
+            raise OSError(f"{path}: the joined file could not be moved into place")
+        fs.create(child(goal, "_SUCCESS")).close()
+    finally:
+        fs.delete(work, True)
+
+
+def write_lines(lines: DataFrame, path: str, parts: int | None = None) -> None:
     """Rows (n, value) as one text file in the order of n."""
-    lines.repartitionByRange(1, "n").sortWithinPartitions("n").select("value").write.mode("overwrite").text(path)
+    write_ordered(lines, ("n",), path, parts)
 
 
 def write_manifest(header: DataFrame | dict, samples: DataFrame, path: str, order: str = "line_no", keep_nulls: bool = True) -> None:
@@ -44,7 +132,7 @@ def write_conversion(headers: dict[str, dict], merged: dict, entries: dict[str,
     for k, (name, records) in enumerate(entries.items()):
         write_manifest(headers[name], records, f"{path}/{name}.canonical.jsonl")
         every = every.unionByName(record_lines(records).withColumn("e", F.lit(k)))
-    every.repartitionByRange(1, "e", "n").sortWithinPartitions("e", "n").select("value").write.mode("overwrite").text(f"{path}/merged.canonical.jsonl")
+    write_ordered(every, ("e", "n"), f"{path}/merged.canonical.jsonl")
 
 
 #: The document's frame (fixed values of the format).
@@ -56,7 +144,7 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
 
     What has no mask gets an empty segmentation.
 
-    No row and no task holds more than a line at a time, but one task writes the one file.
+    No row holds more than a line, and no single task writes the file; see write_ordered.
     """
     spark = images.sparkSession
 
@@ -72,7 +160,7 @@ def write_coco(images: DataFrame, annotations: DataFrame, categories: DataFrame,
     drawn = images.withColumnRenamed("image_id", "id")
     annotations = annotations.withColumn("segmentation", F.parse_json(F.coalesce(F.to_json("segmentation"), F.lit("{}"))))
     lines = frame.unionByName(section(drawn, 2, "id", *blank)).unionByName(section(annotations, 4, "id")).unionByName(cat_lines)
-    lines.repartitionByRange(1, "s", "k").sortWithinPartitions("s", "k").select("value").write.mode("overwrite").text(path)
+    write_ordered(lines, ("s", "k"), path)
 
 
 def write_entries(samples: DataFrame, path: str, entry: str = "entry_id") -> None:

@@ -768,3 +768,34 @@ def test_stream_of_manifests(spark, tmp_path):
     q = stream_samples(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("streamed").trigger(availableNow=True).start()
     assert q.awaitTermination(60)
     assert {r["problem"] for r in spark.table("streamed").collect()} == {None, "unknown sample_type"}
+
+
+@pytest.mark.parametrize("parts", [None, 1, 7, 40])
+def test_one_file_from_many_tasks(spark, tmp_path, parts):
+    """Byte for byte what one task writes, over an older file, with empty, long and non-ASCII lines and keys out of order."""
+    import glob
+
+    from boxloom.sources import sinks
+
+    value = F.when(F.col("id") % 11 == 0, "").when(F.col("id") == 500, F.repeat(F.lit("é"), 300_000)).otherwise(F.concat(F.lit("line é "), F.col("id").cast("string")))
+    lines = spark.range(3000).repartition(5, F.hash("id")).select((F.col("id") - 7).alias("n"), value.alias("value"))
+    want = "".join(("" if k % 11 == 0 else "é" * 300_000 if k == 500 else f"line é {k}") + "\n" for k in range(3000)).encode()
+    path = tmp_path / "deep" / "out.jsonl"
+    for _ in range(2):
+        sinks.write_lines(lines, str(path), parts)
+        assert [os.path.basename(p) for p in glob.glob(f"{path}/*")].count("part-00000.txt") == 1
+        assert (path / "part-00000.txt").read_bytes() == want
+    sinks.write_lines(lines.limit(0), str(path), parts)
+    assert (path / "part-00000.txt").read_bytes() == b""
+    assert sorted(os.listdir(path.parent)) == ["out.jsonl"] and [r.value for r in spark.read.text(str(path)).collect()] == []
+
+
+def test_a_failed_write_leaves_the_older_file(spark, tmp_path):
+    from boxloom.sources import sinks
+
+    path = tmp_path / "out"
+    sinks.write_lines(spark.createDataFrame([(1, "old")], "n long, value string"), str(path))
+    broken = spark.range(100).select(F.col("id").alias("n"), F.when(F.col("id") == 50, F.raise_error(F.lit("broken")).cast("string")).otherwise("x").alias("value"))
+    with pytest.raises(Exception, match="broken"):
+        sinks.write_lines(broken, str(path), 4)
+    assert (path / "part-00000.txt").read_text() == "old\n" and sorted(os.listdir(tmp_path)) == ["out"]
