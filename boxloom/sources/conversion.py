@@ -59,10 +59,17 @@ def read_entries(config_paths: list[str]) -> list[dict]:
 
 
 def entry_samples(spark: SparkSession, entry: dict) -> DataFrame:
-    """idx from 0, image, width, height, annotations (class, bbox, ...) of an entry, in its source's order."""
+    """idx from 0, image, width, height, annotations (class, bbox, ...) of an entry, in its source's order.
+
+    A reader that was registered for a class of its own is called with the session, the source's path and the entry's folder, as read_coco is.
+    """
     source = data_path(entry["source"], entry["config_dir"])
-    if detection.source_of(entry["dataset"]) is detection.read_coco:
-        return detection.read_coco(spark, source, entry["folder"]).withColumn("idx", F.col("pos").cast("long"))
+    reader = detection.source_of(entry["dataset"])
+    if reader is not detection.read_yolo:
+        rows = reader(spark, source, entry["folder"])
+        if missing := {"pos", "image", "width", "height", "annotations"} - set(rows.columns):
+            raise DatasetBuildError(f"{entry['entry_id']}: the reader of {entry['dataset']} gives no {', '.join(sorted(missing))}")
+        return rows.withColumn("idx", F.col("pos").cast("long"))
     root = data_path(entry["global_root"], entry["config_dir"])
     folder = os.path.join(root, entry["folder"]) if root and entry["folder"] else data_path(entry["folder"], entry["config_dir"]) or root
     if not folder:

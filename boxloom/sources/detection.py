@@ -6,6 +6,7 @@ import glob
 import os
 import re
 import warnings
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -281,10 +282,17 @@ def label_map_of_xml(spark: SparkSession, xml: str) -> dict[str, int]:
     return {v: k for k, v in enumerate((v for v in row["v"] if v), 1)}
 
 
-#: Readers by dataset class; register others here.
+#: Readers by dataset class; see register_source.
 SOURCES = {"CocoWasteDataset": read_coco, "coco": read_coco, "WarpDataset": read_yolo, "yolo": read_yolo}
 
 
+def register_source(name: str, reader: Callable[[SparkSession, str, str | None], DataFrame]) -> None:
+    """Makes a dataset class known to conversions: reader(spark, path, folder) gives pos, image, width, height and annotations
+    (class, bbox as x, y, width, height) of every image, as read_coco does."""
+    if SOURCES.setdefault(name, reader) is not reader:
+        raise DatasetBuildError(f"dataset class {name!r} has a reader already")
+
+
 def source_of(name: str):
     """The reader registered for a dataset class."""
     if name not in SOURCES:

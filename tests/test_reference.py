@@ -799,3 +799,38 @@ def test_a_failed_write_leaves_the_older_file(spark, tmp_path):
     with pytest.raises(Exception, match="broken"):
         sinks.write_lines(broken, str(path), 4)
     assert (path / "part-00000.txt").read_text() == "old\n" and sorted(os.listdir(tmp_path)) == ["out"]
+
+
+def test_conversion_of_a_registered_class(spark, tmp_path):
+    """A class of the user's own is read by its reader; one that is unknown, taken or short of columns raises."""
+    from boxloom.sources import conversion
+
+    boxes = "pos int, image string, width int, height int, annotations array<struct<class:string,bbox:array<double>>>"
+    spark.createDataFrame([(0, "a.png", 100, 50, [("cup", [1.0, 2.0, 10.0, 10.0])]), (1, "b.png", 100, 50, []), (2, "c.png", 100, 50, [("cup", [0.0, 0.0, 5.0, 5.0]), ("jar", [200.0, 0.0, 5.0, 5.0])])], boxes).write.parquet(str(tmp_path / "t"))
+    (tmp_path / "t.yaml").write_text("dataset: TableDataset\ndata_dicts: {one: {path: t, folder: im}}\nCLASSES: {cup: [a cup]}\n")
+    (tmp_path / "u.yaml").write_text("dataset: NoSuchDataset\ndata_dicts: {one: {path: t}}\nCLASSES: {cup: []}\n")
+    seen = []
+
+    def read_table(spark, path, folder):
+        seen.append((path, folder))
+        return spark.read.parquet(path)
+
+    known = dict(detection.SOURCES)
+    try:
+        detection.register_source("TableDataset", read_table)
+        detection.register_source("TableDataset", read_table)
+        with pytest.raises(DatasetBuildError, match="already"):
+            detection.register_source("coco", read_table)
+        said = conversion.convert_configs(spark, [str(tmp_path / "t.yaml")], str(tmp_path / "out"), {"uri_mode": "relative", "drop_empty": True})
+        assert set(seen) == {(str(tmp_path / "t"), "im")}
+        assert said["num_samples_written"] == 2 and said["num_invalid_annotations_skipped"] == 1 and said["labels"] == {"cup": 1, "jar": 2}
+        rows = manifest.read_samples(spark, said["merged_output"]).orderBy("line_no").collect()
+        assert [(r["sample_id"], len(r["assets"][0]["annotations"])) for r in rows] == [("t_one_000001", 1), ("t_one_000003", 1)]
+        with pytest.raises(DatasetBuildError, match="unknown dataset class"):
+            conversion.convert_configs(spark, [str(tmp_path / "u.yaml")], str(tmp_path / "out2"))
+        detection.SOURCES["NoSuchDataset"] = lambda s, p, f: s.read.parquet(p).drop("width")
+        with pytest.raises(DatasetBuildError, match="gives no width"):
+            conversion.convert_configs(spark, [str(tmp_path / "u.yaml")], str(tmp_path / "out3"))
+    finally:
+        detection.SOURCES.clear()
+        detection.SOURCES.update(known)
