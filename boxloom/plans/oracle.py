@@ -170,6 +170,24 @@ c AS (SELECT sample_id, count(*) AS n, sum(least(159, round_even(round_even(x1 /
 SELECT sample_id, sample_id % 17 <> 0 AS valid, sample_id % 17 <> 0 AND sample_id % 13 = 0 AS is_empty, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE n END::INT AS n_items,
   -- a text without a list, an object without a label, and an item of which one number is none are an error each
   (sample_id % 17 = 0 OR (sample_id % 13 > 0 AND sample_id % 11 > 0 AND (sample_id % 7 = 0 OR sample_id % 5 = 0)))::INT AS n_errors, CASE WHEN sample_id % 17 = 0 OR sample_id % 13 = 0 THEN 0 ELSE s END AS corner_sum FROM c""",
+    # printf rounds by a number's binary value, as Python's round does
+    "unit_boxes": "WITH " + _RAW + """ SELECT image_id, p, s, n, printf('%.4f', x / width)::DOUBLE AS x1, printf('%.4f', y / height)::DOUBLE AS y1,
+  printf('%.4f', (x + w) / width)::DOUBLE AS x2, printf('%.4f', (y + h) / height)::DOUBLE AS y2, round((x + w) - x, 6) AS across, round(((x + w) - x) * ((y + h) - y), 4) AS area FROM rb""",
+    "prompt_boxes": "WITH " + _RAW + """, r AS (SELECT *, least(greatest(round_even(x, 0), 0), width - 1)::BIGINT AS x1, least(greatest(round_even(y, 0), 0), height - 1)::BIGINT AS y1,
+  least(greatest(round_even(x + w, 0), 0), width)::BIGINT AS x2, least(greatest(round_even(y + h, 0), 0), height)::BIGINT AS y2 FROM (SELECT image_id, width, height, p, s, n, x, y, w, h FROM rb))
+SELECT image_id, p, s, n, x1, y1, CASE WHEN x2 <= x1 THEN x1 + 1 ELSE x2 END AS x2, CASE WHEN y2 <= y1 THEN y1 + 1 ELSE y2 END AS y2 FROM r""",
+    "image_places": """WITH i AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN '/d/im/' ELSE '' END || p_name || ' *é~(1)/' || p_brand || '.v2.jpg' AS image FROM part
+  UNION ALL SELECT -1 - page_id, url FROM pages WHERE url IS NOT NULL),
+r AS (SELECT *, regexp_matches(image, '^(https?|s3|gs)://') AS remote, regexp_extract(image, '([^/]*)$', 1) AS name FROM i)
+SELECT k, CASE WHEN remote OR image[1] = '/' THEN image ELSE '/data/set/' || image END AS place,
+  CASE WHEN NOT remote THEN '/data/local-files/?d=' || replace(url_encode(CASE WHEN starts_with(image, '/d/im/') THEN image[7:] ELSE image END), '%2F', '/') END AS task_url,
+  CASE WHEN strpos(name[2:], '.') > 0 THEN left(name, length(name) - strpos(reverse(name), '.')) ELSE name END AS stem, name FROM r""",
+    "attribute_texts": """SELECT event_id, CASE event_id % 6 WHEN 1 THEN CASE WHEN value > 100 THEN 'True' ELSE 'False' END WHEN 2 THEN props->>'k' WHEN 3 THEN event_type
+  WHEN 4 THEN '["' || event_type || '",1]' ELSE '' END AS text FROM events""",
+    "plot_series": """WITH m AS (SELECT l_returnflag AS model, CASE l_linenumber WHEN 3 THEN 'n/a' WHEN 5 THEN 'NaN' ELSE l_discount::VARCHAR END AS threshold,
+  CASE WHEN l_quantity::BIGINT % 7 = 0 THEN '' ELSE l_tax::VARCHAR END AS f1 FROM lineitem)
+SELECT model, try_cast(threshold AS DOUBLE) AS threshold, try_cast(f1 AS DOUBLE) AS f1 FROM m
+WHERE try_cast(threshold AS DOUBLE) IS NOT NULL AND NOT isnan(try_cast(threshold AS DOUBLE)) AND try_cast(f1 AS DOUBLE) IS NOT NULL""",
     "variant_metadata": "SELECT event_type, coalesce(json_type(props) = 'OBJECT', false) AS is_object, count(*) AS n, sum((props->>'k')::BIGINT)::BIGINT AS k, 0::BIGINT AS none FROM events GROUP BY 1, 2",
 }
 

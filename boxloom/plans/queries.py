@@ -423,9 +423,53 @@ def variant_metadata(spark, d):
     return rows.groupBy("event_type", "is_object").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("k"), F.count("none").alias("none"))
 
 
+def unit_boxes(spark, d):
+    """Extents and corners in 0..1 to four places of boxes as they come, outside of the image too."""
+    r = _raw_boxes(spark, d)
+    u = G.unit_xyxy(F.col("x"), F.col("y"), F.col("w"), F.col("h"), F.col("width"), F.col("height"))
+    far, low = F.col("x") + F.col("w"), F.col("y") + F.col("h")
+    return r.select("image_id", "p", "s", "n", u.alias("u"), F.round(G.width(F.col("x"), far), 6).alias("across"), F.round(G.area(F.col("x"), F.col("y"), far, low), 4).alias("area")).select("image_id", "p", "s", "n", "u.*", "across", "area")
+
+
+def prompt_boxes(spark, d):
+    r = _raw_boxes(spark, d)
+    box = F.struct(F.col("x").alias("x1"), F.col("y").alias("y1"), (F.col("x") + F.col("w")).alias("x2"), (F.col("y") + F.col("h")).alias("y2"))
+    return r.withColumn("b", G.prompt_box(box, F.col("width"), F.col("height"))).select("image_id", "p", "s", "n", "b.*")
+
+
+def image_places(spark, d):
+    """Where a record's image is found and what the review tool is given for it: remote, absolute and relative names."""
+    parts = _t(spark, d, "part").select(F.col("p_partkey").alias("k"), F.concat(F.when(F.col("p_partkey") % 3 == 0, F.lit("/d/im/")).otherwise(""), "p_name", F.lit(" *é~(1)/"), "p_brand", F.lit(".v2.jpg")).alias("image"))
+    pages = _t(spark, d, "pages").filter("url is not null").select((-1 - F.col("page_id")).alias("k"), F.col("url").alias("image"))
+    i = F.col("image")
+    local = ~i.rlike(X.REMOTE)
+    return parts.unionByName(pages).select(
+        "k", X.resolve_uri(i, "/data/set").alias("place"), F.when(local, X.task_image_url(X.relative_uri(X.resolve_uri(i, "/d/im"), "/d/im"))).alias("task_url"),
+        X.file_stem(i).alias("stem"), X.basename(i).alias("name"))
+
+
+def attribute_texts(spark, d):
+    """Attributes of every kind as a COCO document keeps them."""
+    e, kind = _t(spark, d, "events"), F.col("event_id") % 6
+    value = (
+        F.when(kind == 0, "null").when(kind == 1, F.when(F.col("value") > 100, "true").otherwise("false")).when(kind == 2, F.get_json_object("props", "$.k"))
+        .when(kind == 3, F.to_json(F.struct(F.col("event_type").alias("x")))).when(kind == 4, F.concat(F.lit('["'), "event_type", F.lit('",1]'))))
+    v = F.parse_json(value)
+    return e.select("event_id", X.attribute_text(F.when(kind == 3, F.variant_get(v, "$.x", "variant")).otherwise(v)).alias("text"))
+
+
+def plot_series(spark, d):
+    """Metrics as texts, some of them no numbers, as the plots take them."""
+    li = _t(spark, d, "lineitem").select(
+        F.col("l_returnflag").alias("model"), F.when(F.col("l_linenumber") == 3, F.lit("n/a")).when(F.col("l_linenumber") == 5, F.lit("NaN")).otherwise(F.col("l_discount").cast("string")).alias("threshold"),
+        F.when(F.col("l_quantity").cast("long") % 7 == 0, F.lit("")).otherwise(F.col("l_tax").cast("string")).alias("f1"))
+    return stats.plot_series(li, "f1")
+
+
 QUERIES = {f.__name__: f for f in (
     metrics_by_threshold, summary_best_f1, iou_pairs, match_greedy, match_class_agnostic, box_status, outer_align, xywh_clip, yolo_to_xywh, normalize_text,
     denormalize_clip, sanitize_labels, label_table, label_collisions, invalid_counts, category_filter, group_annotations, label_consistency,
     clean_text, parse_tags, flatten_messages, structure_counts, numeric_stats, dataset_statistics, label_histogram, stride_sample, batches, topn_ids, split_counts,
     csv_union_best, fingerprint, rle_area, rle_roundtrip, label_xml, variant_metadata, convert_records, task_match, reviewed_instances, synced_records, coco_records, coco_export, parse_json,
+    unit_boxes, prompt_boxes, image_places, attribute_texts, plot_series,
 )}
