@@ -62,6 +62,15 @@ def tasks(samples: DataFrame, root: str, labels: list[tuple[int, str]] = ()) ->
     return out.select(number.alias("line_no"), "data", predictions.alias("predictions"))
 
 
+def shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that grows with the input and so must not be broadcast.
+
+    The planner takes a table's size from its compressed file and the share of the columns that are read; what is made from
+    them, a task with its results from a key alone, may be thousands of times that, and all of it would pass the driver.
+    """
+    return side.hint("merge")
+
+
 #: Lengths of grams. A name is looked up by grams of the longest of these that fits into it.
 GRAMS = (8, 4, 2, 1)
 
@@ -86,29 +95,35 @@ def contained(needles: DataFrame, hay: DataFrame) -> DataFrame:
     posted = hay.select("hay", F.explode(F.concat(*named)).alias("p")).select("hay", "p.q", "p.gram")
     many = posted.groupBy("q", "gram").agg(F.count(F.lit(1)).alias("n"))
     own = asked.select("needle", "q", F.explode(F.coalesce(*[F.when(F.col("q") == q, _grams(F.col("needle"), q)) for q in present])).alias("gram"))
-    rarest = own.join(many, ["q", "gram"], "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "q")).alias("r")).filter("r.n > 0")
-    return rarest.select("needle", "r.q", "r.gram").join(posted, ["q", "gram"]).filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
+    rarest = own.join(shuffled(many), ["q", "gram"], "left").groupBy("needle").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "q")).alias("r")).filter("r.n > 0")
+    return rarest.select("needle", "r.q", "r.gram").join(shuffled(posted), ["q", "gram"]).filter(F.col("hay").contains(F.col("needle"))).select("needle", "hay")
 
 
 def match_tasks(tasks_: DataFrame, samples: DataFrame) -> DataFrame:
     """task_no with the line_no of its sample: by id, else by basename, else by one basename within the other.
 
     tasks (task_no, key, path), samples (line_no, sample_id, uri). A task without a path never
-    matches. Each tier takes the first sample in file order. Only what the first two leave reaches the
-    third, which looks names up in an inverted index of grams, each side's names in the other's.
+    matches. Each tier takes the first sample in file order. Ids and basenames are looked up in one join, those that a task
+    has, so that tasks without an id do not meet in one place. Only what the first two tiers leave reaches the third, which
+    looks names up in an inverted index of grams, each side's names in the other's.
     """
     t = tasks_.filter("path is not null and path <> ''").withColumn("base", basename(F.col("path")))
     s = samples.withColumn("sbase", basename(F.col("uri")))
-    ids = s.groupBy(F.col("sample_id").alias("key")).agg(F.min("line_no").alias("by_id"))
-    names = s.filter("sbase <> ''").groupBy(F.col("sbase").alias("base")).agg(F.min("line_no").alias("by_name"))
-    two = t.join(ids, "key", "left").join(names, "base", "left").withColumn("line_no", F.coalesce("by_id", "by_name"))
+    tier = lambda k, name: F.struct(F.lit(k).alias("tier"), name.alias("name"))
+    posted = s.select("line_no", F.explode(F.array(tier(0, F.col("sample_id")), tier(1, F.when(F.col("sbase") != "", F.col("sbase"))))).alias("p")).select("line_no", "p.*")
+    first = posted.filter("name is not null").groupBy("tier", "name").agg(F.min("line_no").alias("line_no"))
+    asked = F.filter(F.array(tier(0, F.col("key")), tier(1, F.when(F.col("base") != "", F.col("base")))), lambda x: x["name"].isNotNull())
+    found = t.select("task_no", "base", F.explode_outer(asked).alias("a")).select("task_no", "base", "a.*").join(shuffled(first), ["tier", "name"], "left")
+    by = lambda k: F.min(F.when(F.col("tier") == k, F.col("line_no")))
+    two = found.groupBy("task_no", "base").agg(F.coalesce(by(0), by(1)).alias("line_no"))
+    names = first.filter("tier = 1").select(F.col("name").alias("base"), F.col("line_no").alias("by_name"))
     left = two.filter("line_no is null and base <> ''").select("base").distinct()
     if not left.isEmpty():
         in_task = contained(names.select(F.col("base").alias("needle")), left.select(F.col("base").alias("hay"))).select(F.col("needle").alias("sbase"), F.col("hay").alias("base"))
         in_name = contained(left.select(F.col("base").alias("needle")), names.select(F.col("base").alias("hay"))).select(F.col("hay").alias("sbase"), F.col("needle").alias("base"))
-        first = names.select(F.col("base").alias("sbase"), F.col("by_name").alias("by_part"))
-        third = in_task.unionByName(in_name).join(first, "sbase").groupBy("base").agg(F.min("by_part").alias("by_part"))
-        two = two.join(third, "base", "left").withColumn("line_no", F.coalesce("line_no", "by_part"))
+        places = names.select(F.col("base").alias("sbase"), F.col("by_name").alias("by_part"))
+        third = in_task.unionByName(in_name).join(shuffled(places), "sbase").groupBy("base").agg(F.min("by_part").alias("by_part"))
+        two = two.join(shuffled(third), "base", "left").withColumn("line_no", F.coalesce("line_no", "by_part"))
     return two.select("task_no", "line_no").filter("line_no is not null")
 
 
@@ -171,7 +186,8 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
 
 def extend_labels(labels: DataFrame, instances: DataFrame) -> DataFrame:
     """labels with the new names of instances (label, line_no, pos) numbered on from the largest id, by first appearance."""
-    new = instances.join(labels, instances.label == labels.label_name, "left_anti").groupBy("label").agg(F.min(F.struct("line_no", "pos")).alias("at"))
+    first = instances.groupBy("label").agg(F.min(F.struct("line_no", "pos")).alias("at"))  # a row a name; instances are not moved by label
+    new = first.join(labels, first.label == labels.label_name, "left_anti")
     top = labels.agg(F.coalesce(F.max("label_id"), F.lit(0)).alias("top"))
     numbered = new.withColumn("k", F.row_number().over(Window.orderBy("at")))
     added = numbered.join(F.broadcast(top), F.lit(True)).select((F.col("k") + F.col("top")).alias("label_id"), F.col("label").alias("label_name"), F.concat(F.lit("Validated class "), "label").alias("description"))
@@ -181,19 +197,23 @@ def extend_labels(labels: DataFrame, instances: DataFrame) -> DataFrame:
 def sync(samples: DataFrame, task_rows: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(samples with the column reviewed, labels): a matched task's first annotation replaces all; unmatched have null.
 
-    samples (line_no, sample_id, uri; width and height where they are known); task_rows (task_no, task: TASK).
+    samples (line_no, sample_id, uri; width and height where they are known); task_rows (task_no, task: TASK). Beside
+    reviewed are the task_no, whether the task is annotated at all, and the first size that the tool states for the image.
     """
     t = task_rows.select("task_no", "task", F.coalesce("task.data.sample_id", "task.data.id").alias("key"), F.coalesce("task.data.image", "task.data.img", "task.data.uri").alias("path"))
-    chosen = last_task_per_sample(match_tasks(t.select("task_no", "key", "path"), samples)).join(t.select("task_no", "task"), "task_no")
+    chosen = last_task_per_sample(match_tasks(t.select("task_no", "key", "path"), samples)).join(shuffled(t.select("task_no", "task")), "task_no")
     first = F.try_element_at(F.col("task.annotations"), F.lit(1))["result"]
     results = chosen.select("line_no", F.posexplode(F.coalesce(first, F.array())).alias("pos", "r"))
     if {"width", "height"} <= set(samples.columns):
-        results = results.join(samples.select("line_no", "width", "height"), "line_no")
+        results = results.join(shuffled(samples.select("line_no", "width", "height")), "line_no")
     inst = reviewed_instances(results)
     table = extend_labels(labels, inst)
-    named = inst.join(table.select("label_id", F.col("label_name").alias("label")), "label")
+    named = inst.join(F.broadcast(table.select("label_id", F.col("label_name").alias("label"))), "label")  # a label table
     made = named.groupBy("line_no").agg(F.array_sort(F.collect_list(F.struct("pos", "instance_id", "label_id", F.col("label").alias("label_name"), "box", "point", "shape", "mask", "area"))).alias("reviewed"))
-    done = samples.join(chosen.select("line_no", "task_no"), "line_no", "left").join(made, "line_no", "left")
+    sized = F.filter(F.coalesce(first, F.array()), lambda r: (r["original_width"] > 0) & (r["original_height"] > 0))
+    told = chosen.select("line_no", "task_no", (F.coalesce(F.size("task.annotations"), F.lit(0)) > 0).alias("annotated"), F.try_element_at(sized, F.lit(1)).alias("_r"))
+    told = told.select("line_no", "task_no", "annotated", F.when(F.col("_r").isNotNull(), F.array("_r.original_width", "_r.original_height")).alias("stated"))
+    done = samples.join(shuffled(told), "line_no", "left").join(shuffled(made), "line_no", "left")
     empty = F.array().cast(dict(made.dtypes)["reviewed"])
     return done.withColumn("reviewed", F.when(F.col("task_no").isNotNull(), F.coalesce("reviewed", empty))), table
 
@@ -211,11 +231,7 @@ def synced_records(samples: DataFrame, task_rows: DataFrame, labels: DataFrame)
     file = F.coalesce(F.when(asset["uri"] != "", asset["uri"]), F.try_variant_get(asset["metadata"], "$.original_file_name", "string"))
     flat = samples.select("line_no", "sample_id", file.alias("uri"), extent(0).alias("width"), extent(1).alias("height"))
     done, table = sync(flat, task_rows, labels)
-    regions = F.try_element_at(F.col("task.annotations"), F.lit(1))["result"]
-    results = task_rows.select("task_no", (F.coalesce(F.size("task.annotations"), F.lit(0)) > 0).alias("annotated"), F.coalesce(regions, F.array()).alias("rs"))
-    sized = F.filter("rs", lambda r: (r["original_width"] > 0) & (r["original_height"] > 0))
-    stated = results.select("task_no", "annotated", F.try_element_at(sized, F.lit(1)).alias("r")).select("task_no", "annotated", F.when(F.col("r").isNotNull(), F.array("r.original_width", "r.original_height")).alias("stated"))
-    rows = samples.select("line_no", "sample_type", "sample_id", "assets").join(done.select("line_no", "task_no", "reviewed", "width", "height"), "line_no").join(stated, "task_no", "left")
+    rows = samples.select("line_no", "sample_type", "sample_id", "assets").join(shuffled(done.select("line_no", "task_no", "reviewed", "width", "height", "annotated", "stated")), "line_no")
 
     as_variant = lambda c: F.parse_json(F.to_json(c))  # noqa: E731  nulls are left out
     corner = lambda b, x, y: F.struct(b[x].alias("x"), b[y].alias("y"))

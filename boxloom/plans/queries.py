@@ -365,7 +365,7 @@ def synced_records(spark, d):
     regions = _reviews(spark, d).filter("r.id = 'o' or r.id = 'r'").groupBy("line_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "r"))), lambda x: x["r"]).alias("result"))
     data = F.struct(F.concat(F.lit("up/"), k.cast("string"), F.lit(".png")).alias("image"), text(None).alias("img"), text(None).alias("uri"), F.when(k % 5 == 0, k.cast("string")).alias("sample_id"), text(None).alias("id"))
     done = F.when(k % 4 == 0, F.array().cast("array<struct<result:array<" + sync.REGION + ">>>")).otherwise(F.array(F.struct(F.col("result").cast("array<" + sync.REGION + ">").alias("result"))))
-    tasks = part.filter(k % 7 > 0).join(regions, k == F.col("line_no")).select(k.alias("task_no"), F.struct(k.cast("bigint").alias("id"), data.alias("data"), done.alias("annotations")).alias("task"))
+    tasks = part.filter(k % 7 > 0).join(sync.shuffled(regions), k == F.col("line_no")).select(k.alias("task_no"), F.struct(k.cast("bigint").alias("id"), data.alias("data"), done.alias("annotations")).alias("task"))
     labels = spark.createDataFrame([(1, "box", "d")], "label_id long, label_name string, description string")
     records_, _ = sync.synced_records(samples, tasks, labels)
     a = F.col("assets")[0]

@@ -714,6 +714,12 @@ def test_text(spark):
     assert "classes: a, b. If none" in X.class_prompt({"a": None, "b": None})
 
 
+def test_no_side_of_a_review_is_broadcast_but_the_labels(spark):
+    """What tasks and samples are made of passes no driver, however small their columns look to the planner."""
+    plan = plans.synced_records(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastHashJoin") == 1
+
+
 def test_label_tables(spark):
     declared = spark.createDataFrame([("b", None, 0), ("a", "x", 1)], "label string, description string, ord int")
     seen = spark.createDataFrame([("c", 0), ("a", 1)], "label string, ord int")
