@@ -173,8 +173,8 @@ def reviewed_instances(results: DataFrame) -> DataFrame:
     one = rows.groupBy("line_no", "instance_id").agg(F.min("pos").alias("pos"), last("label"), last("shape"), last("box"), last("point"), last("drawn"))
     number = F.row_number().over(Window.partitionBy("line_no").orderBy("pos")) - 1  # one row an instance of an image
     one = one.withColumn("instance_id", F.when(F.col("instance_id").startswith("gen_"), sequential_id(number, "inst_", 4)).otherwise(F.col("instance_id"))).filter("label is not null")
-    one = one.withColumn("runs", M.region_runs("drawn.rle", "drawn.points", "drawn.w", "drawn.h"))  # only what an instance ends up with is drawn
-    one = one.withColumn("g", M.mask_geometry("runs", "drawn.h")).withColumn("counts", M.encode_runs("runs"))
+    one = one.withColumn("m", M.region_masks("drawn.rle", "drawn.points", "drawn.w", "drawn.h"))  # only what an instance ends up with is drawn
+    one = one.withColumn("g", F.col("m.g")).withColumn("counts", F.col("m.counts"))
     drawn = F.col("drawn").isNotNull()
     box = F.when(F.col("g.x1").isNotNull(), F.struct(*[F.col(f"g.{n}").alias(n) for n in ("x1", "y1", "x2", "y2")]))
     centre = F.when(F.col("g.cx").isNotNull(), F.struct(F.col("g.cx").alias("x"), F.col("g.cy").alias("y")))

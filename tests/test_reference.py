@@ -2,10 +2,12 @@
 
 import json
 import os
+import time
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -714,6 +716,44 @@ def test_text(spark):
     assert "classes: a, b. If none" in X.class_prompt({"a": None, "b": None})
 
 
+def test_masks_drawn_together_equal_those_drawn_alone(monkeypatch):
+    """Brushes, polygons and neither in portions of several sizes, images without pixels among them; the codes too."""
+    rng = np.random.default_rng(3)
+    rows, want = [], []
+    for k in range(400):
+        w, h = int(rng.integers(k % 25 > 0, 60)), int(rng.integers(1, 50))
+        brush = points = None
+        if k % 4 == 1:
+            brush = [b - 256 * (b > 127) for b in masks.brush_of(masks.runs_of(rng.random((h, w)) < 0.3), w, h)]
+        elif k % 4:
+            points = rng.uniform(-30, 130, (int(rng.integers(0, 9)), 2)).round(k % 3).tolist()
+        rows.append((brush, points, w, h))
+        want.append(masks.brush_runs(brush, w, h) if brush is not None else None if points is None else masks.polygon_runs(points, w, h))
+    kinds = (pa.list_(pa.int32()), pa.list_(pa.list_(pa.float64())), pa.int32(), pa.int32())
+    for together in (1, 2000, masks.TOGETHER):
+        monkeypatch.setattr(masks, "TOGETHER", together)
+        values, counts, known = masks.drawn_runs(*[pa.array(c, t) for c, t in zip(zip(*rows), kinds)])
+        assert [v.tolist() if k else None for v, k in zip(np.split(values, np.cumsum(counts)[:-1]), known)] == want
+        heights = np.array([r[3] for r in rows])
+        for runs, r, g in zip(want, rows, masks.geometry_many(values, counts, heights).to_pylist()):
+            if not runs or not sum(runs[1::2]):
+                assert g == dict.fromkeys(("x1", "y1", "x2", "y2", "cx", "cy")) | {"area": 0}
+                continue
+            y, x = np.nonzero(masks.mask_of(runs, r[3], r[2]))
+            assert (g["x1"], g["y1"], g["x2"], g["y2"], g["area"]) == (x.min(), y.min(), x.max() + 1, y.max() + 1, len(x))
+            assert (g["cx"], g["cy"]) == pytest.approx((x.mean(), y.mean()))
+        assert masks._texts(values, counts, known).to_pylist() == [None if r is None else masks.pack_runs(r) for r in want]
+
+
+def test_many_small_masks_are_drawn_quickly():
+    """One by one, these took a minute and more."""
+    n = 100_000
+    box = pa.array([[[5.0, 10.0], [25.0, 10.0], [25.0, 40.0], [5.0, 40.0]]] * n, pa.list_(pa.list_(pa.float64())))
+    start = time.time()
+    masks.drawn_runs(pa.nulls(n, pa.list_(pa.int32())), box, pa.array([40] * n, pa.int32()), pa.array([20] * n, pa.int32()))
+    assert time.time() - start < 20
+
+
 def test_no_side_of_a_review_is_broadcast_but_the_labels(spark):
     """What tasks and samples are made of passes no driver, however small their columns look to the planner."""
     plan = plans.synced_records(spark, SF)._jdf.queryExecution().executedPlan().toString()
