@@ -2,8 +2,8 @@
 
 Greedy one-to-one matching takes candidates by falling IoU. Those above a threshold are a prefix of
 that order, so one matching at the smallest IoU serves every threshold. A sample's boxes meet in one
-row by a single shuffle, those of a crowded sample in the cells of a grid, and the greedy pass is a fold
-over the sorted candidates inside the JVM.
+row by a single shuffle and are matched there, many samples at once; those of a crowded sample meet in the cells of
+a grid, and its greedy pass is a fold over the sorted candidates inside the JVM.
 """
 
 from __future__ import annotations
@@ -11,11 +11,15 @@ from __future__ import annotations
 from functools import reduce
 from math import isqrt
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boxloom.errors import DatasetBuildError
 from boxloom.functions.geometry import iou, rounded, safe_div
+from boxloom.operators.masks import places_within
 
 #: Least IoU that counts as an overlap at all.
 TINY = 1e-9
@@ -96,6 +100,73 @@ def greedy(cands: Column, n_gt: Column, n_pred: Column) -> Column:
     return F.aggregate(cands, zero, step, lambda acc: acc["found"])
 
 
+#: Pairs that are matched together.
+TOGETHER = 1 << 17
+
+
+def greedy_pairs(neg: np.ndarray, g: np.ndarray, p: np.ndarray, n_gt: int, n_pred: int) -> np.ndarray:
+    """Which pairs the greedy pass takes, best first: in every round those that come first for both of their boxes."""
+    order = np.argsort(neg, kind="stable")
+    taken = []
+    first_g, first_p, free_g, free_p = np.empty(n_gt, dtype=np.int64), np.empty(n_pred, dtype=np.int64), np.ones(n_gt, dtype=bool), np.ones(n_pred, dtype=bool)
+    g, p, left = g[order], p[order], np.arange(len(order))
+    while len(left):
+        first_g[g[left[::-1]]] = left[::-1]  # of several the last that is written stays, the first of the order
+        first_p[p[left[::-1]]] = left[::-1]
+        best = left[(first_g[g[left]] == left) & (first_p[p[left]] == left)]
+        taken.append(best)
+        free_g[g[best]] = free_p[p[best]] = False
+        left = left[free_g[g[left]] & free_p[p[left]]]
+    return order[np.sort(np.concatenate(taken))] if taken else order
+
+
+def matched(least: float, class_aware: bool):
+    """A function (gt, pred) -> matches of rows of boxes by index, as candidates and greedy give them, many rows at once."""
+    def match(gt: pa.Array, pred: pa.Array) -> pa.Array:
+        boxes = [side.flatten() for side in (gt, pred)]
+        sizes = [pc.fill_null(pc.list_value_length(side), 0).to_numpy(zero_copy_only=False).astype(np.int64) for side in (gt, pred)]
+        heads = [np.cumsum(n) - n for n in sizes]
+        corner = [{c: pc.cast(b.field(c), pa.float64()).to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")} for b in boxes]
+        whole = [np.logical_and.reduce([b.field(c).is_valid().to_numpy(zero_copy_only=False) for c in ("x1", "y1", "x2", "y2")]) for b in boxes]
+        labels = pc.fill_null(pa.concat_arrays([b.field("label") for b in boxes]).dictionary_encode().indices, -1).to_numpy(zero_copy_only=False)
+        label = labels[: len(boxes[0])], labels[len(boxes[0]) :]
+        side = lambda lo, hi: np.maximum(0.0, hi - lo)
+        own = [side(c["x1"], c["x2"]) * side(c["y1"], c["y2"]) for c in corner]
+        pairs = sizes[0] * sizes[1]
+        found = []
+        for rows in np.split(np.arange(len(pairs)), np.flatnonzero(np.diff(np.cumsum(pairs) // TOGETHER)) + 1) if len(pairs) else []:
+            many = np.repeat(sizes[1][rows], sizes[0][rows])  # pairs of each true box
+            row_of = np.repeat(rows, sizes[0][rows])
+            true = heads[0][rows[0]] + np.arange(len(row_of))
+            g, p = np.repeat(true, many), np.repeat(heads[1][row_of], many) + places_within(many)
+            sound = whole[0][g] & whole[1][p]
+            if class_aware:
+                sound &= (label[0][g] == label[1][p]) & (label[0][g] >= 0)
+            g, p = g[sound], p[sound]
+            a, b = ({c: v[at] for c, v in of.items()} for of, at in zip(corner, (g, p)))
+            # a number that is none counts as the largest, as it does in Spark
+            inter = side(np.maximum(a["x1"], b["x1"]), np.fmin(a["x2"], b["x2"])) * side(np.maximum(a["y1"], b["y1"]), np.fmin(a["y2"], b["y2"]))
+            union = own[0][g] + own[1][p] - inter
+            over = np.divide(inter, union, out=np.zeros(len(g)), where=(union > 0) | np.isnan(union))
+            kept = (over >= least) | np.isnan(over)
+            g, p, over = g[kept], p[kept], over[kept]
+            at, first = heads[0][rows[0]], heads[1][rows[0]]
+            chosen = greedy_pairs(-over, g - at, p - first, int(sizes[0][rows].sum()), int(sizes[1][rows].sum()))
+            of = row_of[g[chosen] - at]
+            chosen, of = chosen[np.argsort(of, kind="stable")], np.sort(of)
+            found.append((of, over[chosen], g[chosen], p[chosen]))
+        of, over, g, p = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, dtype=np.int64) for k in range(4))
+        idx = [pc.cast(b.field("idx"), pa.int32()).take(pa.array(at)) for b, at in zip(boxes, (g, p))]
+        ends = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(pairs)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays([pa.array(over.astype(float)), *idx], ["iou", "gt_idx", "pred_idx"]))
+
+    def quiet(gt: pa.Array, pred: pa.Array) -> pa.Array:
+        with np.errstate(all="ignore"):
+            return match(gt, pred)
+
+    return F.arrow_udf(quiet, FOUND)
+
+
 #: Pairs of a sample from which on its boxes meet in a grid.
 CROWDED = 1 << 16
 
@@ -107,7 +178,8 @@ def match_boxes(gt: DataFrame, pred: DataFrame, threshold: float = TINY, class_a
     Whether there may be one is counted first, from the keys alone. Boxes of one side and sample have different idx.
     """
     rows = side_by_side(gt, pred, keys)
-    inside = candidates(threshold, class_aware)
+    match = matched(threshold, class_aware)
+    matches = match("gt", "pred")
     sides = gt.select(*keys, F.lit(0).alias("_side")).unionByName(pred.select(*keys, F.lit(1).alias("_side")))
     if threshold > 0 and not sides.groupBy(*keys, "_side").count().filter(F.col("count") > isqrt(crowded)).isEmpty():
         many = F.size("gt").cast("long") * F.size("pred") > crowded
@@ -115,8 +187,9 @@ def match_boxes(gt: DataFrame, pred: DataFrame, threshold: float = TINY, class_a
             many &= F.col(k).isNotNull()
         grid = grid_candidates(rows.filter(many), threshold, class_aware, keys)
         rows = rows.join(grid, list(keys), "left")
-        inside = F.when(many, F.coalesce("met", F.slice(inside, 1, 0))).otherwise(inside)
-    rows = rows.withColumn("cands", inside).withColumn("matches", greedy(F.col("cands"), F.size("gt"), F.size("pred")))
+        met = F.coalesce("met", F.array().cast(dict(grid.dtypes)["met"]))
+        matches = F.when(many, greedy(met, F.size("gt"), F.size("pred"))).otherwise(match(F.when(~many, F.col("gt")), F.when(~many, F.col("pred"))))
+    rows = rows.withColumn("matches", matches)
     free = lambda side, idx: F.array_except(F.transform(side, lambda b: b["idx"].cast("int")), F.transform("matches", lambda m: m[idx]))
     return rows.withColumn("unmatched_gt", free("gt", "gt_idx")).withColumn("unmatched_pred", free("pred", "pred_idx")).select(*keys, "gt", "pred", "matches", "unmatched_gt", "unmatched_pred")
 

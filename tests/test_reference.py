@@ -165,6 +165,40 @@ def test_crowded_samples_match_alike(spark, aware):
             assert got == {s: greedy_by_hand(*both, least, aware) for s, both in sides.items()}
 
 
+@pytest.mark.parametrize("aware", [True, False])
+@pytest.mark.parametrize("least", [0.0, matching.TINY, 0.4])
+def test_matches_of_many_rows_equal_the_fold(spark, least, aware, monkeypatch):
+    """Boxes with ties, without extent, without corners or labels, not finite and no numbers; samples of one side only."""
+    rng = np.random.default_rng(5)
+    odd = [None, float("nan"), float("inf"), -float("inf")]
+    rows = []
+    for s in range(60):
+        for side in (0, 1):
+            for i in range(int(rng.integers(0, 9))):
+                x, y = rng.integers(0, 6, 2).astype(float).tolist()
+                box = [x, y, x + float(rng.integers(-1, 5)), y + float(rng.integers(0, 5))]
+                if rng.random() < 0.1:
+                    box[int(rng.integers(0, 4))] = odd[int(rng.integers(0, 4))]
+                rows.append((s, side, i + 3 * side, [None, "a", "b"][int(rng.integers(0, 3))], *box))
+    df = spark.createDataFrame(rows, "sample_id long, side int, idx int, label string, x1 double, y1 double, x2 double, y2 double")
+    both = matching.side_by_side(df.filter("side = 0"), df.filter("side = 1")).withColumn("c", matching.candidates(least, aware))
+    want = both.select("sample_id", "gt", "pred", matching.greedy(F.col("c"), F.size("gt"), F.size("pred")).alias("m"), matching.matched(least, aware)("gt", "pred").alias("n")).collect()
+    show = lambda m: [(str(x["iou"]), x["gt_idx"], x["pred_idx"]) for x in m]
+    assert [show(r["n"]) for r in want] == [show(r["m"]) for r in want] and any(r["m"] for r in want)
+
+
+def test_many_pairs_are_matched_quickly():
+    """By a fold over columns, a pair took microseconds."""
+    n, side = 5_000, 16
+    rng = np.random.default_rng(1)
+    xy = rng.uniform(0, 60, (n * side, 2))
+    boxes = pa.StructArray.from_arrays([pa.array(np.tile(np.arange(side), n)), pa.array(["a"] * n * side), *map(pa.array, (*xy.T, *(xy + 20).T))], ["idx", "label", "x1", "y1", "x2", "y2"])
+    rows = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * side, pa.int32()), boxes)
+    start = time.time()
+    assert len(matching.matched(matching.TINY, False).func(rows, rows).flatten()) == n * side
+    assert time.time() - start < 3
+
+
 def test_five_thousand_boxes_a_side(spark):
     """With all pairs this would take minutes and gigabytes in one row."""
     at = lambda shift: spark.range(5000).select(F.lit("s").alias("sample_id"), F.lit("a").alias("label"), *[((F.col("id") % 100) * 10 + shift + d).cast("double").alias(c) for c, d in (("x1", 0), ("x2", 8))],
