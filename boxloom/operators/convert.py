@@ -47,11 +47,28 @@ def convert_boxes(rows: DataFrame, labels: DataFrame, raise_invalid: bool = Fals
     return out.withColumn("point", F.when(F.col("valid"), G.center(F.col("box")))).withColumn("instance_id", sequential_id(F.col("at"), "obj_", 5))
 
 
-def group_annotations(images: DataFrame, annots: DataFrame, key: str = "image_id", order: str = "at") -> DataFrame:
-    """images with their annotations as an ordered array, empty where there are none; orphans go."""
+#: Images whose annotations one task holds, sorts and joins.
+IMAGES_A_TASK = 50_000
+
+
+def partitions(images: DataFrame) -> int:
+    """In how many partitions these images and what is joined to them belong, so that a task's part does not grow with their
+    number; 0 where there are few. The images are counted."""
+    many = -(-images.count() // IMAGES_A_TASK)
+    usual = int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(many, usual) if many > images.sparkSession.sparkContext.defaultParallelism else 0
+
+
+def group_annotations(images: DataFrame, annots: DataFrame, key: str = "image_id", order: str = "at", spread: bool = True) -> DataFrame:
+    """images with their annotations as an ordered array, empty where there are none; orphans go.
+
+    Both are partitioned by the number of images, annotations that are so already (spread: False) as they come.
+    """
     payload = [c for c in annots.columns if c not in (key, order)]
+    if spread and (many := partitions(images)):
+        images, annots = images.repartition(many, key), annots.repartition(many, key)
     grouped = annots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *payload))).alias("annotations"))
-    joined = images.join(grouped, key, "left")
+    joined = images.join(grouped.hint("merge"), key, "left")  # as many rows as images: never broadcast
     return joined.withColumn("annotations", F.coalesce("annotations", F.array()))
 
 

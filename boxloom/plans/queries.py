@@ -88,7 +88,10 @@ def _images(spark, d):
 
 
 def _raw_boxes(spark, d):
-    li = _t(spark, d, "lineitem").join(_images(spark, d), F.col("l_orderkey") == F.col("image_id"))
+    lines, images = _t(spark, d, "lineitem"), _images(spark, d)
+    if many := convert.partitions(images):
+        lines, images = lines.repartition(many, "l_orderkey"), images.repartition(many, "image_id")
+    li = lines.join(images.hint("merge"), F.col("l_orderkey") == F.col("image_id"))
     return li.select(
         "image_id", "width", "height", F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linenumber").alias("n"), (F.col("l_suppkey") % 30).cast("int").alias("category_id"),
         (F.col("l_partkey") % F.col("width") - 20).cast("double").alias("x"), (F.col("l_suppkey") * 11 % F.col("height") - 10).cast("double").alias("y"),
@@ -145,7 +148,7 @@ def invalid_counts(spark, d):
     rows = _named(spark, d).withColumn("bbox", F.array("x", "y", "w", "h")).withColumn("at", F.col("p"))
     done = convert.convert_boxes(rows, F.broadcast(_nation_labels(spark, d)))  # 25 rows
     kept = done.select("image_id", F.struct("p", "s", "n").alias("at"), "valid")
-    return convert.conversion_counts(convert.group_annotations(_images(spark, d), kept))
+    return convert.conversion_counts(convert.group_annotations(_images(spark, d), kept, spread=False))
 
 
 def category_filter(spark, d):
@@ -156,7 +159,7 @@ def category_filter(spark, d):
 
 def group_annotations(spark, d):
     rows = _named(spark, d).select("image_id", F.struct("p", "s", "n").alias("at"), F.coalesce("class", F.lit("?")).alias("class"))
-    g = convert.group_annotations(_images(spark, d), rows)
+    g = convert.group_annotations(_images(spark, d), rows, spread=False)
     return g.select("image_id", F.array_join(F.transform("annotations", lambda a: a["class"]), ",").alias("classes"))
 
 
@@ -283,7 +286,7 @@ def rle_roundtrip(spark, d):
 def convert_records(spark, d):
     """Records of one entry, flattened: what a converted manifest says of every box."""
     rows = _named(spark, d).select("image_id", F.struct("p", "s", "n").alias("at"), "class", F.array("x", "y", "w", "h").alias("bbox"))
-    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "idx"), rows)
+    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "idx"), rows, spread=False)
     samples = images.withColumn("image", F.concat(F.lit("imgs/../pics/"), F.col("image_id").cast("string"), F.lit(".jpg")))
     labels = [(r["label_name"], r["label_id"]) for r in _nation_labels(spark, d).collect()]  # 25 rows
     entry = {"entry_id": "cfg_a", "config_dir": "/data/cfg", "config_path": "/data/cfg/a.yaml", "dataset": "CocoWasteDataset", "global_root": "/data/sets"}
@@ -378,7 +381,7 @@ def synced_records(spark, d):
 def coco_records(spark, d):
     """Records of COCO images with sequential ids: images without a valid selected box are not written, nor counted."""
     rows = _raw_boxes(spark, d).select("image_id", F.struct("p", "s", "n").alias("at"), F.col("category_id").cast("bigint").alias("category_id"), F.array("x", "y", "w", "h").alias("bbox"), F.concat_ws("-", "p", "n").alias("annotation_id"))
-    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "pos"), rows).withColumn("image", F.concat(F.lit("a/"), F.col("image_id").cast("string"), F.lit(".jpg")))
+    images = convert.group_annotations(stats.numbered(_images(spark, d), "image_id", "pos"), rows, spread=False).withColumn("image", F.concat(F.lit("a/"), F.col("image_id").cast("string"), F.lit(".jpg")))
     made = records.coco_records(images, [(3, "three"), (5, "five")], "train", "c.json", drop_empty=True, id_strategy="sequential", id_prefix="t-")
     flat = made.select("sample_id", "invalid", F.col("assets")[0]["metadata"]["coco_image_id"].alias("image_id"), F.explode(F.col("assets")[0]["annotations"]).alias("a"))
     return flat.select("sample_id", "image_id", "invalid", "a.instance_id", "a.label_id", "a.label_name", F.col("a.bbox.tl.x").alias("x1"), F.col("a.bbox.br.y").alias("y2"))

@@ -794,6 +794,17 @@ def test_no_side_of_a_review_is_broadcast_but_the_labels(spark):
     assert plan.count("BroadcastHashJoin") == 1
 
 
+def test_a_task_holds_no_more_of_many_images(spark, monkeypatch):
+    """Partitions follow the images, and neither these nor their annotations are broadcast."""
+    images, annots = spark.range(900).withColumnRenamed("id", "image_id"), spark.range(1800).select((F.col("id") % 600).alias("image_id"), F.col("id").alias("at"))
+    monkeypatch.setattr(convert, "IMAGES_A_TASK", 20)
+    grouped = convert.group_annotations(images, annots)
+    assert convert.partitions(images) == 45 and grouped.rdd.getNumPartitions() == 45
+    assert sorted(len(r["annotations"]) for r in grouped.collect()) == [0] * 300 + [3] * 600
+    made = plans.group_annotations(spark, SF)
+    assert made.rdd.getNumPartitions() == convert.partitions(plans._images(spark, SF)) and "orderkey" not in "".join(x for x in made._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x)
+
+
 def test_label_tables(spark):
     declared = spark.createDataFrame([("b", None, 0), ("a", "x", 1)], "label string, description string, ord int")
     seen = spark.createDataFrame([("c", 0), ("a", 1)], "label string, ord int")
