@@ -87,18 +87,29 @@ def unit_xyxy(x: Column, y: Column, w: Column, h: Column, width: Column, height:
     return F.struct(r(x / width).alias("x1"), r(y / height).alias("y1"), r((x + w) / width).alias("x2"), r((y + h) / height).alias("y2"))
 
 
-def to_pixels(coords: Column, width: Column, height: Column, factor=1000, normalized: bool = True) -> Column:
-    """array of four numbers -> struct(x1, y1, x2, y2): denormalised, half-even, corners reordered, at least in the image.
+def pixels(coords: Column, width: Column, height: Column, factor=1000, normalized: bool = True) -> Column:
+    """array of four numbers -> struct(xa, ya, xb, yb): denormalised, half-even. Null unless there are four."""
+    px = lambda i, extent: half_even(F.get(coords, F.lit(i)) / factor * extent if normalized else F.get(coords, F.lit(i)))
+    four = F.struct(px(0, width).alias("xa"), px(1, height).alias("ya"), px(2, width).alias("xb"), px(3, height).alias("yb"))
+    return F.when(F.size(coords) == 4, four)
+
+
+def pixel_box(px: Column, width: Column, height: Column) -> Column:
+    """struct(x1, y1, x2, y2) of pixels: corners reordered, at least in the image. Null if they are null.
 
-    Left and upper edges lie in [0, extent - 1], the others in [1, extent]. Null unless there are four.
+    Left and upper edges lie in [0, extent - 1], the others in [1, extent].
     """
-    px = lambda i, extent: half_even(F.get(coords, F.lit(i)) / factor * extent if normalized else F.get(coords, F.lit(i)))
-    xa, ya, xb, yb = px(0, width), px(1, height), px(2, width), px(3, height)
+    xa, ya, xb, yb = (px[c] for c in ("xa", "ya", "xb", "yb"))
     box = F.struct(
         clamp(F.least(xa, xb), 0, width - 1).alias("x1"), clamp(F.least(ya, yb), 0, height - 1).alias("y1"),
         clamp(F.greatest(xa, xb), 1, width).alias("x2"), clamp(F.greatest(ya, yb), 1, height).alias("y2"),
     )
-    return F.when(F.size(coords) == 4, box)
+    return F.when(px.isNotNull(), box)
+
+
+def to_pixels(coords: Column, width: Column, height: Column, factor=1000, normalized: bool = True) -> Column:
+    """array of four numbers -> struct(x1, y1, x2, y2), as pixel_box has it. Null unless there are four."""
+    return pixel_box(pixels(coords, width, height, factor, normalized), width, height)
 
 
 def prompt_box(box: Column, width: Column, height: Column) -> Column:

@@ -114,6 +114,24 @@ def test_items_are_read_alike_in_both(spark):
     assert [r["t"] for r in rows if r["_in_python"]] == odd
 
 
+def test_items_are_opened_once(spark):
+    """An item's kind is told by one expression, a text is cut at each mark by one, whatever reads them; odd numbers and parts come out as Python has them."""
+    df = spark.createDataFrame([("[]", 200, 100)], "t string, width int, height int")
+    plan = parsing.parse_answers(df, "t", "json_bbox_list")._jdf.queryExecution().optimizedPlan()
+    text = plan.toString()
+    assert {k: text.count(k) for k in ("schemaOfVariant", "</think>", "<answer>")} == {"schemaOfVariant": 1, "</think>": 1, "<answer>": 1}
+    texts = [
+        '[{"class":"a","box":[null,1,2,3],"bbox":[5,6,7,8]}]', '[["a",12345678901234567890,1,2,1e3]]', '[["a\\"]b",-5,1.25,2,null]]', '[{"class":"a","box":[12345678901234567890,1.5,null,4]}]', '[["a","1",2,3,true]]',
+        '[{"meta":{"class":5},"class":"a","box":[1,2,3,4]}]', '[{"my class":5,"class":"a","box":[1,"2",[3],4]}]', '[{"label":"L","class":null,"box":null,"bbox_2d":[1,2,3,4]}]', '[[["a"],1,2,3,4], {}, [], null, "x"]', '[{"class":"a","box":{}}]']
+    for r in parsing.read_items(spark.createDataFrame([(t,) for t in texts], "t string"), "t").withColumn("p", parsing._json_items("t")).collect():
+        assert r["_read"] == r["p"], r["t"]
+
+
+def test_strip_takes_white_space_of_unicode(spark):
+    df = spark.range(1, 0x3100).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c")).select(F.concat("c", F.lit(" x"), "c", F.lit("y "), "c").alias("t"))
+    assert df.filter(X.strip(F.col("t")) != F.regexp_replace("t", "(?U)^\\s+|\\s+$", "")).count() == 0
+
+
 def test_metrics_golden(spark):
     schema = "sample_id string, label string, x1 double, y1 double, x2 double, y2 double, idx int"
     gt = spark.createDataFrame([("s1", "rotor", 0., 0., 10., 10., 0), ("s1", "rotor", 20., 20., 30., 30., 1), ("s2", "rotor", 0., 0., 5., 5., 0)], schema)
